@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from weftmark.llm import oracles
 from weftmark.llm.exact_dedup import exact_dedup
 from weftmark.llm.jaccard_join import jaccard_components
+from weftmark.llm.language_id import identify
 from weftmark.llm.license_scan import license_scan
 from weftmark.llm.mixing import mix
+from weftmark.llm.pii import find_pii
 from weftmark.llm.quality_rules import apply_policy, ledger
 from weftmark.llm.sentencepiece_codec import read_model, round_trip
 from weftmark.llm.sharding import shard
@@ -34,6 +36,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("full_hash", "text_sha256")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return identify(docs, held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), read_model(TOKENIZER))
 
@@ -81,10 +89,25 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_pii(documents(spark, sf_dir))
+    kinds = ("email", "ip", "card", "phone")
+    of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return rows.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(text(F.col("base")), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     named = (
-        op1_exact_dedup, op3_sentencepiece, op4_sharding, op5_jaccard_join, op6_substring_dedup,
-        op7_mixing, op8_quality_rules, op9_license_scan,
+        op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_sharding, op5_jaccard_join, op6_substring_dedup,
+        op7_mixing, op8_quality_rules, op9_license_scan, op10_pii,
     )
     return {f.__name__: f for f in named}
 
