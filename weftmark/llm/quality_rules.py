@@ -106,6 +106,15 @@ def _covered(starts: Column, width: int = 3) -> Column:
     )
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, through which no filter is pushed.
+
+    A filter that moves below the measurements would copy their expressions into itself
+    and into their lambdas, and evaluate an array for each of its elements.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def ledger(df: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
     """One row per document: ``key``, the measurements and ``failed_mask``.
 
@@ -139,7 +148,7 @@ def ledger(df: DataFrame, text: str = "text", key: str = "doc_id", carry: bool =
     mask = bits[0]
     for bit in bits[1:]:
         mask = mask.bitwiseOR(bit)
-    return measured.withColumn("failed_mask", mask).withColumnRenamed("k", key)
+    return fenced(measured).withColumn("failed_mask", mask).withColumnRenamed("k", key)
 
 
 def apply_policy(rows: DataFrame, version: str = "v1", mask: str = "failed_mask") -> DataFrame:
