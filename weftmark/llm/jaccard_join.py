@@ -10,7 +10,8 @@ any global order.  The order here takes tokens that no other set has first:
    repeats, and what is left posts its prefix: unique tokens (not posted), then
    repeated, then very frequent ones;
 3. sets that share a posted token form coarse groups (a superset of the answer);
-   each class goes once to the task of its group, where a trie joins the sets;
+   each class goes once to the task of its group, where a trie joins the sets.  Only
+   the sets that step 1 left are ever written or shuffled;
 4. a group over the token limit is cut by size class and hash into blocks.  Each block
    is joined with a few sets of the whole group first, which connects groups of near
    copies; only if more than one component is left are pairs of blocks compared.
@@ -38,6 +39,7 @@ from weftmark.plans.shared import materialize
 
 #: Part of the hash space counted in step 1, for all documents.
 COUNTED = 0.4
+COUNTED_BELOW = np.uint64(int(COUNTED * 2**64))
 #: A token in more sets than this goes last in the order.
 FREQUENT = 32
 #: Tokens that one task joins at a time, and sets of a large group that visit all its blocks.
@@ -52,9 +54,16 @@ def prefix_length(size: np.ndarray, share: tuple[int, int] = (3, 4)) -> np.ndarr
 
 
 class Sets:
-    """Distinct shingle hashes of consecutive documents."""
+    """Token sets of consecutive documents: tokens in order, their documents, and bounds."""
 
-    def __init__(self, words: Words, n: int):
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray, docs: int):
+        self.tokens, self.owner = tokens, owner
+        self.first = np.searchsorted(owner, np.arange(docs + 1))
+        self.size = np.diff(self.first)
+
+    @classmethod
+    def of_words(cls, words: Words, n: int) -> Sets:
+        """Distinct shingle hashes of each document."""
         docs = len(words.first) - 1
         hashes, valid = words.windows(n)
         counts = np.diff(words.first)
@@ -68,13 +77,22 @@ class Sets:
             ]
             hashes = np.concatenate([hashes, np.frombuffer(b"".join(w.digest() for w in whole), dtype=np.uint64)])
             owner = np.concatenate([owner, short])
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
+            order = np.argsort(owner, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+        ends = np.searchsorted(owner, np.arange(docs + 1)).tolist()
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            hashes[low:high].sort()
         keep = np.ones(len(hashes), dtype=bool)
         keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        self.tokens, self.owner = hashes[keep], owner[keep]
-        self.first = np.searchsorted(self.owner, np.arange(docs + 1))
-        self.size = np.diff(self.first)
+        return cls(hashes[keep], owner[keep], docs)
+
+    @classmethod
+    def of_lists(cls, lists: pa.ListArray) -> Sets:
+        """Sets that were written as lists of sorted tokens."""
+        lists = pa.array(lists) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return cls(tokens, np.repeat(np.arange(len(lists)), sizes), len(lists))
 
     def of(self, d: int) -> np.ndarray:
         return self.tokens[self.first[d] : self.first[d + 1]]
@@ -93,7 +111,7 @@ class Sets:
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
     for whole in batches:
         for batch in slices(whole, "t"):
-            yield batch, Sets(words_of(batch.column("t"), lower=True), n)
+            yield batch, Sets.of_words(words_of(batch.column("t"), lower=True), n)
 
 
 def _new_only(names: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -150,211 +168,195 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _tries(tasks: DataFrame) -> DataFrame:
-    """Join the sets of each task; columns task, c, n, s, label, side."""
-    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tasks.select("task", "c", "n", "s", "label", "side").repartition(parts, "task")
-    return dealt.sortWithinPartitions("task", "c").mapInArrow(_join_blocks, "a long, b long")
-
+def _low_bits(rows: DataFrame, width: int):
+    """Step 1: tokens of the lower part of the hash space that more than one set has."""
 
-def _links(rows: DataFrame, width: int) -> DataFrame:
-    """Verified links (a, b) between classes that connect all similar ones."""
-    counted_below = np.uint64(int(COUNTED * 2**64))
-
-    def count_low(batches):
+    def count(batches):
         seen: set[int] = set()
         for _, sets in _batches(batches, width):
             new = _new_only(sets.classes(), seen)
-            yield _count(sets, (sets.tokens < counted_below) & new[sets.owner])
+            yield _count(sets, (sets.tokens < COUNTED_BELOW) & new[sets.owner])
 
-    counts = rows.mapInArrow(count_low, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    low = broadcast_bits(counts.where("n > 1").select("h"), "h")
+    counts = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialize(counts, "jaccard-repeated-low")
+    often = counts.where(F.col("n") > FREQUENT).select("h")
+    return broadcast_bits(counts.select("h"), "h"), often
 
-    def open_sets(sets: Sets, seen: set[int], bits: Bits) -> np.ndarray:
-        """Classes new to this task without enough tokens of their own in the counted part."""
-        counted = sets.tokens < counted_below
-        alone = np.zeros(len(counted), dtype=bool)
-        alone[counted] = ~bits.has(sets.tokens[counted])
-        left = (sets.size > 0) & (sets.per_document(alone) < prefix_length(sets.size))
-        return left & _new_only(sets.classes(), seen)
 
-    def count_open(batches):
-        seen: set[int] = set()
-        bits = Bits(low.value)
-        for _, sets in _batches(batches, width):
-            yield _count(sets, open_sets(sets, seen, bits)[sets.owner])
+def _edges(sets: DataFrame, low, often: DataFrame) -> DataFrame:
+    """Steps 2 and 3: pairs (a, b) of classes of the table (c, s) that put all that may link in one group."""
 
-    counts = materialize(
-        rows.mapInArrow(count_open, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"),
-        "jaccard-repeated",
-    )
-    repeated = broadcast_bits(counts.select("h"), "h")
-    frequent = broadcast_bits(counts.where(F.col("n") > FREQUENT).select("h"), "h", 24)
+    def count(batches):
+        for batch in batches:
+            part = Sets.of_lists(batch.column("s"))
+            yield _count(part, part.tokens >= COUNTED_BELOW)
+
+    counts = sets.select("s").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialize(counts, "jaccard-repeated-high")
+    high = broadcast_bits(counts.select("h"), "h")
+    frequent = broadcast_bits(often.unionAll(counts.where(F.col("n") > FREQUENT).select("h")), "h", 24)
 
     def prefixes(batches):
-        """(h, c, n, hub): a posting, or with a hub an edge that this task knows."""
-        seen: set[int] = set()
+        """(h, c, hub, edge): a posting, or an edge that this task knows already."""
         posted: dict[int, int] = {}
-        bits, many, few = Bits(low.value), Bits(frequent.value), Bits(repeated.value)
-        for _, sets in _batches(batches, width):
-            names = sets.classes()
-            chosen = open_sets(sets, seen, bits)[sets.owner]
-            tokens, owner = sets.tokens[chosen], sets.owner[chosen]
-            grade = few.has(tokens).astype(np.int8)
+        below, above, many = Bits(low.value), Bits(high.value), Bits(frequent.value)
+        for batch in batches:
+            part = Sets.of_lists(batch.column("s"))
+            names = batch.column("c").to_numpy(zero_copy_only=False)
+            tokens, owner = part.tokens, part.owner
+            counted = tokens < COUNTED_BELOW
+            grade = np.where(counted, below.has(tokens), above.has(tokens)).astype(np.int8)
             grade += grade * many.has(tokens)
             order = np.lexsort((tokens, grade, owner))
             tokens, owner, grade = tokens[order], owner[order], grade[order]
-            start = np.searchsorted(owner, owner, side="left")
-            inside = np.arange(len(owner)) - start < prefix_length(sets.size[owner])
+            inside = np.arange(len(owner)) - part.first[owner] < prefix_length(part.size[owner])
             take = inside & (grade > 0)
             h, c = tokens[take].view(np.int64), names[owner[take]]
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
             first = np.ones(len(h), dtype=bool)
             first[1:] = h[1:] != h[:-1]
-            hub = c[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else c
+            hub = c[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else c.copy()
             settled = ~first
             twice = np.zeros(len(h), dtype=bool)
             twice[:-1] = first[:-1] & ~first[1:]
-            for i in np.flatnonzero(first).tolist() if posted else ():
-                known = posted.get(int(h[i]))
-                if known is not None:
-                    settled[i], hub[i] = True, known
+            if posted:
+                for i in np.flatnonzero(first).tolist():
+                    known = posted.get(int(h[i]))
+                    if known is not None:
+                        settled[i], hub[i] = True, known
             if len(posted) < REMEMBERED:
                 for i in np.flatnonzero(twice & ~settled).tolist():
                     posted[int(h[i])] = int(c[i])
             a, b = c[settled], hub[settled]
             pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             pair = pair[pair[:, 0] != pair[:, 1]]
-            out_h = np.concatenate([h[~settled], np.zeros(len(pair), np.int64)])
-            out_c = np.concatenate([c[~settled], pair[:, 0]])
-            out_hub = np.concatenate([np.zeros((~settled).sum(), np.int64), pair[:, 1]])
-            is_edge = np.arange(len(out_h)) >= (~settled).sum()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_h), pa.array(out_c), pa.array(out_hub), pa.array(is_edge)], names=["h", "c", "hub", "edge"]
-            )
-
-    posts = materialize(rows.mapInArrow(prefixes, "h long, c long, hub long, edge boolean"), "jaccard-postings")
-    by_token = Window.partitionBy("h")
-    met = posts.where("not edge").withColumn("hub", F.min("c").over(by_token)).where("c != hub")
-    edges = met.select(F.col("c").alias("a"), F.col("hub").alias("b")).unionAll(
-        posts.where("edge").select(F.col("c").alias("a"), F.col("hub").alias("b"))
-    )
-    groups = materialize(components(edges).select(F.col("node").alias("c"), F.col("label").alias("g")), "jaccard-groups")
-    members = broadcast_bits(groups.select("c"), "c", 23)
-
-    def ship(batches):
-        seen: set[int] = set()
-        bits, wanted = Bits(low.value), Bits(members.value)
-        for _, sets in _batches(batches, width):
-            names = sets.classes()
-            go = np.flatnonzero(open_sets(sets, seen, bits) & wanted.has(names.view(np.uint64)))
-            chosen = [sets.of(d).view(np.int64) for d in go.tolist()]
-            offsets = np.concatenate([[0], np.cumsum(sets.size[go])]).astype(np.int32)
-            flat = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+            left = ~settled
+            edge = np.repeat([False, True], [left.sum(), len(pair)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names[go]),
-                    pa.array(sets.size[go].astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(np.concatenate([h[left], pair[:, 1]])),  # an edge is dealt out by its hub
+                    pa.array(np.concatenate([c[left], pair[:, 0]])),
+                    pa.array(np.concatenate([c[left], pair[:, 1]])),
+                    pa.array(edge),
                 ],
-                names=["c", "n", "s"],
+                names=["h", "c", "hub", "edge"],
             )
 
-    shipped = materialize(rows.mapInArrow(ship, "c long, n long, s array<long>").join(groups, "c"), "jaccard-sets")
-    return _group_links(shipped)
+    posts = sets.select("c", "s").mapInArrow(prefixes, "h long, c long, hub long, edge boolean")
+    met = posts.withColumn("least", F.min("c").over(Window.partitionBy("h", "edge")))
+    met = met.select(F.col("c").alias("a"), F.when(F.col("edge"), F.col("hub")).otherwise(F.col("least")).alias("b"))
+    return met.where("a != b")
 
 
-def _group_links(sets: DataFrame) -> DataFrame:
-    """Links inside the groups of a table (c, n, s, g)."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3))) + 1e-9).cast("int")
-    classes = sets.select("g", "c", "n").distinct()
-    total = classes.groupBy("g").agg(F.sum("n").alias("tokens"))
+def _tries(sets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Join the sets (c, n, s) that a plan (task, c, label, side) sends to each task."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = sets.join(plan, "c").select("task", "c", "n", "s", "label", "side").repartition(parts, "task")
+    links = tasks.sortWithinPartitions("task", "c").mapInArrow(_join_blocks, "a long, b long")
+    return materialize(links, "jaccard-links")
+
+
+def _links(sets: DataFrame, low, often: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the classes of (c, n, s) that connect all similar ones."""
+    groups = components(_edges(sets, low, often)).select(F.col("node").alias("c"), F.col("label").alias("g"))
+    members = materialize(sets.select("c", "n").distinct().join(groups, "c"), "jaccard-members")
+    wanted = broadcast_bits(members.select("c"), "c", 23)
+
+    def pick(batches):
+        bits = Bits(wanted.value)
+        for batch in batches:
+            c = batch.column("c").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(bits.has(c)))
+
+    sets = sets.mapInArrow(pick, sets.schema)
+    none, left_side = F.lit(None).cast("long").alias("label"), F.lit(0).alias("side")
+    total = members.groupBy("g").agg(F.sum("n").alias("tokens"))
     large = materialize(total.where(F.col("tokens") > BLOCK_TOKENS).select("g"), "jaccard-large")
-    none = F.lit(None).cast("long")
-    small = sets.join(large, "g", "left_anti").select(
-        F.col("g").alias("task"), "c", "n", "s", none.alias("label"), F.lit(0).alias("side")
-    )
-    links = materialize(_tries(small), "jaccard-links")
+    whole = members.join(large, "g", "left_anti").select(F.col("g").alias("task"), "c", none, left_side)
     if large.isEmpty():
-        return links
+        return _tries(sets, whole)
 
-    big = sets.join(large, "g", "left_semi").withColumn("z", size_class)
-    shape = big.select("g", "z", "c", "n").distinct().groupBy("g", "z").agg(F.sum("n").alias("tokens"))
-    shape = shape.withColumn("blocks", F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS / 2)).cast("long"))
-    big = big.join(shape.select("g", "z", "blocks"), ["g", "z"]).withColumn(
-        "r", F.pmod(F.xxhash64("c"), F.col("blocks"))
-    )
-    big = materialize(big, "jaccard-big")
-    blocks = big.select("g", "z", "blocks").distinct()
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3))) + 1e-9).cast("int")
+    big = members.join(large, "g", "left_semi").withColumn("z", size_class)
+    shape = big.groupBy("g", "z").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS / 2)).cast("long").alias("blocks"))
+    blocks = materialize(shape, "jaccard-blocks")
+    big = big.join(blocks, ["g", "z"]).withColumn("r", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    big = materialize(big.drop("blocks"), "jaccard-big")
+    own = big.select(F.xxhash64("g", "z", "r").alias("task"), "c", none, left_side)
     # leaders: the classes with the least hash under each of a few seeds, found by partial minima
     least = [F.min(F.struct(F.xxhash64("c", F.lit(i)), "c"))["c"] for i in range(LEADERS)]
-    leaders = big.groupBy("g", "z").agg(F.array_distinct(F.array(*least)).alias("cs")).select("g", "z", F.explode("cs").alias("c"))
-    lead = big.join(leaders.select("g", "z", "c"), ["g", "z", "c"], "left_semi").drop("r", "blocks")
-    everywhere = lead.join(blocks.withColumnRenamed("z", "z2"), "g").where("z2 between z - 1 and z + 1").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["c", "n", "s", none.alias("label"), F.lit(0).alias("side")]
-    own = big.select(F.xxhash64("g", "z", "r").alias("task"), *columns)
-    extra = everywhere.select(F.xxhash64("g", F.col("z2").alias("z"), "r").alias("task"), *columns)
-    first = materialize(_tries(own.unionAll(extra)), "jaccard-links")
+    lead = big.groupBy("g", "z").agg(F.array_distinct(F.array(*least)).alias("cs"))
+    lead = lead.select("g", F.col("z").alias("z1"), F.explode("cs").alias("c")).join(blocks, "g")
+    lead = lead.where("z between z1 - 1 and z1 + 1").withColumn(
+        "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    visit = lead.select(F.xxhash64("g", "z", "r").alias("task"), "c", none, left_side)
+    first = _tries(sets, whole.unionAll(own.unionAll(visit).distinct()))
 
     labels = components(first).select(F.col("node").alias("c"), "label")
-    marked = materialize(
-        big.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")), "jaccard-marked"
-    )
+    marked = big.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    marked = materialize(marked, "jaccard-marked")
     apart = marked.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("g")
+    apart = materialize(apart, "jaccard-apart")
+    if apart.isEmpty():
+        return first
     rest = marked.join(apart, "g", "left_semi")
     # block (z, r) meets every later block of its size class and every block of the next
-    pairs = blocks.alias("p").join(
-        blocks.alias("q"), (F.col("p.g") == F.col("q.g")) & ((F.col("q.z") == F.col("p.z")) | (F.col("q.z") == F.col("p.z") + 1))
-    )
-    pairs = pairs.select(
-        F.col("p.g").alias("g"), F.col("p.z").alias("z"), F.col("q.z").alias("z2"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.blocks") - 1)).alias("r"), F.col("q.blocks").alias("blocks2"),
-    )
-    pairs = pairs.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks2") - 1)).alias("r2")
-    ).where("z2 > z or r2 > r")
-    task = F.xxhash64("g", "z", "r", "z2", "r2").alias("task")
-    left = rest.join(pairs, ["g", "z", "r"]).select(task, "c", "n", "s", "label", F.lit(0).alias("side"))
-    other = rest.withColumnsRenamed({"z": "z2", "r": "r2"}).join(pairs, ["g", "z2", "r2"])
-    right = other.select(task, "c", "n", "s", "label", F.lit(1).alias("side"))
-    second = materialize(_tries(left.unionAll(right)), "jaccard-links")
-    return links.unionAll(first).unionAll(second)
+    mate = blocks.select("g", F.col("z").alias("z2"), F.col("blocks").alias("blocks2"))
+    pairs = blocks.join(mate, "g").where("z2 = z or z2 = z + 1")
+    pairs = pairs.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("r2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks2") - 1)))
+    pairs = pairs.where("z2 > z or r2 > r").select("g", "z", "r", "z2", "r2", F.xxhash64("g", "z", "r", "z2", "r2").alias("task"))
+    here = rest.join(pairs, ["g", "z", "r"]).select("task", "c", "label", left_side)
+    there = rest.select("g", F.col("z").alias("z2"), F.col("r").alias("r2"), "c", "label").join(pairs, ["g", "z2", "r2"])
+    there = there.select("task", "c", "label", F.lit(1).alias("side"))
+    return first.unionAll(_tries(sets, here.unionAll(there)))
 
 
 def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tuple[DataFrame, DataFrame]:
     """(rows k, row, n_shingles, c and the carried r; classes with their component)."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    if carry:
-        rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.struct(*[F.col(c) for c in df.columns]).alias("r"))
-    kind = T.StructType([*rows.drop("t").schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("c", T.LongType())])
+    whole = [F.struct(*[F.col(c) for c in df.columns]).alias("r")] if carry else []
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), *whole)
+    low, often = _low_bits(rows.select("t"), n)
+    kept = [x for x in rows.columns if x != "t"]
+    made = T.StructType.fromDDL("n_shingles long, c long, s array<long>")
+    kind = T.StructType([*rows.select(*kept).schema.fields, *made.fields])
 
     def describe(batches):
+        """Every row with its class, and with its set where a class first comes up that may link."""
+        seen: set[int] = set()
+        bits = Bits(low.value)
         for batch, sets in _batches(batches, n):
-            names = pa.array(sets.classes(), mask=sets.size == 0)
-            columns = [batch.column(x) for x in batch.schema.names if x != "t"]
+            names = sets.classes()
+            counted = sets.tokens < COUNTED_BELOW
+            alone = np.zeros(len(counted), dtype=bool)
+            alone[counted] = ~bits.has(sets.tokens[counted])
+            left = (sets.size > 0) & (sets.per_document(alone) < prefix_length(sets.size))
+            left &= _new_only(names, seen)
+            tokens = sets.tokens[left[sets.owner]].view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.where(left, sets.size, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens), mask=pa.array(~left))
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sets.size.astype(np.int64)), names],
-                names=[x for x in batch.schema.names if x != "t"] + ["n_shingles", "c"],
+                [*[batch.column(x) for x in kept], pa.array(sets.size.astype(np.int64)), pa.array(names, mask=sets.size == 0), lists],
+                names=[*kept, "n_shingles", "c", "s"],
             )
 
     described = materialize(
         rows.mapInArrow(describe, kind).withColumn("row", F.monotonically_increasing_id()), "jaccard-documents"
     )
-    links = _links(rows.select("t"), n)
-    labels = components(links)
+    sets = described.where("s is not null").select("c", F.col("n_shingles").alias("n"), "s")
+    labels = components(_links(sets, low, often))
     first = F.min(F.struct(F.col("k").isNull().alias("z"), "k", "row")).alias("first")
     classes = described.where("c is not null").groupBy("c").agg(first, F.count(F.lit(1)).alias("copies"))
     labelled = classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn(
         "label", F.coalesce("label", "c")
     )
     labelled = materialize(labelled, "jaccard-classes")
-    tops = labelled.groupBy("label").agg(
-        F.min("first").alias("first"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("classes")
-    )
+    tops = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("members"))
     # classes that stand alone with one document need no row
-    found = labelled.drop("first").join(tops.where("members > 1"), "label").select("c", "first", "members", "classes")
-    return described, materialize(found, "jaccard-components")
+    found = labelled.drop("first").join(tops.where("members > 1"), "label").select("c", "first", "members")
+    return described.drop("s"), materialize(found, "jaccard-components")
 
 
 def jaccard_components(
