@@ -6,9 +6,9 @@ any global order.  The order here takes tokens that no other set has first:
 
 1. tokens in the lower part of the hash space are counted; a set with enough tokens
    that nothing else has can link with nothing and leaves (most sets do);
-2. all tokens of the remaining sets are counted among themselves, the same test
-   repeats, and what is left posts its prefix: unique tokens (not posted), then
-   repeated, then very frequent ones;
+2. all tokens of the remaining classes are counted among themselves, and each set
+   posts its prefix: tokens of its own (not posted), then ever more frequent ones, so
+   that passages which many documents share do not join their groups;
 3. sets that share a posted token form coarse groups (a superset of the answer);
    each class goes once to the task of its group, where a trie joins the sets.  Only
    the sets that step 1 left are ever written or shuffled;
@@ -40,8 +40,8 @@ from weftmark.plans.shared import materialize
 #: Part of the hash space counted in step 1, for all documents.
 COUNTED = 0.4
 COUNTED_BELOW = np.uint64(int(COUNTED * 2**64))
-#: A token in more sets than this goes last in the order.
-FREQUENT = 32
+#: The order of tokens: by how many of these counts they reach (then by hash), each told by a bit set of 2**bits.
+GRADES = ((2, 27), (3, 25), (5, 24), (9, 24), (33, 24), (129, 24))
 #: Tokens that one task joins at a time, and sets of a large group that visit all its blocks.
 BLOCK_TOKENS, LEADERS = 1_500_000, 8
 #: Classes and tokens that a map task remembers having posted.
@@ -177,36 +177,47 @@ def _low_bits(rows: DataFrame, width: int):
             new = _new_only(sets.classes(), seen)
             yield _count(sets, (sets.tokens < COUNTED_BELOW) & new[sets.owner])
 
-    counts = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "jaccard-repeated-low")
-    often = counts.where(F.col("n") > FREQUENT).select("h")
-    return broadcast_bits(counts.select("h"), "h"), often
+    counts = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return broadcast_bits(counts.where("n > 1").select("h"), "h")
 
 
-def _edges(sets: DataFrame, low, often: DataFrame) -> DataFrame:
+def _distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row per class of (c, n, s); a class comes at most once from each map task before."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def first_of_each(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            names = batch.column("c").to_pylist()
+            keep = [name not in seen and not seen.add(name) for name in names]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return materialize(sets.repartition(parts, "c").mapInArrow(first_of_each, sets.schema), "jaccard-open")
+
+
+def _edges(sets: DataFrame) -> DataFrame:
     """Steps 2 and 3: pairs (a, b) of classes of the table (c, s) that put all that may link in one group."""
 
     def count(batches):
         for batch in batches:
             part = Sets.of_lists(batch.column("s"))
-            yield _count(part, part.tokens >= COUNTED_BELOW)
+            yield _count(part, np.ones(len(part.tokens), dtype=bool))
 
     counts = sets.select("s").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "jaccard-repeated-high")
-    high = broadcast_bits(counts.select("h"), "h")
-    frequent = broadcast_bits(often.unionAll(counts.where(F.col("n") > FREQUENT).select("h")), "h", 24)
+    counts = materialize(counts, "jaccard-repeated")
+    grades = [broadcast_bits(counts.where(F.col("n") >= least).select("h"), "h", bits) for least, bits in GRADES]
 
     def prefixes(batches):
         """(h, c, hub, edge): a posting, or an edge that this task knows already."""
         posted: dict[int, int] = {}
-        below, above, many = Bits(low.value), Bits(high.value), Bits(frequent.value)
+        levels = [Bits(g.value) for g in grades]
         for batch in batches:
             part = Sets.of_lists(batch.column("s"))
             names = batch.column("c").to_numpy(zero_copy_only=False)
             tokens, owner = part.tokens, part.owner
-            counted = tokens < COUNTED_BELOW
-            grade = np.where(counted, below.has(tokens), above.has(tokens)).astype(np.int8)
-            grade += grade * many.has(tokens)
+            grade = levels[0].has(tokens).astype(np.int8)
+            for level in levels[1:]:
+                grade += grade.astype(bool) & level.has(tokens)
             order = np.lexsort((tokens, grade, owner))
             tokens, owner, grade = tokens[order], owner[order], grade[order]
             inside = np.arange(len(owner)) - part.first[owner] < prefix_length(part.size[owner])
@@ -257,10 +268,10 @@ def _tries(sets: DataFrame, plan: DataFrame) -> DataFrame:
     return materialize(links, "jaccard-links")
 
 
-def _links(sets: DataFrame, low, often: DataFrame) -> DataFrame:
+def _links(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between the classes of (c, n, s) that connect all similar ones."""
-    groups = components(_edges(sets, low, often)).select(F.col("node").alias("c"), F.col("label").alias("g"))
-    members = materialize(sets.select("c", "n").distinct().join(groups, "c"), "jaccard-members")
+    groups = components(_edges(sets)).select(F.col("node").alias("c"), F.col("label").alias("g"))
+    members = materialize(sets.select("c", "n").join(groups, "c"), "jaccard-members")
     wanted = broadcast_bits(members.select("c"), "c", 23)
 
     def pick(batches):
@@ -318,7 +329,7 @@ def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tupl
     """(rows k, row, n_shingles, c and the carried r; classes with their component)."""
     whole = [F.struct(*[F.col(c) for c in df.columns]).alias("r")] if carry else []
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), *whole)
-    low, often = _low_bits(rows.select("t"), n)
+    low = _low_bits(rows.select("t"), n)
     kept = [x for x in rows.columns if x != "t"]
     made = T.StructType.fromDDL("n_shingles long, c long, s array<long>")
     kind = T.StructType([*rows.select(*kept).schema.fields, *made.fields])
@@ -345,8 +356,8 @@ def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tupl
     described = materialize(
         rows.mapInArrow(describe, kind).withColumn("row", F.monotonically_increasing_id()), "jaccard-documents"
     )
-    sets = described.where("s is not null").select("c", F.col("n_shingles").alias("n"), "s")
-    labels = components(_links(sets, low, often))
+    sets = _distinct_sets(described.where("s is not null").select("c", F.col("n_shingles").alias("n"), "s"))
+    labels = components(_links(sets))
     first = F.min(F.struct(F.col("k").isNull().alias("z"), "k", "row")).alias("first")
     classes = described.where("c is not null").groupBy("c").agg(first, F.count(F.lit(1)).alias("copies"))
     labelled = classes.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn(
