@@ -35,9 +35,10 @@ from weftmark.llm.texts import slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Size bounds: of a model that is sent to executors, of a worker's tables of words and pairs, and of a word in it.
+#: Size bounds: of a model that is sent to executors, of a worker's tables of words and of pairs or beginnings, and of an
+#: entry in each.
 MAX_MODEL_BYTES = 64 << 20
-MAX_WORDS, MAX_WORD_CHARS, MAX_PAIRS = 400_000, 48, 400_000
+MAX_WORDS, MAX_WORD_CHARS, MAX_PAIRS, START_CHARS = 400_000, 48, 400_000, 12
 #: Characters and bytes of text handled at a time, and characters between two looks for a common boundary.
 CHUNK_CHARS, CHUNK_BYTES, CONVERGE_EVERY = 1 << 20, 4 << 20, 64
 
@@ -159,8 +160,19 @@ class Stream:
         text, size, score, codec = self.text, self.size, self.score, self.codec
         model, known = codec.model, codec.known
         ids, tails, longest, bpe, dead = model.ids, model.tails, model.longest, model.kind == BPE, -np.inf
+        # the last piece of a word's beginning depends on that alone: words share their beginnings
+        starts = codec.starts if bpe and not done and not self.before else None
         for end in range(done + 1, len(text) + 1):
             best, took = dead, 0
+            if starts is not None:
+                if end > START_CHARS:
+                    starts = None
+                else:
+                    took = starts.get(text[:end], 0)
+                    if took:
+                        size.append(took)
+                        score.append(0.0)
+                        continue
             for start in range(end - 1, max(end - longest, 0) - 1, -1):
                 piece = text[start:end]
                 if piece not in tails and start < end - 1:
@@ -183,6 +195,10 @@ class Stream:
                         best, took = score[start] + worth, end - start
             size.append(took)
             score.append(best)
+            if starts is not None and took:
+                if len(starts) >= MAX_PAIRS:
+                    starts.clear()
+                starts[text[:end]] = took
 
     def _meeting(self) -> int:
         """The last boundary that every surviving path passes."""
@@ -214,6 +230,8 @@ class Codec:
         self.model = Model(raw)
         #: pairs of pieces found stable or not, emptied when full
         self.known: dict[tuple[str, str], bool] = {}
+        #: the last piece's length of short beginnings of words, emptied when full
+        self.starts: dict[str, int] = {}
         self._words = _Words(self)
         self._split = re.compile(self.model.segment()).findall
         #: what each id adds to a decoded text; bytes and specials apart
