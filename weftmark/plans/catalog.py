@@ -26,13 +26,21 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return file
 
 
+def load() -> None:
+    """Import the modules that register queries."""
+    from weftmark.plans import queries_lineage, queries_tables  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load()
     return _QUERIES["c13_direction_verdict"](spark, sf_dir)
