@@ -34,8 +34,9 @@ def _pair(spark: SparkSession, a: str, b: str) -> DataFrame:
 
 
 def _show(df: DataFrame) -> None:
-    for line in df.toJSON().collect():
-        sys.stdout.write(line + "\n")
+    """A small report, one JSON object a line."""
+    for row in df.collect():
+        sys.stdout.write(json.dumps(row.asDict(recursive=True)) + "\n")
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
