@@ -60,7 +60,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         if target not in {name(r) for r in refs}:
             refs.append(args.target)
         found = phylogeny.build(model_rows(spark, refs, args.max_rows))
-        edges = graph.trace(found.edges, target)
+        edges = materialize(graph.trace(found.edges, target), "cli-edges")
         cards = [(name(r), _declared(r)) for r in refs]
         facts = rights.facts(spark.createDataFrame(cards, "model string, declared string"))
         report = rights.conflicts(facts, edges)
