@@ -412,7 +412,7 @@ LICENSED = (
 #: Confidence of an edge from the real data: the mean discount of the lines whose number stands for it.
 _EDGE_SQL = f"""
 gt(parent, child, relation, weight, i) as (values {_values(tuple((p, c, r, None if w is None else w, i) for i, (p, c, r, w) in enumerate(GT)))}),
-cf as (select l_suppkey % 20 as i, 0.5 + 4 * avg(l_discount) + (l_suppkey % 20) * 0.012::double as c from lineitem group by 1, l_suppkey % 20),
+cf as (select l_partkey % 20 as i, 0.5 + 4 * avg(l_discount) + (l_partkey % 20) * 0.012::double as c from lineitem group by l_partkey % 20),
 edges as materialized (select parent, child, relation, weight, round(c, 6) as confidence from gt join cf using (i)),
 fx(model, declared) as (values {_values(LICENSED)}), nodes as (select model as node from fx)
 """
@@ -424,7 +424,7 @@ up as materialized (select ancestor, descendant, min(depth) as depth from walk g
 
 def gt_edges(spark, sf_dir) -> DataFrame:
     i = spark.createDataFrame([(*r, n) for n, r in enumerate(GT)], "parent string, child string, relation string, weight double, i long")
-    c = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("i")).agg(F.avg("l_discount").alias("d"))
+    c = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 20).alias("i")).agg(F.avg("l_discount").alias("d"))
     conf = F.round(0.5 + 4 * F.col("d") + F.col("i") * F.lit(0.012), 6)
     return i.join(c, "i").select("parent", "child", "relation", "weight", conf.alias("confidence"))
 
