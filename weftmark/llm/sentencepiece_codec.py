@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftmark.llm.texts import slices
+from weftmark.llm.texts import bounded_batches, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Size bounds: of a model that is sent to executors, of a worker's tables of words and of pairs or beginnings, and of an
-#: entry in each.
+#: Stands before a word's first piece; -1 minus its code point stands for a character that is no piece.
+START = -2 - 0x110000
+#: Size bounds: of a model that is sent to executors, of a worker's tables of words and pairs, and of a word in it.
 MAX_MODEL_BYTES = 64 << 20
-MAX_WORDS, MAX_WORD_CHARS, MAX_PAIRS, START_CHARS = 400_000, 48, 400_000, 12
+MAX_WORDS, MAX_WORD_CHARS, MAX_PAIRS = 150_000, 48, 400_000
 #: Characters and bytes of text handled at a time, and characters between two looks for a common boundary.
 CHUNK_CHARS, CHUNK_BYTES, CONVERGE_EVERY = 1 << 20, 4 << 20, 64
 
@@ -119,6 +120,14 @@ class Model:
             raise ValueError("models with user-defined pieces are not supported")
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        #: pieces by their characters, a piece's id under the empty string; and their lengths by id
+        self.trie: dict = {}
+        self.lengths = [len(p) for p in self.pieces]
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.lines_apart = not any("\n" in p for p in self.ids)
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
@@ -146,7 +155,8 @@ class Stream:
     def feed(self, part: str) -> list[int]:
         out: list[int] = []
         for start in range(0, len(part), CONVERGE_EVERY):
-            self._extend(part[start : start + CONVERGE_EVERY])
+            done, self.text = len(self.text), self.text + part[start : start + CONVERGE_EVERY]
+            self.codec.extend(self.text, done, self.size, self.score, self.before)
             if len(self.text) >= self.due:
                 out += self._commit(self._meeting())
                 self.due = len(self.text) + CONVERGE_EVERY
@@ -155,51 +165,6 @@ class Stream:
     def finish(self) -> list[int]:
         return self._commit(len(self.text))
 
-    def _extend(self, part: str) -> None:
-        done, self.text = len(self.text), self.text + part
-        text, size, score, codec = self.text, self.size, self.score, self.codec
-        model, known = codec.model, codec.known
-        ids, tails, longest, bpe, dead = model.ids, model.tails, model.longest, model.kind == BPE, -np.inf
-        # the last piece of a word's beginning depends on that alone: words share their beginnings
-        starts = codec.starts if bpe and not done and not self.before else None
-        for end in range(done + 1, len(text) + 1):
-            best, took = dead, 0
-            if starts is not None:
-                if end > START_CHARS:
-                    starts = None
-                else:
-                    took = starts.get(text[:end], 0)
-                    if took:
-                        size.append(took)
-                        score.append(0.0)
-                        continue
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                piece = text[start:end]
-                if piece not in tails and start < end - 1:
-                    break  # no piece ends so, nor in anything longer
-                if score[start] == dead:
-                    continue
-                if bpe:
-                    if piece not in ids and start < end - 1:
-                        continue
-                    last = text[start - size[start] : start] if start else self.before
-                    stable = known.get((last, piece))
-                    if stable is None:
-                        stable = codec.stable(last, piece)
-                    if stable:
-                        best, took = 0.0, end - start
-                        break
-                else:
-                    worth = codec.worth(piece)
-                    if worth is not None and score[start] + worth > best:
-                        best, took = score[start] + worth, end - start
-            size.append(took)
-            score.append(best)
-            if starts is not None and took:
-                if len(starts) >= MAX_PAIRS:
-                    starts.clear()
-                starts[text[:end]] = took
-
     def _meeting(self) -> int:
         """The last boundary that every surviving path passes."""
         end = len(self.text)
@@ -228,10 +193,9 @@ class Codec:
 
     def __init__(self, raw: bytes):
         self.model = Model(raw)
-        #: pairs of pieces found stable or not, emptied when full
+        #: pairs of pieces found stable or not, by their strings and by their ids; emptied when full
         self.known: dict[tuple[str, str], bool] = {}
-        #: the last piece's length of short beginnings of words, emptied when full
-        self.starts: dict[str, int] = {}
+        self.known_ids: dict[int, bool] = {}
         self._words = _Words(self)
         self._split = re.compile(self.model.segment()).findall
         #: what each id adds to a decoded text; bytes and specials apart
@@ -248,11 +212,7 @@ class Codec:
 
     def stable(self, left: str, right: str) -> bool:
         """Merging ``left + right`` gives just these two; with no left, just ``right``."""
-        if len(self.known) >= MAX_PAIRS:
-            self.known.clear()
-        verdict = self._merge(left + right) == ([left, right] if left else [right])
-        self.known[left, right] = verdict
-        return verdict
+        return self._merge(left + right) == ([left, right] if left else [right])
 
     def _merge(self, text: str) -> list[str]:
         """Merge neighbours, best score first, leftmost among equals; for short strings."""
@@ -275,6 +235,102 @@ class Codec:
             return [self.model.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.model.unk_id]
 
+    def extend(self, text: str, done: int, size: list[int], score: list[float], before: str = "") -> None:
+        """Find the last piece of the best path to every boundary of ``text`` after ``done``.
+
+        ``size`` and ``score`` hold the boundaries up to ``done`` and grow; ``before`` is
+        the piece before the text.
+        """
+        model, known = self.model, self.known
+        ids, tails, longest, bpe, dead = model.ids, model.tails, model.longest, model.kind == BPE, -np.inf
+        for end in range(done + 1, len(text) + 1):
+            best, took = dead, 0
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                piece = text[start:end]
+                if piece not in tails and start < end - 1:
+                    break  # no piece ends so, nor in anything longer
+                if score[start] == dead:
+                    continue
+                if bpe:
+                    if piece not in ids and start < end - 1:
+                        continue
+                    pair = (text[start - size[start] : start] if start else before, piece)
+                    stable = known.get(pair)
+                    if stable is None:
+                        if len(known) >= MAX_PAIRS:
+                            known.clear()
+                        stable = known[pair] = self.stable(*pair)
+                    if stable:
+                        best, took = 0.0, end - start
+                        break
+                else:
+                    worth = self.worth(piece)
+                    if worth is not None and score[start] + worth > best:
+                        best, took = score[start] + worth, end - start
+            size.append(took)
+            score.append(best)
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a short text by the same search, taken depth first for BPE models.
+
+        Only one path of stable pairs leads to a boundary, so a boundary from which the
+        search came back is never entered again, and a path to the end is the best one.
+        """
+        if self.model.kind == BPE:
+            return self._descend(word)
+        size, score, path, at = [0], [0.0], [], len(word)
+        self.extend(word, 0, size, score)
+        while at:
+            path.append(word[at - size[at] : at])
+            at -= size[at]
+        return [i for piece in reversed(path) for i in self.piece_ids(piece)]
+
+    def _descend(self, word: str) -> list[int]:
+        trie, lengths, known = self.model.trie, self.model.lengths, self.known_ids
+        n, at, last = len(word), 0, START
+        path: list[int] = []
+        left: list[list[int]] = []  # pieces still to try at each boundary of the path, the longest last
+        dead: set[int] = set()
+        options = None
+        while at < n:
+            if options is None:
+                options, node = [], trie
+                for c in word[at : at + self.model.longest]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    i = node.get("")
+                    if i is not None:
+                        options.append(i)
+                if not options or lengths[options[0]] > 1:
+                    options.insert(0, -1 - ord(word[at]))  # a character that is no piece
+            while options:
+                i = options.pop()
+                end = at + (lengths[i] if i >= 0 else 1)
+                if dead and end in dead:
+                    continue
+                pair = (last - START) << 32 | (i - START)
+                stable = known.get(pair)
+                if stable is None:
+                    if len(known) >= MAX_PAIRS:
+                        known.clear()
+                    name = lambda j: self.model.pieces[j] if j >= 0 else chr(-1 - j)
+                    before = name(last) if path else ""
+                    stable = known[pair] = self.stable(before, name(i))
+                if stable:
+                    path.append(i)
+                    left.append(options)
+                    at, last, options = end, i, None
+                    break
+            else:
+                dead.add(at)
+                i = path.pop()
+                at -= lengths[i] if i >= 0 else 1
+                options, last = left.pop(), path[-1] if path else START
+        if min(path, default=0) >= 0:
+            return path
+        return [j for i in path for j in ([i] if i >= 0 else self.piece_ids(chr(-1 - i)))]
+
     def search(self, parts: Iterable[str]) -> Iterator[list[int]]:
         stream = Stream(self)
         for part in parts:
@@ -327,8 +383,12 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         made = self.old.get(word)
         if made is None:
-            parts = (word[i : i + CHUNK_CHARS] for i in range(0, len(word), CHUNK_CHARS))
-            made = array("i", [i for ids in self.codec.search(parts) for i in ids]).tobytes()
+            if len(word) <= MAX_WORD_CHARS:
+                ids = self.codec.word(word)
+            else:
+                parts = (word[i : i + CHUNK_CHARS] for i in range(0, len(word), CHUNK_CHARS))
+                ids = [i for found in self.codec.search(parts) for i in found]
+            made = array("i", ids).tobytes()
         if len(word) <= MAX_WORD_CHARS:
             if len(self) >= MAX_WORDS:
                 self.old = dict(self)
@@ -379,6 +439,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_id")
     encoded on their own: repeated rows and null keys pass through, other columns
     are ignored whatever their names, and an empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = _with_key(rows, "ids array<int>, n_ids long")
 
@@ -398,6 +459,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_id")
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """One row per sequence: ``key`` and its text; null ids give a null text."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(ids).cast("array<int>").alias("ids"))
     schema = _with_key(rows, "text string")
 
@@ -416,6 +478,7 @@ def round_trip(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_
 
     A literal word mark (U+2581) in a text decodes to a space, as the format has it.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = _with_key(rows, "ids array<int>, n_ids long, same boolean")
 

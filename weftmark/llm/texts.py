@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text whose arrays are in memory at a time; one document at least.
 CHUNK_BYTES = 2 << 20
+#: Rows of text in an Arrow batch at most.
+BATCH_ROWS = 1000
 
 _rng = np.random.Generator(np.random.PCG64(20240613))
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +110,13 @@ def words_of(texts: pa.Array, lower: bool) -> Words:
     return Words(data, start, end, hashes, np.searchsorted(start, bounds, side="left"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, so that batches of texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``budget`` bytes of text, one row at least."""
     import pyarrow.compute as pc
