@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 
 from weftmark.llm.bitsets import broadcast_bits
 from weftmark.llm.components import components
-from weftmark.llm.texts import Bits, Words, slices, words_of
+from weftmark.llm.texts import Bits, Words, bounded_batches, slices, words_of
 from weftmark.llm.tries import link
 from weftmark.plans.shared import materialize
 
@@ -108,8 +109,13 @@ class Sets:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+def _batches(
+    batches: Iterator[pa.RecordBatch], n: int, field: str | None = None
+) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+    """Parts of batches with their sets; the text is column t, or a field of the struct r."""
     for whole in batches:
+        if field is not None:
+            whole = whole.append_column("t", pc.struct_field(whole.column("r"), field))
         for batch in slices(whole, "t"):
             yield batch, Sets.of_words(words_of(batch.column("t"), lower=True), n)
 
@@ -327,9 +333,13 @@ def _links(sets: DataFrame) -> DataFrame:
 
 def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tuple[DataFrame, DataFrame]:
     """(rows k, row, n_shingles, c and the carried r; classes with their component)."""
+    bounded_batches(df.sparkSession)
     whole = [F.struct(*[F.col(c) for c in df.columns]).alias("r")] if carry else []
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), *whole)
-    low = _low_bits(rows.select("t"), n)
+    texts = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    low = _low_bits(texts.select("t"), n)
+    # a carried row has its text in it: the text does not travel beside it
+    inside = carry and dict(df.dtypes)[text] == "string"
+    rows = df.select(F.col(key).alias("k"), *([] if inside else [F.col(text).cast("string").alias("t")]), *whole)
     kept = [x for x in rows.columns if x != "t"]
     made = T.StructType.fromDDL("n_shingles long, c long, s array<long>")
     kind = T.StructType([*rows.select(*kept).schema.fields, *made.fields])
@@ -338,7 +348,7 @@ def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tupl
         """Every row with its class, and with its set where a class first comes up that may link."""
         seen: set[int] = set()
         bits = Bits(low.value)
-        for batch, sets in _batches(batches, n):
+        for batch, sets in _batches(batches, n, text if inside else None):
             names = sets.classes()
             counted = sets.tokens < COUNTED_BELOW
             alone = np.zeros(len(counted), dtype=bool)

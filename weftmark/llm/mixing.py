@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weftmark.llm.texts import bounded_batches
 from weftmark.plans.shared import materialize
 
 #: The plan (a row per partition and source) is broadcast up to so many rows, else joined by shuffle.
@@ -120,6 +121,7 @@ def mix(
         F.col(key).alias("k"), F.col(source).cast("string").alias("src"), word_count(F.col(text)).alias("size"),
         *([F.struct(*[F.col(c) for c in df.columns]).alias("r")] if carry else []),
     )
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("src").isNull(), "src", "size", F.col("k").isNull(), "k"]

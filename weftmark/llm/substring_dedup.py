@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftmark.llm.bitsets import broadcast_bits
-from weftmark.llm.texts import Bits, Words, slices, words_of
+from weftmark.llm.texts import Bits, Words, bounded_batches, slices, words_of
 from weftmark.plans.shared import materialize
 
 #: Stands for a null key: after every other.
@@ -102,6 +102,7 @@ def substring_dedup(
     """
     if not 0 < anchor <= width:
         raise ValueError("the anchor must not be longer than the window")
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
