@@ -40,4 +40,16 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftmark_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`materialize` returned, once nothing that is still to run reads it."""
+    path = getattr(table, "weftmark_path", None)
+    if path is None or "/weftmark-" not in path:
+        raise ValueError("not a table of materialize()")
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
