@@ -36,7 +36,7 @@ from weftmark.llm.bitsets import broadcast_bits
 from weftmark.llm.components import components
 from weftmark.llm.texts import Bits, Words, bounded_batches, slices, words_of
 from weftmark.llm.tries import link
-from weftmark.plans.shared import materialize
+from weftmark.plans.shared import discard, materialize
 
 #: Part of the hash space counted in step 1, for all documents.
 COUNTED = 0.4
@@ -377,7 +377,9 @@ def _classified(df: DataFrame, n: int, text: str, key: str, carry: bool) -> tupl
     tops = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("members"))
     # classes that stand alone with one document need no row
     found = labelled.drop("first").join(tops.where("members > 1"), "label").select("c", "first", "members")
-    return described.drop("s"), materialize(found, "jaccard-components")
+    found = materialize(found, "jaccard-components")
+    discard(sets)  # the components are written; no plan that is left reads the sets
+    return described.drop("s"), found
 
 
 def jaccard_components(
