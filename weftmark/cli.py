@@ -28,6 +28,14 @@ def model_rows(spark: SparkSession, refs: list[str], max_rows: int) -> DataFrame
     return materialize(read.load(), "cli-rows")
 
 
+def model_headers(spark: SparkSession, refs: list[str]) -> DataFrame:
+    """Tensor headers of checkpoints by their folder names: model, tensor, dtype, shape."""
+    spark.dataSource.register(safetensors.SafetensorsSource)
+    models = {os.path.basename(r.rstrip("/")): r for r in refs}
+    read = spark.read.format("safetensors").option("models", json.dumps(models)).option("mode", "metadata")
+    return materialize(read.load().select("model", "tensor", "dtype", "shape"), "cli-headers")
+
+
 def _pair(spark: SparkSession, a: str, b: str) -> DataFrame:
     name = lambda r: os.path.basename(r.rstrip("/"))
     return spark.createDataFrame([(name(a), name(b))], "a string, b string")
@@ -43,7 +51,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     name = lambda r: os.path.basename(r.rstrip("/"))
     if args.command == "direction":
         rows = model_rows(spark, [args.a, args.b], args.max_rows)
-        found = direction.verdict(direction.features(direction.collect_evidence(rows, _pair(spark, args.a, args.b))))
+        evidence = direction.collect_evidence(rows, _pair(spark, args.a, args.b), model_headers(spark, [args.a, args.b]))
+        found = direction.verdict(direction.features(evidence))
         _show(found.select("a", "b", "direction", "llr", "p", "confidence", direction.evidence_sentences().alias("evidence")))
     elif args.command == "sketch":
         _show(sketch.sketch(model_rows(spark, args.models, args.max_rows)))
@@ -59,7 +68,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         target = name(args.target)
         if target not in {name(r) for r in refs}:
             refs.append(args.target)
-        found = phylogeny.build(model_rows(spark, refs, args.max_rows))
+        found = phylogeny.build(model_rows(spark, refs, args.max_rows), headers=model_headers(spark, refs))
         edges = materialize(graph.trace(found.edges, target), "cli-edges")
         cards = [(name(r), _declared(r)) for r in refs]
         facts = rights.facts(spark.createDataFrame(cards, "model string, declared string"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from weftmark import schema
 from weftmark.functions.scalars import antisym, clip, finite, odd_tanh, sigmoid
+from weftmark.operators import metadata, sketch, stats
 from weftmark.operators import pairs as geometry
-from weftmark.operators import stats
 
 #: Side statistics of the evidence and pair statistics in both directions, with their neutral values.
 SIDE = ("vocab_rows", "bits", "zero_frac", "dead_frac", "outlier_frac", "sharpness", "lattice_frac", "log_norm",
@@ -109,8 +109,76 @@ def evidence_sentences() -> Column:
     return F.filter(made, lambda s: s.isNotNull())
 
 
-def collect_evidence(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Evidence per (a, b) from tensor rows: parameter-weighted side and pair statistics over shared tensors."""
+def collect_evidence(rows: DataFrame, pairs: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """All evidence per (a, b), one row for every pair: values, headers, rows beyond the shared ones, spectra.
+
+    ``headers`` is (model, tensor, dtype, shape).  Without it shapes come from the rows
+    and precision, which rows do not show, counts as equal.
+    """
+    wanted = pairs.select("a", "b").distinct()
+    h = headers_of(rows) if headers is None else headers.select("model", "tensor", "dtype", "shape")
+    out = wanted
+    for part in (value_evidence(rows, wanted), header_evidence(h, wanted), orphan_evidence(rows, wanted, h), spectral_evidence(rows, wanted)):
+        out = out.join(part, ["a", "b"], "left")
+    return out
+
+
+def headers_of(rows: DataFrame) -> DataFrame:
+    """(model, tensor, dtype, shape) as far as rows show them: the type is null, a single row is a vector."""
+    n, width = F.max("row_idx") + 1, F.max(F.size("v")).cast("long")
+    shape = F.when(n > 1, F.array(n, width)).otherwise(F.array(width))
+    return rows.groupBy("model", "tensor").agg(shape.alias("shape")).select("model", "tensor", F.lit(None).cast("string").alias("dtype"), "shape")
+
+
+def header_evidence(headers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored precision, vocabulary rows and the score of tensors that only one side has, per (a, b)."""
+    totals = headers.groupBy("model").agg(F.count(F.lit(1)).alias("n_tensors"))
+    known = totals.join(metadata.precision(headers), "model", "left").join(metadata.vocab_rows(headers), "model", "left")
+    side = lambda s: known.select(F.col("model").alias(s), F.col("mean_bits").alias(f"bits_{s}"), F.col("vocab_rows").alias(f"vocab_rows_{s}"))
+    extra = metadata.extra_tensor_score(geometry.only_in_one(headers, pairs), totals)
+    of = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("extra"))), F.lit(0.0)).alias(f"extra_{s}")
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").join(extra.groupBy("a", "b").agg(of("a"), of("b")), ["a", "b"], "left")
+
+
+def orphan_evidence(rows: DataFrame, pairs: DataFrame, headers: DataFrame) -> DataFrame:
+    """How untrained the embedding rows look that only the side with the larger vocabulary has, per (a, b)."""
+    t = metadata.with_roles(headers).where("role = 'embed' and size(shape) = 2")
+    largest = F.min_by(F.struct("tensor", F.get("shape", 0).alias("n"), F.get("shape", 1).alias("d")), F.struct(-F.col("numel"), F.col("tensor")))
+    embed = t.groupBy("model").agg(largest.alias("e"))
+    met = pairs.join(embed.select(F.col("model").alias("a"), F.col("e").alias("ea")), "a").join(embed.select(F.col("model").alias("b"), F.col("e").alias("eb")), "b")
+    first = F.col("ea.n") > F.col("eb.n")
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    wide = met.where("ea.d = eb.d and ea.n != eb.n").select(
+        "a", "b", pick(F.lit("a"), F.lit("b")).alias("side"), pick(F.col("a"), F.col("b")).alias("model"),
+        pick(F.col("ea.tensor"), F.col("eb.tensor")).alias("tensor"), F.least("ea.n", "eb.n").alias("n_shared"),
+    )
+    held = rows.join(wide.select("model", "tensor").distinct(), ["model", "tensor"], "left_semi")
+    keys = ["a", "b", "side"]
+    orphans = held.join(wide, ["model", "tensor"]).where("row_idx >= n_shared").select(*keys, "v")
+    shared = stats.row_norms(held).join(wide, ["model", "tensor"]).where("row_idx < n_shared").select(*keys, "norm")
+    found = stats.orphan_stats(orphans, shared, keys)
+    of = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("score"))), F.lit(0.0)).alias(f"orphan_score_{s}")
+    return found.groupBy("a", "b").agg(of("a"), of("b"))
+
+
+def spectral_evidence(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cell-weighted spectra over shared matrices per (a, b), added in order of names so that swapping sides flips exactly."""
+    s = sketch.spectral_pairs(rows, pairs).where("n_rows >= 2 and n_cols >= 2")
+    names = ["energy_a", "energy_b", "erank_a", "erank_b", "erank_d", "top_a", "top_b"]
+    cells = (F.col("n_rows") * F.col("n_cols")).cast("double").alias("cells")
+    s = s.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("tensor", cells, *names))).alias("t"))
+    total = F.aggregate("t", F.lit(0.0), lambda x, t: x + t["cells"])
+    mean = lambda c: F.aggregate("t", F.lit(0.0), lambda x, t: x + t["cells"] * t[c]) / total
+    s = s.select("a", "b", *[mean(c).alias(c) for c in names])
+    rank = lambda c: (F.col("erank_d") / F.greatest(F.col(f"erank_{c}"), F.lit(1e-12))).alias(f"delta_rank_{c}")
+    return s.select(
+        "a", "b", *[F.col(f"energy_{c}").alias(f"subspace_energy_{c}") for c in "ab"], rank("a"), rank("b"),
+        *[F.col(f"top_{c}").alias(f"top_mass_{c}") for c in "ab"],
+    )
+
+
+def value_evidence(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Evidence per (a, b) from the values of shared tensors alone: parameter-weighted side and pair statistics."""
     met = geometry.aligned(rows, pairs)
     zero = stats.zero_containment(met)
     norms = geometry.pair_tensor_stats(rows, pairs)

@@ -48,7 +48,7 @@ def vocab_rows(tensors: DataFrame) -> DataFrame:
 
 def extra_tensor_score(only: DataFrame, totals: DataFrame) -> DataFrame:
     """Per (a, b, side): auxiliary tensors count twice, over the side's tensors, at most 1."""
-    hint = F.col("tensor").rlike("|".join(schema.QUANT_HINTS))
+    hint = F.lower("tensor").rlike("|".join(schema.QUANT_HINTS))
     n = only.groupBy("a", "b", "side").agg(F.sum(F.when(hint, 2).otherwise(1)).alias("n"))
     model = F.when(F.col("side") == "a", F.col("a")).otherwise(F.col("b"))
     n = n.withColumn("model", model).join(totals, "model")

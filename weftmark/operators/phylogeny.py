@@ -23,13 +23,14 @@ class Phylogeny:
 def build(
     rows: DataFrame, *, k: int = 10, max_distance: float = schema.MAX_DISTANCE, relatedness: float = schema.MIN_RELATEDNESS,
     abstain: float = schema.ABSTAIN, proximity: float = 0.0, veto: bool = True, outgroups: int = 0, merge_check: bool = True,
-    reduce: bool = True, keep_weighted: bool = False, index: DataFrame | None = None,
+    reduce: bool = True, keep_weighted: bool = False, index: DataFrame | None = None, headers: DataFrame | None = None,
 ) -> Phylogeny:
     """Edges of the lineage of all models in ``rows``.
 
     Candidates by nearest sketches, the relatedness gate, the optional proximity gate, the
     cousin veto, direction with optional outgroups, merge weights, and clean-up of the
-    graph.  Each stage is one set-oriented job over all pairs.
+    graph.  Each stage is one set-oriented job over all pairs.  ``headers`` (model, tensor,
+    dtype, shape) lets direction see precision and true shapes.
     """
     nodes = rows.select(F.col("model").alias("node")).distinct()
     index = index if index is not None else materialize(sketch.sketch(rows).select("model", "vector"), "phylo-index")
@@ -47,7 +48,7 @@ def build(
     if veto and related.count() > 1:
         open_ = pairs.cousin_veto(rows, deltas, related).where("not vetoed").select("a", "b")
         related = materialize(open_, "phylo-open")
-    evidence = direction.features(direction.collect_evidence(rows, related))
+    evidence = direction.features(direction.collect_evidence(rows, related, headers))
     name = None
     if outgroups:
         chosen = pairs.pick_outgroups(deltas, related, outgroups).select("a", "b", "c")

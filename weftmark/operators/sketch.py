@@ -119,23 +119,34 @@ def fit_lsh(index: DataFrame, bucket: float = 0.5, tables: int = 4):
 
 
 def spectral_pairs(rows: DataFrame, pair_list: DataFrame, k: int = 48, cap: int = 768) -> DataFrame:
-    """Per (a, b, tensor): subspace energy, effective rank of the difference over the side's, and top mass of each side."""
+    """Per (a, b, tensor): subspace energy, effective rank of the difference over the side's, and top mass of each side.
+
+    Also the effective ranks over the shorter side and the mass of the k leading directions,
+    which direction weighs by the tensor's size (n_rows, n_cols: aligned rows, width).
+    Blocks with values that are not finite have no spectrum: all zero.
+    """
     met = pairs.aligned(rows, pair_list)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_rows, n_cols = len(pdf), len(pdf["va"].iloc[0])
         pdf = pdf.sort_values("row_idx").iloc[np.unique(np.rint(np.linspace(0, len(pdf) - 1, min(cap, len(pdf)))).astype(int))]
         a, b = np.vstack(pdf["va"].to_numpy()), np.vstack(pdf["vb"].to_numpy())
         cols = np.unique(np.rint(np.linspace(0, a.shape[1] - 1, min(cap, a.shape[1]))).astype(int))
         a, b = a[:, cols], b[:, cols]
+        if not (np.isfinite(a).all() and np.isfinite(b).all()):
+            a, b = np.zeros_like(a), np.zeros_like(b)
         d = b - a
         (la, va), (lb, vb), (ld, _) = linalg.gram_spectrum(a), linalg.gram_spectrum(b), linalg.gram_spectrum(d)
-        rank = linalg.effective_rank(ld)
+        rank, short = linalg.effective_rank(ld), max(1, min(a.shape))
         row = {
             "energy_a": linalg.subspace_energy(d, va, k), "energy_b": linalg.subspace_energy(d, vb, k),
             "rank_a": rank / max(linalg.effective_rank(la), 1e-12), "rank_b": rank / max(linalg.effective_rank(lb), 1e-12),
             "mass_a": linalg.top_mass(la, 8), "mass_b": linalg.top_mass(lb, 8),
+            "erank_a": linalg.effective_rank(la) / short, "erank_b": linalg.effective_rank(lb) / short, "erank_d": rank / short,
+            "top_a": linalg.top_mass(la, k), "top_b": linalg.top_mass(lb, k), "n_rows": n_rows, "n_cols": n_cols,
         }
         return pd.DataFrame([{"a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "tensor": pdf["tensor"].iloc[0], **row}])
 
-    fields = "a string, b string, tensor string, energy_a double, energy_b double, rank_a double, rank_b double, mass_a double, mass_b double"
+    numbers = ("energy_a", "energy_b", "rank_a", "rank_b", "mass_a", "mass_b", "erank_a", "erank_b", "erank_d", "top_a", "top_b")
+    fields = f"a string, b string, tensor string, {', '.join(f'{n} double' for n in numbers)}, n_rows long, n_cols long"
     return met.groupBy("a", "b", "tensor").applyInPandas(one, fields)

@@ -95,13 +95,13 @@ def ks_2samp(values: DataFrame, by: list[str], x: str, group: str) -> DataFrame:
     return steps.groupBy(*by).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
-def orphan_stats(orphans: DataFrame, shared_norms: DataFrame) -> DataFrame:
-    """How untrained the rows look that only one model has (rows by model and tensor), against the norms of shared rows."""
-    norms = orphans.select(*KEYS, "v", F.size("v").alias("d"), F.sqrt(total("v", lambda x: x * x)).alias("norm"))
-    medians = norms.groupBy(*KEYS).agg(F.percentile("norm", 0.5).alias("median"))
+def orphan_stats(orphans: DataFrame, shared_norms: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """How untrained the rows look that only one model has (rows by ``keys``), against the norms of shared rows."""
+    norms = orphans.select(*keys, "v", F.size("v").alias("d"), F.sqrt(total("v", lambda x: x * x)).alias("norm"))
+    medians = norms.groupBy(*keys).agg(F.percentile("norm", 0.5).alias("median"))
     band = 3 * F.col("median") / F.sqrt(F.greatest(2.0 * F.col("d"), F.lit(2.0)))
     tight = (F.abs(F.col("norm") - F.col("median")) <= band) | (F.col("norm") <= schema.DEAD_ABS)
-    stats = norms.join(medians, KEYS).groupBy(*KEYS).agg(
+    stats = norms.join(medians, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg((F.col("norm") <= schema.DEAD_ABS).cast("double")).alias("zero_frac"),
         ((F.count(F.lit(1)) - F.count_distinct("v")) / F.count(F.lit(1))).alias("dup_frac"),
@@ -110,8 +110,8 @@ def orphan_stats(orphans: DataFrame, shared_norms: DataFrame) -> DataFrame:
         F.max("median").alias("__median"),
     )
     enough = F.col("n_rows") >= schema.MIN_ORPHAN_ROWS
-    both = norms.select(*KEYS, "norm", F.lit(True).alias("own")).unionByName(shared_norms.select(*KEYS, "norm", F.lit(False).alias("own")))
-    out = stats.join(ks_2samp(both, KEYS, "norm", "own"), KEYS, "left").withColumn("ks", F.coalesce("ks", F.lit(0.0)))
+    both = norms.select(*keys, "norm", F.lit(True).alias("own")).unionByName(shared_norms.select(*keys, "norm", F.lit(False).alias("own")))
+    out = stats.join(ks_2samp(both, keys, "norm", "own"), keys, "left").withColumn("ks", F.coalesce("ks", F.lit(0.0)))
     out = out.withColumn("untrained_frac", F.when(enough & (F.col("__median") > 0), F.col("__tight")).otherwise(F.lit(0.0)))
     blend = F.greatest(0.5 * F.col("untrained_frac") + 0.5 * F.col("ks"), F.col("zero_frac"), F.col("dup_frac"))
     score = F.when(enough, F.least(F.lit(1.0), blend)).otherwise(F.lit(0.0))

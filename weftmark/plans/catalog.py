@@ -43,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     load()
-    return _QUERIES["c13_direction_verdict"](spark, sf_dir)
+    return _QUERIES["c08_c13_full_verdict"](spark, sf_dir)

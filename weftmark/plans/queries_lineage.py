@@ -357,7 +357,7 @@ vd as (select *, 3 * lattice_asym + 1.5::double * zero_asym + 2.5::double * zero
 
 
 def verdicts(spark, sf_dir):
-    ev = direction.collect_evidence(rows_of(spark, sf_dir), model_pairs(spark))
+    ev = direction.value_evidence(rows_of(spark, sf_dir), model_pairs(spark))  # the terms of VERDICT_SQL
     return direction.verdict(direction.features(ev))
 
 
@@ -374,6 +374,16 @@ def direction_verdict(spark, sf_dir):
     return v.select("a", "b", *[r6(c).alias(c) for c in ("lattice_asym", "zero_asym", "zero_subset_asym", "llr", "p", "confidence")], "direction")
 
 
+@register("c08_c13_full_verdict")
+def full_verdict(spark, sf_dir):
+    """All thirteen features, with spectra and headers (int8 is stored in 8 bits), and the verdict of every pair."""
+    rows = rows_of(spark, sf_dir)
+    h = direction.headers_of(rows).withColumn("dtype", F.when(F.col("model") == "int8", "I8").otherwise("F32"))
+    v = direction.verdict(direction.features(direction.collect_evidence(rows, model_pairs(spark), h)))
+    v = v.withColumn("relation", direction.relation(F.col("direction")))
+    return v.select("a", "b", *[r6(c).alias(c) for c in (*schema.DIRECTION_WEIGHTS, "llr", "p", "confidence")], "direction", "relation")
+
+
 @register("p22_w14_relation_and_contributions", f"""
 with {L}, pairs as (select a.m as a, b.m as b from (select unnest({list(lineage.MODELS)}) as m) a join (select unnest({list(lineage.MODELS)}) as m) b on a.m < b.m),
 {LATTICE_SQL}, {VERDICT_SQL}, o as (select *, case when llr < -0.5 then -1 else 1 end as s from vd)
@@ -385,7 +395,7 @@ from o
 def relation_and_contributions(spark, sf_dir):
     v = verdicts(spark, sf_dir).withColumn("relation", direction.relation(F.col("direction")))
     top = direction.top_contributions(v, 1).select("a", "b", r6(F.abs("contribution")).alias("largest"))
-    # the small spectral and norm terms of the full feature set are absent from this universe
+    # spectra are not in VERDICT_SQL: c08_c13_full_verdict has every term
     return v.select("a", "b", "relation").join(top, ["a", "b"])
 
 
@@ -416,7 +426,8 @@ def sketches(spark, sf_dir):
 
 @register("k04_k07_spectral_pairs")
 def spectral(spark, sf_dir):
-    return sketch.spectral_pairs(rows_of(spark, sf_dir), some_pairs(spark, ("root", "sft"), ("root", "int8"), ("root", "prune30")))
+    s = sketch.spectral_pairs(rows_of(spark, sf_dir), some_pairs(spark, ("root", "sft"), ("root", "int8"), ("root", "prune30")))
+    return s.select("a", "b", "tensor", "energy_a", "energy_b", "rank_a", "rank_b", "mass_a", "mass_b")
 
 
 @register("c05_w01_index_search", """
