@@ -82,8 +82,8 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|_")
 _SIGN = re.compile(r"[0-9@]")
-#: From a sign to the end of the run of words with signs.
-_RUN = re.compile(r"\S*(?:\s+[^\s0-9@]*[0-9@]\S*)*")
+#: From a sign to the end of the run of words with signs; groups of capitals, as in account numbers, do not end it.
+_RUN = re.compile(r"\S*(?:\s+[^\s0-9@]*[0-9@]\S*|\x20[A-Z]{1,4}(?![^\W_]))*")
 #: Tokens of an entity at most, characters of a token run handled at once, and words looked at before a span.
 MAX_TOKENS, MAX_REGION, CONTEXT_CHARS = 24, 4096, 40
 
@@ -181,7 +181,7 @@ def decode(text: str, low: int, high: int, weights: np.ndarray) -> list[Span]:
         for i, _, start, end, features in by_end.get(j, ()):
             worth = weights[:, features].sum(1)
             kind = int(worth.argmax())
-            if best[i] + worth[kind] > best[j]:
+            if best[i] + worth[kind] >= best[j]:  # of equals the longer
                 best[j], back[j] = best[i] + float(worth[kind]), (i, KINDS[kind], start, end)
     out, j = [], n
     while j:
@@ -232,10 +232,15 @@ def _made_sentences(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
         number = body + last
         return number if r.random() < 0.6 else r.choice(" -").join(number[i : i + 4] for i in range(0, 16, 4))
 
-    def iban() -> str:
-        body = digits(18)
-        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
-        bare = f"DE{check:02d}{body}"
+    def iban(valid: bool = True) -> str:
+        letters = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        country, bank, rest, end = r.choice((
+            ("DE", 0, 18, ""), ("GB", 4, 14, ""), ("NL", 4, 10, ""), ("IE", 4, 14, ""), ("FR", 0, 23, ""), ("SC", 4, 20, "USD"),
+        ))
+        body = letters(bank) + digits(rest) + end
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        check = check if valid else 2 + (check + r.randint(0, 94)) % 97
+        bare = f"{country}{check:02d}{body}"
         return bare if r.random() < 0.5 else " ".join(bare[i : i + 4] for i in range(0, len(bare), 4))
 
     token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40))))
@@ -249,7 +254,7 @@ def _made_sentences(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
             ["call ", "phone: ", "tel "],
         ),
         "ssn": (lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", ["ssn ", "SSN: "]),
-        "iban": (iban, ["iban ", "account "]),
+        "iban": (lambda: iban(), ["iban ", "account "]),
         "secret": (token, ['token = "', "api_key=", "password: "]),
     }
     decoys = [
@@ -258,7 +263,7 @@ def _made_sentences(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
         lambda: "version " + r.choice(["2.0", "3", "4.0"]), lambda: "commit " + token(), lambda: "sha256 " + token(),
         lambda: f"part {r.randint(200, 999)}-{digits(3)}-{digits(4)}", lambda: "isbn 978-" + digits(10),
         lambda: f"invoice {r.randint(100, 665)}-{digits(2)}-{digits(4)}", lambda: token(), lambda: digits(18),
-        lambda: f"{r.randint(200, 999)} {digits(3)} {digits(4)}",
+        lambda: f"{r.randint(200, 999)} {digits(3)} {digits(4)}", lambda: r.choice(["", "account "]) + iban(False),
     ]
     kinds = list(made)
     for at in range(count):
