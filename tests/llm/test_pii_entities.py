@@ -28,3 +28,45 @@ def test_capitals_after_a_number_are_no_account():
     for text in ("CHAPTER 12 THE MAN WHO SAT AT THE BAR", "account GB30 NWBK 6016 1331 9268 19.", "ROOM AB12 THIS MANY WORD FORM LIST"):
         assert pii.field_spans(text, weights) == [], text
     assert pii.field_spans("7 " + "ABCD " * 20_000, weights) == []
+
+
+HEX, BASE62 = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("signs", (HEX, BASE62, BASE62 + "-_"))
+@pytest.mark.parametrize("size", (24, 32, 40, 64, 86, 100, 128))
+def test_secrets_of_every_length_are_found_whole(signs, size):
+    weights, r = pii.train(), random.Random(size)
+    right = 0
+    for _ in range(40):
+        key = r.choice(signs[10:16]) + "".join(r.choice(signs) for _ in range(size - 2)) + "7"
+        before, after = r.choice((('token = "', '" and'), ("my api_key=", " here"), ("password: ", ", then")))
+        right += pii.field_spans(before + key + after, weights) == [("secret", len(before), len(before) + size)]
+        assert not [s for s in pii.field_spans("checksum sha256 " + key + " ok", weights) if s[2] - s[1] == size]
+    assert right >= 39
+
+
+def test_keys_alternating_in_every_letter():
+    key = "a1" * 64
+    assert pii.field_spans(f"token={key};", pii.train()) == [("secret", 6, 134)]
+    assert pii.field_spans(f"token={key}b;", pii.train()) == []
+
+
+def test_candidates_are_all_whole_word_spans():
+    """Every span of whole words that has a shape is a candidate, whatever its tokens; so is every short one."""
+    r = random.Random(11)
+    pool = ["a1", "b2c3", "-", "_", " ", "9", "4", "GB", "Xy", ".", "@", "+", "(", "  ", "\n", "1 " * 8, "a1b2c3d4e5f6"]
+    for _ in range(150):
+        text = "".join(r.choice(pool) for _ in range(r.randint(1, 30)))
+        n, found = pii._candidates(text, 0, len(text))
+        tokens = [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]
+        inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()  # noqa: B023, E731
+        want = set()
+        for j in range(1, n + 1):
+            for i in range(j):
+                start, end = tokens[i][0], tokens[j - 1][1]
+                if j - i > 24 and (inside(start) or inside(end)) or not 7 <= end - start <= 140:
+                    continue
+                if (text[end - 1].isalnum() or text[end - 1] in "-_") and (text[start].isalnum() or text[start] in "+(_-.%") and pii.span_features(text, start, end):
+                    want.add((i, j))
+        assert {(i, j) for i, j, *_ in found} == want, text

@@ -84,8 +84,10 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|_")
 _SIGN = re.compile(r"[0-9@]")
 #: From a sign to the end of the run of words with signs; groups of capitals, as in account numbers, do not end it.
 _RUN = re.compile(r"\S*(?:\s+[^\s0-9@]*[0-9@]\S*|\x20[A-Z]{1,4}(?![^\W_]))*")
-#: Tokens of an entity at most, characters of a token run handled at once, and words looked at before a span.
-MAX_TOKENS, MAX_REGION, CONTEXT_CHARS = 24, 4096, 40
+#: Characters of an entity at most, of one with spaces in it, of a token run handled at once, and looked at before a span.
+MAX_ENTITY, MAX_SPACED, MAX_REGION, CONTEXT_CHARS = 140, 44, 4096, 40
+#: Tokens of a span that may begin or end within a word; spans of whole words are bounded by characters alone.
+MAX_TOKENS = 24
 
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -150,14 +152,28 @@ def span_features(text: str, start: int, end: int) -> list[int] | None:
 def _candidates(text: str, low: int, high: int) -> tuple[int, list[tuple[int, int, int, int, list[int]]]]:
     """Tokens of a region, and spans (first token, token after the last, start, end, features) by their end."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
+    # the last token at or before each that does not begin within a word
+    whole: list[int] = []
+    for i, (start, _) in enumerate(tokens):
+        within = start and text[start - 1].isalnum() and text[start].isalnum()
+        whole.append(i if not within else whole[-1] if whole else -1)
     out = []
     for j in range(1, len(tokens) + 1):
         end = tokens[j - 1][1]
         if not (text[end - 1].isalnum() or text[end - 1] in "-_"):
             continue
-        for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+        ends_word = end == len(text) or not (text[end - 1].isalnum() and text[end].isalnum())
+        i, spaced = j, False
+        while i > 0:
+            spaced = spaced or i < j and tokens[i - 1][1] < tokens[i][0]
+            i -= 1
+            if j - i > MAX_TOKENS:
+                if not ends_word or whole[i] < 0:
+                    break
+                spaced = spaced or any(tokens[x][1] < tokens[x + 1][0] for x in range(whole[i], i))
+                i = whole[i]
             start = tokens[i][0]
-            if end - start > 140:
+            if end - start > (MAX_SPACED if spaced else MAX_ENTITY):
                 break
             if end - start < 7 or not (text[start].isalnum() or text[start] in "+(_-.%"):
                 continue
@@ -243,7 +259,12 @@ def _made_sentences(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
         bare = f"{country}{check:02d}{body}"
         return bare if r.random() < 0.5 else " ".join(bare[i : i + 4] for i in range(0, len(bare), 4))
 
-    token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40))))
+    def token() -> str:
+        if r.random() < 0.5:
+            return "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64, 128))))
+        signs = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+        return "".join(r.choice(signs) for _ in range(r.randint(23, 127))) + r.choice("0123456789")
+
     octet = lambda top: str(r.randint(0, top))
     made = {
         "email": (lambda: f"{plain()}.{digits(2)}@{plain()}{digits(1)}.example.com", ["mail ", "contact: ", ""]),
@@ -310,7 +331,7 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
     done, sign = 0, _SIGN.search(text)
     while sign:
         low = sign.start()
-        while low > done and sign.start() - low < 8 * MAX_TOKENS and not text[low - 1].isspace():
+        while low > done and sign.start() - low < 192 and not text[low - 1].isspace():
             low -= 1
         done = _RUN.match(text, sign.start()).end()
         yield low, done
