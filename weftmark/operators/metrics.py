@@ -114,12 +114,23 @@ def shape_signature(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("model").agg(F.sha2(F.array_join(parts, "|"), 256).alias("signature"))
 
 
+#: Labels of pairs that were made as hard controls.
+CONTROL_RELATIONS = ("same_shape_diff_init", "same-shape-diff-init", "diff_init", "different_init", "reinit", "control", "hard_negative", "hard-negative", "independent_init", "same_arch_diff_init", "sibling_init", "shuffled")
+
+
+def signature_classes(signatures: DataFrame) -> DataFrame:
+    """(model, signature, class_size): models with one signature; two of them that are unrelated are a hard control."""
+    sizes = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("class_size"))
+    return signatures.join(sizes, "signature").select("model", "signature", "class_size")
+
+
 def hard_controls(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Mark unrelated pairs whose models have the same shapes."""
+    """Mark unrelated pairs whose relation label, if pairs have one, names a control or whose models have the same shapes."""
+    named = F.coalesce(F.col("relation").isin(*CONTROL_RELATIONS), F.lit(False)) if "relation" in pairs.columns else F.lit(False)
     a = signatures.select(F.col("model").alias("a"), F.col("signature").alias("sa"))
     b = signatures.select(F.col("model").alias("b"), F.col("signature").alias("sb"))
     met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return met.withColumn("hard", ~F.col("related") & F.coalesce(F.col("sa") == F.col("sb"), F.lit(False))).drop("sa", "sb")
+    return met.withColumn("hard", ~F.col("related") & (named | F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)))).drop("sa", "sb")
 
 
 def balanced_subsample(pairs: DataFrame, quotas: dict[str, int], by: str = "class", seed: int = 0) -> DataFrame:

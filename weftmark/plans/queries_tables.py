@@ -386,6 +386,42 @@ def hard(spark, sf_dir):
     return metrics.hard_controls(p, s).select("a", "b", "related", "hard")
 
 
+_SIGNATURE_SQL = """s as (select model, sha256(string_agg(tensor || ':' || d0 || ':' || 1, '|' order by tensor || ':' || d0 || ':' || 1)) as sig
+  from (select model, tensor, d0 % 2 as d0 from hh) group by model)"""
+
+
+def signatures(spark, sf_dir):
+    h = headers(spark, sf_dir).select("model", "tensor", (F.get("shape", 0) % 2).alias("n_rows"), F.lit(1).alias("n_cols"))
+    return metrics.shape_signature(h)
+
+
+@register("e03_signature_classes", f"""
+with {_HEADER_SQL}, {_SIGNATURE_SQL} select model, sig as signature, count(*) over (partition by sig) as class_size,
+  count(*) over (partition by sig) - 1 - (select count(*) from s y where y.sig = x.sig and y.model <> x.model and (x.model::int + y.model::int) % 3 = 0) as n_hard from s x
+""")
+def signature_classes(spark, sf_dir):
+    """Every model with its class and the hard controls it is in; pairs are counted by remainders, never listed."""
+    c = metrics.signature_classes(signatures(spark, sf_dir)).withColumn("m", F.col("model").cast("int") % 3)
+    other = c.groupBy("signature", ((3 - F.col("m")) % 3).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    related = F.coalesce("n", F.lit(0)) - (F.col("m") == 0).cast("int")
+    return c.join(other, ["signature", "m"], "left").select("model", "signature", "class_size", (F.col("class_size") - 1 - related).alias("n_hard"))
+
+
+@register("e03_hard_control_pairs", f"""
+with {_HEADER_SQL}, {_SIGNATURE_SQL},
+p as (select distinct x.l_suppkey::varchar as a, y.l_suppkey::varchar as b from lineitem x join lineitem y on x.l_partkey = y.l_partkey and x.l_suppkey::varchar < y.l_suppkey::varchar),
+r as (select a, b, (a::int + b::int) % 3 = 0 as related, case when (a::int + b::int) % 5 = 0 then 'same_shape_diff_init' else 'unrelated' end as relation from p)
+select a, b, related, relation, not related and (relation = 'same_shape_diff_init' or x.sig = y.sig) as hard from r join s x on x.model = a join s y on y.model = b
+""")
+def hard_control_pairs(spark, sf_dir):
+    """Both rules over all pairs of suppliers of one part."""
+    t = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("a")).distinct()
+    p = t.join(t.withColumnRenamed("a", "b"), "l_partkey").where("a < b").select("a", "b").distinct()
+    n = F.col("a").cast("int") + F.col("b").cast("int")
+    p = p.withColumn("related", n % 3 == 0).withColumn("relation", F.when(n % 5 == 0, "same_shape_diff_init").otherwise("unrelated"))
+    return metrics.hard_controls(p, signatures(spark, sf_dir)).select("a", "b", "related", "relation", "hard")
+
+
 @register("w15_balanced_subsample", """
 with p as (select o_orderkey::varchar as a, o_custkey::varchar as b, o_orderstatus as class from orders),
 r as (select *, row_number() over (partition by class order by sha256('0|' || a || '|' || b), a, b) as rank from p)
