@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weftmark import schema
 from weftmark.functions import linalg
+from weftmark.functions.scalars import even_indices
 from weftmark.operators import metadata, pairs, selection
 
 SLOTS = len(schema.ROLES) * len(schema.DEPTH_BUCKETS)
@@ -123,16 +124,24 @@ def spectral_pairs(rows: DataFrame, pair_list: DataFrame, k: int = 48, cap: int
 
     Also the effective ranks over the shorter side and the mass of the k leading directions,
     which direction weighs by the tensor's size (n_rows, n_cols: aligned rows, width).
-    Blocks with values that are not finite have no spectrum: all zero.
+    Blocks with values that are not finite have no spectrum: all zero.  The evenly spaced
+    rows and columns are picked before the grouping, so that a task holds at most cap x cap
+    cells of each side, whatever the tensor.
     """
-    met = pairs.aligned(rows, pair_list)
+    keys = ["a", "b", "tensor"]
+    ids = pairs.aligned(rows.withColumn("v", F.array(F.size("v"))), pair_list).select(*keys, "row_idx", F.get("va", 0).alias("wa"), F.get("vb", 0).alias("wb"))
+    ids = ids.where("wa = wb").withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("row_idx")).cast("long") - 1)
+    sizes = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.first("wa").cast("long").alias("n_cols"))
+    wanted = sizes.select(*keys, "n_rows", "n_cols", F.explode(even_indices(F.col("n_rows"), cap)).alias("i"))
+    chosen = ids.join(wanted, [*keys, "i"]).select(*keys, "row_idx", "n_rows", "n_cols")
+    columns = lambda v: F.transform(even_indices(F.size(v), cap), lambda c: F.get(v, c.cast("int")))
+    side = lambda m, v: rows.select(F.col("model").alias(m), "tensor", "row_idx", columns("v").alias(v))
+    met = chosen.join(side("a", "va"), ["a", "tensor", "row_idx"]).join(side("b", "vb"), ["b", "tensor", "row_idx"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_rows, n_cols = len(pdf), len(pdf["va"].iloc[0])
-        pdf = pdf.sort_values("row_idx").iloc[np.unique(np.rint(np.linspace(0, len(pdf) - 1, min(cap, len(pdf)))).astype(int))]
+        n_rows, n_cols = int(pdf["n_rows"].iloc[0]), int(pdf["n_cols"].iloc[0])
+        pdf = pdf.sort_values("row_idx")
         a, b = np.vstack(pdf["va"].to_numpy()), np.vstack(pdf["vb"].to_numpy())
-        cols = np.unique(np.rint(np.linspace(0, a.shape[1] - 1, min(cap, a.shape[1]))).astype(int))
-        a, b = a[:, cols], b[:, cols]
         if not (np.isfinite(a).all() and np.isfinite(b).all()):
             a, b = np.zeros_like(a), np.zeros_like(b)
         d = b - a
@@ -149,4 +158,5 @@ def spectral_pairs(rows: DataFrame, pair_list: DataFrame, k: int = 48, cap: int
 
     numbers = ("energy_a", "energy_b", "rank_a", "rank_b", "mass_a", "mass_b", "erank_a", "erank_b", "erank_d", "top_a", "top_b")
     fields = f"a string, b string, tensor string, {', '.join(f'{n} double' for n in numbers)}, n_rows long, n_cols long"
-    return met.groupBy("a", "b", "tensor").applyInPandas(one, fields)
+    # a group is one tensor's sample: at most cap rows of cap columns
+    return met.groupBy(*keys).applyInPandas(one, fields)
