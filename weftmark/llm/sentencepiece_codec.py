@@ -1,19 +1,21 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search walks a text one character at a time.  At each boundary it keeps one
+Every character of every text goes through one search.  At each boundary it keeps one
 backpointer: the last piece of the best path that ends there.  Only boundaries
 within the longest piece's length can be reached from, so the backpointers of that
 window decide the future; whenever all of them lead back to one boundary, the ids
-before it are final, are committed, and their part of the window is dropped.
+before it are final, are committed, and only the window behind it is kept until more
+of the text comes.
+
+Many streams are searched in step: a text is fed in parts, the parts of a batch's texts
+are laid side by side, and one array operation settles the next character of all of
+them.  No piece of the usual models has a word mark after another character, so
+all paths meet before a word; the words of a part are then lanes of the same step.
 
 A path's score is the sum of its pieces' scores for unigram models.  For BPE models
 a path scores 0 if every pair of neighbours is one that merging leaves alone and
 minus infinity otherwise; exactly one path per boundary scores 0, and it is the
 merge result, since a sequence is stable if all its neighbouring pairs are.
-
-No piece of the usual models has a word mark after another character.  Paths then
-always meet before a word, so words are searched on their own and remembered in a
-bounded table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,13 +36,13 @@ from weftmark.llm.texts import bounded_batches, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Stands before a word's first piece; -1 minus its code point stands for a character that is no piece.
-START = -2 - 0x110000
-#: Size bounds: of a model that is sent to executors, of a worker's tables of words and pairs, and of a word in it.
+#: A model that is sent to executors has so many bytes at most.
 MAX_MODEL_BYTES = 64 << 20
-MAX_WORDS, MAX_WORD_CHARS, MAX_PAIRS = 150_000, 48, 400_000
-#: Characters and bytes of text handled at a time, and characters between two looks for a common boundary.
-CHUNK_CHARS, CHUNK_BYTES, CONVERGE_EVERY = 1 << 20, 4 << 20, 64
+#: Pairs of symbols that a worker remembers: as a table that is emptied when full, and as a table by hash before it.
+MAX_PAIRS, FRONT_BITS, SYMBOL_BITS = 400_000, 20, 22
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of one text fed at a time, characters of all texts searched at a time, bytes of text in Python at a time.
+PART_CHARS, ROUND_CHARS, CHUNK_BYTES = 1 << 15, 1 << 18, 4 << 20
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -119,96 +120,108 @@ class Model:
         if USER_DEFINED in self.types:
             raise ValueError("models with user-defined pieces are not supported")
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
-        #: pieces by their characters, a piece's id under the empty string; and their lengths by id
-        self.trie: dict = {}
-        self.lengths = [len(p) for p in self.pieces]
-        for piece, i in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
         self.lines_apart = not any("\n" in p for p in self.ids)
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-
-
-    def segment(self) -> str:
-        """A pattern of parts between which every path has a boundary."""
-        line = "\n" if self.lines_apart else ""
-        return f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}+" if line else "")
+        if len(self.pieces) + 1 + 0x110000 >= 1 << SYMBOL_BITS:
+            raise ValueError(f"models of {len(self.pieces)} pieces are not supported")
 
 
 class Stream:
-    """One search over text that arrives in parts; ids come out as they become final."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-        self.text = ""  # characters since the last committed boundary
-        self.size = [0]  # length of the last piece of the best path to each boundary
-        self.score = [0.0]
-        self.before = ""  # the last committed piece
-        self.due = CONVERGE_EVERY
-
-    def feed(self, part: str) -> list[int]:
-        out: list[int] = []
-        for start in range(0, len(part), CONVERGE_EVERY):
-            done, self.text = len(self.text), self.text + part[start : start + CONVERGE_EVERY]
-            self.codec.extend(self.text, done, self.size, self.score, self.before)
-            if len(self.text) >= self.due:
-                out += self._commit(self._meeting())
-                self.due = len(self.text) + CONVERGE_EVERY
-        return out
+    """One text on its way through the search: what is not committed yet, and the piece before it."""
+
+    __slots__ = ("before", "last", "score", "size", "tail")
 
-    def finish(self) -> list[int]:
-        return self._commit(len(self.text))
+    def __init__(self, start: int):
+        self.tail = ""  # characters since the last committed boundary
+        self.before = start  # the symbol of the last committed piece
+        self.last = np.empty(0, np.int64)  # for each of these characters the best path's piece that ends with it,
+        self.size = np.empty(0, np.int32)  # the length of that piece
+        self.score = np.empty(0)  # and the path's score
 
-    def _meeting(self) -> int:
-        """The last boundary that every surviving path passes."""
-        end = len(self.text)
-        live = {i for i in range(max(0, end - self.codec.model.longest + 1), end + 1) if self.score[i] > -np.inf}
+    def meeting(self, size: list[int], longest: int) -> int:
+        """The last boundary that every surviving path passes: the one where all backpointers of the window lead."""
+        end = len(size)
+        live = set(range(max(0, end - longest + 1), end + 1))
         while len(live) > 1:
             far = max(live)
             live.remove(far)
-            live.add(far - self.size[far])
+            live.add(far - size[far - 1])
         return live.pop()
 
-    def _commit(self, until: int) -> list[int]:
-        pieces, at = [], until
-        while at:
-            pieces.append(self.text[at - self.size[at] : at])
-            at -= self.size[at]
-        if pieces:
-            self.before = pieces[0]
-        base = self.score[until]
-        self.text, self.size = self.text[until:], [0, *self.size[until + 1 :]]
-        self.score = [s - base if s > -np.inf else s for s in self.score[until:]]
-        return [i for piece in reversed(pieces) for i in self.codec.piece_ids(piece)]
-
 
 class Codec:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model.
+
+    A symbol is the id of a piece, ``start`` (nothing stands before), or ``start`` + 1 +
+    the code point of a character that is no piece.
+    """
 
     def __init__(self, raw: bytes):
-        self.model = Model(raw)
-        #: pairs of pieces found stable or not, by their strings and by their ids; emptied when full
-        self.known: dict[tuple[str, str], bool] = {}
-        self.known_ids: dict[int, bool] = {}
-        self._words = _Words(self)
-        self._split = re.compile(self.model.segment()).findall
+        self.model = model = Model(raw)
+        self.start = len(model.pieces)
+        #: characters that searches have passed, each once
+        self.searched = 0
+        #: pairs of symbols found stable (1) or not (0): all of them, emptied when full, and a table by hash
+        self.known: dict[int, int] = {}
+        self.front = np.full(1 << FRONT_BITS, -1, dtype=np.int64)
+        self._build_trie()
+        self._weights = np.array([*model.scores, model.floor])
+        self._sizes = np.array([*map(len, model.pieces), 1], dtype=np.int32)
         #: what each id adds to a decoded text; bytes and specials apart
         self._plain = [
-            p.replace(MARK, " ") if t in (NORMAL, UNUSED) else " ⁇ " if t == UNKNOWN else ""
-            for p, t in zip(self.model.pieces, self.model.types, strict=True)
+            p.replace(MARK, " ") if t in (NORMAL, USER_DEFINED, UNUSED) else " ⁇ " if t == UNKNOWN else ""
+            for p, t in zip(model.pieces, model.types, strict=True)
         ]
-        self._byte = {i: b for b, i in self.model.byte_ids.items()}
-
-    def worth(self, piece: str) -> float | None:
-        """Unigram score of a piece; unknown single characters get the floor."""
-        i = self.model.ids.get(piece)
-        return self.model.scores[i] if i is not None else self.model.floor if len(piece) == 1 else None
+        self._byte = {i: b for b, i in model.byte_ids.items()}
+        self._byte_ids = np.array([model.byte_ids.get(b, model.unk_id) for b in range(256)], dtype=np.int32)
+
+    def _build_trie(self) -> None:
+        """Edges (node, character) -> node of the pieces' trie as a table by hash, and each node's piece or -1."""
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for piece, i in self.model.ids.items():
+            node = 0
+            for c in piece:
+                edge = node << 21 | ord(c)
+                if edge not in edges:
+                    edges[edge] = len(ends)
+                    ends.append(-1)
+                node = edges[edge]
+            ends[node] = i
+        bits = max(4, len(edges).bit_length() + 2)
+        self._edge, self._next = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        self._edge_shift, self._ends = np.uint64(64 - bits), np.array(ends, dtype=np.int32)
+        keys, nodes = np.fromiter(edges.keys(), np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        slots = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):  # linear probing, all edges at a time: the first to claim a free slot has it
+            free = left[self._edge[slots[left]] == -1]
+            _, first = np.unique(slots[free], return_index=True)
+            won = free[first]
+            self._edge[slots[won]], self._next[slots[won]] = keys[won], nodes[won]
+            left = left[self._edge[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) & (len(self._edge) - 1)
+
+    def _slot(self, edges: np.ndarray) -> np.ndarray:
+        return ((edges.view(np.uint64) * SPREAD) >> self._edge_shift).astype(np.int64)
+
+    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Trie nodes after one more character; -1 where none is."""
+        edges = nodes.astype(np.int64) << 21 | chars
+        slots = self._slot(edges)
+        found = self._edge[slots]
+        open_ = np.flatnonzero((found != edges) & (found != -1))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & (len(self._edge) - 1)
+            found[open_] = self._edge[slots[open_]]
+            open_ = open_[(found[open_] != edges[open_]) & (found[open_] != -1)]
+        return np.where(found == edges, self._next[slots], -1)
+
+    def _name(self, symbol: int) -> str:
+        return self.model.pieces[symbol] if symbol < self.start else chr(symbol - self.start - 1) if symbol > self.start else ""
 
     def stable(self, left: str, right: str) -> bool:
         """Merging ``left + right`` gives just these two; with no left, just ``right``."""
@@ -227,115 +240,165 @@ class Codec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        i = self.model.ids.get(piece)
-        if i is not None:
-            return [i]
-        if self.model.byte_fallback:
-            return [self.model.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return [self.model.unk_id]
-
-    def extend(self, text: str, done: int, size: list[int], score: list[float], before: str = "") -> None:
-        """Find the last piece of the best path to every boundary of ``text`` after ``done``.
-
-        ``size`` and ``score`` hold the boundaries up to ``done`` and grow; ``before`` is
-        the piece before the text.
+    def _stable_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether each pair (left symbol, then SYMBOL_BITS of the right one) is one that merging leaves alone."""
+        slots = ((pairs.view(np.uint64) * SPREAD) >> np.uint64(64 - FRONT_BITS)).astype(np.int64)
+        held = self.front[slots]
+        new = np.flatnonzero(held >> 1 != pairs)
+        if len(new):
+            asked, place = np.unique(pairs[new], return_inverse=True)
+            answers = np.empty(len(asked), dtype=np.int64)
+            for n, pair in enumerate(asked.tolist()):
+                answer = self.known.get(pair)
+                if answer is None:
+                    if len(self.known) >= MAX_PAIRS:
+                        self.known.clear()
+                    answer = self.known[pair] = int(self.stable(self._name(pair >> SYMBOL_BITS), self._name(pair & (1 << SYMBOL_BITS) - 1)))
+                answers[n] = answer
+            held[new] = pairs[new] << 1 | answers[place]
+            self.front[slots[new]] = held[new]
+        return (held & 1).astype(bool)
+
+    def _candidates(self, chars: np.ndarray, lane: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, last character, symbol) of every piece that stands within a lane.
+
+        ``lane`` has for each character the first one of its lane, ``room`` the
+        characters of the lane from it on.
         """
-        model, known = self.model, self.known
-        ids, tails, longest, bpe, dead = model.ids, model.tails, model.longest, model.kind == BPE, -np.inf
-        for end in range(done + 1, len(text) + 1):
-            best, took = dead, 0
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                piece = text[start:end]
-                if piece not in tails and start < end - 1:
-                    break  # no piece ends so, nor in anything longer
-                if score[start] == dead:
-                    continue
-                if bpe:
-                    if piece not in ids and start < end - 1:
-                        continue
-                    pair = (text[start - size[start] : start] if start else before, piece)
-                    stable = known.get(pair)
-                    if stable is None:
-                        if len(known) >= MAX_PAIRS:
-                            known.clear()
-                        stable = known[pair] = self.stable(*pair)
-                    if stable:
-                        best, took = 0.0, end - start
-                        break
-                else:
-                    worth = self.worth(piece)
-                    if worth is not None and score[start] + worth > best:
-                        best, took = score[start] + worth, end - start
-            size.append(took)
-            score.append(best)
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a short text by the same search, taken depth first for BPE models.
-
-        Only one path of stable pairs leads to a boundary, so a boundary from which the
-        search came back is never entered again, and a path to the end is the best one.
+        starts, nodes, firsts, lasts, symbols = np.arange(len(chars)), np.zeros(len(chars), np.int32), [], [], []
+        for length in range(1, self.model.longest + 1):
+            nodes = self._step(nodes, chars[starts + (length - 1)])
+            live = nodes >= 0
+            piece = np.where(live, self._ends[nodes], -1)
+            hit = piece >= 0
+            if length == 1:  # a character that is no piece stands for itself
+                symbols.append(np.where(hit, piece, self.start + 1 + chars).astype(np.int64))
+                firsts.append(starts)
+                lasts.append(starts)
+            else:
+                symbols.append(piece[hit].astype(np.int64))
+                firsts.append(starts[hit])
+                lasts.append(starts[hit] + (length - 1))
+            live &= room[starts] > length
+            starts, nodes = starts[live], nodes[live]
+            if not len(starts):
+                break
+        return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(symbols)
+
+    def feed(self, streams: list[Stream], parts: list[str], final: list[bool]) -> list[np.ndarray]:
+        """Send a part of text through each stream; the ids that become final (symbols to be exact).
+
+        All streams advance together: the n-th step settles the n-th character of every
+        lane.  A lane is a stream's text, or where the model has all paths meet before a
+        word, a word.  After the last step each stream is committed as far as the
+        backpointers of its window meet, or to its end if the part is ``final``.
         """
-        if self.model.kind == BPE:
-            return self._descend(word)
-        size, score, path, at = [0], [0.0], [], len(word)
-        self.extend(word, 0, size, score)
-        while at:
-            path.append(word[at - size[at] : at])
-            at -= size[at]
-        return [i for piece in reversed(path) for i in self.piece_ids(piece)]
-
-    def _descend(self, word: str) -> list[int]:
-        trie, lengths, known = self.model.trie, self.model.lengths, self.known_ids
-        n, at, last = len(word), 0, START
-        path: list[int] = []
-        left: list[list[int]] = []  # pieces still to try at each boundary of the path, the longest last
-        dead: set[int] = set()
-        options = None
-        while at < n:
-            if options is None:
-                options, node = [], trie
-                for c in word[at : at + self.model.longest]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    i = node.get("")
-                    if i is not None:
-                        options.append(i)
-                if not options or lengths[options[0]] > 1:
-                    options.insert(0, -1 - ord(word[at]))  # a character that is no piece
-            while options:
-                i = options.pop()
-                end = at + (lengths[i] if i >= 0 else 1)
-                if dead and end in dead:
-                    continue
-                pair = (last - START) << 32 | (i - START)
-                stable = known.get(pair)
-                if stable is None:
-                    if len(known) >= MAX_PAIRS:
-                        known.clear()
-                    name = lambda j: self.model.pieces[j] if j >= 0 else chr(-1 - j)
-                    before = name(last) if path else ""
-                    stable = known[pair] = self.stable(before, name(i))
-                if stable:
-                    path.append(i)
-                    left.append(options)
-                    at, last, options = end, i, None
-                    break
+        model = self.model
+        texts = [s.tail + p for s, p in zip(streams, parts, strict=True)]
+        done = np.array([len(s.tail) for s in streams])
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        n = len(chars)
+        if not n:
+            return [np.empty(0, np.int64) for _ in streams]
+        some = [k for k, t in enumerate(texts) if t]
+        opens = np.zeros(n, dtype=bool)
+        if model.words_apart:
+            mark = chars == ord(MARK)
+            opens[1:] = mark[1:] & ~mark[:-1]
+            if model.lines_apart:
+                line = chars == 10
+                opens[1:] |= line[1:] != line[:-1]
+        heads = bounds[some]
+        opens[heads] = True
+        before = np.full(n, self.start, dtype=np.int64)
+        before[heads] = [streams[k].before for k in some]
+        ends = np.append(np.flatnonzero(opens)[1:], n) - 1  # last characters of the lanes
+        widths = np.diff(ends, prepend=-1)
+        lane = np.repeat(ends - widths + 1, widths)
+        room = np.repeat(ends, widths) - np.arange(n) + 1
+
+        last, size, score = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int32), np.zeros(n)
+        settled = np.zeros(n, dtype=bool)
+        for k in np.flatnonzero(done).tolist():
+            at = slice(bounds[k], bounds[k] + done[k])
+            last[at], size[at], score[at], settled[at] = streams[k].last, streams[k].size, streams[k].score, True
+        self.searched += int(n - settled.sum())
+
+        first, end, symbol = self._candidates(chars, lane, room)
+        if settled.any():
+            new = ~settled[end]
+            first, end, symbol = first[new], end[new], symbol[new]
+        self._settle(first, end, symbol, opens, before, lane, last, size, score)
+        if (last < 0).any():
+            raise ValueError("the model has no path to some boundary")
+
+        until = np.diff(bounds)
+        for k in some:
+            if not final[k]:
+                until[k] = streams[k].meeting(size[bounds[k] : bounds[k + 1]].tolist(), model.longest)
+        stop = bounds[:-1] + until
+        marked = np.zeros(n, dtype=bool)
+        owner = np.repeat(np.arange(len(streams)), np.diff(bounds))
+        at = np.unique(np.concatenate([ends[ends < stop[owner[ends]]], stop[until > 0] - 1]))
+        while len(at):  # back along the pieces of all lanes at once
+            marked[at] = True
+            back = at - size[at]
+            at = back[back >= lane[at]]
+        out = []
+        for k, s in enumerate(streams):
+            low, mid, high = bounds[k], stop[k], bounds[k + 1]
+            out.append(last[low:mid][marked[low:mid]])
+            if mid > low:
+                s.before = int(last[mid - 1])
+            s.tail, s.last, s.size = texts[k][until[k] :], last[mid:high].copy(), size[mid:high].copy()
+            s.score = score[mid:high] - np.where(lane[mid:high] < mid, score[mid - 1], 0.0)
+        return out
+
+    def _settle(self, first, end, symbol, opens, before, lane, last, size, score) -> None:
+        """Choose for every character the last piece of the best path to it, step by step along the lanes."""
+        bpe, fresh = self.model.kind == BPE, opens[first]
+        place = end - lane[end]
+        if bpe:
+            order = np.argsort(place.astype(np.uint16), kind="stable") if len(place) and place.max() < 1 << 16 else np.argsort(place, kind="stable")
+        else:  # by step and character, and of equal paths that with the longest last piece
+            order = np.lexsort((first, end, place))
+        first, end, symbol, fresh, place = first[order], end[order], symbol[order], fresh[order], place[order]
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        length = (end - first + 1).astype(np.int32)
+        if not bpe:
+            worth = self._weights[np.minimum(symbol, self.start)]
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+            f, e = first[low:high], end[low:high]
+            if bpe:
+                left = np.where(fresh[low:high], before[f], last[f - 1])
+                take = self._stable_pairs(left << SYMBOL_BITS | symbol[low:high])
             else:
-                dead.add(at)
-                i = path.pop()
-                at -= lengths[i] if i >= 0 else 1
-                options, last = left.pop(), path[-1] if path else START
-        if min(path, default=0) >= 0:
-            return path
-        return [j for i in path for j in ([i] if i >= 0 else self.piece_ids(chr(-1 - i)))]
-
-    def search(self, parts: Iterable[str]) -> Iterator[list[int]]:
-        stream = Stream(self)
-        for part in parts:
-            yield stream.feed(part)
-        yield stream.finish()
+                total = np.where(fresh[low:high], 0.0, score[f - 1]) + worth[low:high]
+                group = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+                best = np.repeat(np.maximum.reduceat(total, group), np.diff(np.append(group, len(e))))
+                take = total == best
+                take[1:] &= ~(take[:-1] & (e[1:] == e[:-1]))
+                score[e[take]] = total[take]
+            last[e[take]], size[e[take]] = symbol[low:high][take], length[low:high][take]
+
+    def ids_of(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of committed symbols: characters that are no pieces become bytes, or one unknown id a run."""
+        odd = symbols > self.start
+        if not odd.any():
+            return symbols.astype(np.int32)
+        if not self.model.byte_fallback:
+            keep = ~odd
+            keep[0] = True
+            keep[1:] |= ~odd[:-1]
+            return np.where(odd, self.model.unk_id, symbols)[keep].astype(np.int32)
+        points = symbols[odd] - self.start - 1
+        raw = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[odd] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        out = np.repeat(symbols, sizes).astype(np.int32)
+        out[np.repeat(odd, sizes)] = self._byte_ids[raw]
+        return out
 
     def normal(self, text: str) -> str:
         if self.model.squeeze:
@@ -346,11 +409,27 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as int32."""
-        text = self.normal(text)
-        if self.model.words_apart:
-            return np.frombuffer(b"".join(map(self._words.__getitem__, self._split(text))), dtype=np.int32)
-        parts = (text[i : i + CHUNK_CHARS] for i in range(0, len(text), CHUNK_CHARS))
-        return np.fromiter((i for ids in self.search(parts) for i in ids), dtype=np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of each text; about ROUND_CHARS characters, PART_CHARS of a text at most, are searched at a time."""
+        found: list[list[np.ndarray] | None] = [None if t is None else [] for t in texts]
+        running: list[tuple[int, Stream, str, int]] = []  # number, stream, text, characters sent
+        number = 0
+        while number < len(texts) or running:
+            width = sum(min(PART_CHARS, len(text) - sent) for _, _, text, sent in running)
+            while number < len(texts) and width < ROUND_CHARS:
+                if texts[number] is not None:
+                    text = self.normal(texts[number])
+                    running.append((number, Stream(self.start), text, 0))
+                    width += min(PART_CHARS, len(text))
+                number += 1
+            final = [sent + PART_CHARS >= len(text) for _, _, text, sent in running]
+            parts = [text[sent : sent + PART_CHARS] for _, _, text, sent in running]
+            for (at, *_), symbols in zip(running, self.feed([s for _, s, _, _ in running], parts, final), strict=True):
+                found[at].append(symbols)
+            running = [(k, s, t, sent + PART_CHARS) for (k, s, t, sent), f in zip(running, final, strict=True) if not f]
+        return [None if symbols is None else self.ids_of(np.concatenate(symbols)) for symbols in found]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; runs of byte pieces are read as UTF-8."""
@@ -373,30 +452,6 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-class _Words(dict):
-    """Words to their ids as int32 bytes, filled on demand; a full table becomes the old one."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.old = codec, {}
-
-    def __missing__(self, word: str) -> bytes:
-        made = self.old.get(word)
-        if made is None:
-            if len(word) <= MAX_WORD_CHARS:
-                ids = self.codec.word(word)
-            else:
-                parts = (word[i : i + CHUNK_CHARS] for i in range(0, len(word), CHUNK_CHARS))
-                ids = [i for found in self.codec.search(parts) for i in found]
-            made = array("i", ids).tobytes()
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self) >= MAX_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = made
-        return made
-
-
 _codecs: dict[bytes, Codec] = {}
 
 
@@ -435,9 +490,10 @@ def _with_key(rows: DataFrame, more: str) -> T.StructType:
 def encode(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: ``key``, ids (array of int), n_ids.
 
-    Null text gives null ids and n_ids 0, an empty text an empty array.  Rows are
-    encoded on their own: repeated rows and null keys pass through, other columns
-    are ignored whatever their names, and an empty table gives an empty result.
+    Null text gives null ids and n_ids 0, an empty text an empty array.  A very long text
+    is fed to its stream in parts, all of it.  Rows are encoded on their own: repeated
+    rows and null keys pass through, other columns are ignored whatever their names, and
+    an empty table gives an empty result.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -448,7 +504,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_id")
         for whole in batches:
             for batch in slices(whole, "t", CHUNK_BYTES):
                 texts = batch.column("t").to_pylist()
-                made = [None if t is None else codec.encode(t) for t in texts]
+                made = codec.encode_all(texts)
                 arrays, counts = _id_lists(made)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("k"), arrays, pa.array(counts)], names=["k", "ids", "n_ids"]
@@ -458,7 +514,11 @@ def encode(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_id")
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """One row per sequence: ``key`` and its text; null ids give a null text."""
+    """One row per sequence: ``key`` and its text.
+
+    Null ids give a null text, no ids an empty one, however long the list.  Null and
+    repeated keys pass through, other columns are ignored, empty in, empty out.
+    """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(ids).cast("array<int>").alias("ids"))
     schema = _with_key(rows, "text string")
@@ -477,6 +537,7 @@ def round_trip(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_
     """Encode and decode in one pass: ``key``, ids, n_ids, same (the decoded text is the input).
 
     A literal word mark (U+2581) in a text decodes to a space, as the format has it.
+    Null text gives null ids and a null ``same``; else as :func:`encode` and :func:`decode`.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -487,7 +548,7 @@ def round_trip(df: DataFrame, model: bytes, text: str = "text", key: str = "doc_
         for whole in batches:
             for batch in slices(whole, "t", CHUNK_BYTES):
                 texts = batch.column("t").to_pylist()
-                made = [None if t is None else codec.encode(t) for t in texts]
+                made = codec.encode_all(texts)
                 same = [None if t is None else codec.decode(m.tolist()) == t for t, m in zip(texts, made, strict=True)]
                 arrays, counts = _id_lists(made)
                 yield pa.RecordBatch.from_arrays(
