@@ -62,6 +62,72 @@ def test_solvers():
     assert fitted[0] > 0 > fitted[1]
 
 
+def written_out_invariants(w, k):
+    """The 32 features by their formulas, from a full decomposition and loops."""
+    x = w.copy()
+    for _ in range(64):
+        for axis in (1, 0):
+            norm = np.sqrt((x**2).sum(axis, keepdims=True))
+            floor = max(1e-8 * norm.max(), np.finfo(float).tiny)
+            x = np.where(norm > floor, x / np.maximum(norm, floor), 0.0)
+        rows = np.sqrt((x**2).sum(1))
+        live = rows[rows > 0]
+        if live.max() - live.min() <= 1e-7 * live.max():
+            break
+    x = x / np.linalg.norm(x)
+    short = min(x.shape)
+    n = min(k, short)
+    s = np.linalg.svd(x, compute_uv=False)[:n]
+    out = [np.log10(s[int(np.rint(10 ** (np.log10(n) * i / 15))) - 1] / s[0] + 1e-12) for i in range(16)]
+    p = s**2 / sum(s**2)
+    out += [-sum(q * np.log(q) for q in p if q > 0) / np.log(n), (x**2).sum() / s[0] ** 2 / short, sum(s**2) ** 2 / sum(s**4) / n]
+    profile = np.array([x.shape[1] * sum(r**4) / sum(r**2) ** 2 if sum(r**2) else 0.0 for r in x])
+    v, m = np.sort(profile), len(profile)
+    z = (profile - profile.mean()) / profile.std()
+    out += [*np.quantile(profile / profile.mean(), np.linspace(0.05, 0.95, 8)), 2 * sum((i + 1) * v[i] for i in range(m)) / (m * sum(v)) - (m + 1) / m]
+    return np.clip([*out, (z**4).mean() - 3, (z**3).mean(), ((s / s[0]) ** 3).mean(), ((s / s[0]) ** 4).mean()], -10, 10)
+
+
+def trained_looking(seed, m, n):
+    r = np.random.default_rng(seed)
+    short = min(m, n)
+    w = (r.standard_normal((m, short)) * np.exp(-np.arange(short) / max(1, short / 3))) @ r.standard_normal((short, n))
+    return w * np.exp(0.4 * r.standard_normal((m, 1)))
+
+
+@pytest.mark.parametrize("shape", ((44, 64), (48, 32), (96, 64), (256, 256), (64, 5)))
+@pytest.mark.parametrize("k", (64, 16))
+def test_invariants_follow_the_formulas(shape, k):
+    w = trained_looking(sum(shape), *shape)
+    assert np.allclose(linalg.tensor_invariants(w, k), written_out_invariants(w, k), atol=2e-4)
+    w[3], w[:, 1] = 0.0, 0.0  # dead lines stay dead
+    assert np.allclose(linalg.tensor_invariants(w, k)[[16, 17, 18, 30, 31]], written_out_invariants(w, k)[[16, 17, 18, 30, 31]], atol=2e-4)
+    w[5, 2] = np.nan
+    broken = linalg.tensor_invariants(w, k)
+    w[5, 2] = 0.0
+    assert (broken == linalg.tensor_invariants(w, k)).all()
+
+
+def test_invariants_of_a_diagonal_and_of_nothing():
+    v = np.array([3.0, -1.0, 2.0, 0.0])
+    f = linalg.tensor_invariants(v, 2)
+    p = np.array([9.0, 4.0]) / 13
+    assert np.allclose(f[[0, 15, 16, 17, 18]], [0, np.log10(2 / 3), -(p * np.log(p)).sum() / np.log(2), 14 / 9 / 4, 1 / (p**2).sum() / 2], atol=1e-6)
+    assert (linalg.tensor_invariants(np.zeros((4, 4)))[:16] == -10).all() and not linalg.tensor_invariants(np.zeros((0, 4))).any()
+
+
+@pytest.mark.parametrize("shape", ((96, 64), (64, 96), (128, 128), (256, 64)))
+def test_invariants_ignore_order_and_scale_but_not_the_model(shape):
+    w = trained_looking(7, *shape)
+    base = linalg.tensor_invariants(w, 48)
+    for trial in range(3):
+        r = np.random.default_rng(100 + trial)
+        moved = r.uniform(0.25, 4, (shape[0], 1)) * w[r.permutation(shape[0])][:, r.permutation(shape[1])] * r.uniform(0.25, 4, (1, shape[1]))
+        assert np.abs(linalg.tensor_invariants(moved, 48) - base).max() <= 0.05
+    assert (linalg.tensor_invariants(w, 48) == base).all()
+    assert np.abs(linalg.tensor_invariants(trained_looking(8, *shape), 48) - base).max() > 0.01
+
+
 def test_merge_recovers_parents(spark):
     rows = lineage.tensor_rows(spark, SF)
     found = merge.decompose(rows, "merge2", ["sft", "cpt", "lora", "unrelated"], "root")

@@ -16,13 +16,13 @@ def as_matrix(x) -> np.ndarray:
 
 
 def sinkhorn(w: np.ndarray, iters: int = 8, eps: float = 1e-8, tol: float = 1e-7) -> np.ndarray:
-    """Alternate row and column L2 normalisation, zero lines left alone, to Frobenius norm 1."""
+    """Alternate row and column L2 normalisation to Frobenius norm 1; lines below the floor become zero."""
     x = np.array(w, dtype=np.float64)
 
     def scaled(x: np.ndarray, axis: int) -> np.ndarray:
         norm = np.sqrt((x * x).sum(axis, keepdims=True))
         floor = max(eps * norm.max(initial=0.0), np.finfo(float).tiny)
-        return np.where(norm > floor, x / np.where(norm > floor, norm, 1.0), x)
+        return np.where(norm > floor, x / np.where(norm > floor, norm, 1.0), 0.0)
 
     for _ in range(iters):
         x = scaled(scaled(x, 1), 0)
@@ -35,11 +35,11 @@ def sinkhorn(w: np.ndarray, iters: int = 8, eps: float = 1e-8, tol: float = 1e-7
 
 
 def singular_values(x: np.ndarray, k: int = 64, seed: int = 0, power: int = 2, exact: int = 384, oversample: int = 64) -> np.ndarray:
-    """The k largest singular values, zero padded: from the small Gram matrix, or by random projection."""
+    """The k largest singular values, all if there are fewer: from the small Gram matrix, or by random projection."""
     x = as_matrix(x)
     small = min(x.shape)
     if small == 0:
-        return np.zeros(k)
+        return np.zeros(0)
     if small <= exact:
         gram = x @ x.T if x.shape[0] <= x.shape[1] else x.T @ x
         s = np.sqrt(np.clip(np.linalg.eigvalsh(gram)[::-1], 0, None))
@@ -49,7 +49,7 @@ def singular_values(x: np.ndarray, k: int = 64, seed: int = 0, power: int = 2, e
             q, _ = np.linalg.qr(x @ q)
             q, _ = np.linalg.qr(x.T @ q)
         s = np.linalg.svd(x @ q, compute_uv=False)
-    return np.pad(s[:k], (0, max(0, k - len(s))))
+    return s[:k]
 
 
 def gram_spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,25 +99,26 @@ def row_shape_profile(s: np.ndarray) -> np.ndarray:
 
 def tensor_invariants(w, k: int = 64, seed: int = 0) -> np.ndarray:
     """The 32 features of a tensor that permutation and scaling of rows and columns leave (nearly) alone."""
-    w = np.asarray(w, dtype=np.float64)
+    w = np.nan_to_num(np.asarray(w, dtype=np.float64), nan=0.0, posinf=0.0, neginf=0.0)
     out = np.zeros(32)
     if w.size == 0:
         return out.astype(np.float32)
-    if w.ndim == 1:
-        shape, values, shaped = (w.size, w.size), np.sort(np.abs(w))[::-1], np.abs(w)
-        s = np.pad(values[:k], (0, max(0, k - len(values))))
+    if w.ndim == 1:  # a diagonal: its values are the spectrum and the profile
+        shaped = np.abs(w)
+        short, whole, s = w.size, float(w @ w), np.sort(shaped)[::-1][:k]
     else:
         balanced = sinkhorn(as_matrix(w), iters=64)
-        shape, s, shaped = balanced.shape, singular_values(balanced, k, seed=seed), row_shape_profile(balanced)
-    top = s[0] if s[0] > 0 else 1.0
-    ranks = np.minimum(np.rint(np.logspace(0, math.log10(k), 16)).astype(int), k) - 1
-    out[:16] = np.log10(s[ranks] / top + 1e-12)
+        short, whole = min(balanced.shape), float((balanced * balanced).sum())
+        s, shaped = singular_values(balanced, k, seed=seed), row_shape_profile(balanced)
+    n, top = len(s), s[0] if s[0] > 0 else 1.0
+    ranks = np.rint(np.logspace(0, math.log10(n), 16)).astype(int)
+    out[:16] = np.log10(s[np.minimum(ranks, n) - 1] / top + 1e-12)
     energy = s * s
-    p = energy / energy.sum() if energy.sum() > 0 else energy
-    out[16] = -(p[p > 0] * np.log(p[p > 0])).sum() / math.log(max(k, 2))
-    out[17] = energy.sum() / (top * top) / min(shape)
-    fourth = (energy**2).sum()
-    out[18] = energy.sum() ** 2 / fourth / k if fourth > 0 else 0.0
+    if energy.sum() > 0:
+        p = energy / energy.sum()
+        out[16] = -(p[p > 0] * np.log(p[p > 0])).sum() / math.log(max(n, 2))
+        out[17] = whole / (top * top) / short  # of all singular values, not of the top k only
+        out[18] = 1 / (p * p).sum() / n
     out[19:30] = profile_stats(shaped)
     out[30:32] = ((s / top) ** 3).mean(), ((s / top) ** 4).mean()
     return np.clip(np.nan_to_num(out, nan=0.0, posinf=10.0, neginf=-10.0), -10, 10).astype(np.float32)
