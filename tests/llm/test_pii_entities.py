@@ -49,24 +49,78 @@ def test_secrets_of_every_length_are_found_whole(signs, size):
 def test_keys_alternating_in_every_letter():
     key = "a1" * 64
     assert pii.field_spans(f"token={key};", pii.train()) == [("secret", 6, 134)]
-    assert pii.field_spans(f"token={key}b;", pii.train()) == []
-
-
-def test_candidates_are_all_whole_word_spans():
-    """Every span of whole words that has a shape is a candidate, whatever its tokens; so is every short one."""
+    assert pii.field_spans(f"token={key * 2};", pii.train()) == []  # beyond MAX_ENTITY
+
+
+def brute_candidates(text):
+    """Every span of tokens that the rules of candidates admit, by looking at all of them."""
+    tokens = [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]
+    out = {}
+    for j in range(1, len(tokens) + 1):
+        for i in range(j):
+            start, end = tokens[i][0], tokens[j - 1][1]
+            span, parts = text[start:end], [text[a:b] for a, b in tokens[i:j]]
+            gaps = [text[tokens[x][1] : tokens[x + 1][0]] for x in range(i, j - 1)]
+            spaced, letters = any(gaps), any(p[0].isalpha() for p in parts)
+            digits = sum(len(p) for p in parts if "0" <= p[0] <= "9")
+            cues = pii.cues_before(text, start)
+            announced = {"title", "naming", "secret"} & set(cues)
+            if (
+                any(g not in ("", " ", "  ") for g in gaps) or sum(map(bool, gaps)) > 7 or not 4 <= len(span) <= (64 if spaced else 140)
+                or (not span[-1].isalnum() and span[-1] not in "-_=.") or (not span[0].isalnum() and span[0] not in "+(_")
+                or letters and (pii._joined(text, start) or pii._joined(text, end)) or not digits and "@" not in span and not announced
+                or spaced and parts[0][0].islower() or spaced and not letters and not 6 <= digits <= 20
+                or not letters and pii._within_number(text, start)
+            ):
+                continue
+            features = pii.span_features(text, start, end)
+            if features:
+                out[i, j] = (start, end, features)
+    return len(tokens), out
+
+
+POOL = [
+    "a1", "b2c3", "-", "_", " ", "9", "4", "GB", "Xy", ".", "@", "+", "(", "  ", "\n", "1 " * 8, "a1b2c3d4e5f6", "日本", "password: ", "Mr. ",
+    " Lee", "555", "0100", " 4111 1111 1111 1111", "10.0.0.1", "a@b.co", "Road", " 12 ", "=", "born on ",
+]
+
+
+def test_candidates_are_all_that_the_rules_admit():
     r = random.Random(11)
-    pool = ["a1", "b2c3", "-", "_", " ", "9", "4", "GB", "Xy", ".", "@", "+", "(", "  ", "\n", "1 " * 8, "a1b2c3d4e5f6"]
-    for _ in range(150):
-        text = "".join(r.choice(pool) for _ in range(r.randint(1, 30)))
-        n, found = pii._candidates(text, 0, len(text))
-        tokens = [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]
-        inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()  # noqa: B023, E731
-        want = set()
+    for _ in range(300):
+        text = "".join(r.choice(POOL) for _ in range(r.randint(1, 30)))
+        n, found = pii._candidates(text)
+        want_n, want = brute_candidates(text)
+        assert n == want_n and {(i, j): rest for i, j, *rest in map(tuple, found)} == {k: list(v) for k, v in want.items()}, text
+
+
+def test_decoding_finds_the_best_of_all_segmentations(monkeypatch):
+    """Against every way to choose spans that do not overlap; also when it commits after every token."""
+    r, rng = random.Random(12), pii.np.random.default_rng(1)
+    many = 0
+    for at in range(250):
+        text = "".join(r.choice(POOL) for _ in range(r.randint(1, 16)))
+        weights = pii.train() if at % 2 else rng.normal(0, 1, (len(pii.KINDS), len(pii.FEATURES)))
+        n, spans = brute_candidates(text)
+        best = [0.0] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(j):
-                start, end = tokens[i][0], tokens[j - 1][1]
-                if j - i > 24 and (inside(start) or inside(end)) or not 7 <= end - start <= 140:
-                    continue
-                if (text[end - 1].isalnum() or text[end - 1] in "-_") and (text[start].isalnum() or text[start] in "+(_-.%") and pii.span_features(text, start, end):
-                    want.add((i, j))
-        assert {(i, j) for i, j, *_ in found} == want, text
+            best[j] = max([best[j - 1], *[best[i] + weights[:, f].sum(1).max() for (i, e), (_, _, f) in spans.items() if e == j]])
+        by_place = {(s, e): f for s, e, f in spans.values()}
+        for every in (512, 1):
+            monkeypatch.setattr(pii, "COMMIT_EVERY", every)
+            got = list(pii.decode(text, 0, len(text), weights))
+            assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+            worth = sum(weights[pii.KINDS.index(kind), by_place[s, e]].sum() for kind, s, e in got)
+            assert abs(worth - best[n]) < 1e-9, text
+        many += len(got) > 1
+    assert many > 20
+
+
+def test_entities_across_a_long_run_of_signs_are_found_at_every_place():
+    """A run that once was cut into regions of 4,096 characters."""
+    weights = pii.train()
+    filler = "12-34 " * 900
+    for shift in range(0, 60, 7):
+        text = "x" * shift + " " + filler + "ssn 123-45-6789, token=a1" + "b2" * 20 + "; " + filler
+        kinds = [kind for kind, *_ in pii.field_spans(text, weights)]
+        assert "ssn" in kinds and "secret" in kinds, shift

@@ -154,6 +154,73 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from x
 """
 
+_MEASURED = OP8[: OP8.rindex("select doc_id, n_words, word_chars")]
+
+ABLATIONS = _MEASURED + """, rules(rule, bit) as (values ('too_few_words', 1), ('repeated_words', 2), ('symbol_share', 4), ('duplicate_lines', 8),
+  ('short_words', 16), ('long_words', 32), ('shouting', 64))
+select rule, (count(*) filter (where failed_mask & bit <> 0))::bigint as n_failed, (count(*) filter (where failed_mask & 127 = bit))::bigint as n_failed_alone,
+       (count(*) filter (where failed_mask & (127 - bit) = 0))::bigint as n_kept_without
+from x, rules group by rule
+"""
+
+HELD_OUT = """
+select doc_id, xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda r, b: list_reduce([xor(r, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) % 5 = 0 as held_out
+from documents
+"""
+
+LICENSE_PLACES = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+           lambda x: x <> '') as w
+  from documents
+),
+p(phrase, n, label) as (values ('gnu general public license', 4, 'gpl'), ('apache license', 2, 'apache'), ('cc by', 2, 'cc-by'), ('mit license', 2, 'mit')),
+b as (
+  select doc_id, i - 1 as place, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)
+  join p on array_to_string(w[i:i + n - 1], ' ') = phrase
+),
+s as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from d left join s using (doc_id)
+"""
+
+PII_BASE = r"""
+with p(kind, place, pattern) as (values
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 3, '[0-9]([\x20-]?[0-9])+'), ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]')
+),
+d as (select doc_id, coalesce(text, '') as t from documents),
+x as (
+  select doc_id, 1 as place, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as g from d
+  union all select doc_id, 2, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') from d
+  union all select doc_id, 3, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') from d
+  union all select doc_id, 4, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') from d
+),
+s as (
+  select doc_id, place, m[i] as s, regexp_replace(m[i], '[^0-9]', '', 'g') as digits,
+         list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) as a
+  from (select *, unnest(range(1, len(m) + 1)) as i from x)
+),
+v as (
+  select doc_id, kind, s.place, a::bigint as a, (a + length(s))::bigint as e from s join p using (place)
+  where case s.place when 1 then true
+    when 2 then list_max(list_transform(string_split(s, '.'), lambda z: case when length(ltrim(z, '0')) > 3 then 999 else ('0' || ltrim(z, '0'))::int end)) <= 255
+    when 3 then length(digits) between 13 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+      case when j % 2 = 1 then digits[length(digits) - j + 1]::int else (2 * digits[length(digits) - j + 1]::int) // 10 + (2 * digits[length(digits) - j + 1]::int) % 10 end)) % 10 = 0
+    else length(digits) between 9 and 15 end
+),
+c as (
+  select doc_id, count(*) filter (where place = 1) as n_email, count(*) filter (where place = 2) as n_ip, count(*) filter (where place = 3) as n_card,
+         count(*) filter (where place = 4) as n_phone, string_agg(kind || ':' || a || ':' || e, ',' order by place, a) as spans
+  from v group by doc_id
+)
+select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card,
+       coalesce(n_phone, 0)::bigint as n_phone, sha256(coalesce(spans, '')) as base_sha256
+from d left join c using (doc_id)
+"""
+
 SQL = {
     "op1_exact_dedup": OP1,
     "op4_sharding": OP4,
@@ -161,4 +228,8 @@ SQL = {
     "op6_substring_dedup": OP6,
     "op7_mixing": OP7,
     "op8_quality_rules": OP8,
+    "quality_ablations": ABLATIONS,
+    "language_held_out": HELD_OUT,
+    "license_base_places": LICENSE_PLACES,
+    "pii_base_spans": PII_BASE,
 }

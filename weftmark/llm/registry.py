@@ -14,7 +14,7 @@ from weftmark.llm.language_id import identify
 from weftmark.llm.license_scan import license_scan
 from weftmark.llm.mixing import mix
 from weftmark.llm.pii import find_pii
-from weftmark.llm.quality_rules import apply_policy, ledger
+from weftmark.llm.quality_rules import ablations, apply_policy, ledger
 from weftmark.llm.sentencepiece_codec import read_model, round_trip
 from weftmark.llm.sharding import shard
 from weftmark.llm.substring_dedup import substring_dedup
@@ -101,13 +101,35 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds],
         F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs, from the counts of the ledger's masks."""
+    return ablations(ledger(documents(spark, sf_dir)), POLICY)
+
+
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: which documents are held out."""
+    return op2_language_id(spark, sf_dir).select("doc_id", "held_out")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express: words and base places."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: the base spans."""
+    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_sharding, op5_jaccard_join, op6_substring_dedup,
         op7_mixing, op8_quality_rules, op9_license_scan, op10_pii,
+        quality_ablations, language_held_out, license_base_places, pii_base_spans,
     )
     return {f.__name__: f for f in named}
 
