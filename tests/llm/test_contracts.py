@@ -176,40 +176,103 @@ def test_sharding_splits_a_hot_key(spark):
     assert len(got) == 64 and max(Counter(r["shard"] for r in got).values()) <= 8
 
 
-def scan(text):
-    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def scan(text, index):
+    """Every start of every template, judged by itself."""
+    ws = license_words(text)
     base, found = [], []
     for i in range(len(ws)):
         for phrase, label in license_scan.PHRASES.items():
             if ws[i : i + len(phrase.split())] == phrase.split():
                 base.append((i, label))
-    for t in license_scan.TEMPLATES:
-        parts = t.words.split()
+    for number, t in enumerate(license_scan.TEMPLATES):
+        parts = license_words(t.text)
+        rare = {p for posts in index.values() for n, p in posts if n == number}
         for start in range(-len(parts), len(ws)):
-            stands = lambda p, s: s >= 0 and ws[s : s + len(p)] == p
-            if all(stands(p.split(), start + license_scan._place(t, p)) for p in t.mandatory):
+            if sum(0 <= start + p < len(ws) and ws[start + p] == parts[p] for p in rare) < 2:
+                continue
+            held = all(
+                any(start + at + d >= 0 and ws[start + at + d : start + at + d + len(phrase.split())] == phrase.split() for d in range(-8, 9))
+                for phrase in t.mandatory
+                for at in [next(i for i in range(len(parts)) if parts[i : i + len(phrase.split())] == phrase.split())]
+            )
+            if held:
                 same = sum(0 <= start + j < len(ws) and ws[start + j] == w for j, w in enumerate(parts))
                 found.append((t.label, start, same / len(parts)))
     return len(ws), base, found
 
 
-def test_license_scan(spark, docs, rows):
-    notices = " ".join(t.words + " x" for t in license_scan.TEMPLATES)
+def with_a_word_more(template):
+    """The template's words with one put in between its key phrases, if there is such a place."""
+    ws = license_words(template.text)
+    inside = set()
+    for phrase in template.mandatory:
+        n = len(phrase.split())
+        at = next(i for i in range(len(ws)) if ws[i : i + n] == phrase.split())
+        inside |= set(range(at + 1, at + n))
+    free = [i for i in range(1, len(ws)) if i not in inside]
+    i = free[len(free) // 2] if free else 0
+    return " ".join([*ws[:i], "verily", *ws[i:]])
+
+
+def license_texts(rows):
+    r = __import__("random").Random(4)
+    cut = lambda text: " ".join(w for w in text.split() if r.random() > 0.02)
+    notices = " ".join(t.text + " x" for t in license_scan.TEMPLATES)
     more = [
-        (100 + i, t)
-        for i, t in enumerate([
-            notices, "license " * 400, "Licensed under CC BY-NC 4.0.", "version 2.0 Apache License",
-            "the mit license mit license", "gnu general public gnu general public license version 3",
-        ])
+        notices, "license " * 400, "Licensed under CC BY-NC 4.0.", "version 2.0 Apache License", "the mit license mit license",
+        "gnu general public gnu general public license version 3", *[t.text for t in license_scan.TEMPLATES],
+        *["Copyright 2020 A. Person. " + with_a_word_more(t) for t in license_scan.TEMPLATES],
+        *[cut(t.text) for t in license_scan.TEMPLATES], " ".join(w for t in license_scan.TEMPLATES for w in t.text.split()[::2]),
     ]
-    frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
-    texts = [(row[0], row[1]) for row in rows] + more
-    got = sorted(
-        (order(r["doc_id"]), r["n_words"], sorted(map(tuple, r["base"])), sorted(map(tuple, r["found"])))
-        for r in license_scan.license_scan(frame).collect()
-    )
-    want = sorted((order(d), n, sorted(b), sorted(f)) for d, t in texts for n, b, f in [scan(t)])
+    return [(row[0], row[1]) for row in rows] + [(100 + i, t) for i, t in enumerate(more)]
+
+
+def plain_index(texts):
+    """The index from document frequencies that are counted here."""
+    df = Counter(w for _, t in texts for w in set(license_words(t)))
+    index = defaultdict(list)
+    for number, t in enumerate(license_scan.TEMPLATES):
+        parts = license_words(t.text)
+        idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) for w in parts}
+        chosen = sorted(idf, key=lambda w: (-idf[w], -len(w), w))[:6]
+        for place, w in enumerate(parts):
+            if w in chosen:
+                index[w].append((number, place))
+    return index
+
+
+def test_license_scan(spark, docs, rows):
+    texts = license_texts(rows)
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("k", F.lit("clash")).withColumn("words", F.lit(1)).repartition(3)
+    index = plain_index(texts)
+    scanned = license_scan.license_scan(frame).collect()
+    got = sorted((order(r["doc_id"]), r["n_words"], sorted(map(tuple, r["base"])), sorted(map(tuple, r["found"]))) for r in scanned)
+    want = sorted((order(d), n, sorted(b), sorted(f)) for d, t in texts for n, b, f in [scan(t, index)])
     assert got == want
+    labels = {r["doc_id"]: {f["label"] for f in r["found"]} for r in scanned if r["doc_id"] is not None}
+    first = 100 + 6
+    for i, t in enumerate(license_scan.TEMPLATES):  # whole texts, and texts with a word put in, are found
+        assert t.label in labels[first + i] and t.label in labels[first + len(license_scan.TEMPLATES) + i], t.label
+
+
+def test_license_query_columns(spark, docs, rows, tmp_path):
+    from weftmark.llm.registry import op9_license_scan
+
+    texts = license_texts(rows)
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    index, got = plain_index(texts), {}
+    for r in op9_license_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    for d, t in texts:
+        n, base, found = scan(t, index)
+        places, named = [b[0] for b in base], {b[1] for b in base}
+        best = max([0.5 if base else 0.0, *[f[2] for f in found]])
+        want = (n, len(base), min(places, default=None), max(places, default=None), ",".join(sorted(named)), ",".join(sorted(named | {f[0] for f in found})), best)
+        assert want in got[d], (want, got[d])
 
 
 def test_license_scan_without_rows(empty):

@@ -1,23 +1,26 @@
 """License scan with a positional rare-token index.
 
-Templates are short word sequences with mandatory key phrases.  A first pass counts
-in how many documents each licence word occurs; the index then holds, for every
-template, the postings (template, position) of the key-phrase words with the
-highest inverse document frequency.  The second pass looks up each file's words in
-that index, turns every hit into a template start (file position minus template
-position), keeps starts on which all indexed words of the template agree, and
-verifies the key phrases there.  A verified alignment contains all its indexed words,
-so the lookup loses none.  All of it is row-local SQL over the word array.
+Templates are the notices and texts that licences ask to be kept, with key phrases that
+must stand in them.  A first pass counts in how many documents each template word occurs;
+the index then holds the postings (template, position) of every template's words with
+the highest inverse document frequency.  The second pass looks each file's words up in
+that index and turns every hit into a template start (file position minus template
+position).  A start on which two rare words agree, however far apart they stand, is an
+alignment; it is verified if all key phrases of the template stand there, each at its
+place or up to SLACK words off, so that an inserted name or a lost word does not hide a
+licence.  All of it is row-local SQL over the word array.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.llm.license_templates import TEMPLATES, Template
+
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,48 +31,8 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    words: str
-    #: phrases that must stand at their place in the template
-    mandatory: tuple[str, ...]
-
-
-# Opening words of well-known licences and notices.
-TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template(
-        "gpl-3.0",
-        "licensed under the gnu general public license version 3",
-        ("gnu general public license version 3",),
-    ),
-    Template(
-        "gpl-2.0",
-        "licensed under the gnu general public license version 2",
-        ("gnu general public license version 2",),
-    ),
-    Template("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the gnu affero general public license", ("gnu affero general public license",)),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template(
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software",
-        ("permission is hereby granted free of charge", "obtaining a copy of this software"),
-    ),
-    Template(
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted",
-        ("redistribution and use in source and binary forms", "modification are permitted"),
-    ),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
+#: Words of a template in the index, rare words that make an alignment, and words a key phrase may be off its place.
+RARE, AGREE, SLACK = 6, 2, 8
 
 
 def words_of(text: Column) -> Column:
@@ -78,43 +41,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, BREAK), lambda w: w != "")
 
 
-def _place(template: Template, phrase: str) -> int:
-    words, part = template.words.split(), phrase.split()
-    return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+def template_words(template: Template) -> list[str]:
+    return [w for w in re.split(BREAK, template.text.lower()) if w]
 
 
-def _key_words(template: Template) -> dict[str, int]:
-    """Mandatory words and the first place in the template where each is mandatory."""
-    found: dict[str, int] = {}
-    for phrase in template.mandatory:
-        for j, word in enumerate(phrase.split()):
-            found.setdefault(word, _place(template, phrase) + j)
-    return found
+def _place(template: Template, phrase: str) -> int:
+    """Where a key phrase begins in its template."""
+    words, part = template_words(template), phrase.split()
+    return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
-    """In how many documents each licence word occurs, over all documents, and their number.
+    """In how many documents each template word occurs, over all documents, and their number.
 
     The result has one row per word of the templates: its size does not grow with the input.
     """
-    vocabulary = sorted({w for t in TEMPLATES for w in _key_words(t)})
-    found = df.select(
-        F.array_intersect(words_of(F.col(text)), F.array(*[F.lit(w) for w in vocabulary])).alias("w")
-    )
-    counts = found.select(F.explode(F.concat("w", F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
-    by_word = {r["w"]: r["count"] for r in counts}
+    vocabulary = sorted({w for t in TEMPLATES for w in template_words(t)})
+    known = F.array_distinct(F.filter(words_of(F.col(text)), lambda w: w.isin(vocabulary)))
+    found = df.select(F.explode(F.concat(known, F.array(F.lit("")))).alias("w"))
+    by_word = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}
     total = by_word.pop("", 0)
     return by_word, total
 
 
-def build_index(frequencies: dict[str, int], total: int, rare: int = 2) -> dict[str, list[tuple[int, int]]]:
-    """word -> postings (template, position) of each template's ``rare`` highest-IDF key words."""
+def build_index(frequencies: dict[str, int], total: int, rare: int = RARE) -> dict[str, list[tuple[int, int]]]:
+    """word -> postings (template, position), for each template's ``rare`` words of highest IDF."""
     idf = lambda w: math.log((total + 1) / (frequencies.get(w, 0) + 1))
     index: dict[str, list[tuple[int, int]]] = {}
     for number, template in enumerate(TEMPLATES):
-        words = _key_words(template)
-        for word in sorted(words, key=lambda w: (-idf(w), w))[:rare]:
-            index.setdefault(word, []).append((number, words[word]))
+        words = template_words(template)
+        chosen = set(sorted(set(words), key=lambda w: (-idf(w), -len(w), w))[:rare])
+        for place, word in enumerate(words):
+            if word in chosen:
+                index.setdefault(word, []).append((number, place))
     return index
 
 
@@ -125,13 +84,18 @@ def _stands(words: Column, at: Column, phrase: list[str]) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", rare: int = 2) -> DataFrame:
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", rare: int = RARE) -> DataFrame:
     """One row per document: ``key``, n_words, base (array of place, label), found, score.
 
     ``base`` lists every place where a base phrase stands; ``found`` lists verified
     template alignments (label, start, score), where score is the share of template
-    words that stand in place.  ``score`` is the best of these, 0.5 at least with a
+    words that stand exactly in place.  ``score`` is the best of these, 0.5 at least with a
     base place, else 0.  Null text counts as empty: no words, empty lists, score 0.
+    Texts are read whole, however long, and every alignment in them is judged.
     Rows are scanned on their own, so repeated rows and null keys pass through;
     other columns are ignored whatever their names; an empty table gives an empty
     result.
@@ -139,12 +103,15 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", rare: i
     frequencies, total = document_frequencies(df, text)
     index = build_index(frequencies, total, rare)
     heads = {p.split()[0] for p in PHRASES}
-    probes = F.array(*[F.lit(w) for w in sorted(heads | set(index))])
+    probes = sorted(heads | set(index))
 
     rows = df.select(F.col(key).alias("k"), words_of(F.col(text)).alias("words"))
-    placed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    rows = rows.withColumn("hits", F.filter(placed, lambda x: F.array_contains(probes, x["w"])))
+    places = F.filter(
+        F.transform("words", lambda w, i: F.when(w.isin(probes), i)), lambda i: i.isNotNull()
+    )
+    rows = rows.withColumn("places", places)
     words = F.col("words")
+    rows = rows.withColumn("hits", F.transform("places", lambda i: F.struct(F.get(words, i).alias("w"), i.alias("i"))))
 
     def base_label(x: Column) -> Column:
         named = F.lit(None).cast("string")
@@ -157,51 +124,54 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", rare: i
         lambda b: b["label"].isNotNull(),
     )
 
+    # the index as two arrays: its words, and each word's postings
+    names = sorted(index)
+    lists = F.array(*[F.array(*[F.struct(F.lit(t).alias("template"), F.lit(p).alias("place")) for t, p in index[n]]) for n in names])
+
     def postings(x: Column) -> Column:
-        none = F.array().cast("array<struct<template:int,start:int>>")
-        out = none
-        for word, entries in sorted(index.items()):
-            made = F.array(
-                *[F.struct(F.lit(t).alias("template"), (x["i"] - p).alias("start")) for t, p in entries]
-            )
-            out = F.when(x["w"] == word, made).otherwise(out)
-        return out
-
-    rows = rows.withColumn("base", base).withColumn("votes", F.flatten(F.transform("hits", postings)))
-    need = [len({w for w, e in index.items() if any(t == n for t, _ in e)}) for n in range(len(TEMPLATES))]
-    needed = F.array(*[F.lit(n) for n in need])
-    # votes in order: an alignment is agreed where its run is as long as its template needs
-    rows = rows.withColumn("votes", F.sort_array("votes"))
+        of = F.get(lists, F.array_position(_strings(names), x["w"]).cast("int") - 1)
+        return F.transform(of, lambda p: F.struct(p["template"].alias("template"), (x["i"] - p["place"]).alias("start")))
+
+    rows = rows.withColumn("base", base)
+    indexed = F.filter("hits", lambda x: x["w"].isin(names))
+    # votes in order: a start is agreed where its run is as long as it must be
+    rows = rows.withColumn("votes", F.sort_array(F.flatten(F.transform(indexed, postings))))
     agreed = F.filter(
         "votes",
-        lambda c, i: F.coalesce(F.get(F.col("votes"), i + F.get(needed, c["template"]) - 1) == c, F.lit(False))
+        lambda c, i: F.coalesce(F.get(F.col("votes"), i + (AGREE - 1)) == c, F.lit(False))
         & ~F.coalesce(F.get(F.col("votes"), i - 1) == c, F.lit(False)),
     )
     rows = rows.withColumn("agreed", agreed)
 
-    def verdict(c: Column) -> Column:
-        """Share of template words in place, null unless all key phrases stand."""
-        share = F.lit(None).cast("double")
-        for number, template in enumerate(TEMPLATES):
-            parts = template.words.split()
-            held = F.lit(True)
-            for phrase in template.mandatory:
-                held = held & _stands(words, c["start"] + _place(template, phrase), phrase.split())
-            in_place = _in_place(words, c["start"], parts)
-            share = F.when((c["template"] == number) & held, in_place / F.lit(float(len(parts)))).otherwise(share)
-        return share
-
-    labels = F.array(*[F.lit(t.label) for t in TEMPLATES])
-    found = F.filter(
-        F.transform(
-            "agreed",
-            lambda c: F.struct(
-                F.get(labels, c["template"]).alias("label"),
-                c["start"].cast("long").alias("start"),
-                verdict(c).alias("score"),
+    phrases = F.array(
+        *[
+            F.array(*[F.struct(F.lit(_place(t, p)).alias("place"), _strings(p.split()).alias("words")) for p in t.mandatory])
+            for t in TEMPLATES
+        ]
+    )
+    shifts = F.sequence(F.lit(-SLACK), F.lit(SLACK))
+
+    def verified(c: Column) -> Column:
+        return F.forall(
+            F.get(phrases, c["template"]),
+            lambda p: F.exists(
+                shifts,
+                lambda d: (c["start"] + p["place"] + d >= 0)
+                & (F.slice(words, F.greatest(F.lit(1), c["start"] + p["place"] + d + 1), F.size(p["words"])) == p["words"]),
             ),
-        ),
-        lambda f: f["score"].isNotNull(),
+        )
+
+    texts = F.array(*[_strings(template_words(t)) for t in TEMPLATES])
+    labels = _strings([t.label for t in TEMPLATES])
+
+    def share(c: Column) -> Column:
+        whole = F.get(texts, c["template"])
+        same = F.filter(F.transform(whole, lambda w, j: F.get(words, c["start"] + j) == w), lambda x: x)
+        return F.size(same) / F.size(whole).cast("double")
+
+    found = F.transform(
+        F.filter("agreed", verified),
+        lambda c: F.struct(F.get(labels, c["template"]).alias("label"), c["start"].cast("long").alias("start"), share(c).alias("score")),
     )
     rows = rows.withColumn("found", found)
     best = F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.lit(0.0))
@@ -212,11 +182,3 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", rare: i
         "found",
         F.greatest(best, F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
     )
-
-
-def _in_place(words: Column, start: Column, parts: list[str]) -> Column:
-    """How many template words stand where the alignment puts them."""
-    total = F.lit(0)
-    for j, word in enumerate(parts):
-        total = total + F.when(F.get(words, start + j) == word, F.lit(1)).otherwise(F.lit(0))
-    return total.cast("double")
