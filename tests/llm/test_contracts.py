@@ -142,10 +142,45 @@ def test_mixing(docs, rows, words):
     again = mixing.mix(docs.repartition(5)).collect()
     key = lambda r: (order(r["doc_id"]), r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    assert mixing.take_mix(docs).count() == sum(r["copies"] for r in got)
+    copies = Counter()
+    for r in got:
+        copies[r["doc_id"]] += r["copies"]
+    taken = [tuple(r) for r in mixing.take_mix(docs).collect()]
+    assert Counter(t[0] for t in taken) == +copies and set(taken) <= set(rows)
+    assert Counter(taken) == Counter(tuple(r) for r in mixing.take_mix(docs.repartition(5)).collect())
     assert mixing.take_mix(docs).columns == docs.columns
 
 
+def test_mixing_of_ties_does_not_depend_on_partitions(spark, monkeypatch):
+    """Rows with one key and size are told apart by their text, equal rows share their copies."""
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 7)
+    rows = [(None, f"w{i % 40} x", "a", {"m": i % 3}) for i in range(120)] + [(1, "same text", "b", None)] * 61 + [(i, "u", None, None) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    key = lambda r: (r["doc_id"], r["text"], r["source"], repr(r["extra"]))
+    takes = [Counter(key(r) for r in mixing.take_mix(frame.repartition(n)).collect()) for n in (1, 4, 7)]
+    assert takes[0] == takes[1] == takes[2]
+    assert sum(takes[0].values()) == mixing.mix(frame).agg(F.sum("copies")).first()[0]
+    assert set(takes[0]) <= set(map(key, frame.collect()))
+
+
+def test_mixing_with_many_sources(spark):
+    sizes = [(f"s{i:04d}", 1 + i * i % 97) for i in range(500)] + [(None, 40), ("s9", 0)]
+    got = {r["src"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "src string, source_size long")).collect()}
+    names = sorted([s for s, _ in sizes if s]) + [None]
+    weights, size, open_ = dict(zip(names, (5, 2, 1) * 200)), dict(sizes), set(names)
+    left, target = 1.5 * sum(size.values()), {}
+    while True:
+        share = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if share * weights[s] > 2 * size[s]}
+        if not full:
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+    target |= {s: share * weights[s] for s in open_}
+    assert got == {s: pytest.approx(t) for s, t in target.items()}
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.col("id") * 37, F.lit(90)) + 1).cast("int")).alias("text"),
@@ -317,21 +352,89 @@ def test_pii_field_on_held_out_sentences():
     assert pii.field_spans("9" * 50_000 + " " + "a1" * 50_000, weights) == []
 
 
+def plain_grams(text):
+    import re as _re
+
+    body = " " + _re.sub(r"[\x00-\x7f]", lambda m: m.group() if m.group().isalpha() else " ", text.lower()) + " "
+    raw = body.encode()
+    return [{raw[i : i + n] for i in range(len(raw) - n + 1)} for n in (2, 3, 4)]
+
+
+def plain_kernel(a, b):
+    return sum(len(x & y) / math.sqrt(len(x) * len(y)) for x, y in zip(a, b)) / 3
+
+
+def plain_predictions(train, landmarks, tests, ridge):
+    """Kernel ridge regression on Nyström features from sets of n-grams, a pair of texts at a time."""
+    import numpy as np
+
+    grams = {t: plain_grams(t) for t in {*[t for t, _ in train], *landmarks, *tests}}
+    kernel = lambda xs: np.array([[plain_kernel(grams[x], grams[z]) for z in landmarks] for x in xs])
+    values, vectors = np.linalg.eigh(kernel(landmarks))
+    whiten = vectors[:, values > 1e-8] / np.sqrt(values[values > 1e-8])
+    langs = sorted({lang for _, lang in train})
+    features = kernel([t for t, _ in train]) @ whiten
+    target = np.array([[1.0 if lang == name else -1.0 for name in langs] for _, lang in train])
+    w = np.linalg.solve(features.T @ features + ridge * len(train) * np.eye(features.shape[1]), features.T @ target)
+    raw = kernel(tests) @ whiten @ w
+    return [(langs[r.argmax()], float(np.clip((r.max() + 1) / 2, 0, 1))) for r in raw]
+
+
+def language_rows():
+    samples = {
+        "en": "the house and the garden of this town were old but the river was near to every field ",
+        "de": "das haus und der garten der stadt sind alt aber der fluß ist nah bei jedem feld über die brücke ",
+        "fr": "la maison et le jardin de cette ville sont très vieux mais la rivière est près des champs où ",
+    }
+    made = []
+    for i in range(180):
+        lang = list(samples)[i % 3]
+        ws = samples[lang].split()
+        made.append((i, " ".join(ws[(i * 7 + j * (1 + i % 5)) % len(ws)] for j in range(12)) + f" {i % 9}!", lang, "clash", 1))
+    return made
+
+
+def test_language_id_equals_kernel_ridge_on_sets(spark, monkeypatch):
+    from weftmark.llm import language_id
+
+    rows = language_rows()
+    rows += [(500, rows[0][1], "en", "x", 2), (500, rows[0][1], "en", "x", 2), (501, "GARTEN und Haus" * 3, None, "x", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, k string, held_out int").repartition(3)
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(True))
+    seen = {}
+    plain = language_id._grams
+
+    def note(texts):
+        seen["sets"] = plain(texts)
+        return seen["sets"]
+
+    monkeypatch.setattr(language_id, "_grams", note)
+    monkeypatch.setattr(language_id, "LANDMARKS", 12)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(frame, held).collect()}
+    fit = [(t, lang) for d, t, lang, *_ in rows if d % 5 and lang]
+    by_set = {tuple(map(frozenset, plain_grams(t))): t for t, _ in fit}
+    marks = [by_set[tuple(frozenset(int(g).to_bytes(n, "big") for g in s) for n, s in zip((2, 3, 4), sets))] for sets in seen["sets"]]
+    assert len(marks) == 12
+    for (d, *_), (lang, score) in zip(rows, plain_predictions(fit, marks, [t for _, t, *_ in rows], language_id.RIDGE)):
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-4
+
+
 def test_language_id(spark, docs):
-    samples = {"en": "the house and the garden of this town ", "de": "das haus und der garten der stadt ist ", "fr": "la maison et le jardin de cette ville "}
-    made = [(i, f"{t} {i % 7} {t[: 5 + i % 20]}", lang) for i, (lang, t) in enumerate(list(samples.items()) * 60)]
-    made += [(900, None, "en"), (901, "123 !!", "en"), (902, "the garden", None), (None, "der garten", "de"), (903, "", None)]
-    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    made = language_rows()
+    long = " ".join(t for _, t, lang, *_ in made if lang == "de") * 400
+    made += [(900, None, "en", "c", 1), (901, "123 !!", "en", "c", 1), (902, "the garden of the town", None, "c", 1), (None, "der garten und das haus", "de", "c", 1), (903, "", None, "c", 1), (904, long, None, "c", 1), (905, long, "de", "c", 1)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string, k string, held_out int")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     got = {r["doc_id"]: r for r in identify(frame, held).collect()}
-    assert len(got) == len(made)
-    assert all(got[d]["lang_pred"] == UNKNOWN for d in (900, 901, 903))
-    right = [got[d]["lang_pred"] == lang for d, t, lang in made[:180] if got[d]["held_out"]]
+    assert len(got) == len(made) and len(long) > 1 << 20
+    assert all(got[d]["lang_pred"] == UNKNOWN and got[d]["score"] == 0 for d in (900, 901, 903))
+    right = [got[d]["lang_pred"] == lang for d, t, lang, *_ in made[:180] if got[d]["held_out"]]
     assert sum(right) >= 0.95 * len(right) > 20
-    assert got[902]["lang_pred"] == "en" and got[None]["lang_pred"] == "de"
+    assert got[902]["lang_pred"] == "en" and got[None]["lang_pred"] == got[904]["lang_pred"] == "de"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     blind = identify(frame.withColumn("lang", F.lit(None).cast("string")), held)
     assert {r["lang_pred"] for r in blind.collect()} == {UNKNOWN}
+    assert identify(docs, F.lit(None).cast("boolean")).where("not held_out").count() == 0
 
 
 def test_empty_tables(empty):
@@ -342,4 +445,3 @@ def test_empty_tables(empty):
     assert substring_dedup(empty).count() == mixing.mix(empty).count() == mixing.take_mix(empty).count() == 0
     assert sharding.shard(empty, 10).count() == pii.find_pii(empty).count() == 0
     assert identify(empty, F.lit(False)).count() == 0
-    assert math.isfinite(mixing.BROADCAST_ROWS)
