@@ -41,8 +41,8 @@ from weftmark.plans.shared import discard, materialize
 #: Part of the hash space counted in step 1, for all documents.
 COUNTED = 0.4
 COUNTED_BELOW = np.uint64(int(COUNTED * 2**64))
-#: The order of tokens: by how many of these counts they reach (then by hash), each told by a bit set of 2**bits.
-GRADES = ((2, 27), (3, 25), (5, 24), (9, 24), (33, 24), (129, 24))
+#: The order of tokens: by how many of these counts they reach (then by hash), each told by a bit set.
+GRADES = (2, 3, 5, 9, 33, 129)
 #: Tokens that one task joins at a time, and sets of a large group that visit all its blocks.
 BLOCK_TOKENS, LEADERS = 1_500_000, 8
 #: Classes and tokens that a map task remembers having posted.
@@ -184,7 +184,10 @@ def _low_bits(rows: DataFrame, width: int):
             yield _count(sets, (sets.tokens < COUNTED_BELOW) & new[sets.owner])
 
     counts = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return broadcast_bits(counts.where("n > 1").select("h"), "h")
+    shared = materialize(counts.where("n > 1").select("h"), "jaccard-counted")
+    bits = broadcast_bits(shared, "h")
+    discard(shared)
+    return bits
 
 
 def _distinct_sets(sets: DataFrame) -> DataFrame:
@@ -211,7 +214,8 @@ def _edges(sets: DataFrame) -> DataFrame:
 
     counts = sets.select("s").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "jaccard-repeated")
-    grades = [broadcast_bits(counts.where(F.col("n") >= least).select("h"), "h", bits) for least, bits in GRADES]
+    grades = [broadcast_bits(counts.where(F.col("n") >= least).select("h"), "h") for least in GRADES]
+    discard(counts)
 
     def prefixes(batches):
         """(h, c, hub, edge): a posting, or an edge that this task knows already."""
@@ -278,7 +282,7 @@ def _links(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between the classes of (c, n, s) that connect all similar ones."""
     groups = components(_edges(sets)).select(F.col("node").alias("c"), F.col("label").alias("g"))
     members = materialize(sets.select("c", "n").join(groups, "c"), "jaccard-members")
-    wanted = broadcast_bits(members.select("c"), "c", 23)
+    wanted = broadcast_bits(members, "c")
 
     def pick(batches):
         bits = Bits(wanted.value)
@@ -415,7 +419,7 @@ def drop_near_duplicates(df: DataFrame, n: int = 5, text: str = "text", key: str
     be is told by a bit set of fixed size.
     """
     described, found = _classified(df, n, text, key, carry=True)
-    touched = broadcast_bits(found.select("c"), "c", 23)
+    touched = broadcast_bits(found, "c")
     bits_of = described.schema
 
     def pick(inside: bool):

@@ -1,18 +1,21 @@
 """Substring dedup: word windows that also start in an earlier document are removed.
 
-Every window of ``width`` words gets a Rabin-Karp hash, and Spark finds the first
-document of each.  Two filters keep the shuffles small without losing a window:
+Every window of ``width`` words gets a Rabin-Karp hash, and Spark finds the windows of two
+documents and the first document of each, by partial minima:
 
 * equal windows have equal anchors (the smallest hash among their ``anchor``-word
   parts), so only windows whose anchor occurs in two documents can repeat.  A fifth
   of the positions are anchors; they are counted first, and those that repeat go
-  into a bit set of fixed size, whose false positives only cost rows;
-* each map task posts a window once for its first document there.  Later documents
-  of the task are known to repeat it, so a passage in a third of all documents
-  posts one row a task, not one a document.
-
-Repeated windows are then sent to their documents and merged into maximal removal
-intervals.  Documents without any are rewritten where they are read.
+  into a bit set sized by their number, whose false positives only cost rows;
+* windows that pass are reduced to the least and the largest key, in every part of a
+  map task, in the map task and then by hash; those with two keys are written;
+* their documents are then looked up.  A map task posts a window once for its first
+  document there: later documents of the task are known to repeat it, so a
+  passage in a third of all documents posts one row a task, not one a document.
+
+Repeated windows are sent to their documents (a key and a hash of the text, so that no
+list outgrows a text) and merged into maximal removal intervals.  Documents without
+any are rewritten where they are read.
 """
 
 from __future__ import annotations
@@ -24,15 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftmark.llm.bitsets import broadcast_bits
 from weftmark.llm.texts import Bits, Words, bounded_batches, slices, words_of
-from weftmark.plans.shared import materialize
+from weftmark.plans.shared import discard, materialize
 
 #: Stands for a null key: after every other.
 LAST = (1 << 63) - 1
-#: Windows that a task remembers having posted, per task.
+#: Windows of two documents that a map task remembers at a time; what it forgets is joined instead.
 REMEMBERED = 1 << 18
 
 
@@ -97,13 +99,16 @@ def substring_dedup(
     windows are judged on the input.  Rows with the same key never make each other
     lose words.  A null key sorts after every other, so its row loses what any keyed
     row has, and null-keyed rows keep what only they share.  Null text and texts
-    shorter than the window lose nothing.  The key is an integer column; other
-    columns are ignored whatever their names; an empty table gives an empty result.
+    shorter than the window lose nothing; a very long text is hashed and rewritten whole.
+    The key is an integer column; other columns are ignored whatever their names; an
+    empty table gives an empty result.
     """
     if not 0 < anchor <= width:
         raise ValueError("the anchor must not be longer than the window")
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = df.select(
+        F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(text).cast("string")).alias("g")
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -117,48 +122,68 @@ def substring_dedup(
                     [pa.array(hashes), pa.array(np.minimum(n, 2).astype(np.int64))], names=["h", "n"]
                 )
 
-    counted = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    repeated = broadcast_bits(counted.where("n > 1").select("h"), "h")
+    counted = rows.select("k", "t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    anchors = materialize(counted.where("n > 1").select("h"), "substring-anchors")
+    repeated = broadcast_bits(anchors, "h")
+    discard(anchors)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def range_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bits(repeated.value)
-        seen, least_of = np.empty(0, np.int64), np.empty(0, np.int64)
         for whole in batches:
             for batch in slices(whole, "t"):
                 words = words_of(batch.column("t"), lower=False)
                 least, hashes, valid = _anchors(words, width, anchor)
                 valid = valid & bits.has(least)
-                owner = np.repeat(_keys(batch), np.diff(words.first))
-                h, k = _pairs(hashes[valid].view(np.int64), owner[valid])
-                first = np.ones(len(h), dtype=bool)
-                first[1:] = h[1:] != h[:-1]
-                known = np.zeros(len(h), dtype=bool)
+                h, k = _pairs(hashes[valid].view(np.int64), np.repeat(_keys(batch), np.diff(words.first))[valid])
+                first, last = np.ones(len(h), dtype=bool), np.ones(len(h), dtype=bool)
+                first[1:] = last[:-1] = h[1:] != h[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(k[first]), pa.array(k[last])], names=["h", "low", "high"])
+
+    ranges = rows.select("k", "t").mapInArrow(range_of_keys, "h long, low long, high long")
+    ranges = ranges.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = materialize(ranges.where("low < high").select(F.col("h").alias("w"), "low"), "substring-windows")
+    shared_bits = broadcast_bits(shared, "w")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bits(shared_bits.value)
+        seen, least_of = np.empty(0, np.int64), np.empty(0, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "t"):
+                words = words_of(batch.column("t"), lower=False)
+                hashes, valid = words.windows(width)
+                valid = valid & bits.has(hashes)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+                h, row = _pairs(hashes[valid].view(np.int64), owner[valid])
+                k = _keys(batch)[row]
+                order = np.lexsort((k, h))
+                h, row, k = h[order], row[order], k[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = h[1:] != h[:-1]
+                at = np.flatnonzero(new)
+                later = k > np.repeat(k[at], np.diff(np.append(at, len(h)))) if len(h) else np.zeros(0, dtype=bool)
                 if len(seen) and len(h):
-                    at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
-                    known = (seen[at] == h) & (least_of[at] < k)
-                later = ~first | known
-                if len(seen) < REMEMBERED:  # windows of two documents in this part, by their first
-                    hot = np.flatnonzero(first[:-1] & ~first[1:])
-                    hot = hot[~np.isin(h[hot], seen)]
-                    seen, least_of = np.concatenate([seen, h[hot]]), np.concatenate([least_of, k[hot]])
-                    order = np.argsort(seen, kind="stable")
-                    seen, least_of = seen[order], least_of[order]
+                    place = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+                    later |= (seen[place] == h) & (least_of[place] < k)
+                # windows of two documents in this part, by their first
+                hot = at[np.diff(np.append(at, len(h))) > 1]
+                hot = hot[~np.isin(h[hot], seen)][:REMEMBERED]
+                if len(seen) + len(hot) > REMEMBERED:
+                    seen, least_of = seen[:0], least_of[:0]
+                seen, least_of = np.concatenate([seen, h[hot]]), np.concatenate([least_of, k[hot]])
+                order = np.argsort(seen, kind="stable")
+                seen, least_of = seen[order], least_of[order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(k), pa.array(later)], names=["h", "k", "later"]
+                    [pa.array(h), pa.array(k), batch.column("g").take(pa.array(row)), pa.array(later)], names=["h", "k", "g", "later"]
                 )
 
-    posted = rows.mapInArrow(post, "h long, k long, later boolean")
-    # rows that are settled already need no company: they are dealt out by document
-    by = F.when(F.col("later"), F.xxhash64("k", "h")).otherwise(F.col("h"))
-    together = Window.partitionBy("by", "later", "h")
-    flagged = (
-        posted.withColumn("by", by)
-        .withColumn("first", F.min("k").over(together))
-        .where("later or k > first")
-        .select("k", "h")
-    )
-    flags = materialize(flagged.groupBy("k").agg(F.collect_list("h").alias("hs")), "substring-flags")
-    touched = broadcast_bits(flags.select(F.xxhash64("k").alias("x")), "x", 23)
+    posted = rows.mapInArrow(post, "h long, k long, g long, later boolean")
+    # what a task has settled already needs no company; the rest meets the window's first document
+    settled = posted.where("later").select("k", "g", "h")
+    met = posted.where("not later").join(shared, F.col("h") == F.col("w")).where("k > low").select("k", "g", "h")
+    flagged = settled.unionAll(met)
+    flags = materialize(flagged.groupBy("k", "g").agg(F.collect_set("h").alias("hs")), "substring-flags")
+    discard(shared)
+    touched = broadcast_bits(flags.select(F.xxhash64("k", "g").alias("x")), "x")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -215,12 +240,12 @@ def substring_dedup(
 
         return run
 
-    keyed = rows.select("k", "t", F.xxhash64(F.coalesce("k", F.lit(LAST))).alias("x"))
-    same = "k long, t string, x long"
+    keyed = rows.select("k", "t", "g", F.xxhash64(F.coalesce("k", F.lit(LAST)), "g").alias("x"))
+    same = "k long, t string, g long, x long"
     clean = keyed.mapInArrow(pick(False), same).withColumn("hs", F.lit(None).cast("array<long>"))
     hit = keyed.mapInArrow(pick(True), same)
-    fk = flags.select(F.col("k").alias("fk"), "hs")
-    hit = hit.join(fk, F.coalesce(hit["k"], F.lit(LAST)) == fk["fk"], "left").select("k", "t", "x", "hs")
+    fk = flags.select(F.col("k").alias("fk"), F.col("g").alias("fg"), "hs")
+    hit = hit.join(fk, (F.coalesce(hit["k"], F.lit(LAST)) == fk["fk"]) & (hit["g"] == fk["fg"]), "left").select("k", "t", "g", "x", "hs")
     result = "k long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
     out = clean.mapInArrow(rewrite, result).unionAll(hit.mapInArrow(rewrite, result))
     return out.withColumnRenamed("k", key)
