@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from weftmark.llm.bitsets import broadcast_bits
 from weftmark.llm.components import components
@@ -264,10 +263,15 @@ def _edges(sets: DataFrame) -> DataFrame:
                 names=["h", "c", "hub", "edge"],
             )
 
-    posts = sets.select("c", "s").mapInArrow(prefixes, "h long, c long, hub long, edge boolean")
-    met = posts.withColumn("least", F.min("c").over(Window.partitionBy("h", "edge")))
-    met = met.select(F.col("c").alias("a"), F.when(F.col("edge"), F.col("hub")).otherwise(F.col("least")).alias("b"))
-    return met.where("a != b")
+    posts = materialize(sets.select("c", "s").mapInArrow(prefixes, "h long, c long, hub long, edge boolean"), "jaccard-posts")
+    known = posts.where("edge").select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    # a token's classes all meet its least one, which partial minima find
+    open_ = posts.where("not edge")
+    least = open_.groupBy("h").agg(F.min("c").alias("b"), F.max("c").alias("most")).where("b < most").select("h", "b")
+    met = open_.join(least, "h").select(F.col("c").alias("a"), "b").where("a != b")
+    edges = materialize(known.unionAll(met).distinct(), "jaccard-edges")
+    discard(posts)
+    return edges
 
 
 def _tries(sets: DataFrame, plan: DataFrame) -> DataFrame:
@@ -280,7 +284,9 @@ def _tries(sets: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between the classes of (c, n, s) that connect all similar ones."""
-    groups = components(_edges(sets)).select(F.col("node").alias("c"), F.col("label").alias("g"))
+    edges = _edges(sets)
+    groups = components(edges).select(F.col("node").alias("c"), F.col("label").alias("g"))
+    discard(edges)
     members = materialize(sets.select("c", "n").join(groups, "c"), "jaccard-members")
     wanted = broadcast_bits(members, "c")
 
