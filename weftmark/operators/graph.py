@@ -1,6 +1,8 @@
 """Graph operators over edge tables (parent, child, confidence).
 
-Closures are recursive queries with a path array as cycle guard.
+Closures, best paths and components go round by round over distinct pairs, each round a
+written table, so that rows grow with the pairs of models and never with the paths
+between them.  Levels and detours are recursive queries with a path array as cycle guard.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftmark.plans.shared import materialize
+
 
 def _sql(text: str, **frames: DataFrame) -> DataFrame:
     """Run SQL over frames under private view names."""
@@ -34,20 +38,23 @@ def children_of(edges: DataFrame, node: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant, depth): every pair with the length of its shortest path; safe on cycles."""
-    paths = _sql(
-        """
-        with recursive walk(ancestor, descendant, depth, path) as (
-          select parent, child, 1, array(parent, child) from {e}
-          union all
-          select w.ancestor, e.child, w.depth + 1, array_append(w.path, e.child)
-          from walk w join {e} e on e.parent = w.descendant where not array_contains(w.path, e.child)
-        )
-        select ancestor, descendant, min(depth) as depth from walk group by ancestor, descendant
-        """,
-        e=edges.select("parent", "child").distinct(),
-    )
-    return paths
+    """(ancestor, descendant, depth): every pair with the length of its shortest path; safe on cycles.
+
+    Breadth first from all nodes at once: a round extends the pairs that the round before
+    found first, and keeps those that no round had.
+    """
+    step = materialize(edges.select("parent", "child").distinct(), "graph-edges")
+    known = front = materialize(step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")), "graph-closure")
+    depth = 1
+    while True:
+        depth += 1
+        reached = front.join(step, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct()
+        loops = F.col("ancestor") != F.col("descendant")
+        new = reached.where(loops).join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
+        front = materialize(new.withColumn("depth", F.lit(depth)), "graph-front")
+        if front.isEmpty():
+            return known
+        known = known.unionAll(front)
 
 
 def ancestors_of(edges: DataFrame, node: str) -> DataFrame:
@@ -135,11 +142,28 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable when direction is ignored."""
-    both = edges.select("parent", "child").union(edges.select("child", "parent")).distinct()
-    reach = closure(both).select(F.col("descendant").alias("node"), F.col("ancestor").alias("other"))
-    own = nodes.select("node", F.col("node").alias("other")).distinct()
-    return reach.unionByName(own).groupBy("node").agg(F.min("other").alias("component"))
+    """(node, component): the least node reachable when direction is ignored.
+
+    Every round hooks each node to its least neighbour, follows the hooks twice and
+    contracts the edges, so that rounds grow with the logarithm of the longest path.
+    """
+    left = materialize(
+        edges.select(F.least("parent", "child").alias("u"), F.greatest("parent", "child").alias("v")).where("u != v").distinct(), "graph-pairs"
+    )
+    labels = nodes.select("node").union(left.select("u")).union(left.select("v")).distinct().withColumn("component", F.col("node"))
+    while not left.isEmpty():
+        both = left.unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
+        hooks = materialize(hooks, "graph-hooks")
+        for _ in range(2):
+            hooks = hooks.join(hooks.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to"))
+        hooks = materialize(hooks, "graph-jumps")
+        moved = hooks.select(F.col("node").alias("component"), "to")
+        labels = materialize(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "graph-labels")
+        ends = [hooks.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in ("u", "v")]
+        met = left.join(ends[0], "u").join(ends[1], "v").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v"))
+        left = materialize(met.where("u != v").distinct(), "graph-pairs")
+    return nodes.select("node").distinct().join(labels, "node")
 
 
 def label_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,24 +241,34 @@ def best_claims(edges: DataFrame) -> DataFrame:
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant, path, product, least): the path of greatest confidence product per pair."""
-    return _sql(
-        """
-        with recursive e as (
-          select parent, child, greatest(0D, least(1D, max(confidence))) as c from {e} where parent != child group by parent, child
+    """(ancestor, descendant, path, product, least): the path of greatest confidence product per pair.
+
+    Of equal products the shorter path, then the first by its names.  Confidences are at most
+    1, so a longer walk never gains: each round extends the pairs that the last one
+    improved by one edge and keeps the best path of every pair.
+    """
+    step = edges.where("parent != child").groupBy("parent", "child").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max("confidence"))).alias("c"))
+    step = materialize(step, "graph-steps")
+    best = front = materialize(
+        step.select(
+            F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.array("parent", "child").alias("path"),
+            F.col("c").alias("product"), F.col("c").alias("least"),
         ),
-        walk(ancestor, descendant, path, product, least) as (
-          select parent, child, array(parent, child), c, c from e
-          union all
-          select w.ancestor, e.child, array_append(w.path, e.child), w.product * e.c, least(w.least, e.c)
-          from walk w join e on e.parent = w.descendant where not array_contains(w.path, e.child)
-        )
-        select ancestor, descendant, b.path as path, b.product as product, b.least as least
-        from (select ancestor, descendant, max_by(struct(path, product, least), struct(product, -size(path), path)) as b
-              from walk group by ancestor, descendant)
-        """,
-        e=edges.select("parent", "child", "confidence"),
+        "graph-paths",
     )
+    rank = F.struct(-F.col("product"), F.size("path"), "path")
+    keys = ["ancestor", "descendant"]
+    while not front.isEmpty():
+        longer = front.join(step, F.col("descendant") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
+        longer = longer.select(
+            "ancestor", F.col("child").alias("descendant"), F.array_append("path", F.col("child")).alias("path"),
+            (F.col("product") * F.col("c")).alias("product"), F.least("least", "c").alias("least"),
+        )
+        tried = longer.withColumn("fresh", F.lit(True)).unionByName(best.withColumn("fresh", F.lit(False)))
+        chosen = tried.groupBy(*keys).agg(F.min_by(F.struct("path", "product", "least", "fresh"), rank).alias("b"))
+        chosen = materialize(chosen.select(*keys, "b.*"), "graph-paths")
+        best, front = chosen.drop("fresh"), chosen.where("fresh").drop("fresh")
+    return best
 
 
 def trace(edges: DataFrame, target: str) -> DataFrame:

@@ -20,6 +20,18 @@ class Phylogeny:
     reduced: DataFrame
 
 
+def neighbourhood(found: DataFrame) -> DataFrame:
+    """Ordered pairs (a, b) of candidates and of models with a common candidate.
+
+    The veto and the outgroups compare a pair with models that are near to both of its
+    sides, so no other distances are asked for: about k * k pairs a model, not one for
+    every other model.
+    """
+    one = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    two = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+    return materialize(one.unionByName(two).where("a != b").distinct(), "phylo-near-pairs")
+
+
 def build(
     rows: DataFrame, *, k: int = 10, max_distance: float = schema.MAX_DISTANCE, relatedness: float = schema.MIN_RELATEDNESS,
     abstain: float = schema.ABSTAIN, proximity: float = 0.0, veto: bool = True, outgroups: int = 0, merge_check: bool = True,
@@ -29,7 +41,7 @@ def build(
 
     Candidates by nearest sketches, the relatedness gate, the optional proximity gate, the
     cousin veto, direction with optional outgroups, merge weights, and clean-up of the
-    graph.  Each stage is one set-oriented job over all pairs.  ``headers`` (model, tensor,
+    graph.  Each stage is one set-oriented job over the candidates' neighbourhood.  ``headers`` (model, tensor,
     dtype, shape) lets direction see precision and true shapes.
     """
     nodes = rows.select(F.col("model").alias("node")).distinct()
@@ -38,8 +50,7 @@ def build(
     pooled = pairs.pooled(pairs.pair_tensor_stats(rows, found)).join(found, ["a", "b"], "right")
     gate = pairs.relatedness(pooled, sketch.sketch_similarity(F.col("distance"))).where(F.col("relatedness") >= relatedness)
     related = materialize(gate.select("a", "b"), "phylo-related")
-    every = pairs.ordered_pairs(rows.select("model").distinct())
-    deltas = materialize(pairs.pooled(pairs.pair_tensor_stats(rows, every)).select("a", "b", F.col("relative_delta").alias("delta")), "phylo-deltas")
+    deltas = materialize(pairs.pooled(pairs.pair_tensor_stats(rows, neighbourhood(found))).select("a", "b", F.col("relative_delta").alias("delta")), "phylo-deltas")
     if proximity:
         both = deltas.join(related.unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi")
         near = pairs.proximity_gate(both.select(F.col("a").alias("child"), F.col("b").alias("candidate"), "delta"), proximity)

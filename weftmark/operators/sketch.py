@@ -69,26 +69,65 @@ def sketch_similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / 2))
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+def _distances(queries: list, index: list, metric: str) -> np.ndarray:
+    """Distances of query vectors (rows) and index vectors (columns), these cut or padded to each query's width."""
+    widths = np.array([len(q) for q in queries])
+    out = np.empty((len(queries), len(index)))
+    for width in np.unique(widths):
+        mine = widths == width
+        q = np.array([queries[i] for i in np.flatnonzero(mine)], dtype=np.float64)
+        v = np.zeros((len(index), width))
+        for j, x in enumerate(index):
+            n = min(width, len(x))
+            v[j, :n] = x[:n]
+        inner = q @ v.T
+        if metric == "ip":
+            out[mine] = -inner
+            continue
+        qq, vv = (q * q).sum(1)[:, None], (v * v).sum(1)[None, :]
+        if metric == "l2":
+            out[mine] = np.sqrt(np.maximum(qq + vv - 2 * inner, 0.0))
+        else:
+            norm = np.sqrt(qq * vv)
+            out[mine] = np.clip(1 - np.divide(inner, norm, out=np.zeros_like(inner), where=norm > 0), 0.0, 2.0)
+    return out
+
+
+def search(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "cosine", block: int = 2048) -> DataFrame:
     """(query, hit, distance, rank): the k nearest of an index (model, vector), ties by id; exact.
 
-    The queries are the small side: they are dealt out with the index rows in one join, and
-    each task keeps its own k best before ranks are taken.  Vectors of another width are
-    cut or padded to the query's.
+    Both sides are dealt into blocks of about ``block`` vectors by a hash of their ids.  A
+    task meets one block of queries with one of the index, multiplies the two
+    matrices, and keeps each query's k best; only these are ranked.  Distances are told
+    apart to twelve decimals.  Index vectors of another width are cut or padded to the
+    query's; null vectors are left out.
     """
-    q = queries.select(F.col("model").alias("query"), F.col("vector").alias("qv"))
-    i = index.select(F.col("model").alias("hit"), F.col("vector").alias("iv"))
-    met = i.join(q)
-    fit = F.transform(F.sequence(F.lit(0), F.size("qv") - 1), lambda j: F.coalesce(F.get("iv", j), F.lit(0.0)))
-    iv = F.when(F.size("iv") == F.size("qv"), F.col("iv")).otherwise(fit)
-    inner = F.aggregate(F.zip_with("qv", iv, lambda p, x: p.cast("double") * x.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    distance = {
-        "cosine": F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - F.coalesce(cosine(F.col("qv"), iv), F.lit(0.0)))),
-        "ip": -inner,
-        "l2": F.sqrt(F.aggregate(F.zip_with("qv", iv, lambda p, x: (p - x).cast("double") * (p - x).cast("double")), F.lit(0.0), lambda s, z: s + z)),
-    }[metric]
+    if metric not in ("cosine", "ip", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    q = queries.where("vector is not null").select(F.col("model").alias("query"), F.col("vector").alias("qv"))
+    i = index.where("vector is not null").select(F.col("model").alias("hit"), F.col("vector").alias("iv"))
+    of = lambda frame: -(-max(1, frame.count()) // block)
+    nq, ni = of(q), of(i)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int")).withColumn("ib", every(ni))
+    i = i.withColumn("ib", F.pmod(F.xxhash64("hit"), F.lit(ni)).cast("int")).withColumn("qb", every(nq))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query": left["query"][:0], "hit": right["hit"][:0], "distance": np.empty(0)})
+        right = right.sort_values("hit", kind="stable")
+        d = np.round(_distances(left["qv"].tolist(), right["iv"].tolist(), metric), 12)
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(left)), at.shape[1])
+        return pd.DataFrame(
+            {"query": left["query"].to_numpy()[rows], "hit": right["hit"].to_numpy()[at.ravel()], "distance": d[rows, at.ravel()]}
+        )
+
+    kind = f"query {dict(q.dtypes)['query']}, hit {dict(i.dtypes)['hit']}, distance double"
+    # a group is one block of each side: about block vectors
+    met = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, kind)
     order = Window.partitionBy("query").orderBy("distance", "hit")
-    return met.select("query", "hit", distance.alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def candidate_parents(queries: DataFrame, index: DataFrame, k: int = 10, max_distance: float = schema.MAX_DISTANCE) -> DataFrame:

@@ -412,10 +412,22 @@ def two_parent(spark, sf_dir):
     return w.select((F.round("weight_a", 4) + 0.0).alias("weight_a"))
 
 
-@register("c21_k12_merge_decomposition")
+@register("c21_k12_merge_decomposition", f"""
+with {L}, t as (
+  select y.x - z.x as y, a.x - z.x as a, b.x - z.x as b from cells y join cells z on z.model = 'root' and z.tensor = y.tensor and z.r = y.r and z.c = y.c
+  join cells a on a.model = 'sft' and a.tensor = y.tensor and a.r = y.r and a.c = y.c join cells b on b.model = 'cpt' and b.tensor = y.tensor and b.r = y.r and b.c = y.c
+  where y.model = 'merge2'
+),
+w as (select greatest(0, least(1, sum((y - b) * (a - b)) / sum((a - b) * (a - b)))) as w from t),
+left_over as (select w, sqrt(sum((y - w * a - (1 - w) * b) * (y - w * a - (1 - w) * b)) / sum(y * y)) as e from t, w group by w)
+select candidate, round(weight, 4) + 0 as weight, weight > 0.05 as selected, round(e, 4) + 0 as residual, round(1 - e * e, 4) + 0 as r2
+from left_over, (values ('cpt', 1), ('lora', 2), ('sft', 3), ('unrelated', 4)) c(candidate, i), lateral (select case i when 1 then 1 - w when 3 then w else 0 end as weight)
+""")
 def decomposition(spark, sf_dir):
+    """Four candidates of which two are live: on them the simplex problem has a closed form, and no residual is left for the others."""
     found = merge.decompose(rows_of(spark, sf_dir), "merge2", ["sft", "cpt", "lora", "unrelated"], "root")
-    made = [(k, float(v), k in found["selected"], found["residual"], found["r2"]) for k, v in sorted(found["coefficients"].items())]
+    r4 = lambda x: round(float(x), 4) + 0.0
+    made = [(k, r4(v), k in found["selected"], r4(found["residual"]), r4(found["r2"])) for k, v in sorted(found["coefficients"].items())]
     return spark.createDataFrame(made, "candidate string, weight double, selected boolean, residual double, r2 double")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.functions import names, scalars
-from weftmark.operators import export, graph, metadata, metrics, rights, selection
+from weftmark.operators import baselines, direction, export, graph, metadata, metrics, pairs, rights, selection
 from weftmark.plans.catalog import register
 from weftmark.plans.queries_lineage import r6
 from weftmark.sources import texts
@@ -159,7 +159,19 @@ def ranges(spark, sf_dir):
     return selection.coalesce_ranges(r, 5000)
 
 
-@register("l06_coalesce_ranges_capped")
+@register("l06_coalesce_ranges_capped", """
+with recursive r as materialized (
+  select *, row_number() over (partition by file order by b, e) as i from (
+    select l_suppkey as file, l_partkey * 1000 as b, l_partkey * 1000 + (l_quantity * 20)::bigint as e from lineitem) where e > b),
+w(file, i, b, e, slack, g) as (
+  select file, i, b, e, 0::bigint, 0 from r where i = 1 union all
+  select w.file, r.i, case when r.b - w.e <= 5000 and w.slack + greatest(r.b - w.e, 0) <= 50000 then w.b else r.b end,
+    case when r.b - w.e <= 5000 and w.slack + greatest(r.b - w.e, 0) <= 50000 then greatest(w.e, r.e) else r.e end,
+    w.slack + case when r.b - w.e <= 5000 and w.slack + greatest(r.b - w.e, 0) <= 50000 then greatest(r.b - w.e, 0) else 0 end,
+    w.g + case when r.b - w.e <= 5000 and w.slack + greatest(r.b - w.e, 0) <= 50000 then 0 else 1 end
+  from w join r on r.file = w.file and r.i = w.i + 1)
+select file, min(b) as "begin", max(e) as "end" from w group by file, g
+""")
 def ranges_capped(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     r = t.select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") * 1000).alias("begin"), (F.col("l_partkey") * 1000 + (F.col("l_quantity") * 20).cast("long")).alias("end"))
@@ -570,13 +582,56 @@ def score_edges(spark, sf_dir):
     return s.select("tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
-@register("g14_dag_delta")
+_AXES_SQL = """
+p1 as (select distinct parent, child from pred where child <> 'root'),
+wk0(a, d, path) as (select parent, child, [parent, child] from pred union select w.a, e.child, w.path || [e.child] from wk0 w join pred e on e.parent = w.d where not list_contains(w.path, e.child)),
+wk1(a, d, path) as (select parent, child, [parent, child] from p1 union select w.a, e.child, w.path || [e.child] from wk1 w join p1 e on e.parent = w.d where not list_contains(w.path, e.child)),
+u0 as (select distinct a, d from wk0), u1 as (select distinct a, d from wk1), ut as (select distinct ancestor as a, descendant as d from up),
+r0 as (select node from nodes anti join (select child as node from pred) using (node)), r1 as (select node from nodes anti join (select child as node from p1) using (node)),
+rt as (select node from nodes anti join (select child as node from edges) using (node)),
+sc as (
+  select 0 as run, 'edges' as axis, (select count(*) from (select distinct parent, child from pred) semi join edges using (parent, child)) as tp, (select count(distinct (parent, child)) from edges) as nt, (select count(distinct (parent, child)) from pred) as np
+  union all select 1, 'edges', (select count(*) from p1 semi join edges using (parent, child)), (select count(distinct (parent, child)) from edges), (select count(*) from p1)
+  union all select 0, 'closure', (select count(*) from u0 semi join ut using (a, d)), (select count(*) from ut), (select count(*) from u0)
+  union all select 1, 'closure', (select count(*) from u1 semi join ut using (a, d)), (select count(*) from ut), (select count(*) from u1)
+  union all select 0, 'roots', (select count(*) from r0 semi join rt using (node)), (select count(*) from rt), (select count(*) from r0)
+  union all select 1, 'roots', (select count(*) from r1 semi join rt using (node)), (select count(*) from rt), (select count(*) from r1)),
+pr as (select run, axis, tp, case when nt = 0 and np = 0 then 1 when np = 0 then 0 else tp / np end as p, case when nt = 0 and np = 0 then 1 when nt = 0 then 0 else tp / nt end as r from sc),
+ax as (select *, case when p + r = 0 then 0 else 2 * p * r / (p + r) end as f from pr)
+"""
+
+
+@register("g13_dag_score_axes", f"""
+with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_PRED_SQL}, {_AXES_SQL}
+select axis, tp, round(p, 6) + 0 as precision, round(r, 6) + 0 as recall, round(f, 6) + 0 as f1 from ax where run = 0
+""")
+def score_axes(spark, sf_dir):
+    """Edges, closure and roots of a predicted lineage against the true one."""
+    s = graph.score_dag(gt_edges(spark, sf_dir), predicted(spark, sf_dir), gt_nodes(spark))
+    return s.select("axis", "tp", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("g14_dag_delta", f"""
+with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_PRED_SQL}, {_AXES_SQL}
+select x.axis, round(y.p - x.p, 6) + 0 as d_precision, round(y.r - x.r, 6) + 0 as d_recall, round(y.f - x.f, 6) + 0 as d_f1
+from ax x join ax y on x.axis = y.axis and x.run = 0 and y.run = 1
+""")
 def delta(spark, sf_dir):
     t, p, n = gt_edges(spark, sf_dir), predicted(spark, sf_dir), gt_nodes(spark)
-    return graph.dag_delta(graph.score_dag(t, p, n), graph.score_dag(t, p.where("child != 'root'"), n))
+    d = graph.dag_delta(graph.score_dag(t, p, n), graph.score_dag(t, p.where("child != 'root'"), n))
+    return d.select("axis", *[r6(c).alias(c) for c in ("d_precision", "d_recall", "d_f1")])
 
 
-@register("g15_validate")
+@register("g15_validate", f"""
+with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, ids as (select node from nodes union all select 'root'),
+p(a, b, direction) as (values ('root', 'sft', 'b->a'), ('cpt', 'sft', 'b->a'), ('root', 'ghost', 'none')),
+lb as (select *, case when exists (select 1 from up where ancestor = a and descendant = b) then 'a->b' when exists (select 1 from up where ancestor = b and descendant = a) then 'b->a' else 'no' end as want
+  from p where a < b and a in (select node from nodes) and b in (select node from nodes))
+select 'duplicate id' as problem, node as what from ids group by node having count(*) > 1
+union all select 'unknown id in edges', node from (select parent as node from edges union select child from edges) anti join nodes using (node)
+union all select 'unknown id in pairs', node from (select a as node from p union select b from p) anti join nodes using (node)
+union all select 'label contradicts edges', a || ',' || b from lb where case when direction in ('a->b', 'b->a') then direction <> want else want in ('a->b', 'b->a') end
+""")
 def validate(spark, sf_dir):
     n = gt_nodes(spark).unionByName(spark.createDataFrame([("root",)], "node string"))
     pairs = spark.createDataFrame([("root", "sft", "b->a"), ("cpt", "sft", "b->a"), ("root", "ghost", "none")], "a string, b string, direction string")
@@ -709,6 +764,104 @@ def documents(spark, sf_dir):
     return b.unionByName(export.graph_json(n, e).select(F.lit("graph").alias("kind"), "json"))
 
 
-@register("p25_ancestor_tree")
+@register("p25_ancestor_tree", f"""
+with recursive {_EDGE_SQL}, wt(node, depth, path) as (
+  select parent, 1, [child, parent] from edges where child = 'merge-ties3' union all
+  select e.parent, w.depth + 1, w.path || [e.parent] from wt w join edges e on e.child = w.node where not list_contains(w.path, e.parent))
+select row_number() over (order by array_to_string(path, '/'))::int as line_no, repeat('  ', depth) || '- ' || node as line from wt
+""")
 def tree(spark, sf_dir):
     return export.ancestor_tree(gt_edges(spark, sf_dir), "merge-ties3")
+
+
+@register("l21_graph_json_parsed", f"""
+with recursive {_EDGE_SQL}
+select 'node' as kind, node as a, null as b, null as relation, null::double as confidence from nodes
+union all select 'root', node, null, null, null from nodes anti join (select child as node from edges) using (node)
+union all select 'edge', parent, child, relation, confidence from edges
+""")
+def graph_json_parsed(spark, sf_dir):
+    """The graph document, read back: its nodes, roots and edges."""
+    text = export.graph_json(gt_nodes(spark), gt_edges(spark, sf_dir))
+    kind = "nodes array<string>, roots array<string>, edges array<struct<parent:string,child:string,relation:string,confidence:double>>"
+    doc = text.select(F.from_json("json", kind).alias("d")).select("d.*")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("b", "string"), ("relation", "string"), ("confidence", "double"))]
+    nodes = doc.select(F.lit("node").alias("kind"), F.explode("nodes").alias("a"), *none)
+    tops = doc.select(F.lit("root").alias("kind"), F.explode("roots").alias("a"), *none)
+    edges = doc.select(F.explode("edges").alias("e")).select(F.lit("edge").alias("kind"), F.col("e.parent").alias("a"), F.col("e.child").alias("b"), "e.relation", "e.confidence")
+    return nodes.unionByName(tops).unionByName(edges)
+
+
+# ---- operators that had no query of their own
+
+_HINTED = "'layer.' || l_partkey % 50 || case l_linenumber when 1 then '.qweight' when 2 then '.absmax' else '.weight' end"
+
+
+@register("a11_extra_tensor_score", f"""
+with t as (select distinct (l_suppkey % 20)::varchar as model, {_HINTED} as tensor from lineitem where l_linenumber <= 4 and l_orderkey % 3 <> l_suppkey % 3),
+m as (select model, count(*) as n from t group by model), p as (select x.model as a, y.model as b from m x join m y on x.model < y.model),
+o as (select a, b, 'a' as side, a as model, tensor from p join t on t.model = a where not exists (select 1 from t z where z.model = b and z.tensor = t.tensor)
+  union all select a, b, 'b', b, tensor from p join t on t.model = b where not exists (select 1 from t z where z.model = a and z.tensor = t.tensor))
+select a, b, side, round(least(1, sum(case when regexp_matches(lower(tensor), 'scale|zero_point|qzeros|qweight|absmax|g_idx|quant|zeros') then 2 else 1 end) / max(n)), 6) + 0 as extra
+from o join m using (model) group by a, b, side
+""")
+def extra_tensors(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4 and l_orderkey % 3 != l_suppkey % 3")
+    t = t.select((F.col("l_suppkey") % 20).cast("string").alias("model"), F.expr(_HINTED.replace("l_partkey % 50", "cast(l_partkey % 50 as string)")).alias("tensor")).distinct()
+    totals = t.groupBy("model").agg(F.count(F.lit(1)).alias("n_tensors"))
+    only = pairs.only_in_one(t, pairs.unordered_pairs(t.select("model").distinct()))
+    return metadata.extra_tensor_score(only, totals).select("a", "b", "side", r6("extra").alias("extra"))
+
+
+@register("w10_spread_layers", """
+with l as (select distinct l_suppkey::varchar as model, (l_partkey % 61)::int as layer from lineitem),
+k as (select *, row_number() over (partition by model order by layer) - 1 as place, count(*) over (partition by model) as n from l)
+select model, layer from k where list_contains(list_transform(range(0, 6), lambda i: round_even(i * (n - 1) / 5.0::double, 0)::bigint), place)
+""")
+def spread(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("model"), (F.col("l_partkey") % 61).cast("int").alias("layer")).distinct()
+    return selection.spread_layers(t)
+
+
+@register("a20_transfer_totals", """
+select l_returnflag as method, l_linenumber as run, sum(l_partkey) as bytes, count(*)::bigint as requests, round(sum(l_tax), 4) + 0 as seconds, max(l_partkey * 7) as full_size,
+       round(max(l_partkey * 7) / sum(l_partkey), 9) + 0 as reduction from lineitem group by 1, 2
+""")
+def transfers(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    s = t.select(
+        F.col("l_returnflag").alias("method"), F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("bytes"), F.lit(1).cast("long").alias("requests"),
+        F.col("l_tax").alias("seconds"), (F.col("l_partkey") * 7).alias("full_size"),
+    )
+    found = metrics.transfer_totals(s, ["method", "run"])
+    return found.select("method", "run", "bytes", "requests", (F.round("seconds", 4) + 0.0).alias("seconds"), "full_size", (F.round("reduction", 9) + 0.0).alias("reduction"))
+
+
+@register("c27_no_direction", "select distinct l_suppkey::varchar as a, l_partkey::varchar as b, 'unknown' as direction from lineitem")
+def no_direction(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b")).distinct()
+    return baselines.no_direction(p)
+
+
+_LATE = "case when l_discount > 0.06 then 'a->b' when l_discount < 0.03 then 'b->a' else 'unknown' end"
+
+
+@register("p23_evidence_sentences", f"""
+with f as (select l_orderkey, l_linenumber, l_suppkey::varchar as a, l_partkey::varchar as b, l_discount * 3 - 0.15::double as lattice_asym, l_tax * 4 - 0.2::double as zero_subset_asym,
+  l_discount * 4 - 0.2::double as zero_asym, l_tax - 0.04::double as vocab_delta, l_tax * 5 - 0.2::double as dtype_precision_asym, {_LATE} as direction from lineitem where l_linenumber = 1)
+select l_orderkey, unnest(list_filter([
+  case when abs(lattice_asym) >= 0.15 then printf('%s sits on a value lattice that the other does not (gap %.3f)', case when lattice_asym > 0 then b else a end, abs(lattice_asym)) end,
+  case when abs(zero_subset_asym) >= 0.15 then printf('zeros of the other model persist in %s (containment gap %.3f)', case when zero_subset_asym > 0 then b else a end, abs(zero_subset_asym)) end,
+  case when abs(zero_asym) >= 0.20 then printf('%s holds more exact zeros (gap %.3f)', case when zero_asym > 0 then b else a end, abs(zero_asym)) end,
+  case when abs(vocab_delta) >= 0.05 then printf('%s has a larger vocabulary (score %.3f)', case when vocab_delta > 0 then b else a end, abs(vocab_delta)) end,
+  case when abs(dtype_precision_asym) >= 0.15 then printf('%s is stored at lower precision (score %.3f)', case when dtype_precision_asym > 0 then b else a end, abs(dtype_precision_asym)) end,
+  case when direction = 'unknown' then printf('evidence is too weak to orient %s and %s', a, b) end], lambda x: x is not null)) as sentence from f
+""")
+def sentences(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    f = t.select(
+        "l_orderkey", F.col("l_suppkey").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"),
+        (F.col("l_discount") * 3 - 0.15).alias("lattice_asym"), (F.col("l_tax") * 4 - 0.2).alias("zero_subset_asym"), (F.col("l_discount") * 4 - 0.2).alias("zero_asym"),
+        (F.col("l_tax") - 0.04).alias("vocab_delta"), (F.col("l_tax") * 5 - 0.2).alias("dtype_precision_asym"), F.expr(_LATE).alias("direction"),
+    )
+    return f.select("l_orderkey", F.explode(direction.evidence_sentences()).alias("sentence"))
