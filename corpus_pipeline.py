@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and
 returns a DataFrame that is written as Parquet and read again for the next one.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever else these are and whatever their
+names.  An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -19,27 +20,46 @@ from weftmark.plans.shared import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current rule policy; null texts go, nulls elsewhere stay."""
+    """Documents that pass the current rule policy, with all their columns.
+
+    A null or empty text has too few words and goes; nulls elsewhere stay.  Each row is
+    judged by itself and whole, however long, so repeated rows share their fate.
+    """
     return keep_quality(docs, POLICY)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of equal normalised texts, that with the smallest doc_id."""
+    """One row of every group of equal normalised texts, that with the smallest doc_id.
+
+    Null counts as empty, a null doc_id comes after all others, and of rows that repeat a
+    doc_id one stays.  Very long texts are hashed whole.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every component of documents at Jaccard similarity 0.75 or more."""
+    """One row of every component of documents at Jaccard similarity 0.75 or more, the smallest doc_id.
+
+    Texts without words link with nothing and stay.  Of rows that repeat a doc_id one
+    stays.  Very long texts are compared by all their shingles.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights.
+
+    A null source is a source of its own; a document without words has size 0; ties are
+    ordered by doc_id and then by hashes of the whole row.
+    """
     return take_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_ids, and whether decoding gives the text back; a row per copy of a document."""
+    """doc_id, ids, n_ids, and whether decoding gives the text back; a row per copy of a document.
+
+    Null text gives null ids.  Every character of a text, however long, is encoded.
+    """
     return round_trip(docs, read_model(TOKENIZER))
 
 
