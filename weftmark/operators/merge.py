@@ -1,18 +1,20 @@
 """Merge decomposition: which candidates a model mixes, and by what weights.
 
-Spark aggregates the inner products of all models involved in one pass; everything after
-works on that small matrix, since norms and products of differences follow from it.
+Spark aggregates the inner products of every child's models in one pass; everything after
+works on a child's small matrix, since norms and products of differences follow from it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmark.functions import linalg
 from weftmark.operators import pairs as geometry
 from weftmark.operators import selection
+from weftmark.plans.shared import materialize
 
 SUPPORT, DEGENERATE, L1 = 0.05, 1e-6, 1e-3
 
@@ -39,27 +41,14 @@ def gram(rows: DataFrame, models: list[str], min_numel: int = 0) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum(geometry.dot("va", "vb")).alias("ab"))
 
 
-def decompose(
-    rows: DataFrame, child: str, candidates: list[str], base: str | None = None, *, l1: float = L1,
-    sum_to_one: bool = True, support: float = SUPPORT, coords: int | None = None, min_numel: int = 0, seed: int = 0,
+def _solve(
+    child: str, candidates: list[str], usable: set[str], table: dict[tuple[str, str], float], base: str | None,
+    l1: float, sum_to_one: bool, support: float,
 ) -> dict:
-    """Weights of the candidates in the child: coefficients, selected, residual, r2, base.
-
-    The result of the aggregation has one row per pair of models involved; it is all that
-    reaches the driver.  Candidates without a common tensor get 0.
-    """
-    mine = rows.where(F.col("model").isin([child, *candidates, *([base] if base else [])]))
-    child_tensors = mine.where(F.col("model") == child).select("tensor").distinct()
-    usable = {r["model"] for r in mine.join(child_tensors, "tensor", "left_semi").select("model").distinct().collect()}
+    """Weights from the inner products of the child, its usable candidates and the base."""
     open_ = [c for c in candidates if c in usable and c != child]
     out = {"child": child, "coefficients": {c: 0.0 for c in candidates}, "selected": [], "residual": 1.0, "r2": 0.0, "base": base}
-    if not open_:
-        return out
-    models = list(dict.fromkeys([child, *open_, *([base] if base else [])]))
-    table = {}
-    for r in gram(sample_coordinates(mine, coords, seed), models, min_numel).collect():
-        table[r["a"], r["b"]] = table[r["b"], r["a"]] = r["ab"]
-    if (child, child) not in table:
+    if not open_ or (child, child) not in table:
         return out
     ip = lambda a, b: table.get((a, b), 0.0)
     gap = lambda a, b: max(ip(a, a) + ip(b, b) - 2 * ip(a, b), 0.0) ** 0.5
@@ -88,6 +77,76 @@ def decompose(
     return out
 
 
+def grams(rows: DataFrame, members: DataFrame, min_numel: int = 0) -> DataFrame:
+    """(child, a, b, ab), a <= b: inner products within each child's members (child, model).
+
+    Per child over the 2-D tensors that all its members with any tensor of the child have in one shape.
+    """
+    shapes = geometry.tensors_of(rows.join(members.select("model").distinct(), "model", "left_semi"))
+    held = members.join(shapes, "model")
+    own = held.where(F.col("model") == F.col("child")).select("child", "tensor")
+    usable = held.join(own, ["child", "tensor"], "left_semi").select("child", "model").distinct()
+    count = usable.groupBy("child").agg(F.count(F.lit(1)).alias("members"))
+    wide = held.join(usable, ["child", "model"], "left_semi").where((F.col("numel") >= min_numel) & (F.least("n_rows", "n_cols") >= 2))
+    seen = wide.groupBy("child", "tensor").agg(F.count_distinct("model").alias("n"), F.count_distinct("n_rows", "n_cols").alias("shapes"))
+    shared = seen.join(count, "child").where("n = members and shapes = 1").select("child", "tensor")
+    mine = rows.select("model", "tensor", "row_idx", "v").join(usable, "model").join(shared, ["child", "tensor"], "left_semi")
+    a = mine.select("child", "tensor", "row_idx", F.col("model").alias("a"), F.col("v").alias("va"))
+    b = mine.select("child", "tensor", "row_idx", F.col("model").alias("b"), F.col("v").alias("vb"))
+    met = a.join(b, ["child", "tensor", "row_idx"]).where("a <= b")
+    return met.groupBy("child", "a", "b").agg(F.sum(geometry.dot("va", "vb")).alias("ab"))
+
+
+def decompose_all(
+    rows: DataFrame, claims: DataFrame, base: str | None = None, *, l1: float = L1, sum_to_one: bool = True,
+    support: float = SUPPORT, coords: int | None = None, min_numel: int = 0, seed: int = 0,
+) -> DataFrame:
+    """(child, candidate, weight, selected, residual, r2, base) for all claims (child, candidate) at once.
+
+    One aggregation gives every child's inner products; a group of the solver is one child's
+    matrix, as large as the square of its claimed parents.  Children or candidates without rows
+    keep weight 0.
+    """
+    claims = claims.select("child", "candidate").distinct()
+    members = claims.select("child", F.col("candidate").alias("model")).unionByName(claims.select("child", F.col("child").alias("model")))
+    if base is not None:
+        members = members.unionByName(claims.select("child", F.lit(base).alias("model")))
+    products = grams(sample_coordinates(rows, coords, seed), members.distinct(), min_numel)
+
+    def one(key: tuple, claimed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        table = {}
+        for a, b, ab in zip(found["a"], found["b"], found["ab"], strict=True):
+            table[a, b] = table[b, a] = ab
+        names = sorted(claimed["candidate"])
+        if base is not None and (base, base) not in table:
+            table = {}
+        r = _solve(key[0], names, {a for a, _ in table}, table, base, l1, sum_to_one, support)
+        return pd.DataFrame({
+            "child": key[0], "candidate": names, "weight": [r["coefficients"][n] for n in names],
+            "selected": [n in r["selected"] for n in names], "residual": r["residual"], "r2": r["r2"], "base": r["base"],
+        })
+
+    schema = "child string, candidate string, weight double, selected boolean, residual double, r2 double, base string"
+    asked = claims.select(F.col("child").alias("of"), "candidate")
+    return asked.groupBy("of").cogroup(products.groupBy("child")).applyInPandas(one, schema)
+
+
+def decompose(rows: DataFrame, child: str, candidates: list[str], base: str | None = None, **options) -> dict:
+    """Weights of the candidates in one child: coefficients, selected, residual, r2, base.
+
+    The result has one row per candidate; it is all that reaches the driver.
+    """
+    spark = rows.sparkSession
+    claims = spark.createDataFrame([(child, c) for c in candidates], "child string, candidate string")
+    found = decompose_all(rows, claims, base, **options).collect()
+    out = {"child": child, "coefficients": {c: 0.0 for c in candidates}, "selected": [], "residual": 1.0, "r2": 0.0, "base": base}
+    for r in sorted(found, key=lambda r: r["candidate"]):
+        out["coefficients"][r["candidate"]] = r["weight"]
+        out["selected"] += [r["candidate"]] * r["selected"]
+        out |= {"residual": r["residual"], "r2": r["r2"], "base": r["base"]}
+    return out
+
+
 def two_parent_weight(rows: DataFrame, child: str, a: str, b: str) -> DataFrame:
     """Closed form for two parents on the simplex: (weight_a, residual)."""
     m = gram(rows, [child, a, b])
@@ -103,19 +162,12 @@ def two_parent_weight(rows: DataFrame, child: str, a: str, b: str) -> DataFrame:
 
 
 def resolve_merges(rows: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    """Decompose every child with two parents or more; keep the selected, with weight and relation merge.
-
-    Children with several claimed parents are few; each costs one aggregation.
-    """
-    claims: dict[str, list[str]] = {}
-    for r in edges.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("ps")).where("size(ps) >= 2").collect():
-        claims[r["child"]] = r["ps"]
-    made = []
-    for child, parents in sorted(claims.items()):
-        found = decompose(rows, child, parents, **options)
-        made += [(p, child, found["coefficients"][p]) for p in found["selected"]]
-    weights = edges.sparkSession.createDataFrame(made, "parent string, child string, w double")
-    met = edges.join(weights, ["parent", "child"], "left")
-    many = F.col("child").isin(sorted({c for _, c, _ in made})) if made else F.lit(False)
-    kept = met.where(~many | F.col("w").isNotNull())
+    """Decompose every child with two parents or more; keep the selected, with weight and relation merge."""
+    several = edges.groupBy("child").agg(F.count_distinct("parent").alias("n")).where("n >= 2").select("child")
+    claims = edges.join(several, "child", "left_semi").select("child", F.col("parent").alias("candidate"))
+    found = materialize(decompose_all(rows, claims, **options).where("selected"), "merge-weights")
+    weights = found.select(F.col("candidate").alias("parent"), "child", F.col("weight").alias("w"))
+    solved = weights.select("child").distinct().withColumn("solved", F.lit(True))
+    met = edges.join(weights, ["parent", "child"], "left").join(solved, "child", "left")
+    kept = met.where(F.col("solved").isNull() | F.col("w").isNotNull()).select(*edges.columns, "w")
     return kept.withColumn("weight", F.coalesce("w", "weight")).withColumn("relation", F.when(F.col("w").isNotNull(), "merge").otherwise(F.col("relation"))).drop("w")
