@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,26 +52,31 @@ def coalesce_ranges(ranges: DataFrame, gap: int = schema.COALESCE_GAP, by: str =
 def coalesce_capped(ranges: DataFrame, gap: int, max_slack: int, by: str = "file") -> DataFrame:
     """As :func:`coalesce_ranges` with a limit on all hole bytes taken, decided in order within a file.
 
-    A file's ranges (one per tensor run of its header) are folded in one sorted array.
+    The order matters, so each task walks its files' sorted ranges once and holds one open range.
     """
-    kind = "array<struct<begin:bigint,end:bigint>>"
-    state = F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("long").alias("slack"))
-
-    def fold(acc, r):
-        last = F.element_at(acc["out"], -1)
-        hole = r["begin"] - last["end"]
-        fits = (F.size(acc["out"]) > 0) & (hole <= gap) & (acc["slack"] + F.greatest(hole, F.lit(0)) <= max_slack)
-        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], r["end"]).alias("end"))
-        merged = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(grown))
-        return F.when(
-            F.coalesce(fits, F.lit(False)),
-            F.struct(merged.alias("out"), (acc["slack"] + F.greatest(hole, F.lit(0).cast("long"))).alias("slack")),
-        ).otherwise(F.struct(F.concat(acc["out"], F.array(r)).alias("out"), acc["slack"].alias("slack")))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))))
-    grouped = ranges.where("end > begin").groupBy(by).agg(ordered.alias("rs"))
-
-    return grouped.select(by, F.inline(F.aggregate("rs", state, fold, lambda acc: acc["out"])))
+    placed = ranges.where("end > begin").select(by, F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+
+    def walk(batches):
+        current = None
+        for batch in batches:
+            done = []
+            for f, first, last in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if current is not None and current[0] == f:
+                    hole = first - current[2]
+                    if hole <= gap and current[3] + max(hole, 0) <= max_slack:
+                        current = (f, current[1], max(current[2], last), current[3] + max(hole, 0))
+                        continue
+                    done.append(current[:3])
+                    current = (f, first, last, current[3])
+                else:
+                    if current is not None:
+                        done.append(current[:3])
+                    current = (f, first, last, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], batch.schema.field(i).type) for i in range(3)], batch.schema.names)
+        if current is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], batch.schema.field(i).type) for i, x in enumerate(current[:3])], batch.schema.names)
+
+    return placed.repartition(by).sortWithinPartitions(by, "begin", "end").mapInArrow(walk, placed.schema)
 
 
 def common_tensors(tensors: DataFrame, min_numel: int, models: int | None = None) -> DataFrame:
