@@ -82,6 +82,25 @@ def extend_vocab(rows: DataFrame, tensor: str, extra: int, scale: float = 0.02)
     return rows.select("tensor", "row_idx", "v").unionByName(made)
 
 
+def low_rank_delta(rows: DataFrame, rank: int = 8, relative: float = 0.03) -> DataFrame:
+    """Add to every matrix a delta of the given rank whose norm is ``relative`` of the matrix's own.
+
+    The factors are waves of the row and of the column, one frequency for each rank, so nothing is
+    drawn and no factor is stored.  Single rows stay as they are.
+    """
+    left = lambda k: F.sin((F.col("row_idx") + 1) * F.lit(12.9898) * k)
+    factors = rows.select("tensor", "row_idx", "v", F.transform(F.sequence(F.lit(1), F.lit(rank)), left).alias("u"))
+    cell = lambda c: F.aggregate(
+        F.transform("u", lambda x, k: x * F.cos((c + 1) * F.lit(78.233) * (k + 1))), F.lit(0.0), lambda s, x: s + x
+    )
+    made = factors.select("tensor", "row_idx", "v", F.transform("v", lambda x, c: cell(c)).alias("d"))
+    square = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    norms = made.groupBy("tensor").agg(square("v").alias("vv"), square("d").alias("dd"), F.count(F.lit(1)).alias("n"))
+    size = F.when(F.col("n") >= 2, F.coalesce(F.try_divide(F.lit(relative) * F.sqrt("vv"), F.sqrt("dd")), F.lit(0.0))).otherwise(0.0)
+    met = made.join(norms.select("tensor", size.alias("__s")), "tensor")
+    return met.select("tensor", "row_idx", F.zip_with("v", "d", lambda x, d: x + F.col("__s") * d).alias("v"))
+
+
 def halve_depth(tensors: DataFrame, name: str = "tensor") -> DataFrame:
     """Keep even layers and renumber them; tensors outside layers stay."""
     layer = F.regexp_extract(name, r"\.layers\.(\d+)\.", 1)

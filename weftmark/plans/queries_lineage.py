@@ -588,6 +588,15 @@ def f11(spark, sf_dir):
     return cells.groupBy("model", "tensor").agg(F.count(F.lit(1)).alias("cells"), r6(F.sum(F.col("x") * (F.col("c") + 1))).alias("total"))
 
 
+@register("f11_low_rank_delta", f"""
+with {L}, w as (select tensor, r, c, x, list_sum(list_transform(range(1, 9), lambda k: sin((r + 1) * 12.9898::double * k) * cos((c + 1) * 78.233::double * k))) as d from c_root),
+s as (select tensor, case when count(distinct r) >= 2 then 0.03::double * sqrt(sum(x * x)) / sqrt(sum(d * d)) else 0 end as s from w group by tensor),
+y as (select tensor, r, c, x + s * d as x from w join s using (tensor)) {_SUMMARY_SQL}
+""")
+def low_rank(spark, sf_dir):
+    return _summary(simulate.low_rank_delta(_root(spark, sf_dir)))
+
+
 @register("l05_row_sample", f"""
 with {L}, t as (select tensor, count(distinct r)::bigint as n from cells where model = 'root' group by tensor),
 s as (select tensor, n, unnest(list_transform(range(0, 16), lambda i: round_even(i * (n - 1) / 15.0::double, 0)::bigint)) as st from t where n > 24),
