@@ -384,20 +384,6 @@ def prf(spark, sf_dir):
     return metrics.parent_set_prf(c).select("g", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
-@register("e03_hard_controls", f"""
-with {_HEADER_SQL}, s as (select model, sha256(string_agg(tensor || ':' || d0 || ':' || 1, '|' order by tensor || ':' || d0 || ':' || 1)) as sig from (select model, tensor, d0 % 2 as d0 from hh) group by model)
-select x.model as a, y.model as b, (x.model::int + y.model::int) % 3 = 0 as related, not (x.model::int + y.model::int) % 3 = 0 and x.sig = y.sig as hard
-from s x join s y on x.model < y.model where x.model::int <= 40 and y.model::int <= 40
-""")
-def hard(spark, sf_dir):
-    h = headers(spark, sf_dir).select("model", "tensor", (F.get("shape", 0) % 2).alias("n_rows"), F.lit(1).alias("n_cols"))
-    s = metrics.shape_signature(h)
-    few = s.where(F.col("model").cast("int") <= 40)  # a universe of forty models
-    a, b = few.select(F.col("model").alias("a")), few.select(F.col("model").alias("b"))
-    p = a.join(b, F.col("a") < F.col("b")).withColumn("related", (F.col("a").cast("int") + F.col("b").cast("int")) % 3 == 0)
-    return metrics.hard_controls(p, s).select("a", "b", "related", "hard")
-
-
 _SIGNATURE_SQL = """s as (select model, sha256(string_agg(tensor || ':' || d0 || ':' || 1, '|' order by tensor || ':' || d0 || ':' || 1)) as sig
   from (select model, tensor, d0 % 2 as d0 from hh) group by model)"""
 
@@ -407,6 +393,19 @@ def signatures(spark, sf_dir):
     return metrics.shape_signature(h)
 
 
+@register("e03_hard_controls", f"""
+with {_HEADER_SQL}, {_SIGNATURE_SQL},
+p as (select distinct x.l_suppkey::varchar as a, y.l_suppkey::varchar as b from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_suppkey::varchar < y.l_suppkey::varchar)
+select a, b, (a::int + b::int) % 3 = 0 as related, not (a::int + b::int) % 3 = 0 and x.sig = y.sig as hard from p join s x on x.model = a join s y on y.model = b
+""")
+def hard(spark, sf_dir):
+    """The rule of equal shapes alone, over all pairs of suppliers that met in an order."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("a")).distinct()
+    p = t.join(t.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
+    p = p.withColumn("related", (F.col("a").cast("int") + F.col("b").cast("int")) % 3 == 0)
+    return metrics.hard_controls(p, signatures(spark, sf_dir)).select("a", "b", "related", "hard")
+
+
 @register("e03_signature_classes", f"""
 with {_HEADER_SQL}, {_SIGNATURE_SQL} select model, sig as signature, count(*) over (partition by sig) as class_size,
   count(*) over (partition by sig) - 1 - (select count(*) from s y where y.sig = x.sig and y.model <> x.model and (x.model::int + y.model::int) % 3 = 0) as n_hard from s x
