@@ -15,25 +15,20 @@ from pyspark.sql import functions as F
 
 from weftmark.operators import direction, export, graph, index, merge, phylogeny, rights, sketch
 from weftmark.plans.session import local_session
-from weftmark.plans.shared import materialize
+from weftmark.plans.shared import materialize, shared_dir
 from weftmark.sources import safetensors, texts
 
 
 def model_rows(spark: SparkSession, refs: list[str], max_rows: int) -> DataFrame:
     """Sampled rows of checkpoints by their folder names, read once."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(safetensors.SafetensorsSource)
     models = {os.path.basename(r.rstrip("/")): r for r in refs}
-    read = spark.read.format("safetensors").option("models", json.dumps(models)).option("max_rows", max_rows)
-    return materialize(read.load(), "cli-rows")
+    return materialize(safetensors.scan(spark, models, max_rows=max_rows), "cli-rows")
 
 
 def model_headers(spark: SparkSession, refs: list[str]) -> DataFrame:
     """Tensor headers of checkpoints by their folder names: model, tensor, dtype, shape."""
-    spark.dataSource.register(safetensors.SafetensorsSource)
     models = {os.path.basename(r.rstrip("/")): r for r in refs}
-    read = spark.read.format("safetensors").option("models", json.dumps(models)).option("mode", "metadata")
-    return materialize(read.load().select("model", "tensor", "dtype", "shape"), "cli-headers")
+    return materialize(safetensors.scan(spark, models, mode="metadata").select("model", "tensor", "dtype", "shape"), "cli-headers")
 
 
 def _pair(spark: SparkSession, a: str, b: str) -> DataFrame:
@@ -57,7 +52,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "sketch":
         _show(sketch.sketch(model_rows(spark, args.models, args.max_rows)))
     elif args.command == "index":
-        index.save(sketch.sketch(model_rows(spark, args.models, args.max_rows)), args.out)
+        universe = index.universe_of(spark, {name(r): r for r in args.models})
+        made, failures = index.build(universe, args.cache or f"{shared_dir(spark)}/weftmark-index-cache", max_rows=args.max_rows)
+        index.save(made, args.out)
+        _show(failures.orderBy("model"))
     elif args.command == "decompose":
         refs = [args.child, *args.candidates, *([args.base] if args.base else [])]
         rows = model_rows(spark, refs, args.max_rows)
@@ -120,6 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("models", nargs="+")
         if command == "index":
             p.add_argument("--out", required=True)
+            p.add_argument("--cache", help="folder of headers and sketches that later runs take up")
     args = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from weftmark import schema
 from weftmark.functions import linalg
-from weftmark.operators import export
+from weftmark.operators import export, sketch
+from weftmark.plans.shared import materialize
+from weftmark.sources import safetensors
 
 
 def save(index: DataFrame, path: str) -> None:
@@ -33,6 +36,69 @@ def missing(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("model").distinct().join(index.select("model"), "model", "left_anti")
 
 
+def keyed(universe: DataFrame, *parameters) -> DataFrame:
+    """Add ``key`` to (model, ref, revision, stamp): a digest of what a stored result depends on."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("ref", "revision", "stamp")] + [F.lit(str(p)) for p in parameters]
+    return universe.withColumn("key", F.sha2(F.to_json(F.array(*parts)), 256))
+
+
+def cached(universe: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], *parameters) -> DataFrame:
+    """Rows of ``make`` for every model of the universe (model, ref, revision, stamp), made once per key.
+
+    ``path`` holds a Parquet table of earlier results by key.  Only models whose key it lacks are
+    passed to ``make``, whose rows (model, ...) are appended; a changed stamp, revision, reference or
+    parameter is another key.  Two models of one key are made once.  Results carry the universe's names.
+    """
+    spark = universe.sparkSession
+    asked = materialize(keyed(universe, *parameters).select("model", "ref", "revision", "stamp", "key"), "cache-asked")
+    first = asked.groupBy("key").agg(F.min_by(F.struct("model", "ref", "revision", "stamp"), "model").alias("m")).select("key", "m.*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    todo = first.join(spark.read.parquet(path).select("key").distinct(), "key", "left_anti") if there else first
+    todo = materialize(todo, "cache-todo")
+    if not there or not todo.isEmpty():
+        made = make(todo.drop("key"))
+        made.join(todo.select("model", "key"), "model").drop("model").write.mode("append").parquet(path)
+    return asked.select("model", "key").join(spark.read.parquet(path), "key").drop("key")
+
+
+def universe_of(spark: SparkSession, refs: dict[str, str], revision: str = "main") -> DataFrame:
+    """(model, ref, revision, stamp): the stamp is the latest change of a local checkpoint's files, null for others."""
+    def stamp(ref: str) -> int | None:
+        if safetensors.is_url(ref) or not os.path.exists(ref):
+            return None
+        return max((os.stat(f).st_mtime_ns for f in safetensors.shards(ref)), default=0)
+
+    made = [(m, r, revision, stamp(r)) for m, r in sorted(refs.items())]
+    return spark.createDataFrame(made, "model string, ref string, revision string, stamp long")
+
+
+def _scan(todo: DataFrame, **options) -> DataFrame:
+    refs = {r["model"]: r["ref"] for r in todo.select("model", "ref").collect()}  # names of checkpoints, given by the caller
+    return safetensors.scan(todo.sparkSession, refs, **options)
+
+
+def headers(universe: DataFrame, path: str, **options) -> DataFrame:
+    """Headers of a universe with ``error`` for what cannot be read, from the cache where the key is known.
+
+    Failures are cached too, under the stamp they were seen with.
+    """
+    return cached(universe, path, lambda todo: _scan(todo, mode="metadata", on_error="record", **options), "headers", sorted(options.items()))
+
+
+def build(universe: DataFrame, path: str, *, k: int = 64, max_rows: int = 2048, **options) -> tuple[DataFrame, DataFrame]:
+    """(index, failures) of a universe: sketches by key from the cache, and (model, error) of what cannot be read."""
+    found = headers(universe, f"{path}/headers", **options)
+    failures = found.where("error is not null").select("model", "error")
+    good = universe.join(failures, "model", "left_anti")
+
+    def make(todo: DataFrame) -> DataFrame:
+        rows = materialize(_scan(todo, max_rows=max_rows, on_error="record", **options), "index-rows")
+        return sketch.sketch(rows, k, max_rows)
+
+    return cached(good, f"{path}/sketches", make, "sketch", schema.INDEX_VERSION, k, max_rows, sorted(options.items())), failures
+
+
 def save_weights(path: str, weights: dict[str, float]) -> None:
     export.write_json(path, {"version": schema.DIRECTION_VERSION, "weights": weights})
 

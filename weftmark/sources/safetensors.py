@@ -4,27 +4,37 @@
     spark.read.format("safetensors").option("models", '{"a": "/path"}').option("mode", "metadata").load()
     spark.read.format("safetensors").option("models", ...).option("max_rows", 256).load()
 
-Headers are read when the scan is planned; each task then reads one run of rows of
-one tensor, and only its bytes.  Filters on model and tensor are pushed into the plan
-(set spark.sql.python.filterPushdown.enabled).
+A model is a folder, a file, a URL or a hub id (options ``endpoint`` and ``revision``).
+Tables of headers are read by the tasks, one model each.  A scan of rows reads headers while
+it is planned, sixteen models at a time; its tasks then read runs of rows of some 64 MB in
+all, and only their bytes.  Filters on model and tensor are pushed into the plan
+(set spark.sql.python.filterPushdown.enabled).  With ``on_error`` set to ``record`` a model
+that cannot be read has one row of headers with its ``error`` and no rows; else it fails the scan.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
+import re
 import struct
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 #: Longest header that is believed, and seconds between attempts of a request.
 MAX_HEADER, BACKOFF, MAX_RETRY_AFTER = 512 << 20, (0.5, 1.0, 2.0), 30.0
+#: Public model hub, and bytes of rows that one task reads.
+HUB, TASK_BYTES = "https://huggingface.co", 64 << 20
 _NUMPY = {
     "F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "<i1",
     "U64": "<u8", "U32": "<u4", "U16": "<u2", "U8": "<u1", "BOOL": "<u1",
@@ -77,28 +87,61 @@ def read_range(path: str, begin: int, end: int) -> bytes:
     return raw
 
 
-def _http_range(url: str, begin: int, end: int) -> bytes:
-    request = urllib.request.Request(url, headers={"Range": f"bytes={begin}-{end - 1}"})
+def fetch(url: str, headers: dict[str, str] | None = None) -> tuple[int, bytes]:
+    """Status and body of a GET; refused answers, broken connections and timeouts are tried again."""
+    request = urllib.request.Request(url, headers=headers or {})
     for attempt, pause in enumerate(BACKOFF):
+        last = attempt == len(BACKOFF) - 1
         try:
             with urllib.request.urlopen(request, timeout=60) as answer:
-                if answer.status != 206:
-                    raise OSError(f"{url}: the server ignored the range")
-                return answer.read()
+                return answer.status, answer.read()
         except urllib.error.HTTPError as e:
-            if e.code not in (408, 429, 500, 502, 503, 504) or attempt == len(BACKOFF) - 1:
+            if e.code not in (408, 429, 500, 502, 503, 504) or last:
                 raise
             wait = e.headers.get("Retry-After", "")
             time.sleep(min(float(wait), MAX_RETRY_AFTER) if wait.replace(".", "", 1).isdigit() else pause)
+        except (urllib.error.URLError, ConnectionError, TimeoutError, http.client.HTTPException):
+            if last:
+                raise
+            time.sleep(pause)
     raise OSError(url)
 
 
-def shards(path: str) -> list[str]:
-    """Shard files of a checkpoint folder, file or URL: by the index, else the single file, else all there are."""
+def _http_range(url: str, begin: int, end: int) -> bytes:
+    status, raw = fetch(url, {"Range": f"bytes={begin}-{end - 1}"})
+    if status != 206:
+        raise OSError(f"{url}: the server ignored the range")
+    return raw
+
+
+def _found(url: str) -> bytes | None:
+    """Body of a small document, None where there is none."""
+    try:
+        return fetch(url)[1]
+    except urllib.error.HTTPError as e:
+        if e.code in (401, 403, 404):
+            return None
+        raise
+
+
+def is_url(ref: str) -> bool:
+    return ref.startswith(("http://", "https://"))
+
+
+def is_hub_id(ref: str) -> bool:
+    """``owner/name`` that is no path on this machine."""
+    return bool(re.fullmatch(r"[\w.-]+/[\w.-]+", ref)) and not ref.startswith(".") and not os.path.exists(ref)
+
+
+def shards(path: str, endpoint: str = HUB, revision: str = "main") -> list[str]:
+    """Shard files of a checkpoint folder, file, URL or hub id: by the index, else the single file, else all there are."""
     if path.endswith(".safetensors"):
         return [path]
-    if path.startswith(("http://", "https://")):
-        return [f"{path.rstrip('/')}/model.safetensors"]
+    if is_url(path):
+        return _remote_shards(path.rstrip("/"), None)
+    if is_hub_id(path):
+        listing = f"{endpoint}/api/models/{path}/revision/{urllib.parse.quote(revision, safe='')}"
+        return _remote_shards(f"{endpoint}/{path}/resolve/{urllib.parse.quote(revision, safe='')}", listing)
     index = os.path.join(path, "model.safetensors.index.json")
     if os.path.exists(index):
         with open(index, encoding="utf-8") as f:
@@ -109,6 +152,17 @@ def shards(path: str) -> list[str]:
     return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith(".safetensors")]
 
 
+def _remote_shards(base: str, listing: str | None) -> list[str]:
+    index = _found(f"{base}/model.safetensors.index.json")
+    if index is not None:
+        return [f"{base}/{x}" for x in sorted(set(json.loads(index)["weight_map"].values()))]
+    single = f"{base}/model.safetensors"
+    if listing is None:
+        return [single]
+    names = sorted(x["rfilename"] for x in json.loads(fetch(listing)[1])["siblings"] if x["rfilename"].endswith(".safetensors"))
+    return [single] if "model.safetensors" in names else [f"{base}/{x}" for x in names]
+
+
 def header(file: str) -> list[dict]:
     """Tensors of a shard: name, dtype, shape, begin and end in the file."""
     size = struct.unpack("<Q", read_range(file, 0, 8))[0]
@@ -141,7 +195,9 @@ def sampled_runs(n: int, max_rows: int | None, blocks: int = 16) -> list[tuple[i
 
 
 @dataclass
-class Run(InputPartition):
+class Run:
+    """Consecutive rows of one tensor."""
+
     model: str
     tensor: str
     dtype: str
@@ -151,12 +207,27 @@ class Run(InputPartition):
     first: int
     last: int
 
+    @property
+    def bytes(self) -> int:
+        return (self.last - self.first) * self.width * ITEM.get(self.dtype, 8)
+
+
+@dataclass
+class Task(InputPartition):
+    """What one task reads: the headers of a model, or runs of about ``TASK_BYTES`` in all."""
+
+    model: str = ""
+    path: str = ""
+    runs: list[Run] = field(default_factory=list)
+
 
 class SafetensorsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.models: dict[str, str] = json.loads(options["models"])
         self.metadata = options.get("mode", "rows") == "metadata"
         self.max_rows = int(options["max_rows"]) if "max_rows" in options else None
+        self.record = options.get("on_error", "fail") == "record"
+        self.hub = (options.get("endpoint", HUB).rstrip("/"), options.get("revision", "main"))
         self.only: dict[str, set[str]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -167,40 +238,63 @@ class SafetensorsReader(DataSourceReader):
             else:
                 yield f
 
-    def _wanted(self, kind: str, value: str) -> bool:
+    def _wanted(self, kind: str, value: str | None) -> bool:
         return kind not in self.only or value in self.only[kind]
 
+    def _headers(self, path: str) -> tuple[list[dict], str | None]:
+        """Wanted tensors of a checkpoint, and why it cannot be read if failures are recorded."""
+        try:
+            found = [t for file in shards(path, *self.hub) for t in header(file)]
+        except (OSError, ValueError, KeyError, TypeError, struct.error, http.client.HTTPException) as e:
+            if not self.record:
+                raise
+            return [], f"{type(e).__name__}: {e}"
+        return [t for t in found if self._wanted("tensor", t["tensor"])], None
+
+    def _runs(self, model: str, path: str) -> list[Run]:
+        out = []
+        for t in self._headers(path)[0]:
+            shape = t["shape"]
+            rows = shape[0] if len(shape) >= 2 else 1
+            width = int(np.prod(shape[1:])) if len(shape) >= 2 else int(np.prod(shape or [1]))
+            for first, last in sampled_runs(rows, self.max_rows):
+                step = max(1, TASK_BYTES // max(1, width * ITEM.get(t["dtype"], 8)))
+                for at in range(first, last, step):
+                    out.append(Run(model, t["tensor"], t["dtype"], t["file"], t["begin"], width, at, min(at + step, last)))
+        return out
+
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for model, path in sorted(self.models.items()):
-            if not self._wanted("model", model):
-                continue
-            for file in shards(path):
-                for t in header(file):
-                    if not self._wanted("tensor", t["tensor"]):
-                        continue
-                    shape = t["shape"]
-                    rows = shape[0] if len(shape) >= 2 else 1
-                    width = int(np.prod(shape[1:])) if len(shape) >= 2 else int(np.prod(shape or [1]))
-                    if self.metadata:
-                        out.append(Run(model, json.dumps(t), t["dtype"], file, t["begin"], width, 0, 0))
-                        continue
-                    for first, last in sampled_runs(rows, self.max_rows):
-                        out.append(Run(model, t["tensor"], t["dtype"], file, t["begin"], width, first, last))
-        return out or [Run("", "", "", "", 0, 0, 0, -1)]
-
-    def read(self, run: Run) -> Iterator[tuple]:
-        if run.last < 0:
-            return
+        wanted = [(m, p) for m, p in sorted(self.models.items()) if self._wanted("model", m)]
+        if self.metadata:
+            return [Task(m, p) for m, p in wanted] or [Task()]
+        tasks, held = [Task()], 0
+        with ThreadPoolExecutor(16) as pool:
+            for runs in pool.map(lambda x: self._runs(*x), wanted):
+                for run in runs:
+                    if tasks[-1].runs and held + run.bytes > TASK_BYTES:
+                        tasks.append(Task())
+                        held = 0
+                    tasks[-1].runs.append(run)
+                    held += run.bytes
+        return tasks
+
+    def read(self, task: Task) -> Iterator[tuple]:
         if self.metadata:
-            t = json.loads(run.tensor)
-            yield run.model, t["tensor"], t["dtype"], t["shape"], t["begin"], t["end"], t["file"]
+            if not task.model:
+                return
+            found, error = self._headers(task.path)
+            for t in found:
+                row = (task.model, t["tensor"], t["dtype"], t["shape"], t["begin"], t["end"], t["file"])
+                yield (*row, None) if self.record else row
+            if error is not None:
+                yield task.model, None, None, None, None, None, None, error
             return
-        step = run.width * ITEM[run.dtype]
-        raw = read_range(run.file, run.begin + run.first * step, run.begin + run.last * step)
-        values = decode(raw, run.dtype).reshape(run.last - run.first, run.width)
-        for i, row in enumerate(values):
-            yield run.model, run.tensor, run.first + i, row.tolist()
+        for run in task.runs:
+            step = run.width * ITEM[run.dtype]
+            raw = read_range(run.file, run.begin + run.first * step, run.begin + run.last * step)
+            values = decode(raw, run.dtype).reshape(run.last - run.first, run.width)
+            for i, row in enumerate(values):
+                yield run.model, run.tensor, run.first + i, row.tolist()
 
 
 class SafetensorsSource(DataSource):
@@ -210,13 +304,21 @@ class SafetensorsSource(DataSource):
 
     def schema(self) -> str:
         if self.options.get("mode", "rows") == "metadata":
-            return "model string, tensor string, dtype string, shape array<bigint>, begin bigint, end bigint, file string"
+            error = ", error string" if self.options.get("on_error", "fail") == "record" else ""
+            return f"model string, tensor string, dtype string, shape array<bigint>, begin bigint, end bigint, file string{error}"
         return "model string, tensor string, row_idx bigint, v array<double>"
 
     def reader(self, schema) -> SafetensorsReader:
         return SafetensorsReader(dict(self.options))
 
 
+def scan(spark: SparkSession, models: dict[str, str], **options) -> DataFrame:
+    """Read checkpoints by name with the options above, filters pushed."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SafetensorsSource)
+    return spark.read.format("safetensors").options(models=json.dumps(models), **options).load()
+
+
 def write(path: str, tensors: dict[str, np.ndarray], dtype: str = "F32") -> None:
     """A small checkpoint file, for tests and fixtures."""
     at, head, body = 0, {}, b""
