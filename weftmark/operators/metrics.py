@@ -51,6 +51,106 @@ def class_means(scores: DataFrame, by: list[str], threshold: float, score: str =
     )
 
 
+def relatedness_axis(scores: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame:
+    """One row per method of scored pairs (by, pair_no, label, hard, score).
+
+    Area, average precision, the operating point that reaches ``tpr``, and the false positive rates
+    of hard controls and of the other negatives at its threshold.  Rates of nothing are null.
+    """
+    curve = roc_curve(scores, by)
+    point = fpr_at_tpr(curve, by, tpr)
+    summary = roc_auc(curve, by).join(average_precision(scores, by), by, "left").join(point, by, "left")
+    positive = F.col("label").cast("boolean")
+    hard = ~positive & F.coalesce(F.col("hard"), F.lit(False))
+    over = (F.col("score") >= F.col("threshold")).cast("double")
+    rates = scores.join(point.select(*by, "threshold"), by, "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(positive).alias("n_positive"), F.count_if(hard).alias("n_hard"),
+        F.avg(F.when(hard, over)).alias("hard_fpr"), F.avg(F.when(~positive & ~hard, over)).alias("easy_fpr"),
+        F.avg(F.when(positive, F.col("score"))).alias("mean_pos"), F.avg(F.when(hard, F.col("score"))).alias("mean_hard"),
+    )
+    return rates.join(summary, by, "left")
+
+
+#: Relations that leave no lossy trace in the child.
+SCAR_FREE = ("sft", "lora", "cpt")
+
+
+def sibling_outgroups(edges: DataFrame, descendants: DataFrame) -> DataFrame:
+    """(parent, child, outgroup) of true edges (parent, child, relation) without a trace in the child.
+
+    The outgroup is the first sibling by name that does not descend from the child, by a closure
+    (ancestor, descendant); edges without one are left out.
+    """
+    ours = edges.where(F.lower("relation").isin(*SCAR_FREE)).select("parent", "child").distinct()
+    siblings = edges.select("parent", F.col("child").alias("outgroup")).distinct()
+    below = descendants.select(F.col("ancestor").alias("child"), F.col("descendant").alias("outgroup"))
+    met = ours.join(siblings, "parent").where("outgroup != child").join(below, ["child", "outgroup"], "left_anti")
+    return met.groupBy("parent", "child").agg(F.min("outgroup").alias("outgroup"))
+
+
+def outgroup_rerun(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Scores per relation and over all of the pairs in both runs (a, b, relation, truth, predicted, llr).
+
+    ``run`` says without or with the outgroup; ``llr_changed`` counts pairs whose ratio moved.
+    """
+    moved = before.join(after.select("a", "b", F.col("llr").alias("new")), ["a", "b"])
+    moved = moved.withColumn("moved", (F.abs(F.col("new") - F.col("llr")) > 1e-9).cast("int"))
+    changed = moved.rollup("relation").agg(F.sum("moved").alias("llr_changed"))
+    kept = before.join(after.select("a", "b"), ["a", "b"], "left_semi")
+    runs = None
+    for name, part in (("without", kept), ("with", after)):
+        part = direction_scores(part).withColumn("run", F.lit(name))
+        runs = part if runs is None else runs.unionByName(part)
+    same = runs["relation"].eqNullSafe(changed["relation"])
+    return runs.join(changed, same).select("run", runs["relation"], "n", "correct", "abstained", "accuracy", "accuracy_answered", "mean_abs_llr", "llr_changed")
+
+
+def merge_cases(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per merged child: parent sets and weights found among candidates against the true ones.
+
+    ``truth`` is (child, parent, weight, method), a weight of null meaning equal shares; ``found`` is
+    (child, candidate, weight, selected, residual, r2).
+    """
+    shares = Window.partitionBy("child")
+    known = truth.withColumn("t", F.coalesce("weight", 1 / F.count(F.lit(1)).over(shares))).select("child", F.col("parent").alias("candidate"), "t", "method")
+    met = known.join(found.select("child", "candidate", "weight", "selected", "residual", "r2"), ["child", "candidate"], "full_outer")
+    gap = F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("weight", F.lit(0.0)))
+    sets = met.groupBy("child").agg(
+        F.max("method").alias("method"), F.count("t").cast("int").alias("n_parents"), F.avg(gap).alias("mae"), F.avg(F.when(F.col("t").isNotNull(), gap)).alias("mae_true_parents"),
+        F.collect_list(F.when(F.col("t").isNotNull(), F.col("candidate"))).alias("truth"), F.collect_list(F.when(F.col("selected"), F.col("candidate"))).alias("found"),
+        F.max("residual").alias("residual"), F.max("r2").alias("r2"),
+    )
+    return parent_set_prf(sets.where("n_parents > 0"))
+
+
+def merge_decoys(truth: DataFrame, models: DataFrame, descendants: DataFrame, bases: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(child, candidate): the true parents of every child and ``n`` decoys in the order of a hash.
+
+    No decoy is the child, its parent, its descendant or its base (child, base).  Models stand on a
+    circle in the order of a hash; a child looks at as many of them, from a place of its own, as it
+    has forbidden models and ``n`` more.
+    """
+    parents = truth.select("child", F.col("parent").alias("candidate"))
+    banned = (
+        parents.unionByName(truth.select("child", F.col("child").alias("candidate")))
+        .unionByName(descendants.select(F.col("ancestor").alias("child"), F.col("descendant").alias("candidate")))
+        .unionByName(bases.select("child", F.col("base").alias("candidate")))
+        .distinct()
+    )
+    drawn = F.sha2(F.concat_ws("|", F.lit(str(seed)), "candidate"), 256)
+    circle = models.select(F.col("model").alias("candidate")).distinct()
+    circle = circle.withColumn("place", F.row_number().over(Window.orderBy(drawn, "candidate")) - 1)  # names only
+    size = circle.agg(F.count(F.lit(1)).alias("size"))
+    children = truth.select("child").distinct().join(banned.groupBy("child").agg(F.count(F.lit(1)).alias("held")), "child")
+    start = F.pmod(F.xxhash64(F.lit(seed), "child"), F.col("size"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.col("held") + n) - 1)
+    asked = children.join(F.broadcast(size)).where("size > 0").select("child", "size", start.alias("start"), F.explode(steps).alias("step"))  # one row
+    met = asked.select("child", "step", ((F.col("start") + F.col("step")) % F.col("size")).cast("int").alias("place")).join(circle, "place")
+    turn = F.row_number().over(Window.partitionBy("child").orderBy("step"))
+    decoys = met.join(banned, ["child", "candidate"], "left_anti").withColumn("turn", turn).where(F.col("turn") <= n)
+    return parents.distinct().unionByName(decoys.select("child", "candidate"))
+
+
 def cost_by_method(costs: DataFrame) -> DataFrame:
     """Count, median, mean and total bytes, seconds and the reduction against full downloads per method."""
     return costs.groupBy("method").agg(

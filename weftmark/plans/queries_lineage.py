@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark import schema
-from weftmark.operators import direction, merge, pairs, selection, simulate, sketch, stats
+from weftmark.operators import direction, graph, merge, metrics, pairs, selection, simulate, sketch, stats
 from weftmark.plans.catalog import register
 from weftmark.plans.shared import materialize
 from weftmark.sources import lineage
@@ -431,6 +431,44 @@ def decomposition(spark, sf_dir):
     return spark.createDataFrame(made, "candidate string, weight double, selected boolean, residual double, r2 double")
 
 
+@register("e06_merge_axis", f"""
+with {L}, t as (
+  select y.x - z.x as y, a.x - z.x as a, b.x - z.x as b from cells y join cells z on z.model = 'root' and z.tensor = y.tensor and z.r = y.r and z.c = y.c
+  join cells a on a.model = 'sft' and a.tensor = y.tensor and a.r = y.r and a.c = y.c join cells b on b.model = 'cpt' and b.tensor = y.tensor and b.r = y.r and b.c = y.c
+  where y.model = 'merge2'
+),
+w as (select greatest(0, least(1, sum((y - b) * (a - b)) / sum((a - b) * (a - b)))) as w from t),
+g as (select w, abs(w - 0.6) + abs(1 - w - 0.4) as gap, (w > 0.05)::int + (1 - w > 0.05)::int as found from w)
+select 'merge2' as child, 'linear' as method, 2 as n_parents, round(gap / 4, 4) + 0 as mae, round(gap / 2, 4) + 0 as mae_true_parents, 1.0::double as precision,
+  found / 2 as recall, round(2 * (found / 2) / (1 + found / 2), 6) + 0 as f1 from g
+""")
+def merge_axis(spark, sf_dir):
+    """The merge with two decoys among its candidates; on its two live parents the simplex problem has a closed form."""
+    edges = lineage.edges(spark)
+    truth = edges.where("relation = 'merge'").select("parent", "child", "weight", F.lit("linear").alias("method"))
+    models = spark.createDataFrame([(m,) for m in lineage.MODELS], "model string")
+    base = truth.select("child", F.lit("root").alias("base")).distinct()
+    claims = metrics.merge_decoys(truth, models, graph.closure(edges), base, 2)
+    cases = metrics.merge_cases(truth, merge.decompose_all(rows_of(spark, sf_dir), claims, "root"))
+    r4 = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return cases.select("child", "method", "n_parents", r4("mae"), r4("mae_true_parents"), "precision", "recall", r6("f1").alias("f1"))
+
+
+@register("e05_outgroup_rerun")
+def outgroup_rerun(spark, sf_dir):
+    """The edges without a trace in the child, judged alone and with a sibling as outgroup."""
+    rows, edges = rows_of(spark, sf_dir), lineage.edges(spark)
+    chosen = materialize(metrics.sibling_outgroups(edges, graph.closure(edges)), "query-siblings")
+    asked = chosen.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.col("outgroup").alias("c"))
+    evidence = materialize(direction.features(direction.collect_evidence(rows, asked.select("a", "b"))), "query-evidence")
+    statistic = pairs.outgroup_statistic(rows, asked).select("a", "b", "outgroup")
+    relation = edges.select(F.col("parent").alias("a"), F.col("child").alias("b"), "relation", F.lit("a->b").alias("truth"))
+    judged = lambda v: v.select("a", "b", F.col("direction").alias("predicted"), "llr").join(relation, ["a", "b"])
+    before = judged(direction.verdict(evidence))
+    after = judged(direction.verdict(evidence.join(statistic, ["a", "b"], "left"), outgroup="outgroup"))
+    return metrics.outgroup_rerun(materialize(before, "query-before"), materialize(after, "query-after"))
+
+
 @register("c01_k03_sketch")
 def sketches(spark, sf_dir):
     return sketch.sketch(rows_of(spark, sf_dir))

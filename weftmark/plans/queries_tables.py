@@ -320,6 +320,26 @@ def means(spark, sf_dir):
     return m.select("lang", *[r6(c).alias(c) for c in ("tpr", "fpr", "mean_pos", "mean_neg")])
 
 
+@register("e04_relatedness_axis", f"""
+with {_SCORES_SQL}, a as (select lang, sum((fpr - f0) * (tpr + t0) / 2) as auc from (select *, lag(fpr, 1, 0) over w as f0, lag(tpr, 1, 0) over w as t0 from r window w as (partition by lang order by threshold desc)) group by lang),
+k as (select lang, label, sum(label) over w / row_number() over w as prec from s window w as (partition by lang order by score desc, pair_no rows unbounded preceding)),
+p as (select lang, sum(label * prec) / sum(label) as ap from k group by lang),
+f as (select lang, min(fpr) as fpr from r where tpr >= 0.95 group by lang),
+t as (select r.lang, any_value(f.fpr) as fpr, max(threshold) as threshold from r join f on f.lang = r.lang and r.fpr = f.fpr where tpr >= 0.95 group by r.lang),
+h as (select s.*, label = 0 and pair_no % 3 = 0 as hard, (score >= threshold)::int as over from s join t using (lang))
+select lang, count(*) as n_pairs, count(*) filter (where label = 1) as n_positive, count(*) filter (where hard) as n_hard, round(any_value(auc), 6) + 0 as auc, round(any_value(ap), 6) + 0 as ap,
+  round(any_value(fpr), 6) + 0 as fpr95, any_value(threshold) as threshold, round(avg(over) filter (where hard), 6) + 0 as hard_fpr, round(avg(over) filter (where label = 0 and not hard), 6) + 0 as easy_fpr,
+  round(avg(score) filter (where label = 1), 6) + 0 as mean_pos, round(avg(score) filter (where hard), 6) + 0 as mean_hard
+from h join a using (lang) join p using (lang) join t using (lang) group by lang
+""")
+def relatedness_axis(spark, sf_dir):
+    """A language stands for a method; negatives whose number three divides stand for hard controls."""
+    s = scores(spark, sf_dir).withColumn("hard", (F.col("label") == 0) & (F.col("pair_no") % 3 == 0))
+    x = metrics.relatedness_axis(s, ["lang"])
+    real = {"auc": "auc", "ap": "ap", "fpr": "fpr95", "hard_fpr": "hard_fpr", "easy_fpr": "easy_fpr", "mean_pos": "mean_pos", "mean_hard": "mean_hard"}
+    return x.select("lang", "n_pairs", "n_positive", "n_hard", "threshold", *[r6(k).alias(v) for k, v in real.items()])
+
+
 @register("a20_a22_costs", """
 with c as (select l_returnflag || l_linestatus as method, (l_extendedprice * 100)::bigint as bytes, l_quantity as seconds, 1000000000 as full_size from lineitem)
 select method, count(*) as n, round(median(bytes), 6) + 0 as median_bytes, round(avg(bytes), 2) + 0 as mean_bytes, sum(bytes)::bigint as total_bytes, round(median(seconds), 6) + 0 as median_seconds,
