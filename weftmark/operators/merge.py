@@ -83,18 +83,21 @@ def grams(rows: DataFrame, members: DataFrame, min_numel: int = 0) -> DataFrame:
     Per child over the 2-D tensors that all its members with any tensor of the child have in one shape.
     """
     shapes = geometry.tensors_of(rows.join(members.select("model").distinct(), "model", "left_semi"))
-    held = members.join(shapes, "model")
+    held = materialize(members.join(shapes, "model"), "merge-shapes")  # headers only
     own = held.where(F.col("model") == F.col("child")).select("child", "tensor")
     usable = held.join(own, ["child", "tensor"], "left_semi").select("child", "model").distinct()
     count = usable.groupBy("child").agg(F.count(F.lit(1)).alias("members"))
     wide = held.join(usable, ["child", "model"], "left_semi").where((F.col("numel") >= min_numel) & (F.least("n_rows", "n_cols") >= 2))
     seen = wide.groupBy("child", "tensor").agg(F.count_distinct("model").alias("n"), F.count_distinct("n_rows", "n_cols").alias("shapes"))
     shared = seen.join(count, "child").where("n = members and shapes = 1").select("child", "tensor")
-    mine = rows.select("model", "tensor", "row_idx", "v").join(usable, "model").join(shared, ["child", "tensor"], "left_semi")
-    a = mine.select("child", "tensor", "row_idx", F.col("model").alias("a"), F.col("v").alias("va"))
-    b = mine.select("child", "tensor", "row_idx", F.col("model").alias("b"), F.col("v").alias("vb"))
-    met = a.join(b, ["child", "tensor", "row_idx"]).where("a <= b")
-    return met.groupBy("child", "a", "b").agg(F.sum(geometry.dot("va", "vb")).alias("ab"))
+    wanted = materialize(usable.join(shared, "child"), "merge-tensors")
+    met = rows.select("model", "tensor", "row_idx", "v").join(wanted, ["model", "tensor"])
+    # one row of every member of the child, so a list is as long as its claims
+    lists = met.groupBy("child", "tensor", "row_idx").agg(F.collect_list(F.struct("model", "v")).alias("ms"))
+    left = lists.select("child", "ms", F.explode("ms").alias("x"))
+    both = left.select("child", F.col("x.model").alias("a"), F.col("x.v").alias("va"), F.explode("ms").alias("y"))
+    cells = both.where("a <= y.model").select("child", "a", F.col("y.model").alias("b"), "va", F.col("y.v").alias("vb"))
+    return cells.groupBy("child", "a", "b").agg(F.sum(geometry.dot("va", "vb")).alias("ab"))
 
 
 def decompose_all(
@@ -131,20 +134,24 @@ def decompose_all(
     return asked.groupBy("of").cogroup(products.groupBy("child")).applyInPandas(one, schema)
 
 
-def decompose(rows: DataFrame, child: str, candidates: list[str], base: str | None = None, **options) -> dict:
+def decompose(
+    rows: DataFrame, child: str, candidates: list[str], base: str | None = None, *, l1: float = L1,
+    sum_to_one: bool = True, support: float = SUPPORT, coords: int | None = None, min_numel: int = 0, seed: int = 0,
+) -> dict:
     """Weights of the candidates in one child: coefficients, selected, residual, r2, base.
 
-    The result has one row per candidate; it is all that reaches the driver.
+    The aggregation has one row per pair of models involved; it is all that reaches the driver.
+    For many children use :func:`decompose_all`.
     """
-    spark = rows.sparkSession
-    claims = spark.createDataFrame([(child, c) for c in candidates], "child string, candidate string")
-    found = decompose_all(rows, claims, base, **options).collect()
-    out = {"child": child, "coefficients": {c: 0.0 for c in candidates}, "selected": [], "residual": 1.0, "r2": 0.0, "base": base}
-    for r in sorted(found, key=lambda r: r["candidate"]):
-        out["coefficients"][r["candidate"]] = r["weight"]
-        out["selected"] += [r["candidate"]] * r["selected"]
-        out |= {"residual": r["residual"], "r2": r["r2"], "base": r["base"]}
-    return out
+    mine = rows.where(F.col("model").isin([child, *candidates, *([base] if base else [])]))
+    own = mine.where(F.col("model") == child).select("tensor").distinct()
+    usable = {r["model"] for r in mine.join(own, "tensor", "left_semi").select("model").distinct().collect()}
+    models = list(dict.fromkeys([child, *(c for c in candidates if c in usable), *([base] if base else [])]))
+    table = {}
+    if child in usable:
+        for r in gram(sample_coordinates(mine, coords, seed), models, min_numel).collect():
+            table[r["a"], r["b"]] = table[r["b"], r["a"]] = r["ab"]
+    return _solve(child, candidates, usable, table, base, l1, sum_to_one, support)
 
 
 def two_parent_weight(rows: DataFrame, child: str, a: str, b: str) -> DataFrame:
