@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm import oracles
+from weftmark.llm import oracles, oracles_tables
+from weftmark.llm.centroids import exponion_clusters, with_inertia
+from weftmark.llm.conversation_trie import conversation_trie
 from weftmark.llm.exact_dedup import exact_dedup
 from weftmark.llm.jaccard_join import jaccard_components
 from weftmark.llm.language_id import identify
 from weftmark.llm.license_scan import license_scan
+from weftmark.llm.line_dedup import line_dedup
 from weftmark.llm.mixing import mix
 from weftmark.llm.pii import find_pii
 from weftmark.llm.quality_rules import ablations, apply_policy, ledger
@@ -105,6 +108,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return with_inertia(exponion_clusters(vectors)).drop("scanned")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy costs, from the counts of the ledger's masks."""
     return ablations(ledger(documents(spark, sf_dir)), POLICY)
@@ -128,11 +145,11 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         op1_exact_dedup, op2_language_id, op3_sentencepiece, op4_sharding, op5_jaccard_join, op6_substring_dedup,
-        op7_mixing, op8_quality_rules, op9_license_scan, op10_pii,
+        op7_mixing, op8_quality_rules, op9_license_scan, op10_pii, op11_centroids, op12_conversation_trie, op13_line_dedup,
         quality_ablations, language_held_out, license_base_places, pii_base_spans,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | oracles_tables.SQL
