@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from weftmark.operators import index
-from weftmark.sources import safetensors
+from weftmark.sources import ranges, safetensors
 
 
 @pytest.fixture
@@ -54,7 +54,7 @@ def put(folder, **files):
 
 
 def test_remote_shards(site, monkeypatch):
-    monkeypatch.setattr(safetensors, "BACKOFF", (0.01, 0.01, 0.01))
+    monkeypatch.setattr(ranges, "BACKOFF", (0.01, 0.01, 0.01))
     url, folder = site
     w = {"a": np.arange(12.0).reshape(4, 3)}
     put(folder / "split", one=w, two={"b": np.ones(2)})

@@ -82,19 +82,15 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def _declared(ref: str) -> str | None:
-    """License line of a local model card, if there is one."""
-    card = os.path.join(ref, "README.md")
-    if not os.path.exists(card):
-        return None
-    with open(card, encoding="utf-8") as f:
-        inside = False
-        for line in f:
-            if line.strip() == "---":
-                if inside:
-                    return None
-                inside = True
-            elif inside and line.startswith("license:"):
-                return line.split(":", 1)[1].strip().strip("\"'") or None
+    """License line of a model card, local or remote, if there is one."""
+    inside = False
+    for line in (safetensors.document(ref, "README.md") or "").splitlines():
+        if line.strip() == "---":
+            if inside:
+                return None
+            inside = True
+        elif inside and line.startswith("license:"):
+            return line.split(":", 1)[1].strip().strip("\"'") or None
     return None
 
 

@@ -7,7 +7,9 @@
 A model is a folder, a file, a URL or a hub id (options ``endpoint`` and ``revision``).
 Tables of headers are read by the tasks, one model each.  A scan of rows reads headers while
 it is planned, sixteen models at a time; its tasks then read runs of rows of some 64 MB in
-all, and only their bytes.  Filters on model and tensor are pushed into the plan
+all: runs with small holes between them in one request (options ``gap`` and ``slack``), a
+few requests at a time (``threads``).  With ``metered`` set to ``true`` the first row of
+every request says what it cost (column ``io``), see :func:`transfer`.  Filters on model and tensor are pushed into the plan
 (set spark.sql.python.filterPushdown.enabled).  With ``on_error`` set to ``record`` a model
 that cannot be read has one row of headers with its ``error`` and no rows; else it fails the scan.
 """
@@ -19,20 +21,22 @@ import json
 import os
 import re
 import struct
-import time
 import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-#: Longest header that is believed, and seconds between attempts of a request.
-MAX_HEADER, BACKOFF, MAX_RETRY_AFTER = 512 << 20, (0.5, 1.0, 2.0), 30.0
+from weftmark.sources import ranges
+from weftmark.sources.ranges import fetch, is_url
+
+#: Longest header that is believed.
+MAX_HEADER = 512 << 20
 #: Public model hub, and bytes of rows that one task reads.
 HUB, TASK_BYTES = "https://huggingface.co", 64 << 20
 _NUMPY = {
@@ -76,42 +80,7 @@ def decode(raw: bytes, dtype: str) -> np.ndarray:
 
 def read_range(path: str, begin: int, end: int) -> bytes:
     """Bytes begin..end of a local file or a URL; a short read or an ignored range is an error."""
-    if not path.startswith(("http://", "https://")):
-        with open(path, "rb") as f:
-            f.seek(begin)
-            raw = f.read(end - begin)
-    else:
-        raw = _http_range(path, begin, end)
-    if len(raw) != end - begin:
-        raise OSError(f"{path}: {len(raw)} of {end - begin} bytes")
-    return raw
-
-
-def fetch(url: str, headers: dict[str, str] | None = None) -> tuple[int, bytes]:
-    """Status and body of a GET; refused answers, broken connections and timeouts are tried again."""
-    request = urllib.request.Request(url, headers=headers or {})
-    for attempt, pause in enumerate(BACKOFF):
-        last = attempt == len(BACKOFF) - 1
-        try:
-            with urllib.request.urlopen(request, timeout=60) as answer:
-                return answer.status, answer.read()
-        except urllib.error.HTTPError as e:
-            if e.code not in (408, 429, 500, 502, 503, 504) or last:
-                raise
-            wait = e.headers.get("Retry-After", "")
-            time.sleep(min(float(wait), MAX_RETRY_AFTER) if wait.replace(".", "", 1).isdigit() else pause)
-        except (urllib.error.URLError, ConnectionError, TimeoutError, http.client.HTTPException):
-            if last:
-                raise
-            time.sleep(pause)
-    raise OSError(url)
-
-
-def _http_range(url: str, begin: int, end: int) -> bytes:
-    status, raw = fetch(url, {"Range": f"bytes={begin}-{end - 1}"})
-    if status != 206:
-        raise OSError(f"{url}: the server ignored the range")
-    return raw
+    return ranges.read_span(path, begin, end).raw
 
 
 def _found(url: str) -> bytes | None:
@@ -124,10 +93,6 @@ def _found(url: str) -> bytes | None:
         raise
 
 
-def is_url(ref: str) -> bool:
-    return ref.startswith(("http://", "https://"))
-
-
 def is_hub_id(ref: str) -> bool:
     """``owner/name`` that is no path on this machine."""
     return bool(re.fullmatch(r"[\w.-]+/[\w.-]+", ref)) and not ref.startswith(".") and not os.path.exists(ref)
@@ -137,11 +102,9 @@ def shards(path: str, endpoint: str = HUB, revision: str = "main") -> list[str]:
     """Shard files of a checkpoint folder, file, URL or hub id: by the index, else the single file, else all there are."""
     if path.endswith(".safetensors"):
         return [path]
-    if is_url(path):
-        return _remote_shards(path.rstrip("/"), None)
-    if is_hub_id(path):
-        listing = f"{endpoint}/api/models/{path}/revision/{urllib.parse.quote(revision, safe='')}"
-        return _remote_shards(f"{endpoint}/{path}/resolve/{urllib.parse.quote(revision, safe='')}", listing)
+    if is_url(path) or is_hub_id(path):
+        listing = None if is_url(path) else f"{endpoint}/api/models/{path}/revision/{urllib.parse.quote(revision, safe='')}"
+        return _remote_shards(_base(path, endpoint, revision), listing)
     index = os.path.join(path, "model.safetensors.index.json")
     if os.path.exists(index):
         with open(index, encoding="utf-8") as f:
@@ -152,6 +115,13 @@ def shards(path: str, endpoint: str = HUB, revision: str = "main") -> list[str]:
     return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith(".safetensors")]
 
 
+def _base(path: str, endpoint: str, revision: str) -> str:
+    """Where the documents of a remote checkpoint are."""
+    if is_url(path):
+        return path.rpartition("/")[0] if path.endswith(".safetensors") else path.rstrip("/")
+    return f"{endpoint}/{path}/resolve/{urllib.parse.quote(revision, safe='')}"
+
+
 def _remote_shards(base: str, listing: str | None) -> list[str]:
     index = _found(f"{base}/model.safetensors.index.json")
     if index is not None:
@@ -228,6 +198,9 @@ class SafetensorsReader(DataSourceReader):
         self.max_rows = int(options["max_rows"]) if "max_rows" in options else None
         self.record = options.get("on_error", "fail") == "record"
         self.hub = (options.get("endpoint", HUB).rstrip("/"), options.get("revision", "main"))
+        self.metered = options.get("metered", "false") == "true"
+        self.threads = int(options.get("threads", ranges.THREADS))
+        self.limits = {k: kind(options[o]) for o, k, kind in (("gap", "gap", int), ("slack", "share", float), ("free", "free", int)) if o in options}
         self.only: dict[str, set[str]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -289,12 +262,17 @@ class SafetensorsReader(DataSourceReader):
             if error is not None:
                 yield task.model, None, None, None, None, None, None, error
             return
+        spans = []
         for run in task.runs:
             step = run.width * ITEM[run.dtype]
-            raw = read_range(run.file, run.begin + run.first * step, run.begin + run.last * step)
+            spans.append((run.file, run.begin + run.first * step, run.begin + run.last * step))
+        for i, raw, got in ranges.read_merged(spans, self.threads, **self.limits):
+            run = task.runs[i]
+            io = (len(got.raw), got.requests, got.seconds) if got else None
             values = decode(raw, run.dtype).reshape(run.last - run.first, run.width)
-            for i, row in enumerate(values):
-                yield run.model, run.tensor, run.first + i, row.tolist()
+            for at, row in enumerate(values):
+                out = (run.model, run.tensor, run.first + at, row.tolist())
+                yield (*out, io if at == 0 else None) if self.metered else out
 
 
 class SafetensorsSource(DataSource):
@@ -306,7 +284,8 @@ class SafetensorsSource(DataSource):
         if self.options.get("mode", "rows") == "metadata":
             error = ", error string" if self.options.get("on_error", "fail") == "record" else ""
             return f"model string, tensor string, dtype string, shape array<bigint>, begin bigint, end bigint, file string{error}"
-        return "model string, tensor string, row_idx bigint, v array<double>"
+        io = ", io struct<bytes:bigint,requests:bigint,seconds:double>" if self.options.get("metered", "false") == "true" else ""
+        return f"model string, tensor string, row_idx bigint, v array<double>{io}"
 
     def reader(self, schema) -> SafetensorsReader:
         return SafetensorsReader(dict(self.options))
@@ -319,6 +298,18 @@ def scan(spark: SparkSession, models: dict[str, str], **options) -> DataFrame:
     return spark.read.format("safetensors").options(models=json.dumps(models), **options).load()
 
 
+def transfer(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(model, rows, bytes, requests, seconds, full_size) of a metered scan, for the cost tables of ``metrics``.
+
+    ``full_size`` are the bytes of all tensors by the headers.  Rows must come straight from
+    the scan, as a dropped row may hold a cost.  A model of which nothing was read has zeros.
+    """
+    read = rows.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"io.{c}").alias(c) for c in ("bytes", "requests", "seconds")])
+    total = headers.groupBy("model").agg(F.sum(F.col("end") - F.col("begin")).alias("full_size"))
+    met = total.join(read, "model", "left")
+    return met.select("model", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "bytes", "requests")], F.coalesce("seconds", F.lit(0.0)).alias("seconds"), "full_size")
+
+
 def write(path: str, tensors: dict[str, np.ndarray], dtype: str = "F32") -> None:
     """A small checkpoint file, for tests and fixtures."""
     at, head, body = 0, {}, b""
@@ -331,15 +322,24 @@ def write(path: str, tensors: dict[str, np.ndarray], dtype: str = "F32") -> None
         f.write(struct.pack("<Q", len(doc)) + doc + body)
 
 
-def total_size(path: str) -> int:
-    """Bytes of a local checkpoint without reading them."""
-    return sum(os.path.getsize(f) for f in shards(path))
+def total_size(path: str, endpoint: str = HUB, revision: str = "main") -> int:
+    """Bytes of a checkpoint without reading its tensors: file sizes, or where the last tensor of a remote shard ends."""
+    return sum(max((t["end"] for t in header(f)), default=0) if is_url(f) else os.path.getsize(f) for f in shards(path, endpoint, revision))
 
 
-def config(path: str) -> dict:
-    """config.json of a local checkpoint, empty if there is none."""
-    file = os.path.join(path, "config.json")
+def document(path: str, name: str, endpoint: str = HUB, revision: str = "main") -> str | None:
+    """A small text beside a checkpoint (config.json, README.md), None if there is none."""
+    if is_url(path) or is_hub_id(path):
+        raw = _found(f"{_base(path, endpoint, revision)}/{name}")
+        return None if raw is None else raw.decode("utf-8", "replace")
+    file = os.path.join(os.path.dirname(path) if path.endswith(".safetensors") else path, name)
     if not os.path.exists(file):
-        return {}
-    with open(file, encoding="utf-8") as f:
-        return json.load(f)
+        return None
+    with open(file, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
+def config(path: str, endpoint: str = HUB, revision: str = "main") -> dict:
+    """config.json of a checkpoint, empty if there is none."""
+    text = document(path, "config.json", endpoint, revision)
+    return json.loads(text) if text else {}
