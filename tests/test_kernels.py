@@ -227,7 +227,7 @@ def test_rights_paths_and_wording(spark):
         assert "review" in text and not any(w in text for w in ("violat", "infring", "illegal"))
     effective = {r["model"]: r for r in rights.propagate(facts, edges).collect()}
     assert effective["leaf"]["commercial_use"] is False and effective["nc-base"]["commercial_use"] is False
-    assert "inherited from nc-base: non-commercial use only" in effective["leaf"]["restrictions"]
+    assert "inherited from nc-base: commercial use is excluded" in effective["leaf"]["restrictions"]
 
 
 def test_cycles_and_reduction(spark):

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftmark.functions.scalars import escape_label, sanitize_id, short_id
+from weftmark.functions.scalars import escape_label, human_bytes, sanitize_id, short_id
 from weftmark.operators import graph, rights
+from weftmark.plans.shared import materialize
 
 
 def write_json(path: str, doc: object) -> None:
@@ -125,21 +126,121 @@ def spdx_relationships(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(graph.roots(nodes, edges).select(F.lit("document").alias("element"), F.lit("DESCRIBES").alias("type"), F.col("node").alias("related")))
 
 
-def ancestor_tree(edges: DataFrame, target: str) -> DataFrame:
-    """(line_no, line): the ancestors of a model as an indented tree, by recursive paths."""
-    paths = graph._sql(
-        """
-        with recursive walk(node, depth, path) as (
-          select parent, 1, array(child, parent) from {e} where child = '{{t}}'
-          union all
-          select e.parent, w.depth + 1, array_append(w.path, e.parent)
-          from walk w join {e} e on e.child = w.node where not array_contains(w.path, e.parent)
-        )
-        select node, depth, array_join(path, '/') as at from walk
-        """.replace("{{t}}", target.replace("'", "''")),
-        e=edges.select("parent", "child").distinct(),
+def ancestor_tree(edges: DataFrame, target: str, max_depth: int = 16) -> DataFrame:
+    """(line_no, line): the ancestors of a model as an indented tree, most confident parents first.
+
+    Level by level, the edges of a level's models meet them by join; a model that is its
+    own ancestor is named but not followed, and no branch goes deeper than ``max_depth``.
+    """
+    by = Window.partitionBy("child")
+    own = edges.select("parent", "child", *[F.col(c) if c in edges.columns else F.lit(None).alias(c) for c in ("relation", "confidence", "weight")])
+    ranked = own.select(
+        "*", F.row_number().over(by.orderBy(F.desc("confidence"), "parent")).alias("i"), F.count(F.lit(1)).over(by).alias("of")
     )
-    return paths.select(
-        F.row_number().over(Window.orderBy("at")).alias("line_no"),
-        F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("node")).alias("line"),
+    note = F.concat(
+        F.coalesce("relation", F.lit("derived")), F.format_string(", conf %.2f", F.coalesce("confidence", F.lit(0.0)).cast("double")),
+        F.when(F.col("weight").isNull(), "").otherwise(F.format_string(", mix %.2f", F.col("weight").cast("double"))),
+    )
+    ranked = materialize(ranked.select("parent", "child", "i", (F.col("i") == F.col("of")).alias("last"), note.alias("note")), "tree-edges")
+    spark = edges.sparkSession
+    kind = "node string, at array<int>, prefix string, path array<string>, line string, open boolean"
+    levels = [materialize(spark.createDataFrame([(target, [], "", [target], None, True)], kind).withColumn("line", short_id(F.col("node"), 60)), "tree-level")]
+    for _ in range(max_depth):
+        up = levels[-1].where("open").withColumnRenamed("node", "child").drop("line", "open").join(ranked, "child")
+        line = F.concat("prefix", F.when(F.col("last"), "`-- ").otherwise("|-- "), short_id(F.col("parent"), 48), F.lit("  ["), "note", F.lit("]"))
+        up = up.select(
+            F.col("parent").alias("node"), F.array_append("at", F.col("i")).alias("at"), F.concat("prefix", F.when(F.col("last"), "    ").otherwise("|   ")).alias("prefix"),
+            F.array_append("path", F.col("parent")).alias("path"), line.alias("line"), (~F.array_contains("path", F.col("parent"))).alias("open"),
+        )
+        up = materialize(up, "tree-level")
+        if up.isEmpty():
+            break
+        levels.append(up)
+    else:
+        cut = levels[-1].where("open").join(ranked.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
+        levels.append(cut.select("node", F.array_append("at", F.lit(1)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("`-- ... (depth limit)")).alias("line"), F.lit(True).alias("open")))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    loops = every.where("not open").select("node", F.array_append("at", F.lit(0)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("  (cycle -- not expanded)")).alias("line"), F.lit(True).alias("open"))
+    lines = every.unionByName(loops)
+    if len(levels) == 1:
+        lines = lines.unionByName(lines.withColumns({"at": F.array(F.lit(1)), "line": F.lit("`-- (no ancestors above the relatedness threshold)")}))
+    # a tree is one document: it is meant to be read from top to bottom
+    return lines.select(F.row_number().over(Window.orderBy("at")).alias("line_no"), "line")
+
+
+def _wrapped(text: Column, width: int, indent: str) -> Column:
+    """Lines of at most ``width`` characters, words kept whole."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    longer = lambda acc, w: F.concat_ws(" ", F.nullif(acc["open"], F.lit("")), w)
+    step = lambda acc, w: F.when(
+        F.length(longer(acc, w)) <= width, F.struct(acc["done"].alias("done"), longer(acc, w).alias("open"))
+    ).otherwise(F.struct(F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), w.alias("open")))
+    full = F.aggregate(words, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    return F.transform(F.filter(full, lambda x: x != ""), lambda x: F.concat(F.lit(indent), x))
+
+
+def _report_order() -> Window:
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(3)
+    return Window.orderBy(rank, F.desc("confidence"), "descendant", "ancestor", "kind")
+
+
+def conflict_lines(conflicts: DataFrame) -> DataFrame:
+    """(line_no, line): conflicts as text, severity first: a heading, the wrapped message and the path; one line if there is none."""
+    head = F.format_string("  [%-7s] %s  (confidence %.2f)", F.upper("severity"), "kind", F.col("confidence").cast("double"))
+    path = F.concat(F.lit("            path: "), F.array_join(F.transform("path", lambda x: short_id(x, 28)), " -> "))
+    block = F.concat(F.array(head), _wrapped(F.col("message"), 66 - 12, " " * 12), F.when(F.size("path") > 0, F.array(path)).otherwise(F.array().cast("array<string>")))
+    placed = conflicts.select(F.row_number().over(_report_order()).alias("n"), block.alias("block"))
+    lines = placed.select("n", F.posexplode("block").alias("i", "line"))
+    none = conflicts.sparkSession.createDataFrame([(0, 0, "  none detected")], "n int, i int, line string")
+    lines = lines.unionAll(none.join(conflicts.limit(1).agg(F.count(F.lit(1)).alias("c")).where("c = 0")).drop("c"))  # one row each
+    return lines.select(F.row_number().over(Window.orderBy("n", "i")).alias("line_no"), "line")
+
+
+def conflict_rows(conflicts: DataFrame) -> DataFrame:
+    """(line_no, line): rows of a Markdown table severity, kind, confidence, detail."""
+    detail = F.translate(F.col("message"), "|\n", "/ ")
+    line = F.format_string("| **%s** | `%s` | %.2f | %s |", F.upper("severity"), "kind", F.col("confidence").cast("double"), detail)
+    return conflicts.select(F.row_number().over(_report_order()).alias("line_no"), line.alias("line"))
+
+
+def mixing_rows(edges: DataFrame) -> DataFrame:
+    """(line_no, line): rows of a Markdown table child, parent, mixing weight, confidence; merges only."""
+    line = F.format_string("| `%s` | `%s` | %.3f | %.2f |", short_id(F.col("child"), 40), short_id(F.col("parent"), 40), F.col("weight").cast("double"), F.col("confidence").cast("double"))
+    return edges.where("weight is not null").select(F.row_number().over(Window.orderBy("child", F.desc("weight"), "parent")).alias("line_no"), line.alias("line"))
+
+
+def transfer_line(seconds: Column, bytes_: Column, full_size: Column, requests: Column) -> Column:
+    """What a scan read of how much, and how many times less; from the columns of a metered scan."""
+    took = F.format_string(" in %.1f s", seconds.cast("double"))
+    asked = F.format_string(" [%d requests]", requests.cast("long"))
+    less = F.format_string(" of %s (%.0fx less than a full download)", human_bytes(full_size), F.try_divide(full_size, F.greatest(bytes_, F.lit(1))).cast("double"))
+    known = F.concat(F.lit("read "), human_bytes(bytes_), F.when(full_size > 0, less).otherwise(F.lit("")), took, asked)
+    return F.when(bytes_ > 0, known).otherwise(F.concat(F.lit("read (byte accounting unavailable)"), took))
+
+
+def report(target: str, edges: DataFrame, conflicts: DataFrame, transfer: DataFrame | None = None, universe: int = 0) -> DataFrame:
+    """(line_no, line): a Markdown report of lineage, mixing weights, license warnings and transfer.
+
+    ``transfer`` is a frame (bytes, requests, seconds, full_size) as ``metrics.transfer_totals`` sums it.
+    """
+    spark = edges.sparkSession
+    fixed = lambda section, *lines: spark.createDataFrame([(section, i, x) for i, x in enumerate(lines)], "section int, line_no int, line string")
+    part = lambda section, rows: rows.select(F.lit(section).alias("section"), "line_no", "line")
+    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
+    kept = nodes.agg(F.count(F.lit(1)).alias("n")).join(edges.agg(F.count(F.lit(1)).alias("e"))).select(  # one row each
+        F.lit(9).alias("section"), F.lit(0).alias("line_no"), F.format_string(f"- candidate universe: **{universe}** models, lineage kept **%d** nodes / **%d** edges", "n", "e").alias("line")
     )
+    parts = [
+        fixed(0, f"### Lineage of `{target}`", "", "```"), part(1, ancestor_tree(edges, target)), fixed(2, "```", "", "| child | parent | mixing weight | confidence |", "| --- | --- | ---: | ---: |"),
+        part(3, mixing_rows(edges)), fixed(4, "", "### License warnings", "", "| severity | kind | confidence | detail |", "| --- | --- | ---: | --- |"), part(5, conflict_rows(conflicts)),
+        fixed(6, "", rights.DISCLAIMER, "", "### Transfer", ""), kept,
+    ]
+    if transfer is not None:
+        parts.append(transfer.select(F.lit(8).alias("section"), F.lit(0).alias("line_no"), F.concat(F.lit("`"), transfer_line(F.col("seconds"), F.col("bytes"), F.col("full_size"), F.col("requests")), F.lit("`")).alias("line")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.select(F.row_number().over(Window.orderBy("section", "line_no", "line")).alias("line_no"), "line")

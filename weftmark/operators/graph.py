@@ -1,32 +1,17 @@
 """Graph operators over edge tables (parent, child, confidence).
 
-Closures, best paths and components go round by round over distinct pairs, each round a
-written table, so that rows grow with the pairs of models and never with the paths
-between them.  Levels and detours are recursive queries with a path array as cycle guard.
+Closures, best paths, components, cycles, levels and detours go round by round over distinct
+pairs or nodes, each round a written table that the next one replaces, so that rows grow with
+the pairs of models and never with the paths between them.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftmark.plans.shared import materialize
-
-
-def _sql(text: str, **frames: DataFrame) -> DataFrame:
-    """Run SQL over frames under private view names."""
-    spark = next(iter(frames.values())).sparkSession
-    names = {k: f"wm_{k}_{uuid.uuid4().hex[:12]}" for k in frames}
-    for k, frame in frames.items():
-        frame.createOrReplaceTempView(names[k])
-    out = spark.sql(text.format(**names))
-    out.schema  # resolve before the names go
-    for name in names.values():
-        spark.catalog.dropTempView(name)
-    return out
+from weftmark.plans.shared import discard, materialize
 
 
 def parents_of(edges: DataFrame, node: str) -> DataFrame:
@@ -37,32 +22,60 @@ def children_of(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("parent") == node)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant, depth): every pair with the length of its shortest path; safe on cycles.
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionAll(table)
+    return out
+
 
-    Breadth first from all nodes at once: a round extends the pairs that the round before
-    found first, and keeps those that no round had.
+def reach(edges: DataFrame, starts: DataFrame | None = None, paths: bool = False) -> DataFrame:
+    """(ancestor, descendant, depth[, path]): every pair with the length of its shortest path; safe on cycles.
+
+    Breadth first from ``starts`` (column ``node``), or from all parents, at once: a round
+    extends the pairs that the round before found first, and keeps those that no round had.
+    With ``paths`` the least shortest path by its names comes along.  A table of its own.
     """
     step = materialize(edges.select("parent", "child").distinct(), "graph-edges")
-    known = front = materialize(step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")), "graph-closure")
-    depth = 1
-    while True:
-        depth += 1
-        reached = front.join(step, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct()
-        loops = F.col("ancestor") != F.col("descendant")
-        new = reached.where(loops).join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
-        front = materialize(new.withColumn("depth", F.lit(depth)), "graph-front")
-        if front.isEmpty():
-            return known
-        known = known.unionAll(front)
+    first = step if starts is None else step.join(starts.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi")
+    keys = ["ancestor", "descendant"]
+    trail = [F.array("parent", "child").alias("path")] if paths else []
+    fronts = [materialize(first.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"), *trail), "graph-front")]
+    while not fronts[-1].isEmpty():
+        met = fronts[-1].join(step, F.col("descendant") == F.col("parent")).where(F.col("ancestor") != F.col("child"))
+        if paths:
+            met = met.select("ancestor", F.col("child").alias("descendant"), F.array_append("path", F.col("child")).alias("path"))
+            reached = met.groupBy(*keys).agg(F.min("path").alias("path"))
+        else:
+            reached = met.select("ancestor", F.col("child").alias("descendant")).distinct()
+        new = reached.join(_stacked(fronts).select(*keys), keys, "left_anti").withColumn("depth", F.lit(len(fronts) + 1))
+        fronts.append(materialize(new.select(*fronts[0].columns), "graph-front"))
+    out = materialize(_stacked(fronts), "graph-closure")
+    for done in (step, *fronts):
+        discard(done)
+    return out
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth) of all pairs, by :func:`reach`."""
+    return reach(edges)
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+
+
+def _single(edges: DataFrame, node: str) -> DataFrame:
+    return edges.sparkSession.createDataFrame([(node,)], "node string")
 
 
 def ancestors_of(edges: DataFrame, node: str) -> DataFrame:
-    return closure(edges).where(F.col("descendant") == node).select(F.col("ancestor").alias("node"), "depth")
+    """(node, depth), by rounds from the one node."""
+    return reach(_turned(edges), _single(edges, node)).select(F.col("descendant").alias("node"), "depth")
 
 
 def descendants_of(edges: DataFrame, node: str) -> DataFrame:
-    return closure(edges).where(F.col("ancestor") == node).select(F.col("descendant").alias("node"), "depth")
+    return reach(edges, _single(edges, node)).select(F.col("descendant").alias("node"), "depth")
 
 
 def nearest_common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -75,62 +88,165 @@ def nearest_common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.min_by("ancestor", F.struct("da", "db", "ancestor")).alias("ancestor"))
 
 
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Edges left when nodes without a parent or without a child are taken away again and again."""
+    count = live.count()
+    while count:
+        open_ = live.join(live.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        open_ = open_.join(live.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select(*live.columns)
+        less = materialize(open_, "graph-trimmed")
+        discard(live)
+        live, before, count = less, count, less.count()
+        if count == before:
+            break
+    return live
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches each node of ``live``, itself included."""
+    step = live.select("parent", "child")
+    nodes = step.select(F.col("parent").alias("node")).union(step.select("child")).distinct()
+    colours = materialize(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")), "graph-colours")
+    while not colours.where("fresh").isEmpty():
+        offered = colours.where("fresh").join(step, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), "colour", F.lit(True).alias("fresh"))
+        both = offered.unionAll(colours.select("node", "colour", F.lit(False).alias("fresh")))
+        least = both.groupBy("node").agg(F.min(F.struct("colour", "fresh")).alias("c")).select("node", "c.*")  # of equal colours the old one
+        merged = materialize(least, "graph-colours")
+        discard(colours)
+        colours = merged
+    return colours
+
+
+def _component_pass(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges inside a colour with both ends' marks, members) of one forward and backward search.
+
+    Forward, a node takes the colour of the least node that reaches it; backward, each such
+    node collects whoever of its colour reaches it, which is its strongly connected
+    component.  ``members`` is (node, colour).  Edges between colours lie on no cycle.
+    """
+    colours = _coloured(live)
+    a, b = (colours.select(F.col("node").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("parent", "child"))
+    inside = live.join(a, "parent").join(b, "child").where("parent_colour = child_colour").select(*live.columns, F.col("child_colour").alias("colour"))
+    inside = materialize(inside, "graph-inside")
+    fronts = [materialize(colours.where("node = colour").select("node", "colour"), "graph-members")]
+    while not fronts[-1].isEmpty():
+        back = fronts[-1].select(F.col("node").alias("child")).join(inside, "child").select(F.col("parent").alias("node"), "colour").distinct()
+        fronts.append(materialize(back.join(_stacked(fronts).select("node"), "node", "left_anti"), "graph-members"))
+    members = materialize(_stacked(fronts), "graph-members")
+    ends = [members.select(F.col("node").alias(x), F.lit(True).alias(f"{x}_in")) for x in ("parent", "child")]
+    marked = inside.join(ends[0], "parent", "left").join(ends[1], "child", "left")
+    marked = materialize(marked.select(*inside.columns, *[F.coalesce(f"{x}_in", F.lit(False)).alias(f"{x}_in") for x in ("parent", "child")]), "graph-marked")
+    for done in (colours, inside, *fronts):
+        discard(done)
+    return marked, members
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that lie on a cycle of two or more nodes, with the least node they share cycles with."""
+    live = materialize(edges.select("parent", "child").where("parent != child").distinct(), "graph-live")
+    found = edges.sparkSession.createDataFrame([], "node string, component string")
+    while True:
+        live = _trimmed(live)
+        if live.isEmpty():
+            discard(live)
+            return found
+        marked, members = _component_pass(live)
+        cyclic = marked.where("parent_in and child_in").select(F.col("parent").alias("node"), F.col("colour").alias("component")).distinct()
+        found = found.unionAll(materialize(cyclic, "graph-components"))
+        rest = materialize(marked.where("not parent_in and not child_in").select(*live.columns), "graph-live")
+        for done in (live, marked, members):
+            discard(done)
+        live = rest
+
+
 def cycle_edges(edges: DataFrame) -> DataFrame:
-    """Edges that lie on a cycle: their child reaches their parent."""
-    back = closure(edges).select(F.col("ancestor").alias("child"), F.col("descendant").alias("parent"))
-    loops = edges.where("parent = child")
-    return edges.where("parent != child").join(back, ["parent", "child"], "left_semi").unionByName(loops.select(*edges.columns))
+    """Edges that lie on a cycle: both ends in one strongly connected component, or a loop."""
+    c = strong_components(edges)
+    a, b = (c.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("parent", "child"))
+    met = edges.where("parent != child").join(a, "parent").join(b, "child").where("parent_c = child_c").select(*edges.columns)
+    return met.unionByName(edges.where("parent = child"))
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
-    """Drop the globally least edge on any cycle by (confidence, parent, child) until none is left.
-
-    The lineage graph is small beside the weights; each round asks for one edge.
+    """Drop the least edge on any cycle by (confidence, parent, child) until no cycle is left; loops go first.
+
+    That drops an edge exactly if its child reaches its parent over edges that all outrank
+    it.  So after trimming, every pair of nodes gets the path whose least edge is greatest:
+    each round extends the pairs that the last one improved by one edge, and in the end each
+    edge is held against the pair that leads back.  Rows grow with the pairs of nodes on or
+    between cycles, rounds with the longest such path, whatever the number of cycles.
+    Of rows that repeat a pair the least confident one counts, and all of them go.
     """
-    left = edges.where("parent != child")
-    while True:
-        worst = cycle_edges(left).orderBy("confidence", "parent", "child").limit(1).collect()
-        if not worst:
-            return left
-        left = left.where(~((F.col("parent") == worst[0]["parent"]) & (F.col("child") == worst[0]["child"])))
+    kept = edges.where("parent != child")
+    live = _trimmed(materialize(kept.groupBy("parent", "child").agg(F.min("confidence").alias("confidence")), "graph-live"))
+    if live.isEmpty():
+        discard(live)
+        return kept
+    rank = F.struct("confidence", "parent", "child")
+    step = materialize(live.select("parent", "child", rank.alias("rank")), "graph-steps")
+    best = materialize(step.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.col("rank").alias("low"), F.lit(True).alias("fresh")), "graph-widest")
+    while not best.where("fresh").isEmpty():
+        longer = best.where("fresh").join(step, F.col("b") == F.col("parent")).where(F.col("a") != F.col("child"))
+        longer = longer.select("a", F.col("child").alias("b"), F.least("low", "rank").alias("low"), F.lit(True).alias("fresh"))
+        both = longer.unionAll(best.withColumn("fresh", F.lit(False)))
+        top = both.groupBy("a", "b").agg(F.max(F.struct("low", (~F.col("fresh")).alias("old"))).alias("w"))  # of equal paths the old one
+        better = materialize(top.select("a", "b", F.col("w.low").alias("low"), (~F.col("w.old")).alias("fresh")), "graph-widest")
+        discard(best)
+        best = better
+    back = best.select(F.col("a").alias("child"), F.col("b").alias("parent"), "low")
+    gone = materialize(step.join(back, ["parent", "child"]).where("low > rank").select("parent", "child"), "graph-dropped")
+    for done in (live, step, best):
+        discard(done)
+    return kept.join(gone, ["parent", "child"], "left_anti").select(*edges.columns)
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): length of the longest path that ends at the node; roots have 0."""
-    longest = _sql(
-        """
-        with recursive walk(node, depth, path) as (
-          select child, 1, array(parent, child) from {e}
-          union all
-          select e.child, w.depth + 1, array_append(w.path, e.child)
-          from walk w join {e} e on e.parent = w.node where not array_contains(w.path, e.child)
-        )
-        select node, max(depth) as level from walk group by node
-        """,
-        e=edges.select("parent", "child").distinct(),
-    )
-    return nodes.select("node").distinct().join(longest, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    """(node, level): length of the longest path that ends at the node; roots have 0.
+
+    Round by round the nodes without an open parent take the number of the round and leave
+    with their edges.  Nodes on a cycle, and those below one, come one level after the last.
+    """
+    names = nodes.select("node").distinct()
+    left = materialize(edges.select("parent", "child").distinct(), "graph-left")
+    ends = left.select(F.col("parent").alias("node")).union(left.select("child"))
+    waiting = materialize(names.union(ends).distinct(), "graph-waiting")
+    levels = []
+    while True:
+        held = left.select(F.col("child").alias("node")).distinct()
+        free = materialize(waiting.join(held, "node", "left_anti"), "graph-free")
+        blocked = free.isEmpty()
+        levels.append((waiting if blocked else free).withColumn("level", F.lit(len(levels))))
+        if blocked:
+            break
+        rest = materialize(waiting.join(held, "node", "left_semi"), "graph-waiting")
+        less = materialize(left.join(free.withColumnRenamed("node", "parent"), "parent", "left_anti").select("parent", "child"), "graph-left")
+        discard(left)
+        discard(waiting)
+        left, waiting = less, rest
+    return names.join(_stacked(levels), "node")
 
 
 def transitive_reduction(edges: DataFrame, keep_weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept edges, dropped edges with ``via``): an edge goes if another path of two or more hops joins its ends.
 
-    ``keep_weighted`` keeps edges with a merge weight even so.  ``via`` is the least such path.
+    ``keep_weighted`` keeps edges with a merge weight even so.  ``via`` is the shortest such
+    path, the least by its names of several.  Only parents with two children or more can
+    have a detour to a child with two parents or more; from those a closure with paths is
+    built, and its pairs meet the last hop.  The edges should have no cycle; on one, a
+    detour must not pass its own ends.
     """
-    detour = _sql(
-        """
-        with recursive walk(parent, child, path) as (
-          select parent, child, array(parent, child) from {e}
-          union all
-          select w.parent, e.child, array_append(w.path, e.child)
-          from walk w join {e} e on e.parent = w.child where not array_contains(w.path, e.child)
-        )
-        select parent, child, min(struct(size(path), array_join(path, ' -> '))).col2 as via
-        from walk where size(path) > 2 group by parent, child
-        """,
-        e=edges.select("parent", "child").distinct(),
-    )
-    marked = edges.join(detour, ["parent", "child"], "left")
+    pairs = materialize(edges.select("parent", "child").distinct(), "graph-pairs")
+    several = lambda c: pairs.groupBy(c).count().where("count > 1").select(c)
+    asked = materialize(pairs.join(several("parent"), "parent", "left_semi").join(several("child"), "child", "left_semi"), "graph-asked")
+    up = reach(pairs, asked.select(F.col("parent").alias("node")), paths=True)
+    last = pairs.select(F.col("parent").alias("descendant"), "child")
+    met = up.join(last, "descendant").where(~F.array_contains("path", F.col("child"))).withColumnRenamed("ancestor", "parent")
+    met = met.join(asked, ["parent", "child"], "left_semi")
+    detour = met.groupBy("parent", "child").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b"))
+    via = materialize(detour.select("parent", "child", F.array_join(F.array_append("b.path", F.col("child")), " -> ").alias("via")), "graph-detours")
+    for done in (pairs, asked, up):
+        discard(done)
+    marked = edges.join(via, ["parent", "child"], "left")
     redundant = F.col("via").isNotNull()
     if keep_weighted:
         redundant = redundant & F.col("weight").isNull()
@@ -150,11 +266,13 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left = materialize(
         edges.select(F.least("parent", "child").alias("u"), F.greatest("parent", "child").alias("v")).where("u != v").distinct(), "graph-pairs"
     )
-    labels = nodes.select("node").union(left.select("u")).union(left.select("v")).distinct().withColumn("component", F.col("node"))
+    written = None
+    names = nodes.select("node").union(edges.select("parent")).union(edges.select("child")).distinct()
+    labels = names.withColumn("component", F.col("node"))
     while not left.isEmpty():
         both = left.unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
-        hooks = materialize(hooks, "graph-hooks")
+        base = hooks = materialize(hooks, "graph-hooks")
         for _ in range(2):
             hooks = hooks.join(hooks.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to"))
         hooks = materialize(hooks, "graph-jumps")
@@ -162,37 +280,43 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialize(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "graph-labels")
         ends = [hooks.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in ("u", "v")]
         met = left.join(ends[0], "u").join(ends[1], "v").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v"))
-        left = materialize(met.where("u != v").distinct(), "graph-pairs")
+        less = materialize(met.where("u != v").distinct(), "graph-pairs")
+        for done in (left, base, hooks, *([written] if written else [])):
+            discard(done)
+        left, written = less, labels
+    discard(left)
     return nodes.select("node").distinct().join(labels, "node")
 
 
-def label_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, label) for a < b: a->b, b->a, sibling (a shared parent), cousin (a shared ancestor) or none."""
+def _share(pairs: DataFrame, up: DataFrame, name: str) -> DataFrame:
+    """(a, b, name) of the given pairs that have a common node in ``up`` (ancestor, descendant)."""
+    left = pairs.join(up.select(F.col("descendant").alias("a"), "ancestor"), "a")
+    met = left.join(up.select(F.col("descendant").alias("b"), "ancestor"), ["b", "ancestor"], "left_semi")
+    return met.select("a", "b", F.lit(True).alias(name)).distinct()
+
+
+def label_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, label) of the given distinct pairs: a->b, b->a, sibling (a shared parent), cousin (a shared ancestor) or none."""
     up = closure(edges)
-    a, b = nodes.select(F.col("node").alias("a")), nodes.select(F.col("node").alias("b"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
+    pairs = pairs.select("a", "b")
     down = up.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"), F.lit(True).alias("fwd"))
     back = up.select(F.col("ancestor").alias("b"), F.col("descendant").alias("a"), F.lit(True).alias("rev"))
-    share = lambda t, name: (
-        t.select(F.col("descendant").alias("a"), "ancestor").join(t.select(F.col("descendant").alias("b"), "ancestor"), "ancestor")
-        .select("a", "b", F.lit(True).alias(name)).distinct()
-    )
-    direct = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
-    met = pairs.join(down, ["a", "b"], "left").join(back, ["a", "b"], "left").join(share(direct, "sib"), ["a", "b"], "left").join(share(up, "cou"), ["a", "b"], "left")
+    direct = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
+    met = pairs.join(down, ["a", "b"], "left").join(back, ["a", "b"], "left")
+    met = met.join(_share(pairs, direct, "sib"), ["a", "b"], "left").join(_share(pairs, up, "cou"), ["a", "b"], "left")
     label = F.when(F.col("fwd"), "a->b").when(F.col("rev"), "b->a").when(F.col("sib"), "sibling").when(F.col("cou"), "cousin").otherwise("none")
     return met.select("a", "b", label.alias("label"))
 
 
 def classify_wrong_edges(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(parent, child, kind) of predicted edges that are not true: reversed, ancestor-not-parent, cousin, unrelated."""
-    wrong = predicted.select("parent", "child").join(truth, ["parent", "child"], "left_anti")
+    wrong = predicted.select("parent", "child").distinct().join(truth, ["parent", "child"], "left_anti")
     up = closure(truth)
     rev = up.select(F.col("ancestor").alias("child"), F.col("descendant").alias("parent"), F.lit(True).alias("rev"))
     anc = up.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("child"), F.lit(True).alias("anc"))
-    cou = up.select(F.col("descendant").alias("parent"), "ancestor").join(up.select(F.col("descendant").alias("child"), "ancestor"), "ancestor")
-    cou = cou.select("parent", "child", F.lit(True).alias("cou")).distinct()
+    cou = _share(wrong.select(F.col("parent").alias("a"), F.col("child").alias("b")), up, "cou").withColumnsRenamed({"a": "parent", "b": "child"})
     keys = ["parent", "child"]
-    direct = truth.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.lit(True).alias("flip"))
+    direct = truth.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.lit(True).alias("flip")).distinct()
     met = wrong.join(direct, keys, "left").join(anc, keys, "left").join(rev, keys, "left").join(cou, keys, "left")
     kind = (
         F.when(F.col("flip"), "reversed").when(F.col("anc"), "ancestor-not-parent").when(F.col("rev"), "reversed").when(F.col("cou"), "cousin").otherwise("unrelated")
@@ -256,6 +380,7 @@ def best_paths(edges: DataFrame) -> DataFrame:
         ),
         "graph-paths",
     )
+    written = best
     rank = F.struct(-F.col("product"), F.size("path"), "path")
     keys = ["ancestor", "descendant"]
     while not front.isEmpty():
@@ -267,14 +392,17 @@ def best_paths(edges: DataFrame) -> DataFrame:
         tried = longer.withColumn("fresh", F.lit(True)).unionByName(best.withColumn("fresh", F.lit(False)))
         chosen = tried.groupBy(*keys).agg(F.min_by(F.struct("path", "product", "least", "fresh"), rank).alias("b"))
         chosen = materialize(chosen.select(*keys, "b.*"), "graph-paths")
+        discard(written)
+        written = chosen
         best, front = chosen.drop("fresh"), chosen.where("fresh").drop("fresh")
+    discard(step)
     return best
 
 
 def trace(edges: DataFrame, target: str) -> DataFrame:
     """Edges among the target, its ancestors and its direct children."""
     keep = ancestors_of(edges, target).select("node")
-    keep = keep.union(children_of(edges, target).select("child")).union(edges.sparkSession.createDataFrame([(target,)], "node string")).distinct()
+    keep = keep.union(children_of(edges, target).select("child")).union(_single(edges, target)).distinct()
     out = edges.join(keep.select(F.col("node").alias("parent")), "parent", "left_semi")
     return out.join(keep.select(F.col("node").alias("child")), "child", "left_semi").select(*edges.columns)
 
@@ -287,7 +415,10 @@ def validate(models: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame
     unknown = ends.join(ids, "node", "left_anti").select(F.lit("unknown id in edges").alias("problem"), F.col("node").alias("what"))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     unknown2 = in_pairs.join(ids, "node", "left_anti").select(F.lit("unknown id in pairs").alias("problem"), F.col("node").alias("what"))
-    labels = label_pairs(ids, edges).withColumnRenamed("label", "want")
+    known = pairs.select("a", "b").where("a < b").distinct()
+    for x in ("a", "b"):
+        known = known.join(ids.withColumnRenamed("node", x), x, "left_semi")
+    labels = label_pairs(known, edges).withColumnRenamed("label", "want")
     claim = F.when(F.col("direction").isin("a->b", "b->a"), F.col("direction") != F.col("want")).otherwise(F.col("want").isin("a->b", "b->a"))
     off = pairs.join(labels, ["a", "b"]).where(claim).select(F.lit("label contradicts edges").alias("problem"), F.concat_ws(",", "a", "b").alias("what"))
     return dup.union(unknown).union(unknown2).union(off)

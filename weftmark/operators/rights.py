@@ -12,38 +12,48 @@ from weftmark import schema
 from weftmark.functions.scalars import clip
 from weftmark.operators import graph
 
-_PASS_ON = "use restrictions must be passed to downstream recipients"
-_LLAMA = (
-    "acceptable use policy applies to derivatives",
-    "separate licence required above the stated monthly-active-user threshold",
-    "derivative model names are expected to carry the Llama marker",
-)
-_RAIL = ("behavioural use restrictions apply", _PASS_ON)
-_SAME = "derivatives must use the same licence"
-_TERMS = "licence terms must be passed to downstream recipients"
+#: What a license asks of derived models, in words of this library.
+_RULES = {
+    "patents": "patent grants end for those who sue over them",
+    "changes": "say which files were changed",
+    "names": "do not advertise with the names of the authors",
+    "uses": "some uses are excluded, for derived models as well",
+    "pass on": "recipients must get the same terms",
+    "users": "services with very many users need a license of their own",
+    "label": "names of derived models have to show where they come from",
+    "no sale": "commercial use is excluded",
+    "same": "derived works stay under this license",
+    "network": "offering a service counts as handing out a copy",
+    "open": "no recognised license is on record",
+}
+
+
+def _rules(*keys: str) -> tuple[str, ...]:
+    return tuple(_RULES[k] for k in keys)
+
 
 # Id -> (name, SPDX id, commercial use or None for unknown, share alike, attribution, restrictions).
 LICENSES = {
-    "apache-2.0": ("Apache License 2.0", "Apache-2.0", True, False, True, ("patent-retaliation clause", "state changes to modified files")),
+    "apache-2.0": ("Apache License 2.0", "Apache-2.0", True, False, True, _rules("patents", "changes")),
     "mit": ("MIT License", "MIT", True, False, True, ()),
-    "bsd-3-clause": ("BSD 3-Clause License", "BSD-3-Clause", True, False, True, ("no endorsement using contributor names",)),
-    "llama2": ("Llama 2 Community License", "LicenseRef-Llama-2-Community", True, False, True, (*_LLAMA[:2], _TERMS)),
-    "llama3": ("Llama 3 Community License", "LicenseRef-Llama-3-Community", True, False, True, _LLAMA),
-    "llama3.1": ("Llama 3.1 Community License", "LicenseRef-Llama-3.1-Community", True, False, True, _LLAMA),
-    "llama3.2": ("Llama 3.2 Community License", "LicenseRef-Llama-3.2-Community", True, False, True, _LLAMA),
-    "gemma": ("Gemma Terms of Use", "LicenseRef-Gemma-Terms", True, False, True, ("prohibited use policy applies to derivatives", _PASS_ON)),
-    "tongyi-qianwen": ("Tongyi Qianwen (Qwen) License", "LicenseRef-Tongyi-Qianwen", True, False, True, (_LLAMA[1], _TERMS)),
-    "cc-by-nc-4.0": ("Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC-4.0", False, False, True, ("non-commercial use only",)),
-    "cc-by-nc-sa-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-NC-SA-4.0", False, True, True, ("non-commercial use only", _SAME)),
-    "cc-by-sa-4.0": ("Creative Commons Attribution-ShareAlike 4.0", "CC-BY-SA-4.0", True, True, True, (_SAME,)),
+    "bsd-3-clause": ("BSD 3-Clause License", "BSD-3-Clause", True, False, True, _rules("names")),
+    "llama2": ("Llama 2 Community License", "LicenseRef-Llama-2-Community", True, False, True, _rules("uses", "users", "pass on")),
+    "llama3": ("Llama 3 Community License", "LicenseRef-Llama-3-Community", True, False, True, _rules("uses", "users", "label")),
+    "llama3.1": ("Llama 3.1 Community License", "LicenseRef-Llama-3.1-Community", True, False, True, _rules("uses", "users", "label")),
+    "llama3.2": ("Llama 3.2 Community License", "LicenseRef-Llama-3.2-Community", True, False, True, _rules("uses", "users", "label")),
+    "gemma": ("Gemma Terms of Use", "LicenseRef-Gemma-Terms", True, False, True, _rules("uses", "pass on")),
+    "tongyi-qianwen": ("Tongyi Qianwen (Qwen) License", "LicenseRef-Tongyi-Qianwen", True, False, True, _rules("users", "pass on")),
+    "cc-by-nc-4.0": ("Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC-4.0", False, False, True, _rules("no sale")),
+    "cc-by-nc-sa-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-NC-SA-4.0", False, True, True, _rules("no sale", "same")),
+    "cc-by-sa-4.0": ("Creative Commons Attribution-ShareAlike 4.0", "CC-BY-SA-4.0", True, True, True, _rules("same")),
     "cc-by-4.0": ("Creative Commons Attribution 4.0", "CC-BY-4.0", True, False, True, ()),
     "cc0-1.0": ("Creative Commons Zero v1.0 Universal", "CC0-1.0", True, False, False, ()),
-    "openrail": ("OpenRAIL", "LicenseRef-OpenRAIL", True, True, True, _RAIL),
-    "bigscience-openrail-m": ("BigScience OpenRAIL-M", "LicenseRef-BigScience-OpenRAIL-M", True, True, True, _RAIL),
-    "creativeml-openrail-m": ("CreativeML OpenRAIL-M", "LicenseRef-CreativeML-OpenRAIL-M", True, True, True, _RAIL),
-    "gpl-3.0": ("GNU General Public License v3.0", "GPL-3.0-only", True, True, True, ("derivative works must be released under the same licence",)),
-    "agpl-3.0": ("GNU Affero General Public License v3.0", "AGPL-3.0-only", True, True, True, ("derivative works must be released under the same licence", "network use counts as distribution")),
-    "unknown": ("Unknown / undeclared", "NOASSERTION", None, False, False, ("licence not declared or not recognised",)),
+    "openrail": ("OpenRAIL", "LicenseRef-OpenRAIL", True, True, True, _rules("uses", "pass on")),
+    "bigscience-openrail-m": ("BigScience OpenRAIL-M", "LicenseRef-BigScience-OpenRAIL-M", True, True, True, _rules("uses", "pass on")),
+    "creativeml-openrail-m": ("CreativeML OpenRAIL-M", "LicenseRef-CreativeML-OpenRAIL-M", True, True, True, _rules("uses", "pass on")),
+    "gpl-3.0": ("GNU General Public License v3.0", "GPL-3.0-only", True, True, True, _rules("same")),
+    "agpl-3.0": ("GNU Affero General Public License v3.0", "AGPL-3.0-only", True, True, True, _rules("same", "network")),
+    "unknown": ("Unknown / undeclared", "NOASSERTION", None, False, False, _rules("open")),
 }
 # Spellings and the ids they stand for.
 ALIASES = {
@@ -88,7 +98,7 @@ def facts(models: DataFrame) -> DataFrame:
     return joined.select(
         "model", "license", F.coalesce("license_name", "license").alias("license_name"), spdx(F.col("license"), F.col("spdx")).alias("spdx"),
         "commercial_use", F.coalesce("share_alike", no).alias("share_alike"), F.coalesce("attribution_required", no).alias("attribution_required"), "gated",
-        F.coalesce("restrictions", F.array(F.lit("licence not declared or not recognised"))).alias("restrictions"),
+        F.coalesce("restrictions", F.array(F.lit(_RULES["open"]))).alias("restrictions"),
     )
 
 
@@ -147,6 +157,24 @@ def conflicts(facts_: DataFrame, edges: DataFrame) -> DataFrame:
     return flat.select("descendant", "ancestor", "f.kind", "f.severity", "confidence", "path", shown.alias("message"))
 
 
+#: Stems that accuse, and the words every message of a finding ends with.
+ACCUSING, REVIEW = ("violat", "infring", "illegal", "unlawful"), "Human review required."
+
+
+def wording(messages: DataFrame) -> DataFrame:
+    """The rows of ``message`` with ``accusing`` (a stem of ACCUSING outside of model names) and ``hedged`` (asks for a review)."""
+    said = F.lower("message")
+    for c in ("descendant", "ancestor"):
+        if c in messages.columns:
+            name = F.replace(F.lower(c), F.lit("\\E"), F.lit(""))
+            whole = F.concat(F.lit(r"(?<![\w./-])\Q"), name, F.lit(r"\E(?![\w/-])"))
+            said = F.regexp_replace(said, whole, F.lit(" "))
+    accusing = F.lit(False)
+    for stem in ACCUSING:
+        accusing = accusing | said.contains(stem)
+    return messages.withColumns({"accusing": F.coalesce(accusing, F.lit(False)), "hedged": F.coalesce(F.col("message").endswith(REVIEW), F.lit(False))})
+
+
 def conflict_order(found: DataFrame) -> DataFrame:
     """Conflicts in report order: severity, confidence, names."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "warning", 1).otherwise(2)

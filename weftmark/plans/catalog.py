@@ -28,7 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from weftmark.plans import queries_lineage, queries_tables  # noqa: F401
+    from weftmark.plans import queries_graphs, queries_lineage, queries_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

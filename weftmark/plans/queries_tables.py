@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.functions import names, scalars
-from weftmark.operators import baselines, direction, export, graph, metadata, metrics, pairs, rights, selection
+from weftmark.operators import baselines, direction, metadata, metrics, pairs, rights, selection
 from weftmark.plans.catalog import register
 from weftmark.plans.queries_lineage import r6
 from weftmark.sources import texts
@@ -463,354 +463,6 @@ def subsample(spark, sf_dir):
     return metrics.balanced_subsample(p, {"F": 50, "O": 30, "P": 20})
 
 
-# ---- graphs: a dense lineage built from the customers, and the benchmark's edge list
-
-GT = (
-    ("gpt2-root", "distilgpt2", "distilled", None), ("root", "sft", "sft", None), ("root", "lora-merged", "lora", None), ("root", "int8", "quant", None), ("root", "prune-mag30", "prune", None),
-    ("root", "vocab-ext", "vocab", None), ("root", "distil-half", "distilled", None), ("sft", "cpt", "cpt", None), ("sft", "sft-int4", "quant", None), ("sft", "sft-prune-struct10", "prune", None),
-    ("gpt2-root", "gpt2-int8", "quant", None), ("sft", "merge-slerp", "merge", 0.7), ("lora-merged", "merge-slerp", "merge", 0.3), ("sft", "merge-ties2", "merge", 0.6), ("cpt", "merge-ties2", "merge", 0.4),
-    ("sft", "merge-ties3", "merge", 0.5), ("lora-merged", "merge-ties3", "merge", 0.3), ("cpt", "merge-ties3", "merge", 0.2), ("sft", "merge-dare2", "merge", 0.5), ("lora-merged", "merge-dare2", "merge", 0.5),
-)
-LICENSED = (
-    ("root", "apache-2.0"), ("gpt2-root", "mit"), ("distilgpt2", "apache-2.0"), ("lora-merged", "cc-by-sa-4.0"), ("cpt", "cc-by-nc-4.0"), ("sft-prune-struct10", None), ("sft", "apache-2.0"),
-    ("int8", "apache-2.0"), ("prune-mag30", "apache-2.0"), ("vocab-ext", "apache-2.0"), ("distil-half", "apache-2.0"), ("sft-int4", "apache-2.0"), ("gpt2-int8", "mit"), ("merge-slerp", "apache-2.0"),
-    ("merge-ties2", "apache-2.0"), ("merge-ties3", "apache-2.0"), ("merge-dare2", "apache-2.0"), ("control-a", "apache-2.0"), ("control-b", "apache-2.0"),
-)
-#: Confidence of an edge from the real data: the mean discount of the lines whose number stands for it.
-_EDGE_SQL = f"""
-gt(parent, child, relation, weight, i) as (values {_values(tuple((p, c, r, None if w is None else w, i) for i, (p, c, r, w) in enumerate(GT)))}),
-cf as (select l_partkey % 20 as i, 0.5 + 4 * avg(l_discount) + (l_partkey % 20) * 0.012::double as c from lineitem group by l_partkey % 20),
-edges as materialized (select parent, child, relation, weight, round(c, 6) as confidence from gt join cf using (i)),
-fx(model, declared) as (values {_values(LICENSED)}), nodes as (select model as node from fx)
-"""
-_CLOSURE_SQL = """walk(ancestor, descendant, depth, path) as (
-  select parent, child, 1, [parent, child] from edges union all
-  select w.ancestor, e.child, w.depth + 1, w.path || [e.child] from walk w join edges e on e.parent = w.descendant where not list_contains(w.path, e.child)),
-up as materialized (select ancestor, descendant, min(depth) as depth from walk group by 1, 2)"""
-
-
-def gt_edges(spark, sf_dir) -> DataFrame:
-    i = spark.createDataFrame([(*r, n) for n, r in enumerate(GT)], "parent string, child string, relation string, weight double, i long")
-    c = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 20).alias("i")).agg(F.avg("l_discount").alias("d"))
-    conf = F.round(0.5 + 4 * F.col("d") + F.col("i") * F.lit(0.012), 6)
-    return i.join(c, "i").select("parent", "child", "relation", "weight", conf.alias("confidence"))
-
-
-def gt_nodes(spark) -> DataFrame:
-    return spark.createDataFrame([(m,) for m, _ in LICENSED], "node string")
-
-
-def gt_facts(spark) -> DataFrame:
-    m = spark.createDataFrame([*LICENSED], "model string, declared string")
-    return rights.facts(m.withColumn("gated", F.col("model") == "root"))
-
-
-@register("g02_g04_closure", f"with recursive {_EDGE_SQL}, {_CLOSURE_SQL} select ancestor, descendant, depth from up")
-def closure(spark, sf_dir):
-    return graph.closure(gt_edges(spark, sf_dir))
-
-
-@register("g01_w11_claims", f"with recursive {_EDGE_SQL} select parent, child, confidence, row_number() over (partition by child order by confidence desc, parent)::int as rank from edges")
-def claims(spark, sf_dir):
-    return graph.best_claims(gt_edges(spark, sf_dir))
-
-
-@register("g05_common_ancestor", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, u as (select ancestor, descendant, depth from up union all select node, node, 0 from nodes where node in (select parent from edges union select child from edges)),
-p(a, b) as (select x.node, y.node from nodes x join nodes y on x.node < y.node)
-select p.a, p.b, min_by(u.ancestor, u.depth * 100000 + v.depth * 1000 + (select count(*) from nodes n where n.node < u.ancestor)) as ancestor from p join u on u.descendant = p.a join u v on v.descendant = p.b and v.ancestor = u.ancestor group by p.a, p.b
-""")
-def common(spark, sf_dir):
-    n = gt_nodes(spark)
-    p = n.select(F.col("node").alias("a")).join(n.select(F.col("node").alias("b")), F.col("a") < F.col("b"))
-    return graph.nearest_common_ancestor(gt_edges(spark, sf_dir), p)
-
-
-@register("g06_break_one_cycle", f"""
-with recursive {_EDGE_SQL}, e2 as (select parent, child, confidence from edges union all select 'merge-ties2', 'root', 0.01::double),
-bad as (select parent, child from e2 where confidence = (select min(confidence) from e2)) select parent, child, confidence from e2 anti join bad using (parent, child)
-""")
-def break_cycle(spark, sf_dir):
-    e = gt_edges(spark, sf_dir).select("parent", "child", "confidence")
-    return graph.break_cycles(e.unionByName(spark.createDataFrame([("merge-ties2", "root", 0.01)], "parent string, child string, confidence double")))
-
-
-@register("g07_topological_levels", f"with recursive {_EDGE_SQL}, {_CLOSURE_SQL} select node, coalesce(max(w.depth), 0)::int as level from nodes left join walk w on w.descendant = node group by node")
-def levels(spark, sf_dir):
-    return graph.topological_levels(gt_edges(spark, sf_dir), gt_nodes(spark))
-
-
-@register("g08_transitive_reduction", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, det as (select distinct ancestor, descendant from walk where depth > 1)
-select parent, child, d.ancestor is not null as redundant from edges left join det d on d.ancestor = parent and d.descendant = child
-""")
-def reduction(spark, sf_dir):
-    kept, gone = graph.transitive_reduction(gt_edges(spark, sf_dir))
-    return kept.select("parent", "child", F.lit(False).alias("redundant")).unionByName(gone.select("parent", "child", F.lit(True).alias("redundant")))
-
-
-@register("g09_roots", f"with recursive {_EDGE_SQL} select node from nodes anti join (select child as node from edges) using (node)")
-def roots(spark, sf_dir):
-    return graph.roots(gt_nodes(spark), gt_edges(spark, sf_dir))
-
-
-_COMP_SQL = """und as (select parent as a, child as b from edges union select child, parent from edges),
-rc(node, other, path) as (select node, node, [node] from nodes union all select rc.node, und.b, rc.path || [und.b] from rc join und on und.a = rc.other where not list_contains(rc.path, und.b) and len(rc.path) < 8)"""
-
-
-@register("g10_weak_components", f"with recursive {_EDGE_SQL}, {_COMP_SQL} select node, min(other) as component from rc group by node")
-def weak(spark, sf_dir):
-    return graph.weak_components(gt_nodes(spark), gt_edges(spark, sf_dir))
-
-
-@register("g11_pair_labels", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, p as (select x.node as a, y.node as b from nodes x join nodes y on x.node < y.node)
-select a, b, case when exists (select 1 from up where ancestor = a and descendant = b) then 'a->b' when exists (select 1 from up where ancestor = b and descendant = a) then 'b->a'
-  when exists (select 1 from edges x join edges y on x.parent = y.parent where x.child = a and y.child = b) then 'sibling'
-  when exists (select 1 from up x join up y on x.ancestor = y.ancestor where x.descendant = a and y.descendant = b) then 'cousin' else 'none' end as label from p
-""")
-def pair_labels(spark, sf_dir):
-    return graph.label_pairs(gt_nodes(spark), gt_edges(spark, sf_dir))
-
-
-_PRED_SQL = "pred as (select parent, child from edges where confidence > 0.75 and child <> 'cpt' union all select * from (values ('root', 'cpt'), ('cpt', 'sft'), ('int8', 'vocab-ext'), ('control-a', 'root')) v(parent, child))"
-
-
-def predicted(spark, sf_dir):
-    made = spark.createDataFrame([("root", "cpt"), ("cpt", "sft"), ("int8", "vocab-ext"), ("control-a", "root")], "parent string, child string")
-    return gt_edges(spark, sf_dir).where("confidence > 0.75 and child != 'cpt'").select("parent", "child").unionByName(made)
-
-
-@register("g12_wrong_edges", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_PRED_SQL}
-select parent, child, case when exists (select 1 from edges e where e.parent = p.child and e.child = p.parent) then 'reversed'
-  when exists (select 1 from up where ancestor = p.parent and descendant = p.child) then 'ancestor-not-parent' when exists (select 1 from up where ancestor = p.child and descendant = p.parent) then 'reversed'
-  when exists (select 1 from up x join up y on x.ancestor = y.ancestor where x.descendant = p.parent and y.descendant = p.child) then 'cousin' else 'unrelated' end as kind
-from pred p anti join edges e using (parent, child)
-""")
-def wrong(spark, sf_dir):
-    return graph.classify_wrong_edges(predicted(spark, sf_dir), gt_edges(spark, sf_dir))
-
-
-@register("g13_j13_score_edges", f"""
-with recursive {_EDGE_SQL}, {_PRED_SQL}, n as (select (select count(*) from pred semi join edges using (parent, child)) as tp, (select count(*) from edges) as nt, (select count(distinct (parent, child)) from pred) as np)
-select tp, round(tp / np, 6) + 0 as precision, round(tp / nt, 6) + 0 as recall, round(case when tp = 0 then 0 else 2 * (tp / np) * (tp / nt) / (tp / np + tp / nt) end, 6) + 0 as f1 from n
-""")
-def score_edges(spark, sf_dir):
-    s = graph.score_dag(gt_edges(spark, sf_dir), predicted(spark, sf_dir), gt_nodes(spark)).where("axis = 'edges'")
-    return s.select("tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
-
-
-_AXES_SQL = """
-p1 as (select distinct parent, child from pred where child <> 'root'),
-wk0(a, d, path) as (select parent, child, [parent, child] from pred union select w.a, e.child, w.path || [e.child] from wk0 w join pred e on e.parent = w.d where not list_contains(w.path, e.child)),
-wk1(a, d, path) as (select parent, child, [parent, child] from p1 union select w.a, e.child, w.path || [e.child] from wk1 w join p1 e on e.parent = w.d where not list_contains(w.path, e.child)),
-u0 as (select distinct a, d from wk0), u1 as (select distinct a, d from wk1), ut as (select distinct ancestor as a, descendant as d from up),
-r0 as (select node from nodes anti join (select child as node from pred) using (node)), r1 as (select node from nodes anti join (select child as node from p1) using (node)),
-rt as (select node from nodes anti join (select child as node from edges) using (node)),
-sc as (
-  select 0 as run, 'edges' as axis, (select count(*) from (select distinct parent, child from pred) semi join edges using (parent, child)) as tp, (select count(distinct (parent, child)) from edges) as nt, (select count(distinct (parent, child)) from pred) as np
-  union all select 1, 'edges', (select count(*) from p1 semi join edges using (parent, child)), (select count(distinct (parent, child)) from edges), (select count(*) from p1)
-  union all select 0, 'closure', (select count(*) from u0 semi join ut using (a, d)), (select count(*) from ut), (select count(*) from u0)
-  union all select 1, 'closure', (select count(*) from u1 semi join ut using (a, d)), (select count(*) from ut), (select count(*) from u1)
-  union all select 0, 'roots', (select count(*) from r0 semi join rt using (node)), (select count(*) from rt), (select count(*) from r0)
-  union all select 1, 'roots', (select count(*) from r1 semi join rt using (node)), (select count(*) from rt), (select count(*) from r1)),
-pr as (select run, axis, tp, case when nt = 0 and np = 0 then 1 when np = 0 then 0 else tp / np end as p, case when nt = 0 and np = 0 then 1 when nt = 0 then 0 else tp / nt end as r from sc),
-ax as (select *, case when p + r = 0 then 0 else 2 * p * r / (p + r) end as f from pr)
-"""
-
-
-@register("g13_dag_score_axes", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_PRED_SQL}, {_AXES_SQL}
-select axis, tp, round(p, 6) + 0 as precision, round(r, 6) + 0 as recall, round(f, 6) + 0 as f1 from ax where run = 0
-""")
-def score_axes(spark, sf_dir):
-    """Edges, closure and roots of a predicted lineage against the true one."""
-    s = graph.score_dag(gt_edges(spark, sf_dir), predicted(spark, sf_dir), gt_nodes(spark))
-    return s.select("axis", "tp", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
-
-
-@register("g14_dag_delta", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_PRED_SQL}, {_AXES_SQL}
-select x.axis, round(y.p - x.p, 6) + 0 as d_precision, round(y.r - x.r, 6) + 0 as d_recall, round(y.f - x.f, 6) + 0 as d_f1
-from ax x join ax y on x.axis = y.axis and x.run = 0 and y.run = 1
-""")
-def delta(spark, sf_dir):
-    t, p, n = gt_edges(spark, sf_dir), predicted(spark, sf_dir), gt_nodes(spark)
-    d = graph.dag_delta(graph.score_dag(t, p, n), graph.score_dag(t, p.where("child != 'root'"), n))
-    return d.select("axis", *[r6(c).alias(c) for c in ("d_precision", "d_recall", "d_f1")])
-
-
-@register("g15_validate", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, ids as (select node from nodes union all select 'root'),
-p(a, b, direction) as (values ('root', 'sft', 'b->a'), ('cpt', 'sft', 'b->a'), ('root', 'ghost', 'none')),
-lb as (select *, case when exists (select 1 from up where ancestor = a and descendant = b) then 'a->b' when exists (select 1 from up where ancestor = b and descendant = a) then 'b->a' else 'no' end as want
-  from p where a < b and a in (select node from nodes) and b in (select node from nodes))
-select 'duplicate id' as problem, node as what from ids group by node having count(*) > 1
-union all select 'unknown id in edges', node from (select parent as node from edges union select child from edges) anti join nodes using (node)
-union all select 'unknown id in pairs', node from (select a as node from p union select b from p) anti join nodes using (node)
-union all select 'label contradicts edges', a || ',' || b from lb where case when direction in ('a->b', 'b->a') then direction <> want else want in ('a->b', 'b->a') end
-""")
-def validate(spark, sf_dir):
-    n = gt_nodes(spark).unionByName(spark.createDataFrame([("root",)], "node string"))
-    pairs = spark.createDataFrame([("root", "sft", "b->a"), ("cpt", "sft", "b->a"), ("root", "ghost", "none")], "a string, b string, direction string")
-    return graph.validate(n, gt_edges(spark, sf_dir), pairs)
-
-
-@register("w13_best_paths", f"""
-with recursive {_EDGE_SQL}, wp(ancestor, descendant, path, product, low) as (
-  select parent, child, [parent, child], confidence, confidence from edges union all
-  select w.ancestor, e.child, w.path || [e.child], w.product * e.confidence, least(w.low, e.confidence) from wp w join edges e on e.parent = w.descendant where not list_contains(w.path, e.child)),
-b as (select *, row_number() over (partition by ancestor, descendant order by product desc, len(path), array_to_string(path, '>')) as k from wp)
-select ancestor, descendant, array_to_string(path, '>') as path, round(product, 6) + 0 as product, round(low, 6) + 0 as least from b where k = 1
-""")
-def best_paths(spark, sf_dir):
-    b = graph.best_paths(gt_edges(spark, sf_dir))
-    return b.select("ancestor", "descendant", F.array_join("path", ">").alias("path"), r6("product").alias("product"), r6("least").alias("least"))
-
-
-@register("c29_trace", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, k as (select ancestor as node from up where descendant = 'cpt' union select child from edges where parent = 'cpt' union select 'cpt')
-select parent, child from edges where parent in (select node from k) and child in (select node from k)
-""")
-def trace(spark, sf_dir):
-    return graph.trace(gt_edges(spark, sf_dir), "cpt").select("parent", "child")
-
-
-_FACTS_SQL = f"kl(license, license_name, spdx, commercial_use, share_alike, attribution_required) as (values {_values(_KNOWN)}), fa as materialized (select model, coalesce(declared, 'unknown') as license, spdx, commercial_use, share_alike, attribution_required, model = 'root' as gated from fx join kl on kl.license = coalesce(declared, 'unknown'))"
-
-
-@register("r02_p28_propagate", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}, {_FACTS_SQL}, al as (select model as node, * from fa union all select up.descendant, fa.* from up join fa on fa.model = up.ancestor)
-select node as model, case when bool_or(not commercial_use) then 'false' when bool_or(commercial_use is null) then 'unknown' else 'true' end as commercial_use,
-  bool_or(share_alike) as share_alike, bool_or(attribution_required) as attribution_required, bool_or(gated) as gated from al group by node
-""")
-def propagate(spark, sf_dir):
-    return rights.propagate(gt_facts(spark), gt_edges(spark, sf_dir)).select("model", three_valued(), "share_alike", "attribution_required", "gated")
-
-
-_CONFLICT_SQL = f"""wp(ancestor, descendant, product, low, len) as (
-  select parent, child, confidence, confidence, 1 from edges union all
-  select w.ancestor, e.child, w.product * e.confidence, least(w.low, e.confidence), w.len + 1 from wp w join edges e on e.parent = w.descendant where w.len < 8),
-bp as (select ancestor, descendant, max(product) as product, max_by(low, product) as low from wp group by 1, 2),
-cx as (select bp.*, d.license as dl, d.commercial_use as dc, d.share_alike as ds, a.license as al, a.commercial_use as ac, a.share_alike as asa, a.gated as ag
-  from bp join fa d on d.model = descendant join fa a on a.model = ancestor),
-cf2 as materialized (
-  select descendant, ancestor, 'noncommercial_ancestor' as kind, case when low > 0.8 then 'high' else 'warning' end as severity, product from cx where not ac and dc
-  union all select descendant, ancestor, 'share_alike_broken', case when low > 0.8 then 'high' else 'warning' end, product from cx where asa and not ds and dl <> 'unknown'
-  union all select descendant, ancestor, 'unknown_ancestor', case when low > 0.8 then 'warning' else 'info' end, product from cx where al = 'unknown' or ac is null
-  union all select descendant, ancestor, 'gated_ancestor', case when low > 0.8 then 'warning' else 'info' end, product from cx where ag)"""
-
-
-@register("r03_w12_conflicts", f"with recursive {_EDGE_SQL}, {_FACTS_SQL}, {_CONFLICT_SQL} select descendant, ancestor, kind, severity, round(least(1, product), 6) + 0 as confidence from cf2")
-def conflicts(spark, sf_dir):
-    c = rights.conflict_order(rights.conflicts(gt_facts(spark), gt_edges(spark, sf_dir)))
-    return c.select("descendant", "ancestor", "kind", "severity", r6("confidence").alias("confidence"))
-
-
-@register("j15_touched", f"with recursive {_EDGE_SQL}, {_FACTS_SQL}, {_CONFLICT_SQL} select descendant as model from cf2 union select ancestor from cf2")
-def touched(spark, sf_dir):
-    return rights.touched(rights.conflicts(gt_facts(spark), gt_edges(spark, sf_dir)))
-
-
-@register("j10_j16_outgroup_pool", f"""
-with recursive {_EDGE_SQL}, {_CLOSURE_SQL}
-select n.node as model, m.node as candidate from nodes n join nodes m on n.node <> m.node anti join up a on a.ancestor = n.node and a.descendant = m.node
-  anti join (select x.child as u, y.child as v from edges x join edges y on x.parent = y.parent) s on s.u = n.node and s.v = m.node
-""")
-def outgroup_pool(spark, sf_dir):
-    """Models that are neither descendants nor siblings of a model."""
-    n, e = gt_nodes(spark), gt_edges(spark, sf_dir)
-    p = n.select(F.col("node").alias("model")).join(n.select(F.col("node").alias("candidate")), F.col("model") != F.col("candidate"))
-    down = graph.closure(e).select(F.col("ancestor").alias("model"), F.col("descendant").alias("candidate"))
-    sib = e.select("parent", F.col("child").alias("model")).join(e.select("parent", F.col("child").alias("candidate")), "parent").select("model", "candidate")
-    return p.join(down, ["model", "candidate"], "left_anti").join(sib, ["model", "candidate"], "left_anti")
-
-
-@register("l19_r04_bom_components", f"with recursive {_EDGE_SQL}, {_FACTS_SQL} select model, license, spdx, coalesce(commercial_use::varchar, 'unknown') as commercial_use, model <> 'merge-ties2' as inferred from fa")
-def components(spark, sf_dir):
-    return export.bom_components(gt_facts(spark), "merge-ties2").select("model", "license", "spdx", three_valued(), "inferred")
-
-
-@register("l20_spdx_relationships", f"""
-with recursive {_EDGE_SQL} select child as element, case when relation = 'merge' then 'GENERATED_FROM' else 'DESCENDANT_OF' end as type, parent as related from edges
-union all select 'document', 'DESCRIBES', node from nodes anti join (select child as node from edges) using (node)
-""")
-def spdx_relationships(spark, sf_dir):
-    return export.spdx_relationships(gt_edges(spark, sf_dir), gt_nodes(spark))
-
-
-@register("l20_spdx_packages", f"""
-with recursive {_EDGE_SQL}, {_FACTS_SQL}, {_CONFLICT_SQL}, tx as (select descendant as m from cf2 union select ancestor from cf2)
-select model, 'SPDXRef-Package-' || (row_number() over (order by model) - 1) || '-' || model as spdx_id, spdx as license_declared,
-  case when license = 'unknown' or model in (select m from tx) then 'NOASSERTION' else spdx end as license_concluded from fa
-""")
-def spdx_packages(spark, sf_dir):
-    f = gt_facts(spark)
-    return export.spdx_packages(f, rights.conflicts(f, gt_edges(spark, sf_dir)))
-
-
-_ID = "'n_' || regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
-
-
-@register("l17_mermaid", f"""
-with recursive {_EDGE_SQL}, li as (
-  select 0 as s, '' as k, 'graph TD' as l union all select 1, node, '    ' || {_ID.format('node')} || '["' || node || '"]' from nodes
-  union all select 2, parent || chr(9) || child, '    ' || {_ID.format('parent')} || ' -->|"' || relation || ' ' || printf('%.2f', confidence) || '"| ' || {_ID.format('child')} from edges
-  union all select 4, node, '    class ' || {_ID.format('node')} || ' root;' from nodes anti join (select child as node from edges) using (node))
-select string_agg(l, chr(10) order by s, k, l) as text from li
-""")
-def mermaid(spark, sf_dir):
-    return export.mermaid(gt_nodes(spark), gt_edges(spark, sf_dir))
-
-
-@register("l18_dot", f"""
-with recursive {_EDGE_SQL}, li as (
-  select 0 as s, '' as k, 'digraph lineage {{' as l union all select 0, '1', '  rankdir=TB;' union all select 9, '', '}}'
-  union all select 1, node, '  ' || {_ID.format('node')} || ' [label="' || node || '"];' from nodes
-  union all select 2, parent || chr(9) || child, '  ' || {_ID.format('parent')} || ' -> ' || {_ID.format('child')} || ' [label="' || relation || ' ' || printf('%.2f', confidence) || '", penwidth=' ||
-    printf('%.2f', 1 + 2 * least(1, confidence)) || ', style=' || case when confidence < 0.5 then 'dashed' else 'solid' end || '];' from edges)
-select string_agg(l, chr(10) order by s, k, l) as text from li
-""")
-def dot(spark, sf_dir):
-    return export.dot(gt_nodes(spark), gt_edges(spark, sf_dir))
-
-
-@register("l19_l21_documents")
-def documents(spark, sf_dir):
-    f, e, n = gt_facts(spark), gt_edges(spark, sf_dir), gt_nodes(spark)
-    b = export.bom("merge-ties2", f, e, rights.conflicts(f, e)).select(F.lit("bom").alias("kind"), "json")
-    return b.unionByName(export.graph_json(n, e).select(F.lit("graph").alias("kind"), "json"))
-
-
-@register("p25_ancestor_tree", f"""
-with recursive {_EDGE_SQL}, wt(node, depth, path) as (
-  select parent, 1, [child, parent] from edges where child = 'merge-ties3' union all
-  select e.parent, w.depth + 1, w.path || [e.parent] from wt w join edges e on e.child = w.node where not list_contains(w.path, e.parent))
-select row_number() over (order by array_to_string(path, '/'))::int as line_no, repeat('  ', depth) || '- ' || node as line from wt
-""")
-def tree(spark, sf_dir):
-    return export.ancestor_tree(gt_edges(spark, sf_dir), "merge-ties3")
-
-
-@register("l21_graph_json_parsed", f"""
-with recursive {_EDGE_SQL}
-select 'node' as kind, node as a, null as b, null as relation, null::double as confidence from nodes
-union all select 'root', node, null, null, null from nodes anti join (select child as node from edges) using (node)
-union all select 'edge', parent, child, relation, confidence from edges
-""")
-def graph_json_parsed(spark, sf_dir):
-    """The graph document, read back: its nodes, roots and edges."""
-    text = export.graph_json(gt_nodes(spark), gt_edges(spark, sf_dir))
-    kind = "nodes array<string>, roots array<string>, edges array<struct<parent:string,child:string,relation:string,confidence:double>>"
-    doc = text.select(F.from_json("json", kind).alias("d")).select("d.*")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("b", "string"), ("relation", "string"), ("confidence", "double"))]
-    nodes = doc.select(F.lit("node").alias("kind"), F.explode("nodes").alias("a"), *none)
-    tops = doc.select(F.lit("root").alias("kind"), F.explode("roots").alias("a"), *none)
-    edges = doc.select(F.explode("edges").alias("e")).select(F.lit("edge").alias("kind"), F.col("e.parent").alias("a"), F.col("e.child").alias("b"), "e.relation", "e.confidence")
-    return nodes.unionByName(tops).unionByName(edges)
-
-
 # ---- operators that had no query of their own
 
 _HINTED = "'layer.' || l_partkey % 50 || case l_linenumber when 1 then '.qweight' when 2 then '.absmax' else '.weight' end"
