@@ -13,6 +13,7 @@ from weftmark import schema
 from weftmark.functions.scalars import antisym, clip, finite, odd_tanh, sigmoid
 from weftmark.operators import metadata, sketch, stats
 from weftmark.operators import pairs as geometry
+from weftmark.plans.shared import materialize
 
 #: Side statistics of the evidence and pair statistics in both directions, with their neutral values.
 SIDE = ("vocab_rows", "bits", "zero_frac", "dead_frac", "outlier_frac", "sharpness", "lattice_frac", "log_norm",
@@ -179,9 +180,8 @@ def spectral_evidence(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def value_evidence(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Evidence per (a, b) from the values of shared tensors alone: parameter-weighted side and pair statistics."""
-    met = geometry.aligned(rows, pairs)
-    zero = stats.zero_containment(met)
-    norms = geometry.pair_tensor_stats(rows, pairs)
+    norms = materialize(geometry.pair_tensor_stats(rows, pairs), "evidence-sums")
+    zero = stats.zero_containment(norms)
     lattice = stats.lattice_fit(rows)
     side = stats.tensor_stats(rows)
     one = side.join(lattice, ["model", "tensor"]).select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftmark import schema
+from weftmark.operators import blocks
 
 
 def dot(a: str, b: str) -> Column:
@@ -63,20 +64,21 @@ def only_in_one(tensors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def pair_tensor_stats(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per (a, b, tensor): inner products, squared difference, cells, and bit identity."""
-    return (
-        aligned(rows, pairs)
-        .groupBy("a", "b", "tensor")
-        .agg(
-            F.sum(dot("va", "vb")).alias("ab"),
-            F.sum(dot("va", "va")).alias("aa"),
-            F.sum(dot("vb", "vb")).alias("bb"),
-            F.sum(squared_difference("va", "vb")).alias("dd"),
-            F.sum(F.size("va")).alias("cells"),
-            # arrays of NaN compare equal in Spark, so a NaN is never identical
-            F.bool_and((F.col("va") == F.col("vb")) & ~F.exists("va", F.isnan)).alias("identical"),
-        )
-    )
+    """Per (a, b, tensor): inner products, squared differences (whole, and where a side is not zero), zeros, cells, bit identity."""
+    return blocks.compare(rows, pairs.select("a", "b")).select("a", "b", "tensor", *blocks.PAIR, "identical")
+
+
+def relative_deltas(rows: DataFrame, pairs: DataFrame, tensors: DataFrame | None = None, n_tensors: int = 10, max_rows: int = 256, min_cells: int = 65536) -> DataFrame:
+    """(a, b, delta): norm of the difference by that of b over the largest shared matrices, sampled rows only; infinite without any.
+
+    ``tensors`` is (model, tensor, n_rows, n_cols), from the headers; else sizes come from the rows.
+    """
+    if tensors is None:
+        tensors = rows.groupBy("model", "tensor").agg((F.max("row_idx") + 1).alias("n_rows"), F.max(F.size("v")).cast("long").alias("n_cols"))
+    asks = blocks.largest_shared(tensors, pairs, n_tensors, min_cells)
+    s = blocks.compare(rows, asks, max_rows).groupBy("a", "b").agg(F.sum("dd").alias("dd"), F.sum("bb").alias("bb"))
+    delta = F.coalesce(F.try_divide(F.sqrt("dd"), F.sqrt("bb")), F.lit(float("inf")))
+    return pairs.select("a", "b").distinct().join(s, ["a", "b"], "left").select("a", "b", delta.alias("delta"))
 
 
 def pooled(stats: DataFrame) -> DataFrame:
@@ -112,26 +114,20 @@ def proximity_gate(deltas: DataFrame, factor: float | None = 10.0) -> DataFrame:
 
 def reconstruction_residual(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per (a = candidate, b = child): relative difference where the child is not zero."""
-    support = lambda f: F.aggregate(
-        F.zip_with("va", "vb", lambda x, y: F.when(y != 0, f(x, y)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x
-    )
-    return (
-        aligned(rows, pairs)
-        .groupBy("a", "b")
-        .agg(F.sum(support(lambda x, y: (x - y) * (x - y))).alias("dd"), F.sum(support(lambda x, y: y * y)).alias("yy"))
-        .select("a", "b", F.try_divide(F.sqrt("dd"), F.sqrt("yy")).alias("residual"))
-    )
+    return residuals(pair_tensor_stats(rows, pairs))
+
+
+def residuals(stats: DataFrame) -> DataFrame:
+    """(a, b, residual) from the sums of :func:`pair_tensor_stats`."""
+    s = stats.groupBy("a", "b").agg(F.sum("on_b").alias("dd"), F.sum("bb").alias("yy"))
+    return s.select("a", "b", F.try_divide(F.sqrt("dd"), F.sqrt("yy")).alias("residual"))
 
 
 def cousin_scores(rows: DataFrame, triples: DataFrame) -> DataFrame:
     """Cosine of (a - r) and (b - r) for triples (a, b, r); null where a difference is zero."""
-    third = rows.select(F.col("model").alias("r"), "tensor", "row_idx", F.col("v").alias("vr"))
-    met = aligned(rows, triples.select("a", "b").distinct()).join(triples, ["a", "b"]).join(third, ["r", "tensor", "row_idx"])
-    met = met.where(F.size("va") == F.size("vr"))
-    minus = lambda x: F.zip_with(x, "vr", lambda p, q: p - q)
-    met = met.select("a", "b", "r", minus("va").alias("x"), minus("vb").alias("y"))
-    sums = met.groupBy("a", "b", "r").agg(F.sum(dot("x", "y")).alias("xy"), F.sum(dot("x", "x")).alias("xx"), F.sum(dot("y", "y")).alias("yy"))
-    return sums.select("a", "b", "r", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("cousin"))
+    met = blocks.compare(rows, triples.select("a", "b", F.col("r").alias("c")))
+    sums = met.groupBy("a", "b", F.col("c").alias("r")).agg(*[F.sum(c).alias(c) for c in ("xy", "ac", "bc")])
+    return sums.select("a", "b", "r", F.try_divide("xy", F.sqrt(F.col("ac") * F.col("bc"))).alias("cousin"))
 
 
 def plausible_ancestors(deltas: DataFrame) -> DataFrame:
@@ -143,14 +139,15 @@ def plausible_ancestors(deltas: DataFrame) -> DataFrame:
     return met.where("isnull(d) or d = double('infinity') or (dar < d and dbr < d)").select("a", "b", "r")
 
 
-def cousin_veto(rows: DataFrame, deltas: DataFrame, pairs: DataFrame) -> DataFrame:
+def cousin_veto(rows: DataFrame, deltas: DataFrame, pairs: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(a, b, vetoed, via): pairs that look like cousins of a third model.
 
     A pair that reconstructs one way to RECONSTRUCTED is never vetoed.  Of the models
-    that veto, the one with the least score is named.
+    that veto, the one with the least score is named.  ``stats`` may hold the pairs' sums already.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    residual = reconstruction_residual(rows, both)
+    stats = pair_tensor_stats(rows, pairs) if stats is None else stats
+    turned = stats.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("on_a").alias("on_b"), F.col("aa").alias("bb"))
+    residual = residuals(stats.select("a", "b", "on_b", "bb").unionAll(turned))
     best = residual.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("residual").alias("residual"))
     open_ = pairs.select("a", "b").join(best, ["a", "b"], "left").where(f"residual is null or residual > {schema.RECONSTRUCTED}")
     triples = plausible_ancestors(deltas).join(open_.select("a", "b"), ["a", "b"], "left_semi")
@@ -161,11 +158,7 @@ def cousin_veto(rows: DataFrame, deltas: DataFrame, pairs: DataFrame) -> DataFra
 
 def outgroup_statistic(rows: DataFrame, triples: DataFrame) -> DataFrame:
     """Rooting by an outgroup c: mean over (c, tensor) of (d(b,c) - d(a,c)) / sum, distances by c's norm."""
-    third = rows.select(F.col("model").alias("c"), "tensor", "row_idx", F.col("v").alias("vc"))
-    met = aligned(rows, triples.select("a", "b").distinct()).join(triples, ["a", "b"]).join(third, ["c", "tensor", "row_idx"])
-    sums = met.groupBy("a", "b", "c", "tensor").agg(
-        F.sum(squared_difference("va", "vc")).alias("ac"), F.sum(squared_difference("vb", "vc")).alias("bc"), F.sum(dot("vc", "vc")).alias("cc")
-    ).where("cc > 0")
+    sums = blocks.compare(rows, triples.select("a", "b", "c")).where("cc > 0")
     dac, dbc = F.sqrt(F.col("ac") / F.col("cc")), F.sqrt(F.col("bc") / F.col("cc"))
     gap = F.try_divide(dbc - dac, dac + dbc)
     raw = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg(gap)))
@@ -184,47 +177,3 @@ def pick_outgroups(deltas: DataFrame, pairs: DataFrame, n: int = 1) -> DataFrame
     total = met.withColumn("total", F.col("da") + F.col("db"))
     order = Window.partitionBy("a", "b").orderBy("total", "c")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("a", "b", "c", "total", "rank")
-
-
-def centred_gram(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Column-centred cross products per (a, b, tensor): the linear CKA of two row sets."""
-    met = aligned(rows, pairs)
-    cells = met.select("a", "b", "tensor", "row_idx", F.posexplode(F.arrays_zip("va", "vb")).alias("c", "z"))
-    cells = cells.select("a", "b", "tensor", "row_idx", "c", F.col("z.va").alias("x"), F.col("z.vb").alias("y"))
-    means = cells.groupBy("a", "b", "tensor", "c").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    flat = cells.join(means, ["a", "b", "tensor", "c"]).select(
-        "a", "b", "tensor", "row_idx", "c", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y")
-    )
-    row = flat.groupBy("a", "b", "tensor", "row_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "x", "y"))), lambda p: p["x"]).alias("x"),
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "x", "y"))), lambda p: p["y"]).alias("y"),
-    )
-    keys = ["a", "b", "tensor"]
-    ex = row.select(*keys, "row_idx", F.posexplode("x").alias("i", "p"), "x", "y")
-    # each row contributes its outer products; they are added up per cell (i, j) before squaring
-    xx = ex.select(*keys, "i", "p", F.posexplode("x").alias("j", "q")).groupBy(*keys, "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
-    xy = ex.select(*keys, "i", "p", F.posexplode("y").alias("j", "q")).groupBy(*keys, "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
-    ey = row.select(*keys, F.posexplode("y").alias("i", "p"), "y")
-    yy = ey.select(*keys, "i", "p", F.posexplode("y").alias("j", "q")).groupBy(*keys, "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
-    square = lambda d, name: d.groupBy(*keys).agg(F.sum(F.col("g") * F.col("g")).alias(name))
-    met = square(xy, "xy").join(square(xx, "xx"), keys).join(square(yy, "yy"), keys)
-    return met.select(*keys, F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("cka"))
-
-
-def adjacent_product(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """Cells (model, i, j, x) of left @ transpose(right) by a join on the inner index."""
-    a = rows.where(F.col("tensor") == left).select("model", F.col("row_idx").alias("i"), F.posexplode("v").alias("k", "x"))
-    b = rows.where(F.col("tensor") == right).select("model", F.col("row_idx").alias("j"), F.posexplode("v").alias("k", "y"))
-    return a.join(b, ["model", "k"]).groupBy("model", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
-
-
-def invariant_cosine(products: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(1 + cosine) / 2 of two models' product matrices, each block scaled to norm 1."""
-    a = products.select(F.col("model").alias("a"), "block", "i", "j", "x")
-    b = products.select(F.col("model").alias("b"), "block", "i", "j", F.col("x").alias("y"))
-    met = pairs.select("a", "b").join(a, "a").join(b, ["b", "block", "i", "j"])
-    per = met.groupBy("a", "b", "block").agg(
-        F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy")
-    )
-    cosine = F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))
-    return per.groupBy("a", "b").agg(((1 + F.avg(F.coalesce(cosine, F.lit(0.0)))) / 2).alias("score"))

@@ -36,28 +36,32 @@ def build(
     rows: DataFrame, *, k: int = 10, max_distance: float = schema.MAX_DISTANCE, relatedness: float = schema.MIN_RELATEDNESS,
     abstain: float = schema.ABSTAIN, proximity: float = 0.0, veto: bool = True, outgroups: int = 0, merge_check: bool = True,
     reduce: bool = True, keep_weighted: bool = False, index: DataFrame | None = None, headers: DataFrame | None = None,
+    delta_tensors: int = 10, delta_rows: int = 256, delta_cells: int = 0,
 ) -> Phylogeny:
     """Edges of the lineage of all models in ``rows``.
 
     Candidates by nearest sketches, the relatedness gate, the optional proximity gate, the
     cousin veto, direction with optional outgroups, merge weights, and clean-up of the
-    graph.  Each stage is one set-oriented job over the candidates' neighbourhood.  ``headers`` (model, tensor,
-    dtype, shape) lets direction see precision and true shapes.
+    graph.  Each stage is one set-oriented job over the candidates' neighbourhood: pairs, and pairs with a third
+    model, meet in blocks of models (``blocks.compare``).  Distances among neighbours take the ``delta_tensors``
+    largest matrices of ``delta_cells`` shared cells or more, ``delta_rows`` rows of each.  ``headers`` (model,
+    tensor, dtype, shape) lets direction see precision and true shapes.
     """
     nodes = rows.select(F.col("model").alias("node")).distinct()
     index = index if index is not None else materialize(sketch.sketch(rows).select("model", "vector"), "phylo-index")
     found = materialize(sketch.pair_candidates(sketch.candidate_parents(index, index, k, max_distance)), "phylo-pairs")
-    pooled = pairs.pooled(pairs.pair_tensor_stats(rows, found)).join(found, ["a", "b"], "right")
+    sums = materialize(pairs.pair_tensor_stats(rows, found), "phylo-sums")
+    pooled = pairs.pooled(sums).join(found, ["a", "b"], "right")
     gate = pairs.relatedness(pooled, sketch.sketch_similarity(F.col("distance"))).where(F.col("relatedness") >= relatedness)
     related = materialize(gate.select("a", "b"), "phylo-related")
-    deltas = materialize(pairs.pooled(pairs.pair_tensor_stats(rows, neighbourhood(found))).select("a", "b", F.col("relative_delta").alias("delta")), "phylo-deltas")
+    deltas = materialize(pairs.relative_deltas(rows, neighbourhood(found), None, delta_tensors, delta_rows, delta_cells), "phylo-deltas")
     if proximity:
         both = deltas.join(related.unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi")
         near = pairs.proximity_gate(both.select(F.col("a").alias("child"), F.col("b").alias("candidate"), "delta"), proximity)
         kept = near.select(F.least("child", "candidate").alias("a"), F.greatest("child", "candidate").alias("b")).distinct()
         related = materialize(related.join(kept, ["a", "b"], "left_semi"), "phylo-near")
     if veto and related.count() > 1:
-        open_ = pairs.cousin_veto(rows, deltas, related).where("not vetoed").select("a", "b")
+        open_ = pairs.cousin_veto(rows, deltas, related, sums.join(related, ["a", "b"], "left_semi")).where("not vetoed").select("a", "b")
         related = materialize(open_, "phylo-open")
     evidence = direction.features(direction.collect_evidence(rows, related, headers))
     name = None

@@ -49,15 +49,8 @@ def containment(masks: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return masks.groupBy(*by).agg(F.coalesce(F.try_divide(both, own), F.lit(1.0)).alias("containment"))
 
 
-def zero_containment(aligned: DataFrame) -> DataFrame:
-    """Per (a, b, tensor): zero shares of both sides and containment of zeros both ways, from aligned rows."""
-    count = lambda f: F.sum(F.size(F.filter(F.arrays_zip("va", "vb"), f)))
-    sums = aligned.groupBy("a", "b", "tensor").agg(
-        F.sum(F.size("va")).alias("cells"),
-        count(lambda z: z["va"] == 0).alias("za"),
-        count(lambda z: z["vb"] == 0).alias("zb"),
-        count(lambda z: (z["va"] == 0) & (z["vb"] == 0)).alias("zz"),
-    )
+def zero_containment(sums: DataFrame) -> DataFrame:
+    """Per (a, b, tensor): zero shares of both sides and containment of zeros both ways, from the sums of a pair."""
     return sums.select(
         "a", "b", "tensor", "cells",
         (F.col("za") / F.col("cells")).alias("zero_a"), (F.col("zb") / F.col("cells")).alias("zero_b"),

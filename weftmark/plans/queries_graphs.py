@@ -51,6 +51,18 @@ def break_cycles(spark, sf_dir):
     return graph.break_cycles(e.unionByName(families.back_edges(spark, sf_dir)))
 
 
+@register("g06_break_one_cycle", f"""
+with recursive {SQL}, e2 as materialized (select parent, child, confidence, row_number() over (order by confidence, parent, child) as k
+  from (select parent, child, confidence from edges union all select '{TARGET}', 'part-0', 0.01::double)),
+w(k, node) as (select k, child from e2 union select w.k, e.child from w join e2 e on e.parent = w.node and e.k > w.k)
+select parent, child, confidence from e2 where not exists (select 1 from w where w.k = e2.k and w.node = e2.parent)
+""")
+def break_one_cycle(spark, sf_dir):
+    """The lineage with one weak edge from a descendant of its first model."""
+    e = families.edges(spark, sf_dir).select("parent", "child", "confidence")
+    return graph.break_cycles(e.unionByName(spark.createDataFrame([(TARGET, "part-0", 0.01)], "parent string, child string, confidence double")))
+
+
 @register("g06_strong_components", f"""
 with recursive {_TANGLED}, r(a, b) as (select parent, child from e2 union select r.a, e.child from r join e2 e on e.parent = r.b)
 select x.a as node, min(x.b) as component from r x join r y on y.a = x.b and y.b = x.a group by x.a
@@ -333,6 +345,14 @@ def graph_json_parsed(spark, sf_dir):
     return nodes.unionByName(tops).unionByName(edges)
 
 
+@register("l19_l21_documents")
+def documents(spark, sf_dir):
+    """The two documents as text; what they hold is compared by the queries that read them back."""
+    f, e, n = _facts(spark, sf_dir), families.edges(spark, sf_dir), families.nodes(spark, sf_dir)
+    b = export.bom(TARGET, f, e, _conflicts(spark, sf_dir)).select(F.lit("bom").alias("kind"), "json")
+    return b.unionByName(export.graph_json(n, e).select(F.lit("graph").alias("kind"), "json"))
+
+
 @register("l19_bom_parsed", f"""
 with recursive {SQL}, {_FACTS_SQL}, {_CONFLICT_SQL}
 select 'component' as kind, model as a, license as b, spdx as c, null::double as confidence from fa

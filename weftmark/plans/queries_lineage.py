@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark import schema
-from weftmark.operators import direction, graph, merge, metrics, pairs, selection, simulate, sketch, stats
+from weftmark.operators import baselines, blocks, direction, graph, merge, metrics, pairs, selection, simulate, sketch, stats
 from weftmark.plans.catalog import register
 from weftmark.plans.shared import materialize
 from weftmark.sources import lineage
@@ -23,15 +23,29 @@ def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.tensor_rows(spark, sf_dir)
 
 
+def all_models(spark: SparkSession, name: str = "model") -> DataFrame:
+    return spark.createDataFrame([(m,) for m in lineage.MODELS], f"{name} string").coalesce(1)
+
+
 def model_pairs(spark: SparkSession) -> DataFrame:
-    models = spark.createDataFrame([(m,) for m in lineage.MODELS], "model string")
-    return pairs.unordered_pairs(models)
+    return pairs.unordered_pairs(all_models(spark))
+
+
+def ordered_models(spark: SparkSession) -> DataFrame:
+    return pairs.ordered_pairs(all_models(spark))
 
 
-def some_pairs(spark: SparkSession, *names: tuple[str, str]) -> DataFrame:
-    return spark.createDataFrame([*names], "a string, b string")
+def model_triples(spark: SparkSession, third: str) -> DataFrame:
+    """All pairs a < b with every other model."""
+    p = model_pairs(spark)
+    return p.join(all_models(spark, third), (F.col(third) != F.col("a")) & (F.col(third) != F.col("b")))
 
 
+_MODELS_SQL = f"(select unnest({list(lineage.MODELS)}) as m)"
+_ORDERED_SQL = f"p as (select x.m as a, y.m as b from {_MODELS_SQL} x join {_MODELS_SQL} y on x.m <> y.m)"
+_PAIR_SQL = f"p as (select x.m as a, y.m as b from {_MODELS_SQL} x join {_MODELS_SQL} y on x.m < y.m)"
+_TRIPLE_SQL = f"t as (select x.m as a, y.m as b, z.m as r from {_MODELS_SQL} x join {_MODELS_SQL} y on x.m < y.m join {_MODELS_SQL} z on z.m <> x.m and z.m <> y.m)"
+
 PAIRS_SQL = f"""
 pairs as (select a.m as a, b.m as b from (select unnest({list(lineage.MODELS)}) as m) a join (select unnest({list(lineage.MODELS)}) as m) b on a.m < b.m),
 st as materialized (
@@ -69,19 +83,25 @@ def pair_distances(spark, sf_dir):
 
 
 @register("c07_relatedness", f"""
-with {L}, {PAIRS_SQL}, s as (select a, b, sum(ab) as ab, sum(aa) as aa, sum(bb) as bb, sum(dd) as dd, avg(same::int) as same from st group by all)
-select a, b, round(0.30::double * 0.9::double + 0.55::double * (0.5::double * greatest(0, least(1, ab / sqrt(aa * bb)))
-       + 0.5::double * greatest(0, least(1, 1 - sqrt(dd) / ((sqrt(aa) + sqrt(bb)) / 2) / sqrt(2)))) + 0.15::double * same, 6) + 0 as relatedness from s
+with {L}, {PAIRS_SQL}, s as (select a, b, sum(ab) as ab, sum(aa) as aa, sum(bb) as bb, sum(dd) as dd, avg(same::int) as same from st group by all),
+v as (select model, tensor, c, avg(x) as x from cells group by all),
+k as (select x.model as a, y.model as b, greatest(0, least(2, 1 - sum(x.x * y.x) / sqrt(sum(x.x * x.x) * sum(y.x * y.x)))) as d from v x join v y on y.tensor = x.tensor and y.c = x.c group by all)
+select a, b, round(0.30::double * greatest(0, least(1, 1 - d / 2)) + 0.55::double * (0.5::double * greatest(0, least(1, ab / sqrt(aa * bb)))
+       + 0.5::double * greatest(0, least(1, 1 - sqrt(dd) / ((sqrt(aa) + sqrt(bb)) / 2) / sqrt(2)))) + 0.15::double * same, 6) + 0 as relatedness from s join k using (a, b)
 """)
 def relatedness(spark, sf_dir):
-    p = pairs.pooled(pairs.pair_tensor_stats(rows_of(spark, sf_dir), model_pairs(spark)))
-    return pairs.relatedness(p, F.lit(0.9)).select("a", "b", r6("relatedness").alias("relatedness"))
+    """With the similarity of the models' mean vectors, which SQL can repeat; c28_phylogeny takes the sketches."""
+    rows = rows_of(spark, sf_dir)
+    index = materialize(sketch.mean_vectors(rows), "query-means")
+    near = sketch.search(index, index, len(lineage.MODELS)).select(F.col("query").alias("a"), F.col("hit").alias("b"), "distance")
+    p = pairs.pooled(pairs.pair_tensor_stats(rows, model_pairs(spark))).join(near, ["a", "b"])
+    return pairs.relatedness(p, sketch.sketch_similarity(F.col("distance"))).select("a", "b", r6("relatedness").alias("relatedness"))
 
 
 @register("j01_j02_p26_shared_tensors", f"""
 with {L}, t as (select model, tensor, count(distinct r) as n_rows, count(distinct c) as n_cols from cells
   where not (model = 'int8' and tensor = 'lm_head.weight') group by all),
-p(a, b) as (values ('root', 'int8'), ('int8', 'sft'), ('root', 'sft'))
+{_PAIR_SQL}
 select p.a, p.b, coalesce(x.tensor, y.tensor) as tensor, case when y.tensor is null then 'only a' when x.tensor is null then 'only b' else 'shared' end as held,
        case when x.tensor is not null and y.tensor is not null then least(x.n_rows, y.n_rows) else 0 end as n_rows
 from p join (select distinct tensor from t) n on true left join t x on x.model = p.a and x.tensor = n.tensor left join t y on y.model = p.b and y.tensor = n.tensor
@@ -90,7 +110,7 @@ where x.tensor is not null or y.tensor is not null
 def shared_tensors(spark, sf_dir):
     rows = rows_of(spark, sf_dir).where("not (model = 'int8' and tensor = 'lm_head.weight')")
     t = pairs.tensors_of(rows)
-    p = some_pairs(spark, ("root", "int8"), ("int8", "sft"), ("root", "sft"))
+    p = model_pairs(spark)
     both = pairs.shared_tensors(t, p).select("a", "b", "tensor", F.lit("shared").alias("held"), "n_rows")
     one = pairs.only_in_one(t, p).select("a", "b", "tensor", F.concat(F.lit("only "), "side").alias("held"), F.lit(0).cast("long").alias("n_rows"))
     return both.unionByName(one)
@@ -106,28 +126,22 @@ def common_tensors(spark, sf_dir):
 
 
 @register("c17_reconstruction", f"""
-with {L}, p(a, b) as (values ('root', 'prune30'), ('sft', 'prune30'), ('root', 'int8'))
+with {L}, {_ORDERED_SQL}
 select p.a, p.b, round(sqrt(sum(case when y.x <> 0 then (x.x - y.x) * (x.x - y.x) else 0 end)) / sqrt(sum(case when y.x <> 0 then y.x * y.x else 0 end)), 6) + 0 as residual
 from p join cells x on x.model = p.a join cells y on y.model = p.b and y.tensor = x.tensor and y.r = x.r and y.c = x.c group by all
 """)
 def reconstruction(spark, sf_dir):
-    p = some_pairs(spark, ("root", "prune30"), ("sft", "prune30"), ("root", "int8"))
-    return pairs.reconstruction_residual(rows_of(spark, sf_dir), p).select("a", "b", r6("residual").alias("residual"))
-
-
-TRIPLES = (("sft", "cpt", "root"), ("sft", "merge2", "root"), ("cpt", "merge2", "root"), ("sft", "lora", "root"), ("int8", "prune30", "root"), ("sft", "prune30", "root"))
-_TRIPLES_SQL = "t(a, b, r) as (values " + ", ".join(str(t) for t in TRIPLES) + ")"
+    return pairs.reconstruction_residual(rows_of(spark, sf_dir), ordered_models(spark)).select("a", "b", r6("residual").alias("residual"))
 
 
 @register("c18_j04_cousin_score", f"""
-with {L}, {_TRIPLES_SQL}
+with {L}, {_TRIPLE_SQL}
 select t.a, t.b, t.r, round(sum((x.x - z.x) * (y.x - z.x)) / sqrt(sum((x.x - z.x) * (x.x - z.x)) * sum((y.x - z.x) * (y.x - z.x))), 6) + 0 as cousin
 from t join cells x on x.model = t.a join cells y on y.model = t.b and y.tensor = x.tensor and y.r = x.r and y.c = x.c
 join cells z on z.model = t.r and z.tensor = x.tensor and z.r = x.r and z.c = x.c group by all
 """)
 def cousin(spark, sf_dir):
-    t = spark.createDataFrame([*TRIPLES], "a string, b string, r string")
-    return pairs.cousin_scores(rows_of(spark, sf_dir), t).select("a", "b", "r", r6("cousin").alias("cousin"))
+    return pairs.cousin_scores(rows_of(spark, sf_dir), model_triples(spark, "r")).select("a", "b", "r", r6("cousin").alias("cousin"))
 
 
 _DELTA_SQL = f"""{PAIRS_SQL}, s as (select a, b, sum(aa) as aa, sum(bb) as bb, sum(dd) as dd from st group by all),
@@ -135,7 +149,7 @@ d as materialized (select a, b, sqrt(dd) / sqrt(bb) as delta from s union all se
 
 
 def all_deltas(spark, sf_dir):
-    every = pairs.ordered_pairs(spark.createDataFrame([(m,) for m in lineage.MODELS], "model string"))
+    every = ordered_models(spark)
     return materialize(
         pairs.pooled(pairs.pair_tensor_stats(rows_of(spark, sf_dir), every)).select("a", "b", F.col("relative_delta").alias("delta")), "query-deltas"
     )
@@ -183,18 +197,17 @@ def veto(spark, sf_dir):
 
 
 @register("c14_outgroup", f"""
-with {L}, t(a, b, c) as (values ('root', 'sft', 'lora'), ('root', 'cpt', 'lora'), ('sft', 'cpt', 'lora'), ('cpt', 'sft', 'lora')),
+with {L}, {_TRIPLE_SQL},
 g as (
-  select t.a, t.b, t.c, x.tensor, sqrt(sum((x.x - z.x) * (x.x - z.x)) / sum(z.x * z.x)) as ac, sqrt(sum((y.x - z.x) * (y.x - z.x)) / sum(z.x * z.x)) as bc
+  select t.a, t.b, t.r as c, x.tensor, sqrt(sum((x.x - z.x) * (x.x - z.x)) / sum(z.x * z.x)) as ac, sqrt(sum((y.x - z.x) * (y.x - z.x)) / sum(z.x * z.x)) as bc
   from t join cells x on x.model = t.a join cells y on y.model = t.b and y.tensor = x.tensor and y.r = x.r and y.c = x.c
-  join cells z on z.model = t.c and z.tensor = x.tensor and z.r = x.r and z.c = x.c group by all
+  join cells z on z.model = t.r and z.tensor = x.tensor and z.r = x.r and z.c = x.c group by all
 ),
 m as (select a, b, greatest(-1, least(1, avg((bc - ac) / (ac + bc)))) as gap from g group by all)
 select a, b, round(gap, 6) + 0 as gap, round(greatest(-3, least(3, gap / (3 - 2 * sqrt(2)))), 6) + 0 as outgroup from m
 """)
 def outgroup(spark, sf_dir):
-    t = spark.createDataFrame([("root", "sft", "lora"), ("root", "cpt", "lora"), ("sft", "cpt", "lora"), ("cpt", "sft", "lora")], "a string, b string, c string")
-    o = pairs.outgroup_statistic(rows_of(spark, sf_dir), t)
+    o = pairs.outgroup_statistic(rows_of(spark, sf_dir), model_triples(spark, "c"))
     return o.select("a", "b", r6("gap").alias("gap"), r6("outgroup").alias("outgroup"))
 
 
@@ -209,35 +222,54 @@ def outgroup_pick(spark, sf_dir):
 
 
 @register("k08_c25_cka", f"""
-with {L}, p(a, b) as (values ('root', 'int8'), ('root', 'unrelated')),
-f as (
-  select p.a, p.b, x.tensor, x.r, x.c, x.x - avg(x.x) over w as x, y.x - avg(y.x) over w as y
-  from p join cells x on x.model = p.a join cells y on y.model = p.b and y.tensor = x.tensor and y.r = x.r and y.c = x.c
-  window w as (partition by p.a, p.b, x.tensor, x.c)
+with {L}, {_PAIR_SQL},
+f as materialized (
+  select model, tensor, r, c, x - avg(x) over (partition by model, tensor, c) as x from cells
 ),
 g as (
-  select u.a, u.b, u.tensor, u.c as i, v.c as j, sum(u.x * v.y) as xy, sum(u.x * v.x) as xx, sum(u.y * v.y) as yy
-  from f u join f v on v.a = u.a and v.b = u.b and v.tensor = u.tensor and v.r = u.r group by all
-)
-select a, b, tensor, round(sum(xy * xy) / (sqrt(sum(xx * xx)) * sqrt(sum(yy * yy))), 6) + 0 as cka from g group by all
+  select u.model as a, v.model as b, u.tensor, u.c as i, v.c as j, sum(u.x * v.x) as xy
+  from f u join f v on v.tensor = u.tensor and v.r = u.r and v.model >= u.model group by all
+),
+n as materialized (select a, b, tensor, sum(xy * xy) as xy from g group by all)
+select n.a, n.b, n.tensor, round(n.xy / (sqrt(x.xy) * sqrt(y.xy)), 6) + 0 as cka from n join n x on x.a = n.a and x.b = n.a and x.tensor = n.tensor
+join n y on y.a = n.b and y.b = n.b and y.tensor = n.tensor where n.a < n.b
 """)
 def cka(spark, sf_dir):
-    p = some_pairs(spark, ("root", "int8"), ("root", "unrelated"))
-    return pairs.centred_gram(rows_of(spark, sf_dir), p).select("a", "b", "tensor", r6("cka").alias("cka"))
+    return blocks.cka(rows_of(spark, sf_dir), model_pairs(spark)).select("a", "b", "tensor", r6("cka").alias("cka"))
+
+
+@register("c25_cka_score", f"""
+with {L}, {_PAIR_SQL},
+f as materialized (
+  select model, tensor, r, c, x - avg(x) over (partition by model, tensor, c) as x from cells
+),
+z as (select tensor, count(*) as cells from cells where model = 'root' group by tensor),
+g as (
+  select u.model as a, v.model as b, u.tensor, u.c as i, v.c as j, sum(u.x * v.x) as xy
+  from f u join f v on v.tensor = u.tensor and v.r = u.r and v.model >= u.model group by all
+),
+n as materialized (select a, b, tensor, sum(xy * xy) as xy from g group by all)
+select n.a, n.b, round(sum(z.cells * n.xy / (sqrt(x.xy) * sqrt(y.xy))) / sum(z.cells), 6) + 0 as score from n join n x on x.a = n.a and x.b = n.a and x.tensor = n.tensor
+join n y on y.a = n.b and y.b = n.b and y.tensor = n.tensor join z on z.tensor = n.tensor where n.a < n.b group by n.a, n.b
+""")
+def cka_score(spark, sf_dir):
+    return baselines.cka(rows_of(spark, sf_dir), model_pairs(spark)).select("a", "b", r6("score").alias("score"))
 
 
 @register("k09_c26_adjacent_products", f"""
-with {L}, q as (select * from cells where tensor = 'model.layers.0.self_attn.q_proj.weight'), k as (select * from cells where tensor = 'model.layers.0.self_attn.k_proj.weight'),
-prod as materialized (select q.model, q.r as i, k.r as j, sum(q.x * k.x) as x from q join k on k.model = q.model and k.c = q.c group by all),
-p(a, b) as (values ('root', 'sft'), ('root', 'int8'), ('root', 'unrelated'))
-select p.a, p.b, round((1 + sum(x.x * y.x) / sqrt(sum(x.x * x.x) * sum(y.x * y.x))) / 2, 6) + 0 as score
-from p join prod x on x.model = p.a join prod y on y.model = p.b and y.i = x.i and y.j = x.j group by all
+with {L}, {_PAIR_SQL}, of(role, tensor) as (values ('q', 'model.layers.0.self_attn.q_proj.weight'), ('k', 'model.layers.0.self_attn.k_proj.weight'),
+  ('in', 'model.layers.0.mlp.gate_proj.weight'), ('out', 'model.layers.0.mlp.down_proj.weight')),
+w as materialized (select model, role, r, c, x from cells join of using (tensor)),
+prod as materialized (
+  select 'attn' as block, q.model, q.r as i, k.r as j, sum(q.x * k.x) as x from w q join w k on k.model = q.model and k.c = q.c where q.role = 'q' and k.role = 'k' group by all
+  union all select 'mlp', o.model, o.r, n.c, sum(o.x * n.x) from w o join w n on n.model = o.model and n.r = o.c where o.role = 'out' and n.role = 'in' group by all),
+s as (select p.a, p.b, x.block, sum(x.x * y.x) / sqrt(sum(x.x * x.x) * sum(y.x * y.x)) as cosine
+  from p join prod x on x.model = p.a join prod y on y.model = p.b and y.block = x.block and y.i = x.i and y.j = x.j group by all)
+select a, b, round((1 + avg(cosine)) / 2, 6) + 0 as score from s group by a, b
 """)
 def huref(spark, sf_dir):
-    rows = rows_of(spark, sf_dir).where(F.col("model").isin("root", "sft", "int8", "unrelated"))
-    prod = pairs.adjacent_product(rows, "model.layers.0.self_attn.q_proj.weight", "model.layers.0.self_attn.k_proj.weight")
-    found = pairs.invariant_cosine(materialize(prod.withColumn("block", F.lit("qk")), "query-products"), some_pairs(spark, ("root", "sft"), ("root", "int8"), ("root", "unrelated")))
-    return found.select("a", "b", r6("score").alias("score"))
+    """Attention and MLP products of the layers that all models have; the second has no key matrix."""
+    return baselines.huref(rows_of(spark, sf_dir), model_pairs(spark)).select("a", "b", r6("score").alias("score"))
 
 
 @register("a02_a06_tensor_stats", f"""
@@ -254,15 +286,14 @@ def tensor_stats(spark, sf_dir):
 
 
 @register("a07_zero_containment", f"""
-with {L}, p(a, b) as (values ('root', 'prune30'), ('int8', 'prune30'), ('int8', 'root')),
+with {L}, {_PAIR_SQL},
 g as (select p.a, p.b, x.tensor, count(*) as n, count(*) filter (where x.x = 0) as za, count(*) filter (where y.x = 0) as zb, count(*) filter (where x.x = 0 and y.x = 0) as zz
   from p join cells x on x.model = p.a join cells y on y.model = p.b and y.tensor = x.tensor and y.r = x.r and y.c = x.c group by all)
 select a, b, tensor, n as cells, round(za / n, 6) + 0 as zero_a, round(zb / n, 6) + 0 as zero_b,
        round(case when za = 0 then 1 else zz / za end, 6) + 0 as h_ab, round(case when zb = 0 then 1 else zz / zb end, 6) + 0 as h_ba from g
 """)
 def zero_containment(spark, sf_dir):
-    p = some_pairs(spark, ("root", "prune30"), ("int8", "prune30"), ("int8", "root"))
-    z = stats.zero_containment(pairs.aligned(rows_of(spark, sf_dir), p))
+    z = stats.zero_containment(pairs.pair_tensor_stats(rows_of(spark, sf_dir), model_pairs(spark)))
     return z.select("a", "b", "tensor", F.col("cells").cast("long"), *[r6(c).alias(c) for c in ("zero_a", "zero_b", "h_ab", "h_ba")])
 
 
@@ -476,7 +507,7 @@ def sketches(spark, sf_dir):
 
 @register("k04_k07_spectral_pairs")
 def spectral(spark, sf_dir):
-    s = sketch.spectral_pairs(rows_of(spark, sf_dir), some_pairs(spark, ("root", "sft"), ("root", "int8"), ("root", "prune30")))
+    s = sketch.spectral_pairs(rows_of(spark, sf_dir), model_pairs(spark))
     return s.select("a", "b", "tensor", "energy_a", "energy_b", "rank_a", "rank_b", "mass_a", "mass_b")
 
 
@@ -692,9 +723,7 @@ def slots(spark, sf_dir):
 def phylogeny(spark, sf_dir):
     from weftmark.operators.phylogeny import build
 
-    rows = rows_of(spark, sf_dir)
-    index = materialize(sketch.mean_vectors(rows), "query-index")
-    return build(rows, index=index, outgroups=1).edges.select("parent", "child", "relation", "weight", r6("confidence").alias("confidence"))
+    return build(rows_of(spark, sf_dir), outgroups=1).edges.select("parent", "child", "relation", "weight", r6("confidence").alias("confidence"))
 
 
 assert schema.SKETCH_DIM == 1456
