@@ -445,3 +445,17 @@ def test_empty_tables(empty):
     assert substring_dedup(empty).count() == mixing.mix(empty).count() == mixing.take_mix(empty).count() == 0
     assert sharding.shard(empty, 10).count() == pii.find_pii(empty).count() == 0
     assert identify(empty, F.lit(False)).count() == 0
+
+
+def test_words_that_collide_in_any_polynomial(spark):
+    """A Thue-Morse word and its complement have one hash under every odd base modulo 2**64."""
+    for n in (64, 65, 128, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        word, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+        head = " ".join(f"same{i}" for i in range(12))
+        rows = [(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {word}")]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(frame).collect()} == {1: 0, 2: 0, 3: 13}
+        five = [(1, f"p q r s {word}"), (2, f"p q r s {other}"), (3, f"P q r s {word}")]
+        linked = jaccard_components(spark.createDataFrame(five, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in linked} == {1: 1, 2: 2, 3: 1}

@@ -8,6 +8,7 @@ in one pass; window hashes are Rabin-Karp polynomials over word hashes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from pyspark.sql import SparkSession
 
 #: Bytes of text whose arrays are in memory at a time; one document at least.
 CHUNK_BYTES = 2 << 20
+#: Bytes of the longest word that is hashed by a polynomial.
+LONG_WORD = 64
 #: Rows of text in an Arrow batch at most.
 BATCH_ROWS = 1000
 
@@ -107,6 +110,8 @@ def words_of(texts: pa.Array, lower: bool) -> Words:
     running[0] = 0
     np.cumsum(_CODE[data] * up[:n], out=running[1:])
     hashes = _mix((running[end] - running[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     return Words(data, start, end, hashes, np.searchsorted(start, bounds, side="left"))
 
 
