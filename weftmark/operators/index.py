@@ -7,13 +7,13 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark import schema
-from weftmark.functions import linalg
-from weftmark.operators import export, sketch
-from weftmark.plans.shared import materialize
+from weftmark.operators import direction, export, metrics, sketch
+from weftmark.plans.shared import discard, materialize
 from weftmark.sources import safetensors
 
 
@@ -116,12 +116,57 @@ def split_pairs(pairs: DataFrame, test: float = 0.25, seed: int = 0) -> DataFram
     return pairs.withColumn("test", at < int(test * 10_000))
 
 
-def fit_direction(features: DataFrame, l2: float = 1.0) -> dict[str, float]:
-    """Weights from labelled pairs (features, truth): one row per labelled pair reaches the driver."""
+def fit_direction(features: DataFrame, l2: float = 1.0, steps: int = 50) -> dict[str, float]:
+    """Weights from labelled pairs (features, truth), as ``linalg.fit_logistic`` finds them; no pair reaches the driver.
+
+    Every Newton step sums gradient and Hessian where the pairs are; the mirror of a pair,
+    with its features turned and its label swapped, doubles both sums and is not written out.
+    A null feature counts as 0.
+    """
     names = list(schema.DIRECTION_WEIGHTS)
-    rows = features.where(F.col("truth").isin("a->b", "b->a")).select(*names, (F.col("truth") == "a->b").cast("double").alias("y")).collect()
-    if not rows:
+    labelled = features.where(F.col("truth").isin("a->b", "b->a"))
+    rows = materialize(labelled.select(*[F.coalesce(n, F.lit(0.0)).cast("double").alias(n) for n in names], (F.col("truth") == "a->b").cast("double").alias("y")), "fit-pairs")
+    spread = rows.agg(F.count(F.lit(1)).alias("count"), *[F.stddev_pop(n).alias(n) for n in names]).collect()[0]
+    if not spread["count"]:
+        discard(rows)
         return dict(schema.DIRECTION_WEIGHTS)
-    x = np.array([[r[n] for n in names] for r in rows])
-    w = linalg.fit_logistic(x, np.array([r["y"] for r in rows]), l2)
-    return dict(zip(names, map(float, w), strict=True))
+    scale = np.array([spread[n] if spread[n] is not None and spread[n] > 1e-12 else 1.0 for n in names])
+    w, size = np.zeros(len(names)), len(names)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def part(batches):
+            total = np.zeros((size + 1, size))
+            for batch in batches:
+                z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(size)]) / scale
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+                total[:size] += 2 * (z * (p * (1 - p))[:, None]).T @ z
+                total[size] += 2 * (batch.column(size).to_numpy(zero_copy_only=False) - p) @ z
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+        cells = rows.mapInArrow(part, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        out = np.zeros((size + 1) * size)
+        for r in cells.collect():  # features squared and features
+            out[r["i"]] = r["v"]
+        return out.reshape(size + 1, size)
+
+    for _ in range(steps):
+        total = sums(w)
+        step = np.linalg.solve(total[:size] + l2 * np.eye(size), total[size] - l2 * w)
+        w = w + step
+        if np.abs(step).max() < 1e-10:
+            break
+    discard(rows)
+    return dict(zip(names, map(float, w / scale), strict=True))
+
+
+def fit_report(features: DataFrame, l2: float = 1.0, test: float = 0.25, seed: int = 0) -> tuple[dict[str, float], DataFrame]:
+    """(weights, scores per relation and part) of labelled pairs (a, b, relation, truth, features).
+
+    Pairs are split with their mirrors; the weights come from the training part, and both
+    parts are judged by them: counts, accuracy with and without abstentions (``metrics.direction_scores``).
+    """
+    marked = materialize(split_pairs(features, test, seed), "fit-split")
+    weights = fit_direction(marked.where("not test"), l2)
+    judged = direction.verdict(marked, weights).select("relation", "truth", "llr", "test", F.col("direction").alias("predicted"))
+    parts = [metrics.direction_scores(judged.where(F.col("test") == t)).withColumn("part", F.lit(name)) for t, name in ((False, "train"), (True, "test"))]
+    return weights, parts[0].unionByName(parts[1])

@@ -6,33 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftmark.operators import ordered
 
 def roc_curve(scores: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """(by, threshold, tpr, fpr): one point per distinct score, ties together; the origin is implied."""
+    """(by, threshold, tpr, fpr, and how far the point before was): one point per distinct score, ties together; the origin is implied.
+
+    Scores are counted by value and then summed in order by ranges of them, so that one
+    method with any number of scores uses all tasks.
+    """
     per = scores.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n")
     )
-    upto = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return per.select(
-        *by, "threshold", F.try_divide(F.sum("p").over(upto), F.sum("p").over(whole)).alias("tpr"),
-        F.try_divide(F.sum("n").over(upto), F.sum("n").over(whole)).alias("fpr"),
+    run = ordered.with_totals(ordered.running_sums(per, by, [F.desc("threshold")], ["p", "n"]), by, ["p", "n"])
+    rate = lambda c, of: F.try_divide(c, f"{of}_total")
+    return run.select(
+        *by, "threshold", rate("p_upto", "p").alias("tpr"), rate("n_upto", "n").alias("fpr"),
+        rate("p", "p").alias("tpr_step"), rate("n", "n").alias("fpr_step"),
     )
 
 
 def roc_auc(curve: DataFrame, by: list[str]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    f0, t0 = F.lag("fpr", 1, 0.0).over(order), F.lag("tpr", 1, 0.0).over(order)
-    area = curve.withColumn("__a", (F.col("fpr") - f0) * (F.col("tpr") + t0) / 2)
-    return area.groupBy(*by).agg(F.sum("__a").alias("auc"))
+    """Area by trapezoids: each point has its distance from the one before."""
+    area = F.col("fpr_step") * (2 * F.col("tpr") - F.col("tpr_step")) / 2
+    return curve.groupBy(*by).agg(F.sum(area).alias("auc"))
 
 
 def average_precision(scores: DataFrame, by: list[str], score: str = "score", label: str = "label", order: str = "pair_no") -> DataFrame:
     """Mean precision at the hits; ties keep the order of ``order``."""
-    rank = Window.partitionBy(*by).orderBy(F.desc(score), order)
-    hits = F.sum(F.col(label).cast("long")).over(rank.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = scores.select(*by, F.col(label).cast("long").alias("l"), (hits / F.row_number().over(rank)).alias("precision"))
-    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("l") * F.col("precision")), F.sum("l")).alias("ap"))
+    flat = scores.select(*by, F.col(score).alias("s"), F.col(order).alias("o"), F.col(label).cast("long").alias("l"), F.lit(1).cast("long").alias("one"))
+    ranked = ordered.running_sums(flat, by, [F.desc("s"), F.col("o")], ["l", "one"])
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("l") * F.col("l_upto") / F.col("one_upto")), F.sum("l")).alias("ap"))
 
 
 def fpr_at_tpr(curve: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame:

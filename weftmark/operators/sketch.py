@@ -12,6 +12,7 @@ from weftmark import schema
 from weftmark.functions import linalg
 from weftmark.functions.scalars import even_indices
 from weftmark.operators import metadata, pairs, selection
+from weftmark.plans.shared import materialize
 
 SLOTS = len(schema.ROLES) * len(schema.DEPTH_BUCKETS)
 
@@ -130,9 +131,123 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "cos
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def candidate_parents(queries: DataFrame, index: DataFrame, k: int = 10, max_distance: float = schema.MAX_DISTANCE) -> DataFrame:
-    """The nearest k other models within a distance."""
-    found = search(queries, index, k + 1).where("query != hit").where(F.col("distance") <= max_distance)
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    if metric != "cosine":
+        return x
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0.0))
+
+
+def pruned_search(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "cosine", lists: int | None = None, block: int = 2048) -> DataFrame:
+    """(query, hit, distance, rank) as :func:`search` finds them, by inverted lists that bounds let it skip; exact.
+
+    ``lists`` vectors with the smallest hashes (a thousand at most, the root of the count by
+    default) are centres; every index vector goes to its nearest, and a list knows its radius.
+    A query first meets the nearest lists that hold k vectors, which bounds its k-th
+    distance, and then only lists whose ball comes within that bound.  Lists are cut into
+    parts of ``block`` vectors and their queries likewise.  Cosine distances are compared as
+    lengths between unit vectors; zero vectors have no direction and are met by every query.
+    All vectors must have one width.
+    """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"no bounds for metric {metric}")
+    i = index.where("vector is not null").select(F.col("model").alias("hit"), F.transform("vector", lambda x: x.cast("double")).alias("iv"))
+    q = queries.where("vector is not null").select(F.col("model").alias("query"), F.transform("vector", lambda x: x.cast("double")).alias("qv"))
+    sizes = i.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("iv")).alias("least"), F.max(F.size("iv")).alias("most")).collect()[0]
+    widths = q.agg(F.min(F.size("qv")).alias("least"), F.max(F.size("qv")).alias("most")).collect()[0]
+    seen = {w for w in (*sizes[1:], *widths) if w is not None}
+    if len(seen) > 1:
+        raise ValueError(f"vectors of several widths: {sorted(seen)}")
+    n_lists = max(1, min(1000, lists or int(sizes["n"] ** 0.5)))
+    drawn = i.select("iv", F.xxhash64("hit").alias("h")).where(F.exists("iv", lambda x: x != 0)).orderBy("h", "iv").limit(n_lists).collect()
+    if not drawn:  # nothing but zero vectors, or nothing
+        return search(queries, index, k, metric, block)
+    centres = _unit(np.array([r["iv"] for r in drawn]), metric)
+    nowhere = len(centres)  # the list of zero vectors
+
+    def assign(batches):
+        for f in batches:
+            if len(f):
+                x = np.array(f["iv"].tolist())
+                d = _apart(_unit(x, metric), centres)
+                at = d.argmin(1)
+                r = d[np.arange(len(x)), at]
+                if metric == "cosine":
+                    zero = ~(x != 0).any(1)
+                    at[zero], r[zero] = nowhere, 0.0
+                yield f.assign(list=at.astype(np.int32), r=r)
+
+    kinds = dict(i.dtypes), dict(q.dtypes)
+    placed = materialize(i.mapInPandas(assign, f"hit {kinds[0]['hit']}, iv array<double>, list int, r double"), "search-lists")
+    held = {r["list"]: (r["n"], r["r"]) for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()}
+    counts = np.array([held.get(j, (0, 0.0))[0] for j in range(nowhere + 1)])
+    radius = np.array([held.get(j, (0, -np.inf))[1] for j in range(nowhere)]) * (1 + 1e-9) + 1e-9
+
+    def probes(first: bool):
+        def choose(batches):
+            for f in batches:
+                if not len(f):
+                    continue
+                d = _apart(_unit(np.array(f["qv"].tolist()), metric), centres)
+                order = np.argsort(d, axis=1, kind="stable")
+                enough = np.take_along_axis(np.broadcast_to(counts[:nowhere], d.shape), order, axis=1).cumsum(1) < k
+                near = np.zeros(d.shape, bool)
+                np.put_along_axis(near, order, np.pad(enough, ((0, 0), (1, 0)), constant_values=True)[:, :-1], axis=1)
+                if first:
+                    open_ = near
+                else:
+                    bound = f["bound"].to_numpy(float)
+                    bound = np.sqrt(2 * np.maximum(bound, 0)) if metric == "cosine" else bound
+                    open_ = ~near & (d - radius[None, :] <= np.where(np.isnan(bound), np.inf, bound)[:, None] * (1 + 1e-9) + 1e-9)
+                open_ &= counts[None, :nowhere] > 0
+                rows, at = np.nonzero(open_)
+                out = f[["query", "qv"]].iloc[rows].assign(list=at.astype(np.int32))
+                if first and counts[nowhere]:
+                    out = pd.concat([out, f[["query", "qv"]].assign(list=np.int32(nowhere))])
+                yield out
+
+        return choose
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query": left["query"][:0], "hit": right["hit"][:0], "distance": np.empty(0)})
+        right = right.sort_values("hit", kind="stable")
+        d = np.round(_distances(left["qv"].tolist(), right["iv"].tolist(), metric), 12)
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(left)), at.shape[1])
+        return pd.DataFrame({"query": left["query"].to_numpy()[rows], "hit": right["hit"].to_numpy()[at.ravel()], "distance": d[rows, at.ravel()]})
+
+    order = Window.partitionBy("query").orderBy("distance", "hit")
+    spark = index.sparkSession
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """The k best of each query among the lists it asks for; a group is a part of a list with a part of its queries."""
+        asked = materialize(asked, "search-probes")
+        many = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+        parts = spark.createDataFrame([(j, max(1, -(-int(counts[j]) // block)), max(1, -(-c // block))) for j, c in many.items()] or [], "list int, np int, nq int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = asked.join(F.broadcast(parts), "list").select("query", "qv", "list", F.pmod(F.xxhash64("query"), F.col("nq")).cast("int").alias("b"), every("np").alias("a"))  # a row for each list
+        right = placed.join(F.broadcast(parts), "list").select("hit", "iv", "list", F.pmod(F.xxhash64("hit"), F.col("np")).cast("int").alias("a"), every("nq").alias("b"))
+        kind = f"query {kinds[1]['query']}, hit {kinds[0]['hit']}, distance double"
+        keys = ["list", "a", "b"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, kind)
+        return materialize(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "search-met")
+
+    kind = f"query {kinds[1]['query']}, qv array<double>, list int"
+    one = meet(q.mapInPandas(probes(True), kind))
+    bounds = one.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound")).select("query", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
+    two = meet(q.join(bounds, "query", "left").mapInPandas(probes(False), kind))
+    return one.unionByName(two).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def candidate_parents(queries: DataFrame, index: DataFrame, k: int = 10, max_distance: float = schema.MAX_DISTANCE, lists: int | None = None) -> DataFrame:
+    """The nearest k other models within a distance; with ``lists`` by :func:`pruned_search`, which finds the same."""
+    found = search(queries, index, k + 1) if lists is None else pruned_search(queries, index, k + 1, lists=lists)
+    found = found.where("query != hit").where(F.col("distance") <= max_distance)
     order = Window.partitionBy("query").orderBy("distance", "hit")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -149,15 +264,6 @@ def mean_vectors(rows: DataFrame) -> DataFrame:
     return means.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("tensor", "c", "x"))), lambda p: p["x"]).alias("vector"))
 
 
-def fit_lsh(index: DataFrame, bucket: float = 0.5, tables: int = 4):
-    """An approximate index of the same vectors for very large universes."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    dense = index.select("model", array_to_vector("vector").alias("features"))
-    return BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables).fit(dense), dense
-
-
 def spectral_pairs(rows: DataFrame, pair_list: DataFrame, k: int = 48, cap: int = 768) -> DataFrame:
     """Per (a, b, tensor): subspace energy, effective rank of the difference over the side's, and top mass of each side.
 

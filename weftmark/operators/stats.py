@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftmark import schema
+from weftmark.operators import ordered
 
 KEYS = ["model", "tensor"]
 
@@ -59,32 +60,31 @@ def zero_containment(sums: DataFrame) -> DataFrame:
 
 
 def profile(values: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Eight quantiles of x over its mean, Gini coefficient, excess kurtosis and skewness (population moments)."""
+    """Eight quantiles of x over its mean, Gini coefficient, excess kurtosis and skewness (population moments).
+
+    Ranks come from one distributed sort, which serves all quantiles and the coefficient.
+    """
     at = [0.05 + i * 0.9 / 7 for i in range(8)]
-    order = Window.partitionBy(*by).orderBy(x)
-    ranked = values.withColumn("__p", F.greatest(F.col(x), F.lit(0.0))).withColumn("__i", F.row_number().over(order))
-    n, s = F.count(F.lit(1)), F.sum("__p")
-    gini = F.try_divide(2 * F.sum(F.col("__i") * F.col("__p")), n * s) - (n + 1) / n
-    flat = F.stddev_pop(x) <= 1e-12
+    flat = values.select(*by, F.col(x).alias("x"), F.greatest(F.col(x), F.lit(0.0)).alias("p"), F.lit(1).cast("long").alias("one")).where("x is not null")
+    ranked = ordered.with_totals(ordered.running_sums(flat, by, [F.col("x")], ["one"]), by, ["one"])
+    n, s = F.count(F.lit(1)), F.sum("p")
+    gini = F.try_divide(2 * F.sum(F.col("one_upto") * F.col("p")), n * s) - (n + 1) / n
+    level = F.stddev_pop("x") <= 1e-12
     out = ranked.groupBy(*by).agg(
-        F.percentile(x, F.array(*[F.lit(q) for q in at])).alias("__q"), F.avg(x).alias("__m"),
+        *[c.alias(f"__q{i}") for i, c in enumerate(ordered.quantile_columns("one_upto", "one_total", "x", at))], F.avg("x").alias("__m"),
         F.coalesce(gini, F.lit(0.0)).alias("gini"),
-        F.when(flat, F.lit(0.0)).otherwise(F.kurtosis(x)).alias("kurtosis"),
-        F.when(flat, F.lit(0.0)).otherwise(F.skewness(x)).alias("skewness"),
+        F.when(level, F.lit(0.0)).otherwise(F.kurtosis("x")).alias("kurtosis"),
+        F.when(level, F.lit(0.0)).otherwise(F.skewness("x")).alias("skewness"),
     )
-    quantiles = [F.try_divide(F.get("__q", i), F.col("__m")).alias(f"q{i}") for i in range(8)]
+    quantiles = [F.try_divide(F.col(f"__q{i}"), F.col("__m")).alias(f"q{i}") for i in range(8)]
     return out.select(*by, *quantiles, "gini", "kurtosis", "skewness")
 
 
 def ks_2samp(values: DataFrame, by: list[str], x: str, group: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of x between the rows where ``group`` is true and false."""
-    sizes = values.groupBy(*by).agg(
-        F.sum(F.col(group).cast("int")).alias("__n1"), F.sum((~F.col(group)).cast("int")).alias("__n0")
-    )
-    per = values.groupBy(*by, x).agg(F.sum(F.col(group).cast("int")).alias("__c1"), F.sum((~F.col(group)).cast("int")).alias("__c0"))
-    upto = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    steps = per.withColumn("__s1", F.sum("__c1").over(upto)).withColumn("__s0", F.sum("__c0").over(upto)).join(sizes, by)
-    gap = F.abs(F.try_divide("__s1", "__n1") - F.try_divide("__s0", "__n0"))
+    """Two-sample Kolmogorov-Smirnov distance of x between the rows where ``group`` is true and false: one distributed sort of the distinct values."""
+    per = values.groupBy(*by, x).agg(F.sum(F.col(group).cast("long")).alias("c1"), F.sum((~F.col(group)).cast("long")).alias("c0"))
+    steps = ordered.with_totals(ordered.running_sums(per, by, [F.col(x)], ["c1", "c0"]), by, ["c1", "c0"])
+    gap = F.abs(F.try_divide("c1_upto", "c1_total") - F.try_divide("c0_upto", "c0_total"))
     return steps.groupBy(*by).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 

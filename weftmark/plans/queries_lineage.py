@@ -300,8 +300,7 @@ def zero_containment(spark, sf_dir):
 @register("a14_a15_a16_row_profile", f"""
 with {L}, p as materialized (select model, tensor, r, 64 * sum(x * x * x * x) / (sum(x * x) * sum(x * x)) as p from cells group by all),
 k as (select *, row_number() over (partition by model, tensor order by p) as i from p)
-select model, tensor, round(2 * sum(i * p) / (count(*) * sum(p)) - (count(*) + 1) / count(*), 6) + 0 as gini, round(quantile_cont(p, 0.05) / avg(p), 6) + 0 as q0,
-       round(quantile_cont(p, 0.95) / avg(p), 6) + 0 as q7, round(kurtosis_pop(p), 4) + 0 as kurtosis,
+select model, tensor, round(2 * sum(i * p) / (count(*) * sum(p)) - (count(*) + 1) / count(*), 6) + 0 as gini, round(quantile_cont(p, 0.05) / avg(p), 6) + 0 as q0, round(quantile_cont(p, 0.1785714285714286) / avg(p), 6) + 0 as q1, round(quantile_cont(p, 0.30714285714285716) / avg(p), 6) + 0 as q2, round(quantile_cont(p, 0.4357142857142857) / avg(p), 6) + 0 as q3, round(quantile_cont(p, 0.5642857142857144) / avg(p), 6) + 0 as q4, round(quantile_cont(p, 0.692857142857143) / avg(p), 6) + 0 as q5, round(quantile_cont(p, 0.8214285714285715) / avg(p), 6) + 0 as q6, round(quantile_cont(p, 0.9500000000000001) / avg(p), 6) + 0 as q7, round(kurtosis_pop(p), 4) + 0 as kurtosis,
        round((avg(p * p * p) - 3 * avg(p) * avg(p * p) + 2 * pow(avg(p), 3)) / pow(stddev_pop(p), 3), 4) + 0 as skewness
 from k group by all
 """)
@@ -310,7 +309,7 @@ def row_profile(spark, sf_dir):
     rows = rows_of(spark, sf_dir).select("model", "tensor", (F.size("v") * stats.total("v", lambda x: x * x * x * x) / (two * two)).alias("p"))
     found = stats.profile(rows, ["model", "tensor"], "p")
     return found.select(
-        "model", "tensor", r6("gini").alias("gini"), r6("q0").alias("q0"), r6("q7").alias("q7"),
+        "model", "tensor", r6("gini").alias("gini"), *[r6(f"q{i}").alias(f"q{i}") for i in range(8)],
         (F.round("kurtosis", 4) + 0.0).alias("kurtosis"), (F.round("skewness", 4) + 0.0).alias("skewness"),
     )
 
@@ -339,19 +338,19 @@ def lattice(spark, sf_dir):
 
 
 @register("a17_ks_two_sample", f"""
-with {L}, n as (select model, tensor, r, sqrt(sum(x * x)) as norm, r % 3 = 0 as own from cells where model in ('prune30', 'sft') group by all),
+with {L}, n as (select model, tensor, r, sqrt(sum(x * x)) as norm, r % 3 = 0 as own from cells group by all),
 s as (select model, tensor, norm, sum(own::int) as c1, sum((not own)::int) as c0 from n group by all),
 w as (select model, tensor, sum(c1) over (partition by model, tensor order by norm) / sum(c1) over (partition by model, tensor) as f1,
   sum(c0) over (partition by model, tensor order by norm) / sum(c0) over (partition by model, tensor) as f0 from s)
 select model, tensor, round(max(abs(f1 - f0)), 6) + 0 as ks from w group by all
 """)
 def ks(spark, sf_dir):
-    n = stats.row_norms(rows_of(spark, sf_dir).where("model in ('prune30', 'sft')")).withColumn("own", F.col("row_idx") % 3 == 0)
+    n = stats.row_norms(rows_of(spark, sf_dir)).withColumn("own", F.col("row_idx") % 3 == 0)
     return stats.ks_2samp(n, ["model", "tensor"], "norm", "own").select("model", "tensor", r6("ks").alias("ks"))
 
 
 @register("a18_orphan_stats", f"""
-with {L}, o as (select model, tensor, r, list(x order by c) as v, sqrt(sum(x * x)) as norm, r < 12 as own from cells where model in ('prune30', 'root') group by all),
+with {L}, o as (select model, tensor, r, list(x order by c) as v, sqrt(sum(x * x)) as norm, r < 12 as own from cells group by all),
 m as (select model, tensor, quantile_cont(norm, 0.5) as med from o where own group by all),
 s as (select model, tensor, norm, sum(own::int) as c1, sum((not own)::int) as c0 from o group by all),
 w as (select model, tensor, sum(c1) over (partition by model, tensor order by norm) / sum(c1) over (partition by model, tensor) as f1,
@@ -363,7 +362,7 @@ select model, tensor, n_rows, round(cv, 6) + 0 as cv, round(untrained, 6) + 0 as
        round(least(1, greatest(0.5 * untrained + 0.5 * ks, zero_frac, dup_frac)), 6) + 0 as score from x join k using (model, tensor)
 """)
 def orphans(spark, sf_dir):
-    rows = rows_of(spark, sf_dir).where("model in ('prune30', 'root')")
+    rows = rows_of(spark, sf_dir)
     o = stats.orphan_stats(rows.where("row_idx < 12"), stats.row_norms(rows.where("row_idx >= 12")))
     return o.select("model", "tensor", "n_rows", *[r6(c).alias(c) for c in ("cv", "untrained_frac", "ks", "score")])
 
@@ -511,20 +510,31 @@ def spectral(spark, sf_dir):
     return s.select("a", "b", "tensor", "energy_a", "energy_b", "rank_a", "rank_b", "mass_a", "mass_b")
 
 
-@register("c05_w01_index_search", """
+_NEAREST_SQL = """
 with q as (select vec_id, embedding as e from embeddings where vec_id % 50 = 0),
 d as (select q.vec_id as query, i.vec_id as hit,
   greatest(0, least(2, 1 - list_inner_product(q.e::double[], i.embedding::double[]) / sqrt(list_inner_product(q.e::double[], q.e::double[]) * list_inner_product(i.embedding::double[], i.embedding::double[])))) as distance
   from q join embeddings i on true),
 r as (select *, row_number() over (partition by query order by round(distance, 9), hit) as rank from d)
 select query, hit, round(distance, 6) + 0 as distance, rank::int as rank from r where rank <= 10
-""")
+"""
+
+
+@register("c05_w01_index_search", _NEAREST_SQL)
 def index_search(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("model"), F.col("embedding").alias("vector"))
     found = sketch.search(e.where("model % 50 = 0"), e, 10)
     return found.select("query", "hit", r6("distance").alias("distance"), "rank")
 
 
+@register("c05_j06_pruned_search", _NEAREST_SQL)
+def pruned_search(spark, sf_dir):
+    """The same hits by inverted lists and bounds."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("model"), F.col("embedding").alias("vector"))
+    found = sketch.pruned_search(e.where("model % 50 = 0"), e, 10)
+    return found.select("query", "hit", r6("distance").alias("distance"), "rank")
+
+
 @register("c06_j07_candidate_pairs", f"""
 with {L}, v as (select model, tensor, c, avg(x) as x from cells group by all),
 d as (select a.model as a, b.model as b, greatest(0, least(2, 1 - sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)))) as d
@@ -705,7 +715,7 @@ def picks(spark, sf_dir):
 
 
 @register("a26_sketch_slots", f"""
-with {L}, t as (select distinct model, tensor from cells where model in ('root', 'sft')),
+with {L}, t as (select distinct model, tensor from cells),
 z as (select *, case when tensor like '%embed%' then 0 when tensor like '%q_proj%' then 1 when tensor like '%k_proj%' then 2 when tensor like '%v_proj%' then 3
   when tensor like '%o_proj%' then 4 when tensor like '%down%' then 6 when tensor like '%lm_head%' then 7 else 5 end as role,
   nullif(regexp_extract(tensor, 'layers\\.(\\d+)\\.', 1), '')::int as l from t),
@@ -715,7 +725,7 @@ k as (select b.*, row_number() over (partition by b.model, role, bucket order by
 select model, tensor, role * 5 + bucket as slot from k where pos = 1
 """)
 def slots(spark, sf_dir):
-    rows = rows_of(spark, sf_dir).where("model in ('root', 'sft')")
+    rows = rows_of(spark, sf_dir)
     return selection.sketch_tensors(pairs.tensors_of(rows)).select("model", "tensor", "slot")
 
 
