@@ -49,7 +49,22 @@ def test_secrets_of_every_length_are_found_whole(signs, size):
 def test_keys_alternating_in_every_letter():
     key = "a1" * 64
     assert pii.field_spans(f"token={key};", pii.train()) == [("secret", 6, 134)]
-    assert pii.field_spans(f"token={key * 2};", pii.train()) == []  # beyond MAX_ENTITY
+    assert pii.field_spans(f"token={key * 2};", pii.train()) == [("secret", 6, 262)]  # keys in one piece have no bound
+
+
+@pytest.mark.parametrize("size", (105, 130, 200, 300, 1000, 20_000))
+def test_tokens_of_any_length_are_found_whole(size):
+    weights, r = pii.train(), random.Random(size)
+    some = lambda n: "".join(r.choice(BASE62 + "-_") for _ in range(n - 1)) + r.choice(BASE62)
+    right = 0
+    for _ in range(30):
+        part = (size - 25) // 3
+        jwt = f"eyJhbGciOiJIUzI1NiJ9.eyJ{some(part)}.{some(size - 25 - part)}"
+        prefixed = "sk-proj-" + some(size - 8)
+        for before, token, after in (("Authorization: Bearer ", jwt, "\nthen 7"), ('key = "', prefixed, '" ok')):
+            right += ("secret", len(before), len(before) + len(token)) in pii.field_spans(before + token + after, weights)
+        assert not pii.field_spans("commit checksum " + some(size) + " ok", weights)
+    assert right >= 57
 
 
 def brute_candidates(text):

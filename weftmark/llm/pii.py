@@ -84,7 +84,10 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the semi-Markov field
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|_")
+#: A run of LONG_RUN or more characters of keys, with a letter and a digit among the first of them, is one token, and so a candidate of any length.
+LONG_RUN = 100
+_HEAD = rf"(?=[A-Za-z_+/.-]{{0,{LONG_RUN}}}[0-9])(?=[0-9_+/.-]{{0,{LONG_RUN}}}[A-Za-z])"
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9_+/.-]){_HEAD}[A-Za-z0-9_-][A-Za-z0-9_+/.-]{{{LONG_RUN - 2},}}(?<![./+])={{0,2}}|[^\W\d_]+|[0-9]+|[^\s\w]|_")
 #: An entity stands at a digit or at sign, or within some words after a word that announces one.
 _SIGN = re.compile(r"[0-9@]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -97,7 +100,7 @@ ANNOUNCING = (
 )
 _ANCHOR = re.compile(rf"[0-9@]|\b(?:{'|'.join(ANNOUNCING)})\b")
 _BEFORE = re.compile(r"(?:(?<!\S)\S+ ){0,4}\Z")
-#: Characters of an entity at most (the longest shape, a key, has 128), of one with spaces in it, and looked at around it.
+#: Characters of an entity of several tokens at most, of one with spaces in it, and looked at around it.  A single token has no bound.
 MAX_ENTITY, MAX_SPACED, CONTEXT_CHARS = 140, 64, 40
 #: Tokens after which the search looks for a boundary that all paths pass.
 COMMIT_EVERY = 512
@@ -112,7 +115,7 @@ _SHAPES = {
     "local_phone": re.compile(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){2,4}|0[0-9]{8,11}"),
     "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "key": re.compile(r"(?=[A-Za-z0-9_+/=.-]*[0-9])(?=[A-Za-z0-9_+/=.-]*[A-Za-z])[A-Za-z0-9_-][A-Za-z0-9_+/=.-]{14,126}[A-Za-z0-9_=-]"),
+    "key": re.compile(r"(?=[A-Za-z0-9_+/=.-]*[0-9])(?=[A-Za-z0-9_+/=.-]*[A-Za-z])[A-Za-z0-9_-][A-Za-z0-9_+/=.-]{14,}[A-Za-z0-9_=-]"),
     "prefixed": re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk_|xox[abp]-|eyJ|AIza|glpat-)[A-Za-z0-9_.-]{12,}"),
     "hex": re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}"),
     "date": re.compile(r"[0-9]{1,2}[./ -](?:[0-9]{1,2}|[^\W\d_]{3,9}\.?)[./ -](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}|[A-Z][a-z]{2,8}\.? [0-9]{1,2},? (?:19|20)[0-9]{2}"),
@@ -278,7 +281,8 @@ class _Tokens:
     def spans(self) -> Iterator[tuple[int, int, int, list[int]]]:
         """(first token, start, end, features) of every candidate that ends with the last token.
 
-        A candidate has up to MAX_ENTITY characters, up to MAX_SPACED with spaces in it.
+        A candidate of several tokens has up to MAX_ENTITY characters, up to MAX_SPACED and
+        eight words with spaces in it; a long run of key characters is one token.
         One that begins or ends inside a word holds no letters, and one without letters
         begins where a number does.
         """
@@ -297,7 +301,7 @@ class _Tokens:
             spaced = spaced or gap
             words += gap
             size = end - start
-            if size > (MAX_SPACED if spaced else MAX_ENTITY) or words > 7:
+            if i < j - 1 and size > (MAX_SPACED if spaced else MAX_ENTITY) or words > 7:
                 return
             kind = self.kind[i]
             letters = letters or kind in "aA"
@@ -603,8 +607,9 @@ def find_pii(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     Offsets are code points, the end is exclusive.  ``base`` has the pattern matches,
     ``spans`` these and what the trained field adds beside them.  Null text counts as
-    empty; texts are read whole, however long: base patterns have no bound, entities of
-    the field have MAX_ENTITY characters at most.  Rows are judged on their own, so null
+    empty; texts are read whole, however long.  Base patterns have no bound and neither
+    has a key in one piece; other entities of the field have MAX_ENTITY characters at
+    most, and MAX_SPACED and eight words if there are spaces in them.  Rows are judged on their own, so null
     and repeated keys pass through; other columns are ignored whatever their names; empty
     in, empty out.
     """
