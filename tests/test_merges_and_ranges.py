@@ -80,3 +80,40 @@ def test_capped_ranges_over_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == sorted([(f, *x) for f, xs in made.items() for x in capped(xs, 20, 100)], key=str)
     assert selection.coalesce_capped(frame.limit(0), 20, 100).collect() == []
+
+
+def test_exactly_so_many_cells_for_every_model(spark):
+    from weftmark.operators import merge
+
+    sizes = [("a", 50, 7), ("b", 1, 3), ("c", 200, 16), ("d", 4, 4)]
+    tensors = spark.createDataFrame(sizes, "tensor string, n_rows long, n_cols int")
+    whole = sum(n * w for _, n, w in sizes)
+    for coords in (1, 37, 500, whole - 1, whole, 10 * whole):
+        got = merge.coordinates(tensors, coords).collect()
+        cells = {(r["tensor"], r["row_idx"], c) for r in got for c in r["cols"]}
+        assert len(cells) == sum(len(r["cols"]) for r in got) == min(coords, whole)
+        assert all(0 <= i < dict((t, n) for t, n, _ in sizes)[t] and 0 <= c < dict((t, w) for t, _, w in sizes)[t] for t, i, c in cells)
+    assert merge.coordinates(tensors, 500, seed=1).exceptAll(merge.coordinates(tensors, 500)).count() > 0
+    rows = [(m, t, i, [100.0 * i + c for c in range(w)]) for m in "xyz" for t, n, w in sizes for i in range(n - (m == "z" and n > 100))]
+    cut = merge.sample_coordinates(spark.createDataFrame(rows, "model string, tensor string, row_idx long, v array<double>"), 300).collect()
+    held = {m: {(r["tensor"], r["row_idx"], x) for r in cut if r["model"] == m for x in r["v"]} for m in "xyz"}
+    assert len(held["x"]) == 300 and held["x"] == held["y"] == held["z"]
+
+
+def test_overlapping_runs_of_a_cache_count_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weftmark.operators import index
+
+    universe = spark.createDataFrame([("m", "r", "main", "1"), ("n", "s", "main", "1")], "model string, ref string, revision string, stamp string")
+    path = str(tmp_path / "cache")
+
+    def make(todo):
+        if make.calls == 0:  # another run writes the same keys meanwhile
+            make.calls += 1
+            index.cached(universe, path, make, "p")
+        return todo.select("model", F.explode(F.array(F.lit(1), F.lit(2))).alias("x"))
+
+    make.calls = 0
+    got = index.cached(universe, path, make, "p")
+    assert sorted((r["model"], r["x"]) for r in got.collect()) == [("m", 1), ("m", 2), ("n", 1), ("n", 2)]

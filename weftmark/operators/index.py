@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -48,6 +49,7 @@ def cached(universe: DataFrame, path: str, make: Callable[[DataFrame], DataFrame
     ``path`` holds a Parquet table of earlier results by key.  Only models whose key it lacks are
     passed to ``make``, whose rows (model, ...) are appended; a changed stamp, revision, reference or
     parameter is another key.  Two models of one key are made once.  Results carry the universe's names.
+    Of runs that overlap each may write a key; every run marks its rows, and the first mark counts.
     """
     spark = universe.sparkSession
     asked = materialize(keyed(universe, *parameters).select("model", "ref", "revision", "stamp", "key"), "cache-asked")
@@ -58,8 +60,11 @@ def cached(universe: DataFrame, path: str, make: Callable[[DataFrame], DataFrame
     todo = materialize(todo, "cache-todo")
     if not there or not todo.isEmpty():
         made = make(todo.drop("key"))
-        made.join(todo.select("model", "key"), "model").drop("model").write.mode("append").parquet(path)
-    return asked.select("model", "key").join(spark.read.parquet(path), "key").drop("key")
+        marked = made.join(todo.select("model", "key"), "model").drop("model").withColumn("run", F.lit(uuid.uuid4().hex))
+        marked.write.mode("append").parquet(path)
+    held = spark.read.parquet(path).join(asked.select("key").distinct(), "key", "left_semi")
+    first = held.groupBy("key").agg(F.min("run").alias("run"))
+    return asked.select("model", "key").join(held.join(first, ["key", "run"], "left_semi"), "key").drop("key", "run")
 
 
 def universe_of(spark: SparkSession, refs: dict[str, str], revision: str = "main") -> DataFrame:

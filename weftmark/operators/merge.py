@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftmark.functions import linalg
 from weftmark.operators import pairs as geometry
@@ -19,15 +20,40 @@ from weftmark.plans.shared import materialize
 SUPPORT, DEGENERATE, L1 = 0.05, 1e-6, 1e-3
 
 
+def coordinates(tensors: DataFrame, coords: int, seed: int = 0) -> DataFrame:
+    """(tensor, n_cols, row_idx, cols): exactly ``coords`` cells of all tensors (tensor, n_rows, n_cols), all if there are no more.
+
+    A tensor gets its share by size, to the cell.  Its flat places are cut into as many equal
+    stretches as it has cells to give, and a hash of seed, tensor and stretch picks one place
+    of each, so that nothing is sorted or held to avoid picking a place twice.
+    """
+    size = (F.col("n_rows") * F.col("n_cols")).cast("long")
+    upto = Window.orderBy("tensor", "n_cols").rowsBetween(Window.unboundedPreceding, 0)  # a row for each tensor of the universe
+    t = tensors.select("tensor", "n_cols", size.alias("size")).distinct().withColumn("upto", F.sum("size").over(upto))
+    total = F.max("upto").over(Window.partitionBy())
+    part = lambda x: F.floor(x.cast("decimal(38,0)") * F.least(F.lit(coords).cast("long"), F.col("total")).cast("decimal(20,0)") / F.col("total")).cast("long")
+    t = t.withColumn("total", total).withColumn("m", part(F.col("upto")) - part(F.col("upto") - F.col("size"))).where("m > 0")
+    edge = lambda i: F.floor(i.cast("decimal(38,0)") * F.col("size") / F.col("m")).cast("long")
+    cut = t.select("tensor", "n_cols", "size", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    low, high = edge(F.col("i")), edge(F.col("i") + 1)
+    place = low + F.pmod(F.xxhash64(F.lit(seed), "tensor", "i"), high - low)
+    flat = cut.select("tensor", "n_cols", place.alias("at"))
+    return flat.groupBy("tensor", "n_cols", F.floor(F.col("at") / F.col("n_cols")).alias("row_idx")).agg(
+        F.array_sort(F.collect_list((F.col("at") % F.col("n_cols")).cast("int"))).alias("cols")
+    )
+
+
 def sample_coordinates(rows: DataFrame, coords: int | None, seed: int = 0) -> DataFrame:
-    """Rows that hold about ``coords`` cells in all, the same for every model: chosen by a hash of tensor and row."""
+    """Rows cut to ``coords`` sampled cells in all (:func:`coordinates`), the same cells for every model; all without ``coords``.
+
+    The places of a tensor are those of the rows that all models with one width of it have.
+    """
     if not coords:
         return rows
-    place = rows.select("tensor", "row_idx", F.size("v").alias("w")).distinct()
-    total = place.agg(F.sum("w").alias("t"))
-    at = F.pmod(F.xxhash64("tensor", "row_idx", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keep = place.join(F.broadcast(total)).where(at < F.lit(float(coords)) / F.col("t")).select("tensor", "row_idx")  # one row
-    return rows.join(keep.distinct(), ["tensor", "row_idx"], "left_semi")
+    sizes = rows.groupBy("model", "tensor", F.size("v").alias("n_cols")).agg((F.max("row_idx") + 1).alias("n"))
+    places = coordinates(sizes.groupBy("tensor", "n_cols").agg(F.min("n").alias("n_rows")), coords, seed)
+    met = rows.withColumn("n_cols", F.size("v")).join(places, ["tensor", "n_cols", "row_idx"])
+    return met.withColumn("v", F.transform("cols", lambda c: F.get("v", c))).select(*rows.columns)
 
 
 def gram(rows: DataFrame, models: list[str], min_numel: int = 0) -> DataFrame:
