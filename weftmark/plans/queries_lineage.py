@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark import schema
 from weftmark.operators import baselines, blocks, direction, graph, merge, metrics, pairs, selection, simulate, sketch, stats
 from weftmark.plans.catalog import register
-from weftmark.plans.shared import materialize
-from weftmark.sources import lineage
+from weftmark.plans.shared import materialize, shared_dir
+from weftmark.sources import lineage, safetensors
 
 L = lineage.ORACLE
 
@@ -455,10 +457,10 @@ from left_over, (values ('cpt', 1), ('lora', 2), ('sft', 3), ('unrelated', 4)) c
 """)
 def decomposition(spark, sf_dir):
     """Four candidates of which two are live: on them the simplex problem has a closed form, and no residual is left for the others."""
-    found = merge.decompose(rows_of(spark, sf_dir), "merge2", ["sft", "cpt", "lora", "unrelated"], "root")
-    r4 = lambda x: round(float(x), 4) + 0.0
-    made = [(k, r4(v), k in found["selected"], r4(found["residual"]), r4(found["r2"])) for k, v in sorted(found["coefficients"].items())]
-    return spark.createDataFrame(made, "candidate string, weight double, selected boolean, residual double, r2 double")
+    claims = spark.createDataFrame([("merge2", c) for c in ("sft", "cpt", "lora", "unrelated")], "child string, candidate string")
+    found = merge.decompose_all(rows_of(spark, sf_dir), claims, "root")
+    r4 = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return found.select("candidate", r4("weight"), "selected", r4("residual"), r4("r2"))
 
 
 @register("e06_merge_axis", f"""
@@ -520,6 +522,53 @@ select query, hit, round(distance, 6) + 0 as distance, rank::int as rank from r
 """
 
 
+def _checkpoints(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The derived models as checkpoint files, written once a session."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _written:
+        _written[name] = safetensors.write_models(rows_of(spark, sf_dir), f"{shared_dir(spark)}/checkpoints-{uuid.uuid4().hex}")
+    return _written[name]
+
+
+_written: dict[tuple[str, str], dict[str, str]] = {}
+
+
+@register("l01_l03_headers", f"""
+with {L}, t as (select model, tensor, count(distinct r) as n, count(distinct c) as w from cells group by all)
+select model, tensor, 'F64' as dtype, n::bigint as n_rows, w::bigint as n_cols, (n * w * 8)::bigint as bytes from t
+""")
+def checkpoint_headers(spark, sf_dir):
+    """Headers of all models, written as checkpoints and read back by the tasks."""
+    h = safetensors.scan(spark, _checkpoints(spark, sf_dir), mode="metadata")
+    return h.select("model", "tensor", "dtype", F.get("shape", 0).alias("n_rows"), F.get("shape", 1).alias("n_cols"), (F.col("end") - F.col("begin")).alias("bytes"))
+
+
+@register("l04_l07_row_scan", f"""
+with {L}, t as (select model, tensor, max(r) + 1 as n from cells group by all),
+p as (select distinct model, tensor, unnest(list_transform(range(0, 16), lambda i: round_even(i * (n - 1) / 15.0::double, 0)::bigint)) as r from t where n > 16
+  union select model, tensor, unnest(range(0, n)) from t where n <= 16)
+select model, tensor, r as row_idx, round(sum(x), 9) + 0 as total, round(sum(x * (c + 1)), 9) + 0 as by_column from cells join p using (model, tensor, r) group by all
+""")
+def row_scan(spark, sf_dir):
+    """Sixteen rows of every tensor of all models, by merged byte ranges."""
+    rows = safetensors.scan(spark, _checkpoints(spark, sf_dir), max_rows=16)
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    weighed = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("model", "tensor", "row_idx", (F.round(total, 9) + 0.0).alias("total"), (F.round(weighed, 9) + 0.0).alias("by_column"))
+
+
+@register("e07_l08_metered_scan", f"""
+with {L} select model, count(distinct (tensor, r))::bigint as rows, (count(*) * 8)::bigint as bytes, count(distinct tensor)::bigint as requests, (count(*) * 8)::bigint as full_size, 1.0::double as reduction
+from cells group by model
+""")
+def metered_scan(spark, sf_dir):
+    """What a scan of all rows read: every tensor is a shard of its own and one request."""
+    models = _checkpoints(spark, sf_dir)
+    cost = materialize(safetensors.transfer(safetensors.scan(spark, models, metered="true"), safetensors.scan(spark, models, mode="metadata")), "query-cost")
+    totals = metrics.transfer_totals(cost, ["model"]).select("model", "bytes", "requests", "full_size", r6("reduction").alias("reduction"))
+    return totals.join(cost.select("model", "rows"), "model")
+
+
 @register("c05_w01_index_search", _NEAREST_SQL)
 def index_search(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("model"), F.col("embedding").alias("vector"))

@@ -16,6 +16,7 @@ that cannot be read has one row of headers with its ``error`` and no rows; else
 
 from __future__ import annotations
 
+import hashlib
 import http.client
 import json
 import os
@@ -23,11 +24,13 @@ import re
 import struct
 import urllib.error
 import urllib.parse
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -322,6 +325,32 @@ def write(path: str, tensors: dict[str, np.ndarray], dtype: str = "F32") -> None
         f.write(struct.pack("<Q", len(doc)) + doc + body)
 
 
+def write_models(rows: DataFrame, folder: str, dtype: str = "F64") -> dict[str, str]:
+    """Write (model, tensor, row_idx, v) as checkpoints below a folder that all tasks can open; folders by model.
+
+    A task writes one tensor as a shard of its own, under a name of its own first, so that a
+    task that is run again leaves whole files.  Rows count from 0 without gaps.
+    """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"{folder}: checkpoints are written as files")
+    root = folder.removeprefix("file://")
+
+    def put(key: tuple, table: pa.Table) -> pa.Table:
+        model, tensor = key[0].as_py(), key[1].as_py()
+        table = table.sort_by("row_idx")
+        x = np.array(table.column("v").to_pylist(), np.float64)
+        place = os.path.join(root, hashlib.sha256(model.encode()).hexdigest()[:16])
+        os.makedirs(place, exist_ok=True)
+        name = os.path.join(place, f"{hashlib.sha256(tensor.encode()).hexdigest()[:16]}.safetensors")
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        write(part, {tensor: x}, dtype)
+        os.replace(part, name)
+        return pa.table({"model": [model], "place": [place]})
+
+    made = rows.select("model", "tensor", "row_idx", "v").groupBy("model", "tensor").applyInArrow(put, "model string, place string")
+    return {r["model"]: r["place"] for r in made.distinct().collect()}
+
+
 def total_size(path: str, endpoint: str = HUB, revision: str = "main") -> int:
     """Bytes of a checkpoint without reading its tensors: file sizes, or where the last tensor of a remote shard ends."""
     return sum(max((t["end"] for t in header(f)), default=0) if is_url(f) else os.path.getsize(f) for f in shards(path, endpoint, revision))
