@@ -416,19 +416,25 @@ def full_verdict(spark, sf_dir):
     return v.select("a", "b", *[r6(c).alias(c) for c in (*schema.DIRECTION_WEIGHTS, "llr", "p", "confidence")], "direction", "relation")
 
 
+_ZEROS_SQL = ", ".join(f"('{n}')" for n in schema.DIRECTION_WEIGHTS if n not in ("lattice_asym", "zero_asym", "zero_subset_asym"))
+
+
 @register("p22_w14_relation_and_contributions", f"""
 with {L}, pairs as (select a.m as a, b.m as b from (select unnest({list(lineage.MODELS)}) as m) a join (select unnest({list(lineage.MODELS)}) as m) b on a.m < b.m),
-{LATTICE_SQL}, {VERDICT_SQL}, o as (select *, case when llr < -0.5 then -1 else 1 end as s from vd)
-select a, b, case when llr between -0.5 and 0.5 then 'derived' when lattice_asym * s >= 0.15 then 'quantized'
-         when zero_subset_asym * s >= 0.15 or zero_asym * s >= 0.20 then 'pruned' else 'derived' end as relation,
-       round(greatest(abs(3 * lattice_asym), abs(1.5 * zero_asym), abs(2.5 * zero_subset_asym)), 6) + 0 as largest
-from o
+{LATTICE_SQL}, {VERDICT_SQL}, o as (select *, case when llr < -0.5 then -1 else 1 end as s from vd),
+rel as (select a, b, case when llr between -0.5 and 0.5 then 'derived' when lattice_asym * s >= 0.15 then 'quantized'
+         when zero_subset_asym * s >= 0.15 or zero_asym * s >= 0.20 then 'pruned' else 'derived' end as relation from o),
+c as (select a, b, 'lattice_asym' as feature, round(3 * lattice_asym, 6) + 0 as contribution from o union all select a, b, 'zero_asym', round(1.5 * zero_asym, 6) + 0 from o
+      union all select a, b, 'zero_subset_asym', round(2.5 * zero_subset_asym, 6) + 0 from o union all select a, b, z.f, 0 from o, (values {_ZEROS_SQL}) z(f)),
+k as (select *, row_number() over (partition by a, b order by abs(contribution) desc, feature) as rank from c)
+select a, b, relation, feature, contribution, rank::int as rank from k join rel using (a, b) where rank <= 8
 """)
 def relation_and_contributions(spark, sf_dir):
+    """The eight largest terms of every verdict; spectra are not in VERDICT_SQL, c08_c13_full_verdict has every term."""
     v = verdicts(spark, sf_dir).withColumn("relation", direction.relation(F.col("direction")))
-    top = direction.top_contributions(v, 1).select("a", "b", r6(F.abs("contribution")).alias("largest"))
-    # spectra are not in VERDICT_SQL: c08_c13_full_verdict has every term
-    return v.select("a", "b", "relation").join(top, ["a", "b"])
+    told_apart = F.transform_values("contributions", lambda k, x: r6(x))
+    top = direction.top_contributions(v.withColumn("contributions", told_apart), 8)
+    return v.select("a", "b", "relation").join(top, ["a", "b"]).select("a", "b", "relation", "feature", "contribution", "rank")
 
 
 @register("c22_two_parent_weight", f"""

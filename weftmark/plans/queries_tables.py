@@ -268,15 +268,17 @@ with {_HEADER_SQL}, m as (
   select model, count(*) as nt, sum(numel) as np, count(*) filter (where vec) as nv, avg(bits) as bits, count(distinct dtype) as nd, max(coalesce(layer + 1, 1)) as nl,
     max(d0) filter (where tensor = 'model.embed_tokens.weight') as vocab, arg_max(d0, d0) filter (where tensor like '%up_proj%') as wide,
     min_by(least(d0, 64), tensor) filter (where tensor like '%q_proj%') as q, min_by(least(d0, 64), tensor) filter (where tensor like '%k_proj%') as k,
+    bool_or(regexp_matches(tensor, 'c_attn|query_key_value|qkv')) as fused,
     bool_or(tensor = 'model.embed_tokens.weight') and not bool_or(tensor = 'lm_head.weight') as tied from hh group by model),
 g as (select model, case when vocab is null then 0 else 64 end as hidden, coalesce(vocab, 0) as vocab, coalesce(wide, 0) as wide, * exclude (model, vocab, wide) from m)
-select model, round(log10(1 + np) / 10, 6) + 0 as g0, round(log10(1 + vocab) / 5, 6) + 0 as g3, round(case when hidden = 0 then 0 else wide / hidden end / 8, 6) + 0 as g6,
+select model, round(log10(1 + np) / 10, 6) + 0 as g0, round(nl / 64, 6) + 0 as g1, round(log10(1 + hidden) / 5, 6) + 0 as g2, round(log10(1 + vocab) / 5, 6) + 0 as g3,
+  round(nt / 512, 6) + 0 as g4, 0.5::double as g5, fused::int::double as g8, round(nd / 8, 6) + 0 as g10, round(case when hidden = 0 then 0 else vocab / hidden end / 100, 6) + 0 as g12, 0.25::double as g15, round(case when hidden = 0 then 0 else wide / hidden end / 8, 6) + 0 as g6,
   round(coalesce(k, 0) / greatest(coalesce(q, 0), 1), 6) + 0 as g7, round(bits / 32, 6) + 0 as g9, tied::int::double as g11, round(nv / nt, 6) + 0 as g13, round(log10(1 + np / nt) / 10, 6) + 0 as g14 from g
 """)
 def global_features(spark, sf_dir):
     meta = metadata.model_meta(headers(spark, sf_dir))
     g = metadata.global_features(meta, F.lit(0.5))
-    return g.select("model", *[r6(F.get("globals", i)).alias(f"g{i}") for i in (0, 3, 6, 7, 9, 11, 13, 14)])
+    return g.select("model", *[r6(F.get("globals", i)).alias(f"g{i}") for i in range(16)])
 
 
 # ---- metrics
