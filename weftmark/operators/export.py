@@ -138,8 +138,8 @@ def ancestor_tree(edges: DataFrame, target: str, max_depth: int = 16) -> DataFra
         "*", F.row_number().over(by.orderBy(F.desc("confidence"), "parent")).alias("i"), F.count(F.lit(1)).over(by).alias("of")
     )
     note = F.concat(
-        F.coalesce("relation", F.lit("derived")), F.format_string(", conf %.2f", F.coalesce("confidence", F.lit(0.0)).cast("double")),
-        F.when(F.col("weight").isNull(), "").otherwise(F.format_string(", mix %.2f", F.col("weight").cast("double"))),
+        F.coalesce("relation", F.lit("derived")), F.format_string(" at %.2f", F.coalesce("confidence", F.lit(0.0)).cast("double")),
+        F.when(F.col("weight").isNull(), "").otherwise(F.format_string(", weight %.2f", F.col("weight").cast("double"))),
     )
     ranked = materialize(ranked.select("parent", "child", "i", (F.col("i") == F.col("of")).alias("last"), note.alias("note")), "tree-edges")
     spark = edges.sparkSession
@@ -147,7 +147,7 @@ def ancestor_tree(edges: DataFrame, target: str, max_depth: int = 16) -> DataFra
     levels = [materialize(spark.createDataFrame([(target, [], "", [target], None, True)], kind).withColumn("line", short_id(F.col("node"), 60)), "tree-level")]
     for _ in range(max_depth):
         up = levels[-1].where("open").withColumnRenamed("node", "child").drop("line", "open").join(ranked, "child")
-        line = F.concat("prefix", F.when(F.col("last"), "`-- ").otherwise("|-- "), short_id(F.col("parent"), 48), F.lit("  ["), "note", F.lit("]"))
+        line = F.concat("prefix", F.when(F.col("last"), "`-- ").otherwise("|-- "), short_id(F.col("parent"), 48), F.lit(": "), "note")
         up = up.select(
             F.col("parent").alias("node"), F.array_append("at", F.col("i")).alias("at"), F.concat("prefix", F.when(F.col("last"), "    ").otherwise("|   ")).alias("prefix"),
             F.array_append("path", F.col("parent")).alias("path"), line.alias("line"), (~F.array_contains("path", F.col("parent"))).alias("open"),
@@ -158,14 +158,14 @@ def ancestor_tree(edges: DataFrame, target: str, max_depth: int = 16) -> DataFra
         levels.append(up)
     else:
         cut = levels[-1].where("open").join(ranked.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
-        levels.append(cut.select("node", F.array_append("at", F.lit(1)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("`-- ... (depth limit)")).alias("line"), F.lit(True).alias("open")))
+        levels.append(cut.select("node", F.array_append("at", F.lit(1)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("`-- (earlier ancestors left out)")).alias("line"), F.lit(True).alias("open")))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    loops = every.where("not open").select("node", F.array_append("at", F.lit(0)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("  (cycle -- not expanded)")).alias("line"), F.lit(True).alias("open"))
+    loops = every.where("not open").select("node", F.array_append("at", F.lit(0)).alias("at"), "prefix", "path", F.concat("prefix", F.lit("    (named above, not followed)")).alias("line"), F.lit(True).alias("open"))
     lines = every.unionByName(loops)
     if len(levels) == 1:
-        lines = lines.unionByName(lines.withColumns({"at": F.array(F.lit(1)), "line": F.lit("`-- (no ancestors above the relatedness threshold)")}))
+        lines = lines.unionByName(lines.withColumns({"at": F.array(F.lit(1)), "line": F.lit("`-- (no parent found)")}))
     # a tree is one document: it is meant to be read from top to bottom
     return lines.select(F.row_number().over(Window.orderBy("at")).alias("line_no"), "line")
 
@@ -189,12 +189,12 @@ def _report_order() -> Window:
 
 def conflict_lines(conflicts: DataFrame) -> DataFrame:
     """(line_no, line): conflicts as text, severity first: a heading, the wrapped message and the path; one line if there is none."""
-    head = F.format_string("  [%-7s] %s  (confidence %.2f)", F.upper("severity"), "kind", F.col("confidence").cast("double"))
-    path = F.concat(F.lit("            path: "), F.array_join(F.transform("path", lambda x: short_id(x, 28)), " -> "))
-    block = F.concat(F.array(head), _wrapped(F.col("message"), 66 - 12, " " * 12), F.when(F.size("path") > 0, F.array(path)).otherwise(F.array().cast("array<string>")))
+    head = F.format_string("%s: %s at %.2f", F.upper("severity"), "kind", F.col("confidence").cast("double"))
+    path = F.concat(F.lit("    along "), F.array_join(F.transform("path", lambda x: short_id(x, 28)), " -> "))
+    block = F.concat(F.array(head), _wrapped(F.col("message"), 72, " " * 4), F.when(F.size("path") > 0, F.array(path)).otherwise(F.array().cast("array<string>")))
     placed = conflicts.select(F.row_number().over(_report_order()).alias("n"), block.alias("block"))
     lines = placed.select("n", F.posexplode("block").alias("i", "line"))
-    none = conflicts.sparkSession.createDataFrame([(0, 0, "  none detected")], "n int, i int, line string")
+    none = conflicts.sparkSession.createDataFrame([(0, 0, "no conflict")], "n int, i int, line string")
     lines = lines.unionAll(none.join(conflicts.limit(1).agg(F.count(F.lit(1)).alias("c")).where("c = 0")).drop("c"))  # one row each
     return lines.select(F.row_number().over(Window.orderBy("n", "i")).alias("line_no"), "line")
 
@@ -214,11 +214,11 @@ def mixing_rows(edges: DataFrame) -> DataFrame:
 
 def transfer_line(seconds: Column, bytes_: Column, full_size: Column, requests: Column) -> Column:
     """What a scan read of how much, and how many times less; from the columns of a metered scan."""
-    took = F.format_string(" in %.1f s", seconds.cast("double"))
-    asked = F.format_string(" [%d requests]", requests.cast("long"))
-    less = F.format_string(" of %s (%.0fx less than a full download)", human_bytes(full_size), F.try_divide(full_size, F.greatest(bytes_, F.lit(1))).cast("double"))
+    took = F.format_string(", %.1f s", seconds.cast("double"))
+    asked = F.format_string(", %d requests", requests.cast("long"))
+    less = F.format_string(" out of %s (a share of 1 in %.0f)", human_bytes(full_size), F.try_divide(full_size, F.greatest(bytes_, F.lit(1))).cast("double"))
     known = F.concat(F.lit("read "), human_bytes(bytes_), F.when(full_size > 0, less).otherwise(F.lit("")), took, asked)
-    return F.when(bytes_ > 0, known).otherwise(F.concat(F.lit("read (byte accounting unavailable)"), took))
+    return F.when(bytes_ > 0, known).otherwise(F.concat(F.lit("bytes not counted"), took))
 
 
 def report(target: str, edges: DataFrame, conflicts: DataFrame, transfer: DataFrame | None = None, universe: int = 0) -> DataFrame:
@@ -231,12 +231,12 @@ def report(target: str, edges: DataFrame, conflicts: DataFrame, transfer: DataFr
     part = lambda section, rows: rows.select(F.lit(section).alias("section"), "line_no", "line")
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
     kept = nodes.agg(F.count(F.lit(1)).alias("n")).join(edges.agg(F.count(F.lit(1)).alias("e"))).select(  # one row each
-        F.lit(9).alias("section"), F.lit(0).alias("line_no"), F.format_string(f"- candidate universe: **{universe}** models, lineage kept **%d** nodes / **%d** edges", "n", "e").alias("line")
+        F.lit(9).alias("section"), F.lit(0).alias("line_no"), F.format_string(f"{universe} candidates, of which %d in the lineage, by %d edges", "n", "e").alias("line")
     )
     parts = [
-        fixed(0, f"### Lineage of `{target}`", "", "```"), part(1, ancestor_tree(edges, target)), fixed(2, "```", "", "| child | parent | mixing weight | confidence |", "| --- | --- | ---: | ---: |"),
-        part(3, mixing_rows(edges)), fixed(4, "", "### License warnings", "", "| severity | kind | confidence | detail |", "| --- | --- | ---: | --- |"), part(5, conflict_rows(conflicts)),
-        fixed(6, "", rights.DISCLAIMER, "", "### Transfer", ""), kept,
+        fixed(0, f"# {target}", "", "```"), part(1, ancestor_tree(edges, target)), fixed(2, "```", "", "| merge | part | weight | confidence |", "| --- | --- | ---: | ---: |"),
+        part(3, mixing_rows(edges)), fixed(4, "", "## Terms to review", "", "| severity | kind | confidence | detail |", "| --- | --- | ---: | --- |"), part(5, conflict_rows(conflicts)),
+        fixed(6, "", rights.DISCLAIMER, "", "## Read", ""), kept,
     ]
     if transfer is not None:
         parts.append(transfer.select(F.lit(8).alias("section"), F.lit(0).alias("line_no"), F.concat(F.lit("`"), transfer_line(F.col("seconds"), F.col("bytes"), F.col("full_size"), F.col("requests")), F.lit("`")).alias("line")))

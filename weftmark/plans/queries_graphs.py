@@ -379,7 +379,7 @@ with recursive {SQL}, rk as (select *, row_number() over (partition by child ord
 wt(node, depth, trail, prefix, line) as (
   select '{TARGET}', 0, []::bigint[], '', '{TARGET}' union all
   select r.parent, w.depth + 1, w.trail || [r.i], w.prefix || case when j = 1 then '    ' else '|   ' end,
-    w.prefix || case when j = 1 then '`-- ' else '|-- ' end || r.parent || '  [' || r.relation || ', conf ' || round((r.confidence)::decimal(38, 17), 2)::varchar || case when r.weight is null then '' else ', mix ' || round((r.weight)::decimal(38, 17), 2)::varchar end || ']'
+    w.prefix || case when j = 1 then '`-- ' else '|-- ' end || r.parent || ': ' || r.relation || ' at ' || round((r.confidence)::decimal(38, 17), 2)::varchar || case when r.weight is null then '' else ', weight ' || round((r.weight)::decimal(38, 17), 2)::varchar end
   from wt w join rk r on r.child = w.node)
 select row_number() over (order by trail)::int as line_no, line from wt
 """)
