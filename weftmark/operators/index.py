@@ -62,7 +62,10 @@ def cached(universe: DataFrame, path: str, make: Callable[[DataFrame], DataFrame
         made = make(todo.drop("key"))
         marked = made.join(todo.select("model", "key"), "model").drop("model").withColumn("run", F.lit(uuid.uuid4().hex))
         marked.write.mode("append").parquet(path)
-    held = spark.read.parquet(path).join(asked.select("key").distinct(), "key", "left_semi")
+    held = spark.read.option("mergeSchema", "true").parquet(path)
+    # tables from before runs were marked have no such column
+    held = held.withColumn("run", F.coalesce("run", F.lit("")) if "run" in held.columns else F.lit(""))
+    held = held.join(asked.select("key").distinct(), "key", "left_semi")
     first = held.groupBy("key").agg(F.min("run").alias("run"))
     return asked.select("model", "key").join(held.join(first, ["key", "run"], "left_semi"), "key").drop("key", "run")
 
