@@ -76,7 +76,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         _show(rights.conflict_order(report))
         if args.bom:
             held = facts.join(nodes.withColumnRenamed("node", "model"), "model", "left_semi")
-            export.write_json(args.bom, json.loads(export.bom(target, held, edges, report).collect()[0]["json"]))
+            lines = export.bom(target, held, edges, report).orderBy("part", "line_no")
+            export.write_json(args.bom, json.loads("".join(r["line"] for r in lines.collect())))  # the lineage of one model
         sys.stdout.write(rights.DISCLAIMER + "\n")
     return 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from weftmark.functions.scalars import escape_label, human_bytes, sanitize_id, short_id
 from weftmark.operators import graph, rights
+from weftmark.operators.ordered import running_sums
 from weftmark.plans.shared import materialize
 
 
@@ -85,12 +87,42 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _lines([frame, body, arrows])
 
 
+def _json_lines(head: str, arrays: list[tuple[str, DataFrame]], tail: str) -> DataFrame:
+    """(part, line_no, line): lines that make one JSON document, in this order.
+
+    ``arrays`` names the arrays of the document with frames of their elements as JSON text,
+    one ``line`` each.  An array is a part: line 0 opens it, its elements follow sorted by
+    their text, a comma before all but the first.  Elements are sorted and numbered by
+    ranges, so that no task or row holds an array whole.
+    """
+    spark = arrays[0][1].sparkSession
+    opened = [head + f'"{arrays[0][0]}":[', *[f'],"{name}":[' for name, _ in arrays[1:]], "]" + tail]
+    frame = spark.createDataFrame([(i, 0, x) for i, x in enumerate(opened)], "part int, line_no long, line string")
+    every = reduce(DataFrame.unionAll, [rows.select(F.lit(i).alias("part"), "line", F.lit(1).alias("n")) for i, (_, rows) in enumerate(arrays)])
+    placed = running_sums(every, ["part"], [F.col("line")], ["n"])
+    line = F.when(F.col("n_upto") == 1, F.col("line")).otherwise(F.concat(F.lit(","), "line"))
+    return frame.unionByName(placed.select("part", F.col("n_upto").alias("line_no"), line.alias("line")))
+
+
+def elements(lines: DataFrame, part: int, kind: str) -> DataFrame:
+    """The elements ``x`` of an array of :func:`bom` or :func:`graph_json`, read back line by line."""
+    text = F.concat(F.lit("["), F.regexp_replace("line", "^,", ""), F.lit("]"))
+    own = lines.where((F.col("part") == part) & (F.col("line_no") > 0))
+    return own.select(F.get(F.from_json(text, f"array<{kind}>"), 0).alias("x"))
+
+
+def _objects(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*columns)).alias("line"))
+
+
+def _strings(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select(F.regexp_replace(F.to_json(F.array(column)), r"^\[|\]$", "").alias("line"))
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row with the graph as a JSON document."""
-    n = nodes.agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("parent", "child", "relation", "confidence"))).alias("edges"))
-    r = graph.roots(nodes, edges).agg(F.array_sort(F.collect_list("node")).alias("roots"))
-    return n.join(e).join(r).select(F.to_json(F.struct("nodes", "edges", "roots")).alias("json"))  # one row each
+    """(part, line_no, line): the graph as the lines of a JSON document; parts 0 to 2 are nodes, edges and roots."""
+    arrays = [("nodes", _strings(nodes, "node")), ("edges", _objects(edges, "parent", "child", "relation", "confidence")), ("roots", _strings(graph.roots(nodes, edges), "node"))]
+    return _json_lines("{", arrays, "}")
 
 
 def bom_components(facts: DataFrame, target: str) -> DataFrame:
@@ -99,12 +131,13 @@ def bom_components(facts: DataFrame, target: str) -> DataFrame:
 
 
 def bom(target: str, facts: DataFrame, edges: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """One row: the bill of materials as JSON."""
-    parts = bom_components(facts, target).agg(F.array_sort(F.collect_list(F.struct("model", "license", "spdx", "commercial_use", "inferred"))).alias("components"))
-    rel = edges.agg(F.array_sort(F.collect_list(F.struct("parent", "child", "relation", "confidence"))).alias("relationships"))
-    con = conflicts.agg(F.array_sort(F.collect_list(F.struct("descendant", "ancestor", "kind", "severity", "confidence"))).alias("conflicts"))
-    doc = F.struct(F.lit(target).alias("target"), "components", "relationships", "conflicts", F.lit(rights.DISCLAIMER).alias("disclaimer"))
-    return parts.join(rel).join(con).select(F.to_json(doc).alias("json"))  # one row each
+    """(part, line_no, line): the bill of materials as the lines of a JSON document; parts 0 to 2 are components, relationships and conflicts."""
+    arrays = [
+        ("components", _objects(bom_components(facts, target), "model", "license", "spdx", "commercial_use", "inferred")),
+        ("relationships", _objects(edges, "parent", "child", "relation", "confidence")),
+        ("conflicts", _objects(conflicts, "descendant", "ancestor", "kind", "severity", "confidence")),
+    ]
+    return _json_lines(f'{{"target":{json.dumps(target)},', arrays, f',"disclaimer":{json.dumps(rights.DISCLAIMER)}}}')
 
 
 def spdx_packages(facts: DataFrame, conflicts: DataFrame) -> DataFrame:

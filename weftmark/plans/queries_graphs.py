@@ -330,27 +330,25 @@ select 'node' as kind, node as a, null as b, null as relation, null::double as c
 union all select 'root', node, null, null, null from nodes anti join (select child as node from edges) using (node)
 union all select 'edge', parent, child, relation, confidence from edges
 """
-_GRAPH_KIND = "nodes array<string>, roots array<string>, edges array<struct<parent:string,child:string,relation:string,confidence:double>>"
+_EDGE_KIND = "struct<parent:string,child:string,relation:string,confidence:double>"
 
 
 @register("l21_graph_json_parsed", f"with recursive {SQL} {_GRAPH_ROWS}")
 def graph_json_parsed(spark, sf_dir):
     """The graph document, read back: its nodes, roots and edges."""
-    text = export.graph_json(families.nodes(spark, sf_dir), families.edges(spark, sf_dir))
-    doc = text.select(F.from_json("json", _GRAPH_KIND).alias("d")).select("d.*")
+    lines = export.graph_json(families.nodes(spark, sf_dir), families.edges(spark, sf_dir))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("b", "string"), ("relation", "string"), ("confidence", "double"))]
-    nodes = doc.select(F.lit("node").alias("kind"), F.explode("nodes").alias("a"), *none)
-    tops = doc.select(F.lit("root").alias("kind"), F.explode("roots").alias("a"), *none)
-    edges = doc.select(F.explode("edges").alias("e")).select(F.lit("edge").alias("kind"), F.col("e.parent").alias("a"), F.col("e.child").alias("b"), "e.relation", "e.confidence")
-    return nodes.unionByName(tops).unionByName(edges)
+    names = lambda part, kind: export.elements(lines, part, "string").select(F.lit(kind).alias("kind"), F.col("x").alias("a"), *none)
+    edges = export.elements(lines, 1, _EDGE_KIND).select(F.lit("edge").alias("kind"), F.col("x.parent").alias("a"), F.col("x.child").alias("b"), "x.relation", "x.confidence")
+    return names(0, "node").unionByName(names(2, "root")).unionByName(edges)
 
 
 @register("l19_l21_documents")
 def documents(spark, sf_dir):
-    """The two documents as text; what they hold is compared by the queries that read them back."""
+    """The two documents as lines of text, in the order of part and line_no; what they hold is compared by the queries that read them back."""
     f, e, n = _facts(spark, sf_dir), families.edges(spark, sf_dir), families.nodes(spark, sf_dir)
-    b = export.bom(TARGET, f, e, _conflicts(spark, sf_dir)).select(F.lit("bom").alias("kind"), "json")
-    return b.unionByName(export.graph_json(n, e).select(F.lit("graph").alias("kind"), "json"))
+    b = export.bom(TARGET, f, e, _conflicts(spark, sf_dir)).select(F.lit("bom").alias("kind"), "*")
+    return b.unionByName(export.graph_json(n, e).select(F.lit("graph").alias("kind"), "*"))
 
 
 @register("l19_bom_parsed", f"""
@@ -361,16 +359,11 @@ union all select 'conflict', descendant, ancestor, kind || ' ' || severity, roun
 """)
 def bom_parsed(spark, sf_dir):
     """The bill of materials, read back: components, relationships and conflicts."""
-    text = export.bom(TARGET, _facts(spark, sf_dir), families.edges(spark, sf_dir), _conflicts(spark, sf_dir))
-    kind = (
-        "components array<struct<model:string,license:string,spdx:string>>, relationships array<struct<parent:string,child:string,relation:string,confidence:double>>, "
-        "conflicts array<struct<descendant:string,ancestor:string,kind:string,severity:string,confidence:double>>"
-    )
-    doc = text.select(F.from_json("json", kind).alias("d")).select("d.*")
-    part = lambda name: doc.select(F.explode(name).alias("x")).select("x.*")
-    c = part("components").select(F.lit("component").alias("kind"), F.col("model").alias("a"), F.col("license").alias("b"), F.col("spdx").alias("c"), F.lit(None).cast("double").alias("confidence"))
-    r = part("relationships").select(F.lit("relationship").alias("kind"), "parent", "child", "relation", r6("confidence"))
-    w = part("conflicts").select(F.lit("conflict"), "descendant", "ancestor", F.concat_ws(" ", "kind", "severity"), r6("confidence"))
+    lines = export.bom(TARGET, _facts(spark, sf_dir), families.edges(spark, sf_dir), _conflicts(spark, sf_dir))
+    part = lambda i, kind: export.elements(lines, i, kind).select("x.*")
+    c = part(0, "struct<model:string,license:string,spdx:string>").select(F.lit("component").alias("kind"), F.col("model").alias("a"), F.col("license").alias("b"), F.col("spdx").alias("c"), F.lit(None).cast("double").alias("confidence"))
+    r = part(1, _EDGE_KIND).select(F.lit("relationship").alias("kind"), "parent", "child", "relation", r6("confidence"))
+    w = part(2, "struct<descendant:string,ancestor:string,kind:string,severity:string,confidence:double>").select(F.lit("conflict"), "descendant", "ancestor", F.concat_ws(" ", "kind", "severity"), r6("confidence"))
     return c.unionAll(r).unionAll(w)
 
 
