@@ -2,6 +2,10 @@
 
 import json
 
+import duckdb
+from pyspark.sql import functions as F
+
+from weftmark.functions.scalars import fixed, round_scaled
 from weftmark.operators import export, rights
 
 
@@ -20,3 +24,19 @@ def test_documents_are_made_of_lines_that_no_row_holds_whole(spark):
     lines = export.bom(names[0], facts, edges, none).orderBy("part", "line_no").collect()
     doc = json.loads("".join(r["line"] for r in lines))
     assert doc["target"] == names[0] and len(doc["components"]) == 302 and len(doc["relationships"]) == 301 and doc["conflicts"] == [] and doc["disclaimer"] == rights.DISCLAIMER
+
+
+def test_decimals_are_those_of_the_value_not_of_its_text(spark):
+    values = [0.695, 0.125, 0.5, 0.0, 2.43, 1e-9, 123456.789, None]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(fixed(F.col("v"), 2).alias("x")).collect()]
+    assert got == ["0.69", "0.13", "0.50", "0.00", "2.43", "0.00", "123456.79", "null"]
+    con = duckdb.connect()
+    many = [(i * 5 + 0.0) / 1000 for i in range(600)] + [1 + 2 * (i / 10000 + 0.0025) for i in range(2500)]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in many], "v double").select(fixed(F.col("v"), 2).alias("x")).collect()]
+    assert got == [con.execute("select round((?::double)::decimal(38, 17), 2)::varchar", [v]).fetchone()[0] for v in many]
+
+
+def test_confidences_are_rounded_as_in_sql(spark):
+    halves = [(2 * i + 1) / 2000000 + 0.6 for i in range(3000)]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in halves], "v double").select(round_scaled(F.col("v"), 6).alias("x")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in halves]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftmark.functions.scalars import escape_label, human_bytes, sanitize_id, short_id
+from weftmark.functions.scalars import escape_label, fixed, human_bytes, sanitize_id, short_id
 from weftmark.operators import graph, rights
 from weftmark.operators.ordered import running_sums
 from weftmark.plans.shared import materialize
@@ -34,7 +34,7 @@ def node_ids(nodes: DataFrame) -> DataFrame:
 
 
 def edge_label(relation: Column, confidence: Column) -> Column:
-    return F.format_string("%s %.2f", relation, confidence)
+    return F.format_string("%s %s", relation, fixed(confidence, 2))
 
 
 def _lines(parts: list[DataFrame]) -> DataFrame:
@@ -80,8 +80,8 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     arrows = edges.join(p, "parent").join(c, "child").select(
         F.lit(2).alias("section"), F.concat_ws("\t", "parent", "child").alias("key"),
         F.format_string(
-            '  %s -> %s [label="%s", penwidth=%.2f, style=%s];', F.col("pid"), F.col("cid"),
-            escape_label(edge_label(F.col("relation"), F.col("confidence"))), 1 + 2 * conf, style,
+            '  %s -> %s [label="%s", penwidth=%s, style=%s];', F.col("pid"), F.col("cid"),
+            escape_label(edge_label(F.col("relation"), F.col("confidence"))), fixed(1 + 2 * conf, 2), style,
         ).alias("line"),
     )
     return _lines([frame, body, arrows])
@@ -171,8 +171,8 @@ def ancestor_tree(edges: DataFrame, target: str, max_depth: int = 16) -> DataFra
         "*", F.row_number().over(by.orderBy(F.desc("confidence"), "parent")).alias("i"), F.count(F.lit(1)).over(by).alias("of")
     )
     note = F.concat(
-        F.coalesce("relation", F.lit("derived")), F.format_string(" at %.2f", F.coalesce("confidence", F.lit(0.0)).cast("double")),
-        F.when(F.col("weight").isNull(), "").otherwise(F.format_string(", weight %.2f", F.col("weight").cast("double"))),
+        F.coalesce("relation", F.lit("derived")), F.format_string(" at %s", fixed(F.coalesce("confidence", F.lit(0.0)), 2)),
+        F.when(F.col("weight").isNull(), "").otherwise(F.format_string(", weight %s", fixed(F.col("weight"), 2))),
     )
     ranked = materialize(ranked.select("parent", "child", "i", (F.col("i") == F.col("of")).alias("last"), note.alias("note")), "tree-edges")
     spark = edges.sparkSession
@@ -222,7 +222,7 @@ def _report_order() -> Window:
 
 def conflict_lines(conflicts: DataFrame) -> DataFrame:
     """(line_no, line): conflicts as text, severity first: a heading, the wrapped message and the path; one line if there is none."""
-    head = F.format_string("%s: %s at %.2f", F.upper("severity"), "kind", F.col("confidence").cast("double"))
+    head = F.format_string("%s: %s at %s", F.upper("severity"), "kind", fixed(F.col("confidence"), 2))
     path = F.concat(F.lit("    along "), F.array_join(F.transform("path", lambda x: short_id(x, 28)), " -> "))
     block = F.concat(F.array(head), _wrapped(F.col("message"), 72, " " * 4), F.when(F.size("path") > 0, F.array(path)).otherwise(F.array().cast("array<string>")))
     placed = conflicts.select(F.row_number().over(_report_order()).alias("n"), block.alias("block"))
@@ -235,13 +235,13 @@ def conflict_lines(conflicts: DataFrame) -> DataFrame:
 def conflict_rows(conflicts: DataFrame) -> DataFrame:
     """(line_no, line): rows of a Markdown table severity, kind, confidence, detail."""
     detail = F.translate(F.col("message"), "|\n", "/ ")
-    line = F.format_string("| **%s** | `%s` | %.2f | %s |", F.upper("severity"), "kind", F.col("confidence").cast("double"), detail)
+    line = F.format_string("| **%s** | `%s` | %s | %s |", F.upper("severity"), "kind", fixed(F.col("confidence"), 2), detail)
     return conflicts.select(F.row_number().over(_report_order()).alias("line_no"), line.alias("line"))
 
 
 def mixing_rows(edges: DataFrame) -> DataFrame:
     """(line_no, line): rows of a Markdown table child, parent, mixing weight, confidence; merges only."""
-    line = F.format_string("| `%s` | `%s` | %.3f | %.2f |", short_id(F.col("child"), 40), short_id(F.col("parent"), 40), F.col("weight").cast("double"), F.col("confidence").cast("double"))
+    line = F.format_string("| `%s` | `%s` | %s | %s |", short_id(F.col("child"), 40), short_id(F.col("parent"), 40), fixed(F.col("weight"), 3), fixed(F.col("confidence"), 2))
     return edges.where("weight is not null").select(F.row_number().over(Window.orderBy("child", F.desc("weight"), "parent")).alias("line_no"), line.alias("line"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark import schema
-from weftmark.functions.scalars import clip
+from weftmark.functions.scalars import clip, fixed
 from weftmark.operators import graph
 
 #: What a license asks of derived models, in words of this library.
@@ -151,8 +151,8 @@ def conflicts(facts_: DataFrame, edges: DataFrame) -> DataFrame:
     )
     flat = met.select("descendant", "ancestor", "path", clip(F.col("product"), 0.0, 1.0).alias("confidence"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
     shown = F.format_string(
-        "Weight-level evidence suggests %s may descend from %s (path %s; confidence %.2f). Their recorded terms may not fit (%s). Human review required.",
-        "descendant", "ancestor", F.array_join("path", " -> "), "confidence", F.col("f.kind"),
+        "Weight-level evidence suggests %s may descend from %s (path %s; confidence %s). Their recorded terms may not fit (%s). Human review required.",
+        "descendant", "ancestor", F.array_join("path", " -> "), fixed(F.col("confidence"), 2), F.col("f.kind"),
     )
     return flat.select("descendant", "ancestor", "f.kind", "f.severity", "confidence", "path", shown.alias("message"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmark.functions.scalars import round_scaled
+
 FAMILY = 24
 RELATIONS = ("sft", "lora", "quant", "prune", "vocab", "distilled")
 DECLARED = ("apache-2.0", "mit", "llama2", "cc-by-sa-4.0", None, "cc-by-nc-4.0", "gpl-3.0", "apache-2.0")
@@ -39,7 +41,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _confidence(up: Column, down: Column) -> Column:
     mean = F.coalesce(F.try_divide(F.col("cents").cast("double"), F.col("lines").cast("double")), F.lit(0.0))
-    return F.round(F.lit(0.45) + F.lit(0.05) * mean + ((up * 13 + down * 7) % 997) / F.lit(100000.0), 6)
+    return round_scaled(F.lit(0.45) + F.lit(0.05) * mean + ((up * 13 + down * 7) % 997) / F.lit(100000.0), 6)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +51,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = F.col("quantity") % nth, (F.col("lines") * 7 + F.col("pk")) % nth
     merge = (first != second) & (F.col("pk") % 4 == 0)
     relation = F.when(merge, "merge").otherwise(F.get(F.array(*[F.lit(r) for r in RELATIONS]), (F.col("pk") % 6).cast("int")))
-    share = F.round(F.lit(0.55) + (F.col("quantity") % 40) / F.lit(100.0), 6)
-    two = F.array(F.struct(first.alias("at"), share.alias("w")), F.struct(second.alias("at"), F.round(F.lit(1.0) - share, 6).alias("w")))
+    share = round_scaled(F.lit(0.55) + (F.col("quantity") % 40) / F.lit(100.0), 6)
+    two = F.array(F.struct(first.alias("at"), share.alias("w")), F.struct(second.alias("at"), round_scaled(F.lit(1.0) - share, 6).alias("w")))
     one = F.slice(two, 1, 1)
     e = m.select("*", merge.alias("merge"), relation.alias("relation"), F.explode(F.when(first != second, two).otherwise(one)).alias("p"))
     up = F.col("base") + F.col("p.at")
@@ -61,7 +63,7 @@ def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parent, child, confidence) against the lineage: every fifth child points at its first parent."""
     m = models(spark, sf_dir).where("place > 0 and pk % 5 = 0")
     up = F.col("base") + F.col("quantity") % F.greatest("place", F.lit(1))
-    conf = F.round(F.lit(0.4) + (F.col("quantity") % 50) / F.lit(100.0) + F.col("pk") % 89 / F.lit(10000.0), 6)
+    conf = round_scaled(F.lit(0.4) + (F.col("quantity") % 50) / F.lit(100.0) + F.col("pk") % 89 / F.lit(10000.0), 6)
     return m.select(_name(F.col("pk")).alias("parent"), _name(up).alias("child"), conf.alias("confidence"))
 
 
