@@ -121,6 +121,20 @@ def test_cka_of_whole_and_of_drawn_matrices(spark):
     assert drawn["m001", "w"]["cells"] == 24 and np.isclose(drawn["m001", "w"]["cka"], 1.0) and 0 <= drawn["m005", "w"]["cka"] <= 1
 
 
+def test_cka_takes_all_rows_and_columns_of_large_matrices(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CELLS", 64)
+    monkeypatch.setattr(blocks, "FAN", 3)
+    monkeypatch.setattr(blocks, "BAND", 4)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(700, 10)) + 3
+    models = {"a": {"w": x}, "b": {"w": x + r.normal(size=x.shape) * np.linspace(0, 2, 700)[:, None]}, "c": {"w": r.normal(size=(650, 10))}}
+    asked = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "a string, b string")
+    for k in blocks.cka(frame(spark, models), asked).collect():
+        p, q = models[k["a"]]["w"], models[k["b"]]["w"]
+        n = min(len(p), len(q))
+        assert k["cells"] == n * 10 and np.isclose(k["cka"], plain_cka(p[:n], q[:n]), atol=1e-9)
+
+
 def test_products_of_spread_layers_and_fused_attention(spark):
     r = np.random.default_rng(6)
     names = lambda i: {

@@ -16,7 +16,7 @@ def cosine(rows: DataFrame, pair_list: DataFrame) -> DataFrame:
     return p.select("a", "b", ((1 + F.col("cosine")) / 2).alias("score"))
 
 
-def cka(rows: DataFrame, pair_list: DataFrame, n_rows: int = 512, n_cols: int = 1024) -> DataFrame:
+def cka(rows: DataFrame, pair_list: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
     """Linear CKA of the shared tensors, weighted by the cells that took part."""
     met = blocks.cka(rows, pair_list, n_rows, n_cols)
     return met.groupBy("a", "b").agg((F.sum(F.col("cka") * F.col("cells")) / F.sum("cells")).alias("score"))
