@@ -240,4 +240,6 @@ def balanced_subsample(pairs: DataFrame, quotas: dict[str, int], by: str = "clas
     """Up to a quota of each class, in the order of a hash of (seed, a, b)."""
     order = Window.partitionBy(by).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "a", "b"), 256), "a", "b")
     quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.coalesce(F.try_element_at(quota, F.col(by)), F.lit(0)))
+    # the fixed bound lets each task drop, before the shuffle, what is beyond the largest quota among its own rows
+    ranked = pairs.where(F.col(by).isin(*quotas)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(quotas.values(), default=0))
+    return ranked.where(F.col("rank") <= F.coalesce(F.try_element_at(quota, F.col(by)), F.lit(0)))
