@@ -172,7 +172,8 @@ from ax x join ax y on x.axis = y.axis and x.run = 0 and y.run = 1
 """)
 def delta(spark, sf_dir):
     t, p, n = families.edges(spark, sf_dir), families.predicted(spark, sf_dir), families.nodes(spark, sf_dir)
-    d = graph.dag_delta(graph.score_dag(t, p, n), graph.score_dag(t, p.where("child not like '%0'"), n))
+    above = graph.closure(t)
+    d = graph.dag_delta(graph.score_dag(t, p, n, above), graph.score_dag(t, p.where("child not like '%0'"), n, above))
     return d.select("axis", *[r6(c).alias(c) for c in ("d_precision", "d_recall", "d_f1")])
 
 
