@@ -143,11 +143,12 @@ def bom(target: str, facts: DataFrame, edges: DataFrame, conflicts: DataFrame) -
 def spdx_packages(facts: DataFrame, conflicts: DataFrame) -> DataFrame:
     """SPDX packages: nothing is concluded where a license is unknown or a conflict touches the model."""
     t = rights.touched(conflicts).withColumn("hit", F.lit(True))
-    order = Window.orderBy("model")  # models of one bill of materials
     safe = F.regexp_replace(F.substring(F.regexp_replace("model", "[^A-Za-z0-9.-]+", "-"), 1, 60), "^-+|-+$", "")
     open_ = (F.col("license") == "unknown") | F.coalesce("hit", F.lit(False))
-    return facts.join(t, "model", "left").select(
-        "model", F.concat(F.lit("SPDXRef-Package-"), (F.row_number().over(order) - 1).cast("string"), F.lit("-"), safe).alias("spdx_id"),
+    own = facts.select("model", "license", "spdx", F.lit(0).alias("all"), F.lit(1).alias("n"))
+    placed = running_sums(own, ["all"], [F.col("model")], ["n"])
+    return placed.join(t, "model", "left").select(
+        "model", F.concat(F.lit("SPDXRef-Package-"), (F.col("n_upto") - 1).cast("string"), F.lit("-"), safe).alias("spdx_id"),
         F.col("spdx").alias("license_declared"), F.when(open_, F.lit("NOASSERTION")).otherwise(F.col("spdx")).alias("license_concluded"),
     )
 
