@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftmark.operators import ordered
+from weftmark.plans.shared import dealt
 
 def roc_curve(scores: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(by, threshold, tpr, fpr, and how far the point before was): one point per distinct score, ties together; the origin is implied.
@@ -194,11 +195,20 @@ def merge_scores(cases: DataFrame) -> DataFrame:
 
 
 def mixing_mae(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """Mean absolute error of weights over the union of keys; a missing weight is 0."""
-    t = truth.select(*by, "key", F.col("weight").alias("t"))
-    f = found.select(*by, "key", F.col("weight").alias("f"))
+    """Mean absolute error of weights over the union of keys; a missing weight is 0, weights of a repeated key are summed.
+
+    Both sides are dealt once, to as many tasks as keep their rows bounded, and summed together
+    there.  As in a join, null keys meet nothing on the other side.
+    """
+    keys = [*by, "key"]
+    none = F.lit(None).cast("double")
+    sided = lambda frame, side, t, f: frame.select(*keys, t.alias("t"), f.alias("f"), F.lit(side).alias("side"))
+    weight = F.col("weight").cast("double")
+    both = sided(truth, 0, weight, none).unionByName(sided(found, 1, none, weight))
+    lone = F.when(F.greatest(*[F.col(c).isNull() for c in keys]), F.col("side"))
+    sums = dealt(both.withColumn("side", lone), *keys, "side", rows=1 << 19).groupBy(*keys, "side").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     gap = F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("f", F.lit(0.0)))
-    return t.join(f, [*by, "key"], "full_outer").groupBy(*by).agg(F.avg(gap).alias("mae"))
+    return sums.groupBy(*by).agg(F.avg(gap).alias("mae"))
 
 
 def parent_set_prf(cases: DataFrame, truth: str = "truth", found: str = "found") -> DataFrame:
