@@ -70,3 +70,22 @@ def test_breaking_cycles_broadcasts_nothing(spark, monkeypatch):
     left = graph.break_cycles(spark.createDataFrame(rows, EDGE))
     assert {(r["parent"], r["child"]) for r in left.collect()} == {x[:2] for x in rows} - {("n3", "n4")}
     assert plans and not [x for x in plans if "Broadcast" in x]
+
+
+def test_cousins_are_met_by_their_topmost_ancestors(spark, monkeypatch):
+    """Every pair was sent once for each ancestor of its first end."""
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n6", "left"), ("n6", "mid"), ("mid", "right"), ("lone", "apart")]
+    loops = [("x", "y"), ("y", "x"), ("y", "p"), ("x", "q"), ("q", "q2"), ("z", "z"), ("z", "r"), ("r", "s"), ("z", "t")]
+    rows = chain + loops
+    names = sorted({n for e in rows for n in e})
+    above = {n: {m for m in names if m != n and reaches(set(rows), m, n)} | ({n} if (n, n) in rows else set()) for n in names}
+    pairs = [(a, b) for a in names for b in names if a < b]
+    met = []
+    real = graph._share
+    monkeypatch.setattr(graph, "_share", lambda p, up, name: met.append((name, up.count())) or real(p, up, name))
+    got = {(r["a"], r["b"]): r["label"] for r in graph.label_pairs(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(rows, "parent string, child string")).collect()}
+    parents = {n: {p for p, c in rows if c == n} for n in names}
+    for a, b in pairs:
+        want = "a->b" if a in above[b] else "b->a" if b in above[a] else "sibling" if parents[a] & parents[b] else "cousin" if above[a] & above[b] else "none"
+        assert got[a, b] == want, (a, b)
+    assert dict(met)["cou"] < sum(map(len, above.values())) / 2
