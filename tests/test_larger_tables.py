@@ -46,3 +46,10 @@ def test_packages_are_numbered_without_one_window_over_all(spark):
     rows = export.spdx_packages(facts, none)
     assert {r["model"]: r["spdx_id"] for r in rows.collect()} == {n: f"SPDXRef-Package-{i}-{n}" for i, n in enumerate(names)}
     assert "row_number()" not in plan(rows)
+
+
+def test_tasks_follow_a_given_bound_without_a_count(spark, monkeypatch):
+    """The tasks of j10_j16_outgroup_pool were as many as the session's partitions, whatever its pairs."""
+    frame = spark.range(1000)
+    monkeypatch.setattr(type(frame), "count", lambda self: 1 / 0)
+    assert dealt(frame, "id", rows=50, n=900).rdd.getNumPartitions() == 18

@@ -8,6 +8,7 @@ from weftmark.operators import export, graph, rights
 from weftmark.plans.catalog import register
 from weftmark.plans.queries_lineage import r6
 from weftmark.plans.queries_tables import _KNOWN, _values, three_valued
+from weftmark.plans.shared import dealt
 from weftmark.sources import families
 from weftmark.sources.families import CLOSURE, SQL, TARGET
 
@@ -272,7 +273,9 @@ select model, candidate from ways anti join up a on a.ancestor = model and a.des
 def outgroup_pool(spark, sf_dir):
     """Models of a family that are neither descendants nor siblings of a model."""
     n, e = families.family_pairs(spark, sf_dir), families.edges(spark, sf_dir)
-    p = n.select(F.col("a").alias("model"), F.col("b").alias("candidate")).unionAll(n.select("b", "a"))
+    way = lambda x, y: F.struct(F.col(x).alias("model"), F.col(y).alias("candidate"))
+    p = n.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p")).select("p.*")
+    p = dealt(p, "model", "candidate", n=families.FAMILY * spark.read.parquet(f"{sf_dir}/part.parquet").count())
     down = graph.closure(e).select(F.col("ancestor").alias("model"), F.col("descendant").alias("candidate"))
     sib = e.select("parent", F.col("child").alias("model")).join(e.select("parent", F.col("child").alias("candidate")), "parent").select("model", "candidate")
     return p.join(down, ["model", "candidate"], "left_anti").join(sib, ["model", "candidate"], "left_anti")
