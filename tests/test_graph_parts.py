@@ -89,3 +89,17 @@ def test_cousins_are_met_by_their_topmost_ancestors(spark, monkeypatch):
         want = "a->b" if a in above[b] else "b->a" if b in above[a] else "sibling" if parents[a] & parents[b] else "cousin" if above[a] & above[b] else "none"
         assert got[a, b] == want, (a, b)
     assert dict(met)["cou"] < sum(map(len, above.values())) / 2
+
+
+def test_edges_are_made_once(spark, monkeypatch, tmp_path):
+    """The lineage was derived again, with its sums of lines, for the result; node names were told apart twice more for the labels."""
+    rows = [(f"n{i}", f"n{(i + 1) % 5}", 0.9 if i != 3 else 0.2) for i in range(5)] + [("n1", "n1", 0.5), ("n0", "far", 0.1), ("n0", "far", 0.1)]
+    spark.createDataFrame(rows, EDGE).write.parquet(f"{tmp_path}/edges")
+    plans = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: plans.append((label, df.inputFiles(), df._jdf.queryExecution().executedPlan().toString())) or real(df, label))
+    left = graph.break_cycles(spark.read.parquet(f"{tmp_path}/edges"))
+    assert sorted(tuple(r) for r in left.collect()) == sorted(x for x in rows if x[0] != x[1] and x[:2] != ("n3", "n4"))
+    reads = lambda files: any(str(tmp_path) in f for f in files)
+    assert not reads(left.inputFiles()) and [label for label, files, _ in plans if reads(files)] == ["graph-kept"]
+    assert [plan.count("Aggregate") for label, _, plan in plans if label == "graph-tagged"] == [0]
