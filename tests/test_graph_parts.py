@@ -103,3 +103,64 @@ def test_edges_are_made_once(spark, monkeypatch, tmp_path):
     reads = lambda files: any(str(tmp_path) in f for f in files)
     assert not reads(left.inputFiles()) and [label for label, files, _ in plans if reads(files)] == ["graph-kept"]
     assert [plan.count("Aggregate") for label, _, plan in plans if label == "graph-tagged"] == [0]
+
+
+def plain_closure(rows):
+    """(ancestor, descendant): depth, breadth first; a loop is a pair of its own."""
+    below = {}
+    for p, c in rows:
+        below.setdefault(p, set()).add(c)
+    up = {}
+    for a in below:
+        front, depth = below[a], 1
+        while front:
+            up |= {(a, d): depth for d in front}
+            front, depth = {y for x in front for y in below.get(x, ()) if y != a and (a, y) not in up}, depth + 1
+    return up
+
+
+@pytest.mark.parametrize("large, sliced", [(1 << 16, 1 << 12), (1 << 16, 7), (30, 7), (12, 3)])
+def test_closures_of_larger_components_in_slices(spark, monkeypatch, large, sliced):
+    """Components of more than 256 edges, here one chain of families with cycles, took a round of tables a step."""
+    rng = random.Random(5)
+    rows = {(f"n{i + rng.randint(1, 5):03d}", f"n{i:03d}") for i in range(24) for _ in range(2)} | {("n004", "n019"), ("n007", "n007")}
+    rows |= {(f"t{i}", f"t{i + 1}") for i in range(9)} | {(f"t{i}", f"u{i}") for i in range(9)}
+    for name, value in (("SMALL", 8), ("GROUP", 300), ("LARGE", large), ("SLICE", sliced)):
+        monkeypatch.setattr(graph, name, value)
+    fronts = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: fronts.append(label) or real(df, label))
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(sorted(rows), "parent string, child string")).collect()]
+    assert len(got) == len({x[:2] for x in got}) and {(a, d): n for a, d, n in got} == plain_closure(rows)
+    assert ("graph-front" in fronts) == (large < len(rows))
+
+
+def test_whole_slices_are_searched_together(monkeypatch):
+    """Lots end where a slice ends, however the batches fall."""
+    import pandas as pd
+
+    monkeypatch.setattr(graph, "LARGE", 6)
+    rows = [(f"{c}{i}", f"{c}{i + 1}", c, s, 4, i % 2 == s) for c in "abc" for s in (0, 1) for i in range(4)]
+    frame = pd.DataFrame(rows, columns=["parent", "child", "component", "slice", "n", "mine"])
+    want = plain_closure({r[:2] for r in rows})
+    for step in (1, 3, 5, 24):
+        out = pd.concat(graph._closures(frame.iloc[i : i + step] for i in range(0, len(frame), step)))
+        assert len(out) == len(want) and {(a, d): n for a, d, n in out.itertuples(index=False)} == want
+
+
+@pytest.mark.parametrize("last", [1 << 18, 40, 0])
+def test_components_of_a_path_in_order_take_few_rounds(spark, monkeypatch, last):
+    """Hooks were followed twice: a path of n names in order took n / 4 rounds."""
+    monkeypatch.setattr(graph, "LAST", last)
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)] + [(f"z{i}", f"z{(i * 7 + 3) % 10}") for i in range(10)]
+    names = sorted({x for e in path for x in e})
+    tables = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: tables.append(label) or real(df, label))
+    edges = spark.createDataFrame(path, "parent string, child string")
+    got = {r["node"]: r["component"] for r in graph.weak_components(spark.createDataFrame([(n,) for n in [*names, "lone"]], "node string"), edges).collect()}
+    want = {n: n for n in [*names, "lone"]}
+    for _ in names:
+        for a, b in path:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(tables) < 20
