@@ -164,3 +164,15 @@ def test_components_of_a_path_in_order_take_few_rounds(spark, monkeypatch, last)
         for a, b in path:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want and len(tables) < 20
+
+
+def test_lines_of_a_lineage_are_summed_once(spark, monkeypatch):
+    """Scores of a predicted lineage summed all lines for each of its parts and axes."""
+    import os
+
+    from weftmark.plans import queries_graphs
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    truth, predicted, nodes = queries_graphs._lineages(spark, "/root/testdata/sf0.001")
+    assert not [f for frame in (truth, predicted, nodes) for f in frame.inputFiles() if "lineitem" in f]

@@ -8,7 +8,7 @@ from weftmark.operators import export, graph, rights
 from weftmark.plans.catalog import register
 from weftmark.plans.queries_lineage import r6
 from weftmark.plans.queries_tables import _KNOWN, _values, three_valued
-from weftmark.plans.shared import dealt
+from weftmark.plans.shared import dealt, materialize
 from weftmark.sources import families
 from weftmark.sources.families import CLOSURE, SQL, TARGET
 
@@ -157,12 +157,18 @@ def score_edges(spark, sf_dir):
     return s.select("tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
+def _lineages(spark, sf_dir):
+    """The true edges, the predicted ones and the nodes, the lines of the parts summed once."""
+    m = materialize(families.models(spark, sf_dir), "families")
+    return families.edges(spark, sf_dir, m), materialize(families.predicted(spark, sf_dir, m), "families-predicted"), families.nodes(spark, sf_dir, m)
+
+
 @register("g13_dag_score_axes", f"""
 with recursive {SQL}, {CLOSURE}, {_AXES_SQL} select axis, tp, round(p, 6) + 0 as precision, round(r, 6) + 0 as recall, round(f, 6) + 0 as f1 from ax where run = 0
 """)
 def score_axes(spark, sf_dir):
     """Edges, closure and roots of a predicted lineage against the true one."""
-    s = graph.score_dag(families.edges(spark, sf_dir), families.predicted(spark, sf_dir), families.nodes(spark, sf_dir))
+    s = graph.score_dag(*_lineages(spark, sf_dir))
     return s.select("axis", "tp", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -172,7 +178,7 @@ select x.axis, round(y.p - x.p, 6) + 0 as d_precision, round(y.r - x.r, 6) + 0 a
 from ax x join ax y on x.axis = y.axis and x.run = 0 and y.run = 1
 """)
 def delta(spark, sf_dir):
-    t, p, n = families.edges(spark, sf_dir), families.predicted(spark, sf_dir), families.nodes(spark, sf_dir)
+    t, p, n = _lineages(spark, sf_dir)
     above = graph.closure(t)
     d = graph.dag_delta(graph.score_dag(t, p, n, above), graph.score_dag(t, p.where("child not like '%0'"), n, above))
     return d.select("axis", *[r6(c).alias(c) for c in ("d_precision", "d_recall", "d_f1")])

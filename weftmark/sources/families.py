@@ -35,8 +35,9 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models(spark, sf_dir).select(_name(F.col("pk")).alias("node"))
+def nodes(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
+    """(node); ``made`` is the table of :func:`models`, if it is written."""
+    return (made or models(spark, sf_dir)).select(_name(F.col("pk")).alias("node"))
 
 
 def _confidence(up: Column, down: Column) -> Column:
@@ -44,9 +45,9 @@ def _confidence(up: Column, down: Column) -> Column:
     return round_scaled(F.lit(0.45) + F.lit(0.05) * mean + ((up * 13 + down * 7) % 997) / F.lit(100000.0), 6)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
     """(parent, child, relation, weight, confidence) without cycles: up to two parents each, weights for merges."""
-    m = models(spark, sf_dir).where("place > 0")
+    m = (made or models(spark, sf_dir)).where("place > 0")
     nth = F.greatest("place", F.lit(1))
     first, second = F.col("quantity") % nth, (F.col("lines") * 7 + F.col("pk")) % nth
     merge = (first != second) & (F.col("pk") % 4 == 0)
@@ -79,11 +80,11 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models(spark, sf_dir).select(_name(F.col("pk")).alias("model"), F.get(names, (F.col("size") % 8).cast("int")).alias("declared"), (F.col("size") % 25 == 3).alias("gated"))
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
     """(parent, child) as a wrong reader might have it: some edges lost, some turned, some that skip or cross."""
-    m = models(spark, sf_dir)
+    m = made or models(spark, sf_dir)
     first = F.col("base") + F.col("quantity") % F.greatest("place", F.lit(1))
-    kept = edges(spark, sf_dir).where("confidence > 0.68").select("parent", "child")
+    kept = edges(spark, sf_dir, made).where("confidence > 0.68").select("parent", "child")
     turned = m.where("place > 0 and pk % 10 = 1").select(_name(F.col("pk")).alias("parent"), _name(first).alias("child"))
     top = m.where("place > 2 and pk % 6 = 0").select(_name(F.col("base")).alias("parent"), _name(F.col("pk")).alias("child"))
     beside = m.where("place > 3 and pk % 7 = 0").select(_name(F.col("pk") - 1).alias("parent"), _name(F.col("pk")).alias("child"))
