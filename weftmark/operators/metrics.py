@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -239,11 +239,16 @@ def signature_classes(signatures: DataFrame) -> DataFrame:
 
 def hard_controls(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Mark unrelated pairs whose relation label, if pairs have one, names a control or whose models have the same shapes."""
-    named = F.coalesce(F.col("relation").isin(*CONTROL_RELATIONS), F.lit(False)) if "relation" in pairs.columns else F.lit(False)
     a = signatures.select(F.col("model").alias("a"), F.col("signature").alias("sa"))
     b = signatures.select(F.col("model").alias("b"), F.col("signature").alias("sb"))
     met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return met.withColumn("hard", ~F.col("related") & (named | F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)))).drop("sa", "sb")
+    return marked_controls(met, F.coalesce(F.col("sa") == F.col("sb"), F.lit(False))).drop("sa", "sb")
+
+
+def marked_controls(pairs: DataFrame, same: Column) -> DataFrame:
+    """The rules of :func:`hard_controls`, where it is known which pairs have the same shapes."""
+    named = F.coalesce(F.col("relation").isin(*CONTROL_RELATIONS), F.lit(False)) if "relation" in pairs.columns else F.lit(False)
+    return pairs.withColumn("hard", ~F.col("related") & (named | same))
 
 
 def balanced_subsample(pairs: DataFrame, quotas: dict[str, int], by: str = "class", seed: int = 0) -> DataFrame:
